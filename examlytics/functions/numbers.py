@@ -27,6 +27,9 @@ STANDARD_REWRITES = [
     ("([0-9]+)([a-z])", "$1($2)"),
 ]
 
+# Fixed value: main number plus first bracket group (rest of the text dropped).
+SUB_NUMBER = ("(?s)^([^(]*)\\(([^()]*).*$", "$1($2)")
+
 # Fixed value: one trailing roman-numeral part, bracketed or bare, with its separator.
 BASE_SUFFIX = "[" + PY_WHITESPACE + "_]*(\\([ivx]+\\)|[ivx]+)$"
 
@@ -70,10 +73,10 @@ def main_question_number(c: Column | str) -> Column:
 
 def sub_question_number(c: Column | str) -> Column:
     """Main number plus the first bracket group; an unclosed bracket is closed."""
-    c = _c(c)
-    pat = "^([^(]*)\\(([^()]*)"
-    sub = F.concat(F.regexp_extract(c, pat, 1), F.lit("("), F.regexp_extract(c, pat, 2), F.lit(")"))
-    return F.when(F.instr(c, "(") > 0, sub).otherwise(c)
+    # One regex with a single reference to ``c``: text without "(" does not
+    # match and is returned unchanged, so the (possibly large) input expression
+    # is not duplicated when Catalyst inlines it.
+    return F.regexp_replace(_c(c), SUB_NUMBER[0], SUB_NUMBER[1])
 
 
 def integer_text(c: Column | str) -> Column:

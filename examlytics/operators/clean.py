@@ -35,6 +35,7 @@ def clean_transcription(
     header_column: str = "question",
     null_number_as: str | None = None,
     strict_page: bool = False,
+    number_is_clean: bool = False,
 ) -> DataFrame:
     """R7 = J7 -> C8 -> J1 -> J2 -> D1 -> D2, in that order; idempotent.
 
@@ -45,6 +46,8 @@ def clean_transcription(
     page = F.col("page_no").cast("int")
     if strict_page:
         page = F.when(page.isNotNull(), page).otherwise(F.raise_error(F.lit("page_no is not an integer")))
+    number = "question_no_raw" if "question_no_raw" in df.columns else "question_no"
+    qno = F.col(number) if number_is_clean else N.normalize_question_number(number, null_number_as)
     out = df.withColumns(
         {
             "class_name": strip_name_junk("class_raw") if "class_raw" in df.columns else strip_name_junk("class_name"),
@@ -52,9 +55,7 @@ def clean_transcription(
             if "subject_raw" in df.columns
             else strip_name_junk("subject_name"),
             "page_no": page,
-            "question_no": N.normalize_question_number(
-                "question_no_raw" if "question_no_raw" in df.columns else "question_no", null_number_as
-            ),
+            "question_no": qno,
         }
     )
     not_header = F.coalesce(~F.col(header_column).contains(HEADER_TEXT), F.lit(True))
@@ -66,7 +67,10 @@ def analysis_rows(df: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
 
     The common input of every question-level statistic.
     """
-    t = clean_transcription(carry_student(df, block))
+    # Normalise the number before the carry's shuffle: computed once per row in
+    # the map-side projection, and downstream operators see a plain column.
+    pre = df.withColumn("question_no", N.normalize_question_number("question_no_raw")).drop("question_no_raw")
+    t = clean_transcription(carry_student(pre, block), number_is_clean=True)
     return t.select(
         "scan_id",
         "page_no",

@@ -5,7 +5,7 @@ engine. Used only to build ``oracle_sql()`` strings; nothing here runs on Spark.
 
 from __future__ import annotations
 
-from ..functions.numbers import BASE_SUFFIX, FIX_REWRITES, STANDARD_REWRITES
+from ..functions.numbers import BASE_SUFFIX, FIX_REWRITES, STANDARD_REWRITES, SUB_NUMBER
 from ..functions.text import PY_WHITESPACE
 
 
@@ -56,11 +56,7 @@ def main_qno(x: str) -> str:
 
 
 def sub_qno(x: str) -> str:
-    pat = lit("^([^(]*)\\(([^()]*)")
-    return (
-        f"CASE WHEN strpos({x}, '(') > 0 THEN regexp_extract({x}, {pat}, 1) || '(' || "
-        f"regexp_extract({x}, {pat}, 2) || ')' ELSE {x} END"
-    )
+    return re_all(x, SUB_NUMBER[0], SUB_NUMBER[1])
 
 
 def base_qno(x: str) -> str:

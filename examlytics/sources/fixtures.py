@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import spread, table
 
 ROWS_PER_SCAN = 250
 ROWS_PER_PAGE = 5
@@ -23,7 +23,7 @@ def _s(c: Column) -> Column:
 
 def transcription(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answer rows (C1 output): 250 rows per scan, 5 per page, 4 pages per paper."""
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    ev = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"), "event_id")
     eid = F.col("event_id")
     e = ev.select(
         "*",
@@ -152,7 +152,7 @@ def number_context(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 6, F.lit("*"))
         .otherwise(F.lit(None).cast("string"))
     )
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events").select("event_id"), "event_id").select(
         F.floor(eid / 250.0).cast("bigint").alias("file_id"), eid.alias("row_ord"), cell.alias("question_no")
     )
 

@@ -13,3 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-repartition a scan that is narrower than the cluster.
+
+    A single unsplittable file (one parquet row group) is read by one task, and
+    everything fused into that stage then runs on one core. When the scan has
+    fewer partitions than the default parallelism, rows are hash-distributed on
+    ``key`` (deterministic, so a retried task sees the same rows). Wide scans,
+    the normal case at scale, are returned untouched and cost no shuffle.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, key)
