@@ -25,6 +25,19 @@ def _blk(order: str, block: int):
     return F.floor(F.col(order) / F.lit(block)).cast("bigint")
 
 
+def _join_blocks(d: DataFrame, summ: DataFrame, keys: list[str]) -> DataFrame:
+    """Left-join per-block values back on (keys, block), null-safe.
+
+    Null-safe equality adds no inferred ``isnotnull`` filters, so both sides keep
+    an identical subtree below the window's exchange and Spark reuses that
+    shuffle instead of recomputing the input for the summary side.
+    """
+    ren = {c: f"_s{i}" for i, c in enumerate([*keys, "_blk"])}
+    s2 = summ.select(*[F.col(c).alias(a) for c, a in ren.items()], *[c for c in summ.columns if c not in ren])
+    cond = [F.col(c).eqNullSafe(F.col(a)) for c, a in ren.items()]
+    return d.join(s2, on=cond, how="left").drop(*ren.values())
+
+
 def carry_last(
     df: DataFrame,
     keys: Sequence[str],
@@ -37,20 +50,28 @@ def carry_last(
 
     Equivalent to ``last(value, ignorenulls=True)`` over
     ``partitionBy(keys).orderBy(order).rowsBetween(unboundedPreceding, 0)``.
+    One shuffle by (keys, block) for the row-level window; the per-block
+    summary is read from the same windowed rows (no second pass over the input)
+    and only it, ``rows / block`` in size, is shuffled by key.
     """
     keys = list(keys)
     d = df.withColumn("_blk", _blk(order, block))
-    w_in = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_in", F.last(F.col(value), ignorenulls=True).over(w_in))
-    # One row per (key, block): its last non-null value; then what the earlier
-    # blocks of the same key carry into it.
-    summ = d.groupBy(*keys, "_blk").agg(
-        F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(order))).alias("_blast")
+    w = Window.partitionBy(*keys, "_blk").orderBy(order)
+    v = F.col(value)
+    d = d.withColumns(
+        {
+            "_in": F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+            "_blast": F.last(v, ignorenulls=True).over(
+                w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            ),
+        }
     )
+    # already clustered by (keys, block): this aggregate adds no shuffle
+    summ = d.groupBy(*keys, "_blk").agg(F.max("_blast").alias("_blast"))
     w_b = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     summ = summ.select(*keys, "_blk", F.last("_blast", ignorenulls=True).over(w_b).alias("_prev"))
     return (
-        d.join(summ, on=[*keys, "_blk"], how="left")
+        _join_blocks(d.drop("_blast"), summ, keys)
         .withColumn(out, F.coalesce(F.col("_in"), F.col("_prev")))
         .drop("_blk", "_in", "_prev")
     )
@@ -66,13 +87,13 @@ def number_rows(
     """``out`` = 1-based ``row_number()`` per ``keys`` in ``order`` (order must be unique per key)."""
     keys = list(keys)
     d = df.withColumn("_blk", _blk(order, block))
-    w_in = Window.partitionBy(*keys, "_blk").orderBy(order)
-    d = d.withColumn("_rn", F.row_number().over(w_in))
-    counts = d.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys, "_blk")
+    d = d.withColumns({"_rn": F.row_number().over(w.orderBy(order)), "_bn": F.count(F.lit(1)).over(w)})
+    counts = d.groupBy(*keys, "_blk").agg(F.max("_bn").alias("_n"))
     w_b = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(*keys, "_blk", F.coalesce(F.sum("_n").over(w_b), F.lit(0)).alias("_off"))
     return (
-        d.join(offs, on=[*keys, "_blk"], how="left")
+        _join_blocks(d.drop("_bn"), offs, keys)
         .withColumn(out, (F.col("_rn") + F.col("_off")).cast("bigint"))
         .drop("_blk", "_rn", "_off")
     )

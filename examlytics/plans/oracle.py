@@ -127,3 +127,145 @@ WHERE rn = 1""")
 ORACLE["analysis_summary"] = _q(f"""
 WITH {BASE}
 SELECT count(DISTINCT sub_question_no) AS questions_analysed, count(*) AS total_entries FROM arows""")
+
+
+# ---------------------------------------------------------------- pages
+
+from ..operators.pages import NOTEBOOK_BRACKETS, SERVICE_BRACKETS  # noqa: E402
+
+ORACLE["response_ingest"] = _q("""
+WITH ok AS (
+  SELECT * FROM transcription WHERE (scan_id * 50 + page_no) % 17 <> 0 AND (scan_id * 50 + page_no) % 19 <> 0)
+SELECT scan_id, page_no, entry_ord, student_raw,
+       coalesce(last_value(nullif(student_raw, '') IGNORE NULLS) OVER (
+         PARTITION BY scan_id ORDER BY page_no, entry_ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '')
+         AS student_name,
+       question_no_raw, question, answer, grading, 'Unknown' AS class_name, 'Unknown' AS subject_name
+FROM ok""")
+
+ORACLE["response_rejects"] = _q("""
+WITH p AS (SELECT DISTINCT scan_id, page_no FROM transcription)
+SELECT scan_id, page_no,
+       CASE WHEN (scan_id * 50 + page_no) % 17 = 0 THEN 'invalid_json' ELSE 'missing_keys' END AS reject_reason
+FROM p WHERE (scan_id * 50 + page_no) % 17 = 0 OR (scan_id * 50 + page_no) % 19 = 0""")
+
+_SVC = S.py_strip(S.re_all("question_no_raw", SERVICE_BRACKETS, ""))
+_NB = S.py_strip(S.re_all("question_no_raw", NOTEBOOK_BRACKETS, ""))
+ORACLE["page_question_bounds"] = _q(f"""
+WITH d AS (SELECT scan_id, page_no, entry_ord, {_SVC} AS svc, {_NB} AS nb FROM transcription)
+SELECT scan_id, page_no,
+  coalesce(arg_min(svc, entry_ord) FILTER (WHERE regexp_matches(svc, '^[0-9]+$')), 'N/A') AS first_service,
+  coalesce(arg_max(svc, entry_ord) FILTER (WHERE regexp_matches(svc, '^[0-9]+$')), 'N/A') AS last_service,
+  coalesce(arg_min(nb, entry_ord) FILTER (WHERE regexp_matches(nb, '^[0-9]+$')), 'N/A') AS first_notebook,
+  coalesce(arg_max(nb, entry_ord) FILTER (WHERE regexp_matches(nb, '^[0-9]+$')), 'N/A') AS last_notebook
+FROM d GROUP BY scan_id, page_no""")
+
+ORACLE["page_range"] = _q("""
+SELECT scan_id, page_no, entry_ord, row_id FROM transcription
+WHERE page_no >= 3 AND page_no <= 40 AND page_no <= 1000000""")
+
+ORACLE["scan_summary"] = _q(f"""
+WITH {NAMED},
+d AS (
+  SELECT *, {S.normalize_qno('question_no_raw')} AS question_no,
+         (coalesce(NOT contains(question, 'Question No'), true) AND question IS NOT NULL) AS keep
+  FROM named)
+SELECT scan_id, count(*) AS total_entries, count(DISTINCT page_no) AS pages_processed, min(page_no) AS start_page,
+       count(DISTINCT CASE WHEN keep THEN student_name END) AS students_found,
+       count(DISTINCT CASE WHEN keep THEN question_no END) AS total_questions,
+       count_if(keep AND (answer IS NULL OR {S.has_text('answer')})) AS total_answers,
+       count_if(keep AND grading IN ('Correct', 'Incorrect')) AS graded_answers,
+       min(page_no) + count(DISTINCT page_no) - 1 AS end_page
+FROM d GROUP BY scan_id""")
+
+# ---------------------------------------------------------------- more analysis
+
+ORACLE["wrong_answer_text"] = _q(f"""
+WITH {BASE},
+w AS (SELECT sub_question_no, row_id, answer,
+             row_number() OVER (PARTITION BY sub_question_no ORDER BY row_id) AS wrong_ord
+      FROM {GROUPED} g WHERE {WRONG})
+SELECT sub_question_no, CAST((wrong_ord - 1) // 200 AS BIGINT) AS chunk_no,
+       string_agg(answer, chr(10) ORDER BY wrong_ord) AS wrong_text, count(*) AS n_lines
+FROM w GROUP BY 1, 2""")
+
+
+def _sample_sql(pool: str) -> str:
+    if pool == "strict":
+        cond = f"grading = 'Correct' AND {S.has_text('answer')}"
+    else:
+        cond = f"coalesce(contains(lower(grading), 'correct'), false) AND {S.has_text('answer')}"
+    return f"""
+WITH {BASE},
+g AS {GROUPED},
+need AS (SELECT sub_question_no, count_if(grading = 'Correct') AS n_correct, count_if({cond}) AS n_pool,
+                least(10, count_if(grading = 'Correct')) AS n_take
+         FROM g GROUP BY sub_question_no),
+ranked AS (SELECT sub_question_no, answer,
+                  row_number() OVER (PARTITION BY sub_question_no
+                                     ORDER BY md5(CAST(row_id AS VARCHAR) || ':1'), row_id) AS rn
+           FROM g WHERE {cond})
+SELECT r.sub_question_no, CAST(r.rn AS INTEGER) AS sample_rank, r.answer
+FROM ranked r JOIN need n USING (sub_question_no)
+WHERE n.n_pool >= n.n_take AND r.rn <= n.n_take
+UNION ALL
+SELECT sub_question_no, 1 AS sample_rank, 'No correct answer transcribed' AS answer FROM need WHERE n_pool < n_take"""
+
+
+ORACLE["correct_sample"] = _q(_sample_sql("strict"))
+ORACLE["correct_sample_reference"] = _q(_sample_sql("reference"))
+
+ORACLE["correct_sample_text"] = _q(f"""
+WITH s AS ({_sample_sql('strict')})
+SELECT sub_question_no, string_agg(DISTINCT answer, chr(10) ORDER BY answer) AS sample_text,
+       count(DISTINCT answer) AS n_distinct
+FROM s WHERE answer IS NOT NULL AND answer <> '' GROUP BY sub_question_no""")
+
+ORACLE["misconception_requests"] = _q(f"""
+WITH {BASE},
+w AS (SELECT sub_question_no, row_id, answer,
+             row_number() OVER (PARTITION BY sub_question_no ORDER BY row_id) AS wrong_ord
+      FROM {GROUPED} g WHERE {WRONG}),
+wt AS (SELECT sub_question_no, CAST((wrong_ord - 1) // 200 AS BIGINT) AS chunk_no,
+              string_agg(answer, chr(10) ORDER BY wrong_ord) AS wrong_text, count(*) AS n_lines
+       FROM w GROUP BY 1, 2),
+st AS (SELECT sub_question_no, arg_min_null(question, row_id) AS question FROM {GROUPED} g GROUP BY 1),
+smp AS ({_sample_sql('strict').replace('WITH ' + BASE + ',', 'WITH ')}),
+stxt AS (SELECT sub_question_no, string_agg(DISTINCT answer, chr(10) ORDER BY answer) AS sample_text
+         FROM smp WHERE answer IS NOT NULL AND answer <> '' GROUP BY 1)
+SELECT wt.sub_question_no, wt.chunk_no, st.question, wt.n_lines,
+       'Question: ' || coalesce(st.question, '') || chr(10) || 'Wrong answers:' || chr(10) || wt.wrong_text
+       || chr(10) || 'Correct answers sample:' || chr(10) || coalesce(stxt.sample_text, '') AS request_text
+FROM wt JOIN st USING (sub_question_no) LEFT JOIN stxt USING (sub_question_no)""")
+
+ORACLE["duplicate_answers"] = _q(f"""
+WITH {BASE},
+r AS (SELECT scan_id, row_id, student_name, question_no FROM arows),
+c AS (SELECT scan_id, student_name, question_no, count(*) AS dup_count FROM r GROUP BY ALL HAVING count(*) > 1)
+SELECT r.scan_id, r.row_id, r.student_name, r.question_no, c.dup_count
+FROM r JOIN c ON r.scan_id IS NOT DISTINCT FROM c.scan_id AND r.student_name IS NOT DISTINCT FROM c.student_name
+             AND r.question_no IS NOT DISTINCT FROM c.question_no""")
+
+ORACLE["unique_questions"] = _q(f"""
+WITH {BASE},
+q AS (SELECT {S.integer_text('question_no')} AS question_no, question, row_id FROM arows
+      WHERE question_no IS NOT NULL AND question IS NOT NULL),
+f AS (SELECT question, arg_min_null(question_no, row_id) AS question_no FROM q GROUP BY question)
+SELECT DISTINCT {S.base_qno('question_no')} AS question_no, question FROM f""")
+
+ORACLE["question_number_context"] = _q(f"""
+WITH d AS (
+  SELECT file_id, row_ord, question_no,
+         (question_no IS NULL OR {S.py_strip('question_no')} = '' OR lower({S.py_strip('question_no')}) = 'nan') AS blank,
+         {S.delimit_cell('question_no')} AS s
+  FROM number_context),
+m AS (SELECT *, CASE WHEN NOT blank AND regexp_extract(s, '^([0-9]+)', 1) <> '' THEN regexp_extract(s, '^([0-9]+)', 1) END AS main
+      FROM d),
+c AS (SELECT *, last_value(main IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY row_ord
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ctx FROM m)
+SELECT file_id, row_ord, question_no,
+  CASE WHEN blank THEN ''
+       WHEN main IS NOT NULL THEN main || {S.letter_parts('s')}
+       WHEN ctx IS NOT NULL AND regexp_matches(s, '[A-Za-z]') THEN ctx || {S.letter_parts('s')}
+       ELSE s END AS question_no_clean
+FROM c""", "number_context")

@@ -98,3 +98,80 @@ def common_wrong_answer(spark, sf_dir):
 @query
 def analysis_summary(spark, sf_dir):
     return A.analysis_summary(rows(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- pages
+
+from ..operators import pages as P  # noqa: E402
+
+
+@query
+def response_ingest(spark, sf_dir):
+    """R3 + D8 + C1 + C2 + G1: landed reply text -> answer rows of the valid pages."""
+    return P.flatten_pages(X.raw_responses(spark, sf_dir))
+
+
+@query
+def response_rejects(spark, sf_dir):
+    """Pages without a valid result, with the reason."""
+    return P.response_rejects(X.raw_responses(spark, sf_dir))
+
+
+@query
+def page_question_bounds(spark, sf_dir):
+    return P.page_question_bounds(X.transcription(spark, sf_dir))
+
+
+@query
+def page_range(spark, sf_dir):
+    t = X.transcription(spark, sf_dir).select("scan_id", "page_no", "entry_ord", "row_id")
+    return P.page_range(t, start=3, end=40, max_pages=1_000_000)
+
+
+@query
+def scan_summary(spark, sf_dir):
+    return P.scan_summary(X.transcription(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- more analysis
+
+
+@query
+def wrong_answer_text(spark, sf_dir):
+    return A.wrong_answer_text(rows(spark, sf_dir))
+
+
+@query
+def correct_sample(spark, sf_dir):
+    return A.correct_sample(rows(spark, sf_dir), pool="strict")
+
+
+@query
+def correct_sample_reference(spark, sf_dir):
+    return A.correct_sample(rows(spark, sf_dir), pool="reference")
+
+
+@query
+def correct_sample_text(spark, sf_dir):
+    return A.correct_sample_text(rows(spark, sf_dir), pool="strict")
+
+
+@query
+def misconception_requests(spark, sf_dir):
+    return A.misconception_requests(rows(spark, sf_dir))
+
+
+@query
+def duplicate_answers(spark, sf_dir):
+    r = rows(spark, sf_dir).select("scan_id", "row_id", "student_name", "question_no")
+    return C.duplicate_answers(r)
+
+
+@query
+def unique_questions(spark, sf_dir):
+    return C.clean_question_list(rows(spark, sf_dir).select("row_id", "question_no", "question"))
+
+
+@query
+def question_number_context(spark, sf_dir):
+    return C.context_numbers(X.number_context(spark, sf_dir))

@@ -81,7 +81,7 @@ def delimit_cell(x: str) -> str:
 
 
 def letter_parts(x: str) -> str:
-    return f"list_aggregate(list_transform(regexp_extract_all({x}, '([A-Za-z]+)', 1), v -> '(' || v || ')'), 'string_agg', '')"
+    return f"list_aggregate(list_transform(regexp_extract_all({x}, '([A-Za-z]+)', 1), lambda v: '(' || v || ')'), 'string_agg', '')"
 
 
 def percent_text(num: str, den: str, decimals: int = 1) -> str:
