@@ -269,3 +269,174 @@ SELECT file_id, row_ord, question_no,
        WHEN ctx IS NOT NULL AND regexp_matches(s, '[A-Za-z]') THEN ctx || {S.letter_parts('s')}
        ELSE s END AS question_no_clean
 FROM c""", "number_context")
+
+ORACLE["duplicate_answers_global"] = _q(f"""
+WITH {BASE},
+r AS (SELECT scan_id, row_id, student_name, question_no FROM arows),
+c AS (SELECT student_name, question_no, count(*) AS dup_count FROM r GROUP BY ALL HAVING count(*) > 1)
+SELECT r.scan_id, r.row_id, r.student_name, r.question_no, c.dup_count
+FROM r JOIN c ON r.student_name IS NOT DISTINCT FROM c.student_name
+             AND r.question_no IS NOT DISTINCT FROM c.question_no""")
+
+# ---------------------------------------------------------------- topics
+
+from ..operators import topics as _TP  # noqa: E402
+
+_TAX = "taxonomy(subject, topic, topic_ord) AS (VALUES " + ", ".join(
+    f"({S.lit(s)}, {S.lit(t)}, {i})" for s, ts in _TP.SUBJECT_TOPICS.items() for i, t in enumerate(ts, 1)
+) + ")"
+_TAXW = f"""{_TAX},
+taxw AS (SELECT subject, topic, topic_ord,
+                list_filter(list_distinct(regexp_extract_all(lower(topic), '([a-z]+)', 1)), lambda w: w <> 'and') AS words
+         FROM taxonomy)"""
+
+UNIQUE_Q = f"""uq0 AS (SELECT {S.integer_text('question_no')} AS question_no, question, row_id FROM arows
+      WHERE question_no IS NOT NULL AND question IS NOT NULL),
+uq1 AS (SELECT question, arg_min_null(question_no, row_id) AS question_no FROM uq0 GROUP BY question),
+uq AS (SELECT DISTINCT {S.base_qno('question_no')} AS question_no, question FROM uq1)"""
+
+ORACLE["topic_batches"] = _q("""
+WITH b AS (SELECT row_id, question_no, subject,
+                  row_number() OVER (PARTITION BY subject ORDER BY row_id) AS q_rank FROM topic_questions)
+SELECT row_id, question_no, subject, q_rank, (q_rank - 1) // 30 + 1 AS batch_no FROM b""", "topic_questions")
+
+ORACLE["topic_requests"] = _q(f"""
+WITH {_TAX},
+b AS (SELECT subject, question_no, question,
+             row_number() OVER (PARTITION BY subject ORDER BY row_id) AS q_rank FROM topic_questions),
+r AS (SELECT subject, (q_rank - 1) // 30 + 1 AS batch_no,
+             string_agg('- Question No: ' || question_no || ', Question: ' || question, chr(10) ORDER BY q_rank)
+               AS questions_text, count(*) AS n_questions
+      FROM b GROUP BY 1, 2),
+tl AS (SELECT subject, string_agg(topic, ', ' ORDER BY topic_ord) AS topic_list FROM taxonomy GROUP BY subject)
+SELECT r.subject, r.batch_no, r.n_questions, r.questions_text, tl.topic_list FROM r LEFT JOIN tl USING (subject)""",
+                               "topic_questions")
+
+_ASSIGN = f"""{_TAXW},
+qw AS (SELECT row_id, question_no, subject, question,
+              list_distinct(regexp_extract_all(lower(question), '([a-z]+)', 1)) AS qwords FROM topic_questions),
+sc AS (SELECT q.row_id, t.topic, t.topic_ord, len(list_intersect(t.words, q.qwords)) AS hits, len(t.words) AS n_words
+       FROM qw q JOIN taxw t ON q.subject = t.subject),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY hits DESC, topic_ord) AS rn FROM sc) x
+         WHERE rn = 1),
+assigned AS (
+  SELECT q.row_id, q.question_no, q.subject, q.question,
+         CASE WHEN b.row_id IS NULL THEN '{_TP.NOT_AVAILABLE}' WHEN b.hits > 0 THEN b.topic ELSE '{_TP.FAILED}' END
+           AS topic,
+         CASE WHEN b.hits > 0 THEN CAST(b.hits AS DOUBLE) / CAST(b.n_words AS DOUBLE) ELSE 0.0 END AS confidence
+  FROM qw q LEFT JOIN best b USING (row_id))"""
+
+ORACLE["topic_assign"] = _q(f"WITH {_ASSIGN}\nSELECT * FROM assigned", "topic_questions")
+
+ORACLE["topic_statistics"] = _q(f"""
+WITH {_ASSIGN},
+per AS (SELECT topic, count(*) AS question_count FROM assigned GROUP BY topic)
+SELECT topic, question_count,
+       {S.percent_value('question_count', 'sum(question_count) OVER ()', 2)} AS percentage
+FROM per""", "topic_questions")
+
+ORACLE["topic_merge_fanout"] = _q(f"""
+WITH {BASE}, {UNIQUE_Q}
+SELECT uq.question_no, uq.question, t.topic, t.confidence
+FROM uq LEFT JOIN topic_results t ON uq.question_no = t.question_no""", "transcription", "topic_results")
+
+ORACLE["topic_lookup_first"] = _q(f"""
+WITH {BASE}, {UNIQUE_Q},
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_no ORDER BY result_ord) AS rn
+                     FROM topic_results) x WHERE rn = 1)
+SELECT uq.question_no, uq.question, coalesce(f.topic, '{_TP.FAILED}') AS topic,
+       coalesce(f.confidence, 0.0) AS confidence,
+       CASE WHEN f.question_no IS NULL THEN '{_TP.NO_MATCH}' ELSE '' END AS explanation
+FROM uq LEFT JOIN f ON uq.question_no = f.question_no""", "transcription", "topic_results")
+
+# ---------------------------------------------------------------- catalog
+
+from ..operators.catalog import EXAM_TYPES as _TYPES  # noqa: E402
+
+ORACLE["exam_with_type"] = _q("""
+SELECT e.id, e.name, e.exam_type_id, e.type_name, t.name AS exam_type_name
+FROM exams e LEFT JOIN exam_types t ON e.exam_type_id = t.id""", "exams", "exam_types")
+
+ORACLE["valid_exams"] = _q("""
+SELECT * FROM exams e WHERE EXISTS (SELECT 1 FROM exam_types t WHERE t.id = e.exam_type_id)""", "exams", "exam_types")
+
+ORACLE["orphan_exams"] = _q("""
+SELECT * FROM exams e WHERE NOT EXISTS (SELECT 1 FROM exam_types t WHERE t.id = e.exam_type_id)""",
+                             "exams", "exam_types")
+
+ORACLE["deletable_types"] = _q("""
+SELECT * FROM exam_types t WHERE NOT EXISTS (SELECT 1 FROM exams e WHERE e.exam_type_id = t.id)""",
+                                "exams", "exam_types")
+
+ORACLE["delete_blockers"] = _q("""
+SELECT t.id, t.name, count(*) AS n_dependants FROM exam_types t JOIN exams e ON e.exam_type_id = t.id
+GROUP BY t.id, t.name""", "exams", "exam_types")
+
+ORACLE["deletable_exams"] = _q("""
+SELECT * FROM exams e WHERE NOT EXISTS (SELECT 1 FROM uploads u WHERE u.exam_id = e.id)""", "exams", "uploads")
+
+ORACLE["report_rollup"] = _q("""
+WITH r AS (SELECT exam_id, count(*) AS total_reports,
+                  count_if(coalesce(contains(report_type, 'transcription'), false)) AS transcription_reports,
+                  count_if(NOT coalesce(contains(report_type, 'transcription'), false)
+                           AND coalesce(contains(report_type, 'analysis'), false)) AS analysis_reports
+           FROM reports GROUP BY exam_id),
+u AS (SELECT exam_id, count(*) AS uploads FROM uploads GROUP BY exam_id)
+SELECT e.id, e.name, coalesce(r.total_reports, 0) AS total_reports,
+       coalesce(r.transcription_reports, 0) AS transcription_reports,
+       coalesce(r.analysis_reports, 0) AS analysis_reports, coalesce(u.uploads, 0) AS uploads
+FROM exams e LEFT JOIN r ON r.exam_id = e.id LEFT JOIN u ON u.exam_id = e.id""", "exams", "reports", "uploads")
+
+_DOMAIN = ", ".join(S.lit(t) for t in _TYPES)
+ORACLE["exam_get_or_create"] = _q(f"""
+WITH rej AS (SELECT name, type_name, CAST(NULL AS BIGINT) AS exam_id, 'rejected' AS status, in_ord
+             FROM incoming_exams WHERE type_name IS NULL OR type_name NOT IN ({_DOMAIN})),
+f AS (SELECT name, arg_min(type_name, in_ord) AS type_name, min(in_ord) AS in_ord
+      FROM incoming_exams WHERE type_name IN ({_DOMAIN}) GROUP BY name),
+found AS (SELECT f.*, CAST(e.id AS BIGINT) AS eid FROM f LEFT JOIN exams e ON f.name = e.name),
+mx AS (SELECT CAST(coalesce(max(id), 0) AS BIGINT) AS m FROM exams)
+SELECT name, type_name, eid AS exam_id, 'existing' AS status, in_ord FROM found WHERE eid IS NOT NULL
+UNION ALL
+SELECT name, type_name, (SELECT m FROM mx) + row_number() OVER (ORDER BY in_ord) AS exam_id, 'created' AS status, in_ord
+FROM found WHERE eid IS NULL
+UNION ALL
+SELECT * FROM rej""", "exams", "incoming_exams")
+
+ORACLE["exam_patch"] = _q("""
+SELECT e.id, CASE WHEN p.set_field = 'name' THEN p.name ELSE e.name END AS name,
+       CASE WHEN p.set_field = 'exam_type_id' THEN p.exam_type_id ELSE e.exam_type_id END AS exam_type_id,
+       e.type_name
+FROM exams e LEFT JOIN exam_patches p ON p.id = e.id""", "exams", "exam_patches")
+
+# ---------------------------------------------------------------- importer
+
+
+def _nb(x: str) -> str:
+    v = f"CAST({x} AS VARCHAR)"
+    return f"CASE WHEN {v} IS NULL OR {v} IN ('', 'nan', 'NaN') THEN NULL ELSE {v} END"
+
+
+_IMPORT = f"""
+a AS (SELECT 'import_a' AS source_file, {_nb('"Student Name"')} AS student_name, CAST(NULL AS VARCHAR) AS class_name,
+             CAST(NULL AS VARCHAR) AS subject_name, {_nb('"questionNo"')} AS question_no, {_nb('"Question"')} AS question,
+             {_nb('"answer"')} AS answer, {_nb('"Page_Number"')} AS page_number,
+             coalesce({_nb('"score"')}, {_nb('"marks"')}) AS grading FROM import_a),
+b AS (SELECT 'import_b' AS source_file, {_nb('"student_name"')} AS student_name, CAST(NULL AS VARCHAR) AS class_name,
+             {_nb('"Subject  Name"')} AS subject_name, {_nb('"Question Number"')} AS question_no,
+             CAST(NULL AS VARCHAR) AS question, CAST(NULL AS VARCHAR) AS answer, CAST(NULL AS VARCHAR) AS page_number,
+             {_nb('"grade"')} AS grading FROM import_b),
+ab AS (SELECT * FROM a UNION ALL SELECT * FROM b),
+recs AS (
+  SELECT source_file, CAST(1 AS BIGINT) AS exam_id, student_name, class_name,
+         coalesce(subject_name, 'SST') AS subject_name, question_no, question, answer,
+         TRY_CAST(page_number AS INTEGER) AS page_number, grading,
+         (page_number IS NULL OR TRY_CAST(page_number AS INTEGER) IS NOT NULL) AS accepted
+  FROM ab
+  WHERE coalesce(student_name, class_name, subject_name, question_no, question, answer, page_number, grading) IS NOT NULL)"""
+
+ORACLE["import_reports"] = _q(f"WITH {_IMPORT}\nSELECT * FROM recs", "import_a", "import_b")
+
+ORACLE["import_tally"] = _q(f"""
+WITH {_IMPORT}
+SELECT coalesce(source_file, 'ALL') AS source_file, count(*) AS total, count_if(accepted) AS inserted
+FROM recs GROUP BY ROLLUP (source_file)""", "import_a", "import_b")

@@ -175,3 +175,121 @@ def unique_questions(spark, sf_dir):
 @query
 def question_number_context(spark, sf_dir):
     return C.context_numbers(X.number_context(spark, sf_dir))
+
+
+@query
+def duplicate_answers_global(spark, sf_dir):
+    """G3 with the notebook's keys (student, number) across every scan."""
+    r = rows(spark, sf_dir).select("scan_id", "row_id", "student_name", "question_no")
+    return C.duplicate_answers(r, keys=("student_name", "question_no"))
+
+
+# ---------------------------------------------------------------- topics
+
+from ..operators import topics as TP  # noqa: E402
+
+
+def unique_question_list(spark, sf_dir):
+    return C.clean_question_list(rows(spark, sf_dir).select("row_id", "question_no", "question"))
+
+
+@query
+def topic_batches(spark, sf_dir):
+    b = TP.topic_batches(X.topic_questions(spark, sf_dir))
+    return b.select("row_id", "question_no", "subject", "q_rank", "batch_no")
+
+
+@query
+def topic_requests(spark, sf_dir):
+    return TP.topic_requests(X.topic_questions(spark, sf_dir))
+
+
+@query
+def topic_assign(spark, sf_dir):
+    return TP.assign_topics(X.topic_questions(spark, sf_dir))
+
+
+@query
+def topic_merge_fanout(spark, sf_dir):
+    return TP.merge_topics_fanout(unique_question_list(spark, sf_dir), X.topic_results(spark, sf_dir))
+
+
+@query
+def topic_lookup_first(spark, sf_dir):
+    return TP.lookup_topics_first(unique_question_list(spark, sf_dir), X.topic_results(spark, sf_dir))
+
+
+@query
+def topic_statistics(spark, sf_dir):
+    return TP.topic_statistics(TP.assign_topics(X.topic_questions(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- catalog
+
+from ..operators import catalog as CT  # noqa: E402
+
+
+@query
+def exam_with_type(spark, sf_dir):
+    return CT.exam_with_type(X.exams(spark, sf_dir), X.exam_types(spark, sf_dir))
+
+
+@query
+def valid_exams(spark, sf_dir):
+    return CT.valid_children(X.exams(spark, sf_dir), X.exam_types(spark, sf_dir), "exam_type_id")
+
+
+@query
+def orphan_exams(spark, sf_dir):
+    return CT.orphan_children(X.exams(spark, sf_dir), X.exam_types(spark, sf_dir), "exam_type_id")
+
+
+@query
+def deletable_types(spark, sf_dir):
+    return CT.deletable(X.exam_types(spark, sf_dir), X.exams(spark, sf_dir), "exam_type_id")
+
+
+@query
+def delete_blockers(spark, sf_dir):
+    return CT.delete_blockers(X.exam_types(spark, sf_dir), X.exams(spark, sf_dir), "exam_type_id")
+
+
+@query
+def deletable_exams(spark, sf_dir):
+    return CT.deletable(X.exams(spark, sf_dir), X.uploads(spark, sf_dir), "exam_id")
+
+
+@query
+def report_rollup(spark, sf_dir):
+    return CT.report_rollup(X.exams(spark, sf_dir), X.reports(spark, sf_dir), X.uploads(spark, sf_dir))
+
+
+@query
+def exam_get_or_create(spark, sf_dir):
+    return CT.get_or_create_exams(X.exams(spark, sf_dir), X.incoming_exams(spark, sf_dir))
+
+
+@query
+def exam_patch(spark, sf_dir):
+    return CT.apply_patches(X.exams(spark, sf_dir), X.exam_patches(spark, sf_dir), ["name", "exam_type_id"])
+
+
+# ---------------------------------------------------------------- importer
+
+from ..operators import importer as IM  # noqa: E402
+
+IMPORT_EXAM_ID = 1
+
+
+def import_files(spark, sf_dir):
+    return [("import_a", X.import_a(spark, sf_dir)), ("import_b", X.import_b(spark, sf_dir))]
+
+
+@query
+def import_reports(spark, sf_dir):
+    return IM.import_records(import_files(spark, sf_dir), exam_id=IMPORT_EXAM_ID)
+
+
+@query
+def import_tally(spark, sf_dir):
+    return IM.import_tally(IM.import_records(import_files(spark, sf_dir), exam_id=IMPORT_EXAM_ID))
