@@ -440,3 +440,17 @@ ORACLE["import_tally"] = _q(f"""
 WITH {_IMPORT}
 SELECT coalesce(source_file, 'ALL') AS source_file, count(*) AS total, count_if(accepted) AS inserted
 FROM recs GROUP BY ROLLUP (source_file)""", "import_a", "import_b")
+
+# ---------------------------------------------------------------- round trips: equal to their input
+
+ORACLE["csv_roundtrip"] = ORACLE["clean_transcription"]
+ORACLE["pipe_roundtrip"] = ORACLE["clean_transcription"]
+ORACLE["jsonl_roundtrip"] = ORACLE["clean_transcription"]
+ORACLE["ndjson_report"] = ORACLE["question_analysis"]
+ORACLE["report_bundle"] = ORACLE["question_analysis"]
+ORACLE["report_table_append"] = ORACLE["import_reports"]
+
+ORACLE["page_base64"] = """
+SELECT page_id, 'page_' || CAST(page_id AS VARCHAR) || '.png' AS image_name, to_base64(encode(html)) AS b64,
+       CAST(octet_length(encode(html)) AS INTEGER) AS n_bytes, true AS decoded_ok
+FROM pages"""

@@ -293,3 +293,89 @@ def import_reports(spark, sf_dir):
 @query
 def import_tally(spark, sf_dir):
     return IM.import_tally(IM.import_records(import_files(spark, sf_dir), exam_id=IMPORT_EXAM_ID))
+
+
+# ---------------------------------------------------------------- sources and sinks (round trips)
+
+from pyspark.sql import types as T  # noqa: E402
+
+from ..sinks import writers as W  # noqa: E402
+from ..sources import files as FS  # noqa: E402
+
+_KEYS = [("scan_id", T.LongType()), ("entry_ord", T.IntegerType()), ("row_id", T.LongType())]
+_CLEAN_COLS = [
+    "scan_id", "page_no", "entry_ord", "row_id", "student_name", "question_no", "question", "answer", "grading",
+    "class_name", "subject_name",
+]
+
+
+def _csv_roundtrip(spark, sf_dir, sep):
+    src = W.to_display(clean_transcription(spark, sf_dir))
+    schema = FS.transcription_schema(_KEYS)
+    path = W.output_root(spark, "csv")
+    W.write_csv(src.select(*schema.fieldNames()), path, sep=sep)
+    return FS.to_snake(FS.read_csv(spark, path, schema, sep=sep)).select(*_CLEAN_COLS)
+
+
+@query
+def csv_roundtrip(spark, sf_dir):
+    """A1 + B1: cleaned transcription -> headered CSV -> read back with its schema."""
+    return _csv_roundtrip(spark, sf_dir, ",")
+
+
+@query
+def pipe_roundtrip(spark, sf_dir):
+    """B2: the same through a pipe-delimited file."""
+    return _csv_roundtrip(spark, sf_dir, "|")
+
+
+@query
+def jsonl_roundtrip(spark, sf_dir):
+    """A3 + B3: JSON lines, nulls omitted on write, restored by the schema on read."""
+    src = clean_transcription(spark, sf_dir)
+    path = W.output_root(spark, "jsonl")
+    W.write_jsonl(src, path)
+    return FS.read_jsonl(spark, path, src.schema).drop("_corrupt_record").select(*_CLEAN_COLS)
+
+
+@query
+def ndjson_report(spark, sf_dir):
+    """The question analysis as one JSON text per row, parsed back."""
+    src = question_analysis(spark, sf_dir)
+    path = W.output_root(spark, "ndjson")
+    W.write_ndjson(src, path)
+    parsed = spark.read.text(path).select(F.from_json("value", src.schema).alias("r"))
+    return parsed.select("r.*")
+
+
+@query
+def report_bundle(spark, sf_dir):
+    """Analysis and raw rows written as one report; the analysis part read back."""
+    path = W.output_root(spark, "report")
+    parts = W.write_report_bundle(question_analysis(spark, sf_dir), clean_transcription(spark, sf_dir), path)
+    return spark.read.parquet(parts["Question_Analysis"])
+
+
+@query
+def report_table_append(spark, sf_dir):
+    """Imported rows appended to the reporting table partitioned by exam, read back."""
+    src = import_reports(spark, sf_dir)
+    path = W.output_root(spark, "exam_reports")
+    W.append_reports(src, path)
+    back = spark.read.option("basePath", path).parquet(path)
+    return back.withColumn("exam_id", F.col("exam_id").cast("bigint")).select(*src.columns)
+
+
+@query
+def page_base64(spark, sf_dir):
+    """Page bytes <-> base64 text, with the derived image name."""
+    p = X.page_images(spark, sf_dir)
+    b64 = F.translate(F.base64("content"), "\r\n", "")
+    out = p.select(
+        "page_id",
+        F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".png")).alias("image_name"),
+        b64.alias("b64"),
+        F.length("content").alias("n_bytes"),
+        "content",
+    )
+    return out.withColumn("decoded_ok", F.unbase64("b64") == F.col("content")).drop("content")
