@@ -57,6 +57,28 @@ def response_rejects(df: DataFrame) -> DataFrame:
     return parse_responses(df).where(F.col("reject_reason").isNotNull()).select("scan_id", "page_no", "reject_reason")
 
 
+def explode_pages(pages: DataFrame, class_name: str | None = None, subject_name: str | None = None) -> DataFrame:
+    """C1 + C2 without the name carry: parsed valid pages -> one row per entry.
+    Row-local, so it also runs on a stream."""
+    p = parse_responses(pages).where(F.col("reject_reason").isNull())
+    rows = p.select(
+        "scan_id", "page_no", F.col("result.studentName").alias("student_raw"),
+        F.posexplode("result.entries").alias("entry_ord", "e"),
+    )
+    return rows.select(
+        "scan_id",
+        "page_no",
+        F.col("entry_ord").cast("int").alias("entry_ord"),
+        "student_raw",
+        F.col("e.questionNo").alias("question_no_raw"),
+        F.col("e.question").alias("question"),
+        F.col("e.answer").alias("answer"),
+        F.col("e.grading").alias("grading"),
+        F.lit(class_name or UNKNOWN).alias("class_name"),
+        F.lit(subject_name or UNKNOWN).alias("subject_name"),
+    )
+
+
 def flatten_pages(
     df: DataFrame,
     class_name: str | None = None,

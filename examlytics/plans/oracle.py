@@ -454,3 +454,17 @@ ORACLE["page_base64"] = """
 SELECT page_id, 'page_' || CAST(page_id AS VARCHAR) || '.png' AS image_name, to_base64(encode(html)) AS b64,
        CAST(octet_length(encode(html)) AS INTEGER) AS n_bytes, true AS decoded_ok
 FROM pages"""
+
+# ---------------------------------------------------------------- streaming: equal to the batch result
+
+ORACLE["stream_ingest"] = _q("""
+SELECT scan_id, page_no, entry_ord, student_raw, question_no_raw, question, answer, grading,
+       'Unknown' AS class_name, 'Unknown' AS subject_name
+FROM transcription WHERE (scan_id * 50 + page_no) % 17 <> 0 AND (scan_id * 50 + page_no) % 19 <> 0""")
+
+ORACLE["stream_carry_forward"] = ORACLE["student_carry_forward"]
+
+ORACLE["stream_question_stats"] = _q(f"""
+WITH {BASE}
+SELECT sub_question_no, count(*) AS attempts, count_if(grading = 'Correct') AS correct_answers
+FROM arows WHERE sub_question_no IS NOT NULL GROUP BY sub_question_no""")

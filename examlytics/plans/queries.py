@@ -379,3 +379,40 @@ def page_base64(spark, sf_dir):
         "content",
     )
     return out.withColumn("decoded_ok", F.unbase64("b64") == F.col("content")).drop("content")
+
+
+# ---------------------------------------------------------------- streaming (availableNow over landed files)
+
+from ..streaming import ingest as ST  # noqa: E402
+
+
+@query
+def stream_ingest(spark, sf_dir):
+    """K1: page replies land as files (every tenth page delivered twice) and are
+    ingested exactly once per (scan, page)."""
+    pages = X.raw_responses(spark, sf_dir).join(
+        X.exam_pages(spark, sf_dir).select("scan_id", "page_no", "landed_at"), ["scan_id", "page_no"]
+    )
+    feed = pages.unionByName(pages.where(F.col("page_no") % 10 == 0))
+    landing, out, ckpt = ST.paths(W.output_root(spark, "stream_ingest"))
+    ST.land_in_time_order(feed, landing, 4)
+    return ST.ingest_pages(spark, landing, out, ckpt, feed.schema)
+
+
+@query
+def stream_carry_forward(spark, sf_dir):
+    """K2: pages of a scan land out of order across files; names are carried in
+    page order by a stateful stream."""
+    pages = X.exam_pages(spark, sf_dir).select("scan_id", "page_no", "student_raw", "landed_at")
+    landing, out, ckpt = ST.paths(W.output_root(spark, "stream_carry"))
+    ST.land_in_time_order(pages, landing, 4)
+    return ST.carry_names_stream(spark, landing, out, ckpt, pages.schema)
+
+
+@query
+def stream_question_stats(spark, sf_dir):
+    """K3: running per-sub-question attempts and correct answers over landed rows."""
+    t = X.transcription(spark, sf_dir).select("scan_id", "row_id", "question_no_raw", "question", "grading")
+    landing, out, ckpt = ST.paths(W.output_root(spark, "stream_stats"))
+    ST.land(t, landing, 4, "scan_id")
+    return ST.question_stats_stream(spark, landing, out, ckpt, t.schema)
