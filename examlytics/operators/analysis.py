@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import has_text, percent_text, py_strip
+from .joins import join_keys
 from .ordered import DEFAULT_BLOCK, number_rows
 
 CORRECT = "Correct"
@@ -53,6 +54,9 @@ def normalize_answer(c: str = "answer") -> Column:
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
+    """Rows that belong to a sub-question group (null numbers form none, N5)."""
+    if "has_number" in rows.columns:
+        return rows.where(F.col("has_number"))
     return rows.where(F.col("sub_question_no").isNotNull())
 
 
@@ -98,7 +102,7 @@ def question_analysis(rows: DataFrame) -> DataFrame:
     standing in for the model's misconception (null/0 where there is none)."""
     stats = question_stats(rows)
     mis = common_wrong_answer(rows)
-    out = stats.join(mis, "sub_question_no", "left")
+    out = join_keys(stats, mis, ["sub_question_no"], "left")
     return out.select(
         "main_question_no",
         "question",
@@ -157,7 +161,7 @@ def correct_sample(rows: DataFrame, pool: str = "strict", seed: str = "1", size:
     )
     need = need.withColumn("n_take", F.least(F.lit(size), F.col("n_correct")))
     ok = need.where(F.col("n_pool") >= F.col("n_take"))
-    taken = ranked.join(ok, "sub_question_no").where(F.col("sample_rank") <= F.col("n_take"))
+    taken = join_keys(ranked, ok, ["sub_question_no"]).where(F.col("sample_rank") <= F.col("n_take"))
     fallback = need.where(F.col("n_pool") < F.col("n_take")).select(
         "sub_question_no", F.lit(1).cast("int").alias("sample_rank"), F.lit(NO_CORRECT_SAMPLE).alias("answer")
     )
@@ -199,7 +203,7 @@ def misconception_requests(
     stats = _grouped(rows).groupBy("sub_question_no").agg(F.min_by("question", "row_id").alias("question"))
     wrong = wrong_answer_text(rows, chunk, block)
     sample = correct_sample_text(rows, pool, seed).select("sub_question_no", "sample_text")
-    req = wrong.join(stats, "sub_question_no").join(sample, "sub_question_no", "left")
+    req = join_keys(join_keys(wrong, stats, ["sub_question_no"]), sample, ["sub_question_no"], "left")
     sample_txt = F.coalesce(F.col("sample_text"), F.lit(""))
     text = F.concat(
         F.lit("Question: "), F.coalesce(F.col("question"), F.lit("")),

@@ -100,8 +100,9 @@ def get_or_create_exams(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     )
     new = found.where(F.col("_id").isNull()).select("name", "type_name", "in_ord", F.lit(0).alias("_g"))
     new = number_rows(new, ["_g"], "in_ord", "_rank")
-    base = existing.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("_max"))
-    created = new.join(F.broadcast(base), how="left").select(
+    # one-row aggregate, equi-joined on the constant group key of the new names
+    base = existing.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("_max")).withColumn("_g", F.lit(0))
+    created = new.join(F.broadcast(base), "_g", "left").select(
         "name", "type_name", (F.col("_max") + F.col("_rank")).alias("exam_id"), F.lit("created").alias("status"),
         "in_ord",
     )

@@ -69,7 +69,14 @@ def analysis_rows(df: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
     """
     # Normalise the number before the carry's shuffle: computed once per row in
     # the map-side projection, and downstream operators see a plain column.
-    pre = df.withColumn("question_no", N.normalize_question_number("question_no_raw")).drop("question_no_raw")
+    pre = df.withColumns(
+        {
+            "question_no": N.normalize_question_number("question_no_raw"),
+            # null exactly when the normalised number is null; a cheap column to
+            # filter on, so pushed-down filters do not drag the regex chain along
+            "has_number": F.col("question_no_raw").isNotNull(),
+        }
+    ).drop("question_no_raw")
     t = clean_transcription(carry_student(pre, block), number_is_clean=True)
     return t.select(
         "scan_id",
@@ -85,6 +92,7 @@ def analysis_rows(df: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
         "grading",
         "class_name",
         "subject_name",
+        "has_number",
     )
 
 
