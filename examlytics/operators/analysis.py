@@ -78,15 +78,22 @@ def common_wrong_answer(rows: DataFrame) -> DataFrame:
     )
 
 
-def question_stats(rows: DataFrame) -> DataFrame:
+def question_stats(rows: DataFrame, approx_students: bool = False) -> DataFrame:
     """F1 core: per sub-question, first main number and text in file order,
-    attempts, distinct students, correct answers and percent."""
+    attempts, distinct students, correct answers and percent.
+
+    ``approx_students`` swaps the exact distinct count (a second aggregation
+    level keyed by (sub-question, student)) for a HyperLogLog sketch that
+    merges map-side (F3 option)."""
     g = _grouped(rows)
+    students = (
+        F.approx_count_distinct("student_name") if approx_students else F.count_distinct("student_name")
+    )
     stats = g.groupBy("sub_question_no").agg(
         F.min_by("main_question_no", "row_id").alias("main_question_no"),
         F.min_by("question", "row_id").alias("question"),
         F.count(F.lit(1)).alias("attempts"),
-        F.count_distinct("student_name").alias("distinct_students"),
+        students.alias("distinct_students"),
         F.count_if(is_correct()).alias("correct_answers"),
     )
     return stats.withColumns(
@@ -211,3 +218,31 @@ def misconception_requests(
         F.lit("\nCorrect answers sample:\n"), sample_txt,
     )
     return req.select("sub_question_no", "chunk_no", "question", "n_lines", text.alias("request_text"))
+
+
+# Fixed value: shape of a misconception reply.
+MISCONCEPTION_REPLY = "misconception STRING, count STRING"
+
+
+def attach_misconceptions(rows: DataFrame, replies: DataFrame) -> DataFrame:
+    """Replies (sub_question_no, raw reply text) parsed like page replies
+    (fence or outermost brackets), count cast to int with 0 by default, left
+    joined to the F1 statistics; null/0 where a sub-question got no reply."""
+    from .pages import json_candidate
+
+    parsed = replies.select(
+        "sub_question_no", F.from_json(json_candidate(F.col("reply")), MISCONCEPTION_REPLY).alias("r")
+    ).select(
+        "sub_question_no",
+        F.col("r.misconception").alias("misconception"),
+        F.coalesce(F.col("r.count").cast("int"), F.lit(0)).alias("misconception_frequency"),
+    )
+    out = join_keys(question_stats(rows), parsed, ["sub_question_no"], "left")
+    return out.select(
+        "main_question_no", "question", "sub_question_no",
+        F.col("attempts").cast("bigint").alias("attempts"),
+        F.col("distinct_students").cast("bigint").alias("distinct_students"),
+        F.col("correct_answers").cast("bigint").alias("correct_answers"),
+        "correct_pct", "correct_pct_value", "misconception",
+        F.coalesce(F.col("misconception_frequency"), F.lit(0)).alias("misconception_frequency"),
+    )

@@ -62,6 +62,23 @@ def clean_transcription(
     return out.where(not_header & F.col("question").isNotNull())
 
 
+def clean_transcription_notebook(df: DataFrame) -> DataFrame:
+    """R7, notebook generation: J7 -> drop null numbers -> header test on the raw
+    number -> C8 -> J1 -> J2 -> header test again. The header test looks at the
+    number column (a re-read file's header line carries ``Question No`` there);
+    rows with a null question text are kept."""
+    number = "question_no_raw" if "question_no_raw" in df.columns else "question_no"
+    not_header = ~F.coalesce(F.col(number).contains(HEADER_TEXT), F.lit(False))
+    d = df.withColumns(
+        {
+            "class_name": strip_name_junk("class_raw" if "class_raw" in df.columns else "class_name"),
+            "subject_name": strip_name_junk("subject_raw" if "subject_raw" in df.columns else "subject_name"),
+        }
+    ).where(F.col(number).isNotNull() & not_header)
+    d = d.withColumns({"page_no": F.col("page_no").cast("int"), "question_no": N.normalize_question_number(number)})
+    return d.where(~F.coalesce(F.col("question_no").contains(HEADER_TEXT), F.lit(False)))
+
+
 def analysis_rows(df: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
     """Cleaned answer rows with carried student names, main and sub numbers.
 
@@ -145,6 +162,18 @@ def first_per_text(df: DataFrame, text: str = "question", order: str = "row_id")
     return df.where(F.col(text).isNotNull()).groupBy(text).agg(picked).select(text, "_first.*").select(*df.columns)
 
 
+def discover_question_columns(columns: Sequence[str]) -> dict[str, str]:
+    """C3 (driver side, over column names only): a name containing ``question``
+    and ``no`` is the number, one containing ``question`` without ``no`` the
+    text. Raises when either is missing or ambiguous (e.g. "Question Notes"
+    also contains "no")."""
+    number = [c for c in columns if "question" in c.lower().strip() and "no" in c.lower().strip()]
+    text = [c for c in columns if "question" in c.lower().strip() and "no" not in c.lower().strip()]
+    if len(number) != 1 or len(text) != 1:
+        raise ValueError(f"need exactly one question-number and one question column, got {number} / {text}")
+    return {number[0]: "question_no", text[0]: "question"}
+
+
 def clean_question_list(df: DataFrame, number: str = "question_no", text: str = "question") -> DataFrame:
     """R6 = D2 -> J6 -> G4 -> J3 -> I1 (that order); dedup by text precedes J3,
     so one number can repeat with different texts."""

@@ -468,3 +468,25 @@ ORACLE["stream_question_stats"] = _q(f"""
 WITH {BASE}
 SELECT sub_question_no, count(*) AS attempts, count_if(grading = 'Correct') AS correct_answers
 FROM arows WHERE sub_question_no IS NOT NULL GROUP BY sub_question_no""")
+
+# ---------------------------------------------------------------- more sources, names, lookups, R4
+
+ORACLE["question_list_lenient"] = _q("""
+SELECT question_no,
+       CASE WHEN row_id % 4 = 0 THEN question || ', ' || subject ELSE question END AS question
+FROM topic_questions""", "topic_questions")
+
+ORACLE["notebook_reimport"] = ORACLE["clean_transcription"]
+ORACLE["import_from_files"] = ORACLE["import_reports"]
+
+ORACLE["report_names"] = _q(f"""
+WITH {NAMED}, {CLEAN[:-1].replace('student_name,', 'student_name, landed_at,', 1)})
+SELECT scan_id, 'Exam_' || strftime(max(landed_at), '%Y-%m-%d_%H-%M') AS exam_name,
+       'scan' || CAST(scan_id AS VARCHAR) || '_transcription.csv' AS transcription_file,
+       'scan' || CAST(scan_id AS VARCHAR) || '_analysis' AS analysis_report,
+       'exam_report_' || arg_min_null(class_name, row_id) || '_' || arg_min_null(subject_name, row_id) || '_'
+         || strftime(max(landed_at), '%d_%m_%Y_%H_%M') AS report_name
+FROM clean GROUP BY scan_id""")
+
+ORACLE["exam_by_id"] = _q("SELECT * FROM exams WHERE id = 7", "exams")
+ORACLE["misconception_attach"] = ORACLE["question_analysis"]

@@ -416,3 +416,93 @@ def stream_question_stats(spark, sf_dir):
     landing, out, ckpt = ST.paths(W.output_root(spark, "stream_stats"))
     ST.land(t, landing, 4, "scan_id")
     return ST.question_stats_stream(spark, landing, out, ckpt, t.schema)
+
+
+# ---------------------------------------------------------------- more sources, names, lookups, R4
+
+
+@query
+def question_list_lenient(spark, sf_dir):
+    """A1b + C3: a question list written as plain lines whose text holds unquoted
+    commas (every fourth row), read back with the last column absorbing them."""
+    from ..sources.files import read_question_list_lenient
+
+    q = X.topic_questions(spark, sf_dir)
+    text = F.when(F.col("row_id") % 4 == 0, F.concat(F.col("question"), F.lit(", "), F.col("subject"))).otherwise(
+        F.col("question")
+    )
+    header = ("Question No", "Question Text")
+    lines = q.select(F.concat_ws(",", F.col("question_no"), text).alias("value"))
+    lines = lines.unionByName(spark.createDataFrame([(",".join(header),)], "value string"))
+    path = W.output_root(spark, "question_list")
+    lines.write.mode("overwrite").text(path)
+    return read_question_list_lenient(spark, path, header)
+
+
+@query
+def notebook_reimport(spark, sf_dir):
+    """A2 + R7 (notebook generation): a headered file read back headerless, so its
+    header line arrives as a data row (page number null) and is removed by the
+    header test on the number column; cleaning again changes nothing."""
+    src = W.to_display(clean_transcription(spark, sf_dir))
+    schema = FS.transcription_schema(_KEYS)
+    path = W.output_root(spark, "notebook_csv")
+    W.write_csv(src.select(*schema.fieldNames()), path)
+    raw = FS.to_snake(FS.read_csv(spark, path, schema, header=False))
+    cleaned = C.clean_transcription_notebook(raw)
+    return cleaned.select(*_CLEAN_COLS)
+
+
+@query
+def import_from_files(spark, sf_dir):
+    """A4 + R8: both import files landed as CSV in one folder (one sub-folder per
+    file, different headers), read with header names as text, then imported."""
+    root = W.output_root(spark, "import_files")
+    files = []
+    for name, df in import_files(spark, sf_dir):
+        W.write_csv(df, f"{root}/{name}", null_token=None)
+        files.append((name, spark.read.option("header", True).option("escape", '"').option("pathGlobFilter", "*.csv")
+                      .csv(f"{root}/{name}")))
+    return IM.import_records(files, exam_id=IMPORT_EXAM_ID)
+
+
+@query
+def report_names(spark, sf_dir):
+    """Per scan, the auto exam name and the output file names, stamped with
+    the scan's last landing time."""
+    from ..functions.text import report_name, stamp_name
+
+    t = C.clean_transcription(X.transcription(spark, sf_dir))
+    per = t.groupBy("scan_id").agg(
+        F.min_by("class_name", "row_id").alias("class_name"),
+        F.min_by("subject_name", "row_id").alias("subject_name"),
+        F.max("landed_at").alias("stamp"),
+    )
+    base = F.concat(F.lit("scan"), F.col("scan_id").cast("string"))
+    return per.select(
+        "scan_id",
+        stamp_name("Exam_", F.col("stamp")).alias("exam_name"),
+        F.concat(base, F.lit("_transcription.csv")).alias("transcription_file"),
+        F.concat(base, F.lit("_analysis")).alias("analysis_report"),
+        report_name("class_name", "subject_name", F.col("stamp")).alias("report_name"),
+    )
+
+
+@query
+def exam_by_id(spark, sf_dir):
+    """Point lookup; the predicate reaches the parquet scan."""
+    return X.exams(spark, sf_dir).where(F.col("id") == 7)
+
+
+@query
+def misconception_attach(spark, sf_dir):
+    """Misconception replies (here generated from F16 as fenced JSON text
+    with prose, standing in for the model's replies) parsed and attached to F1."""
+    r = rows(spark, sf_dir)
+    top = A.common_wrong_answer(r)
+    reply = F.concat(
+        F.lit("Result:\n```json\n"),
+        F.to_json(F.struct(F.col("misconception"), F.col("misconception_frequency").alias("count"))),
+        F.lit("\n```"),
+    )
+    return A.attach_misconceptions(r, top.select("sub_question_no", reply.alias("reply")))

@@ -49,16 +49,17 @@ def to_snake(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({k: v for k, v in SNAKE.items() if k in df.columns})
 
 
-def read_question_list_lenient(spark: SparkSession, path: str) -> DataFrame:
-    """A two-column question list whose last column may hold unquoted
-    commas: the text after the first comma is the question."""
-    lines = spark.read.text(path).withColumn("_f", F.input_file_name())
+def read_question_list_lenient(spark: SparkSession, path: str, header: tuple[str, str]) -> DataFrame:
+    """A1b + C3: a two-column question list whose last column may hold unquoted
+    commas: everything after the first comma is the question. ``header`` is the
+    file's header line (its names are mapped by C3); header lines are dropped."""
+    from ..operators.clean import discover_question_columns
+
+    names = discover_question_columns(list(header))
+    first, second = (names[header[0]], names[header[1]])
     parts = F.split(F.col("value"), ",", 2)
-    d = lines.select(
-        F.element_at(parts, 1).alias("question_no"),
-        F.element_at(parts, 2).alias("question"),
-    )
-    return d.where(~((F.col("question_no") == "Question No") & (F.col("question") == "Question")))
+    d = spark.read.text(path).where(F.col("value") != F.lit(",".join(header)))
+    return d.select(F.element_at(parts, 1).alias(first), F.element_at(parts, 2).alias(second))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -93,3 +93,21 @@ def test_import_blank_and_alias_rules(spark):
     assert (r.student_name, r.question_no, r.grading, r.answer, r.exam_id, r.subject_name) == (
         "A", "1", "Correct", None, 7, "SST"
     )
+
+
+def test_question_column_discovery():
+    import pytest
+
+    assert C.discover_question_columns(["Question No", "Question Text"]) == {
+        "Question No": "question_no", "Question Text": "question"}
+    with pytest.raises(ValueError):
+        C.discover_question_columns(["Question Notes", "Question No"])
+
+
+def test_notebook_clean_drops_header_row_before_normalising(spark):
+    df = spark.createDataFrame(
+        [("Question No", "Question", 0, "ClassName", "SubjectName"), ("12.a", "q", 3, "(P1)", "[SST]")],
+        "question_no string, question string, page_no int, class_name string, subject_name string",
+    )
+    out = C.clean_transcription_notebook(df).collect()
+    assert [(r.question_no, r.class_name, r.subject_name) for r in out] == [("12(a)", "P1", "SST")]
