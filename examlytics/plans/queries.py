@@ -25,6 +25,7 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@X.memo
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.analysis_rows(X.transcription(spark, sf_dir))
 

@@ -8,11 +8,18 @@ linearly with the source table and it never shuffles more than the page grain.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import spread, table
 
+# Adapters are lazy plans over read-only inputs; building one costs driver time
+# (every DataFrame step is analysed eagerly), so each is built once per
+# (session, folder) and shared. Queries built on top are new plans every time.
+memo = lru_cache(maxsize=64)
+
 ROWS_PER_SCAN = 250
 ROWS_PER_PAGE = 5
 
@@ -21,6 +28,7 @@ def _s(c: Column) -> Column:
     return c.cast("string")
 
 
+@memo
 def transcription(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answer rows (C1 output): 250 rows per scan, 5 per page, 4 pages per paper."""
     ev = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"), "event_id")
@@ -89,6 +97,7 @@ def transcription(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memo
 def exam_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page grain (one row per scanned page)."""
     return (
@@ -102,6 +111,7 @@ def exam_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memo
 def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed model reply text per page: bare, fenced, with prose, truncated, or missing keys."""
     t = transcription(spark, sf_dir)
@@ -135,6 +145,7 @@ def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("scan_id", "page_no", raw.alias("raw_content"))
 
 
+@memo
 def number_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Question-number cells in file order, one file per 250 rows."""
     eid = F.col("event_id")
@@ -157,6 +168,7 @@ def number_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memo
 def import_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Import file whose headers are aliases; two columns map to grading; unknown column foo."""
     t = transcription(spark, sf_dir).where(F.col("scan_id") % 2 == 0)
@@ -173,6 +185,7 @@ def import_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memo
 def import_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Import file with other headers; rows with row_id % 50 = 1 are all-blank records."""
     t = transcription(spark, sf_dir).where(F.col("scan_id") % 2 == 1)
@@ -185,10 +198,12 @@ def import_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memo
 def exam_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
 
 
+@memo
 def exams(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey")
     return table(spark, sf_dir, "nation").select(
@@ -200,6 +215,7 @@ def exams(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memo
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     return (
@@ -215,6 +231,7 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memo
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(
@@ -225,6 +242,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memo
 def exam_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey")
     return (
@@ -239,6 +257,7 @@ def exam_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memo
 def topic_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic replies: 15 numbers, some repeated, some question numbers missing."""
     m = (F.col("n_nationkey") % 15 + 1).cast("int")
@@ -251,6 +270,7 @@ def topic_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memo
 def topic_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     name = F.col("p_name")
@@ -272,6 +292,7 @@ def topic_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memo
 def incoming_exams(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey")
     a = table(spark, sf_dir, "nation").where(k % 2 == 0).select(
@@ -286,6 +307,7 @@ def incoming_exams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
+@memo
 def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages.html`` as binary stands in for landed page images."""
     return table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").cast("binary").alias("content"))

@@ -64,7 +64,7 @@ def _run(stream: DataFrame, out: str, ckpt: str, mode: str = "append", keys: lis
 
 
 def ingest_pages(spark: SparkSession, landing: str, out: str, ckpt: str, schema: T.StructType,
-                 files_per_trigger: int = 1, watermark: str = "1 day") -> DataFrame:
+                 files_per_trigger: int = 8, watermark: str = "1 day") -> DataFrame:
     """K1: landed page replies -> answer rows, exactly once per (scan, page):
     re-delivered pages are dropped within the watermark."""
     src = (
@@ -128,7 +128,7 @@ def _carry_state(key, batches, state):
 
 
 def carry_names_stream(spark: SparkSession, landing: str, out: str, ckpt: str, schema: T.StructType,
-                       files_per_trigger: int = 1, watermark: str = "1 day") -> DataFrame:
+                       files_per_trigger: int = 8, watermark: str = "1 day") -> DataFrame:
     """K2: the student-name carry as a stateful stream keyed by scan."""
     src = (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
@@ -145,7 +145,7 @@ def carry_names_stream(spark: SparkSession, landing: str, out: str, ckpt: str, s
 
 
 def question_stats_stream(spark: SparkSession, landing: str, out: str, ckpt: str, schema: T.StructType,
-                          files_per_trigger: int = 1) -> DataFrame:
+                          files_per_trigger: int = 8) -> DataFrame:
     """K3: running attempts and correct answers per sub-question as answer rows
     land (streaming aggregate, complete output rewritten per batch)."""
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
