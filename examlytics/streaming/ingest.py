@@ -33,8 +33,10 @@ def land_in_time_order(df: DataFrame, path: str, files: int, time_col: str = "la
     so each later file only holds later event times and nothing is late for
     the watermark. Rows within a range (e.g. the pages of a scan) still arrive
     in any order."""
-    t = F.col(time_col).cast("timestamp").cast("double")
-    d = df.withColumn("_t", t)
+    # stage the feed once, then cut the time ranges from the staged copy
+    stage = path.rstrip("/") + "_staging"
+    df.withColumn("_t", F.col(time_col).cast("timestamp").cast("double")).write.mode("overwrite").parquet(stage)
+    d = df.sparkSession.read.parquet(stage)
     probs = [i / files for i in range(1, files)]
     cuts = d.approxQuantile("_t", probs, 0.0) if files > 1 else []
     lo = None
