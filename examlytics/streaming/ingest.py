@@ -38,7 +38,7 @@ def land_in_time_order(df: DataFrame, path: str, files: int, time_col: str = "la
     df.withColumn("_t", F.col(time_col).cast("timestamp").cast("double")).write.mode("overwrite").parquet(stage)
     d = df.sparkSession.read.parquet(stage)
     probs = [i / files for i in range(1, files)]
-    cuts = d.approxQuantile("_t", probs, 0.0) if files > 1 else []
+    cuts = d.approxQuantile("_t", probs, 0.01) if files > 1 else []
     lo = None
     for hi in [*cuts, None]:
         part = d
