@@ -89,18 +89,28 @@ def canonical_records(df: DataFrame, source: str) -> DataFrame:
     return d.where(F.coalesce(*[F.col(c) for c in REPORT_COLUMNS[1:]]).isNotNull())
 
 
+def unknown_columns(columns: Iterable[str]) -> list[str]:
+    """Source columns that map to no reporting column."""
+    return [c for c in columns if map_header(c) not in REPORT_COLUMNS]
+
+
 def import_records(
     files: list[tuple[str, DataFrame]],
     exam_id: int,
     default_subject: str = DEFAULT_SUBJECT,
     default_class: str | None = None,
+    strict_columns: bool = False,
 ) -> DataFrame:
     """Union of every file's canonical records with C7 defaults applied;
     ``accepted`` is false where the page number is not an integer (the row the
-    reporting table would refuse)."""
+    reporting table would refuse). With ``strict_columns`` every record of a
+    file that has a column outside the reporting table is refused (the
+    stricter importer's behaviour); by default such columns are ignored."""
     recs = None
     for name, df in files:
         r = canonical_records(df, name)
+        refused = strict_columns and bool(unknown_columns(df.columns))
+        r = r.withColumn("_file_ok", F.lit(not refused))
         recs = r if recs is None else recs.unionByName(r)
     page = F.col("page_number")
     out = recs.withColumns(
@@ -108,7 +118,7 @@ def import_records(
             "exam_id": F.lit(exam_id).cast("bigint"),
             "subject_name": F.coalesce(F.col("subject_name"), F.lit(default_subject)),
             "class_name": F.coalesce(F.col("class_name"), F.lit(default_class).cast("string")),
-            "accepted": page.isNull() | page.cast("int").isNotNull(),
+            "accepted": F.col("_file_ok") & (page.isNull() | page.cast("int").isNotNull()),
             "page_number": page.cast("int"),
         }
     )

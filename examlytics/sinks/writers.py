@@ -66,3 +66,16 @@ def ndjson_lines(df: DataFrame) -> DataFrame:
 
 def write_ndjson(df: DataFrame, path: str) -> None:
     ndjson_lines(df).write.mode("overwrite").text(path)
+
+
+def report_order(df: DataFrame, key: str = "sub_question_no", natural: bool = False) -> DataFrame:
+    """H1/H2: order a report for output. Default is plain text order
+    (``10(b)`` before ``2(a)``, as grouped output is sorted); ``natural`` sorts by
+    the integer main number first, then the text. Applied at the sink only: a
+    global sort is a range-partitioned shuffle, so it is kept out of the
+    operators themselves."""
+    if not natural:
+        return df.orderBy(F.col(key).asc_nulls_last())
+    main = F.regexp_extract(F.col(key), "^([0-9]+)", 1)
+    num = F.when(main != "", main.cast("long"))
+    return df.orderBy(num.asc_nulls_last(), F.col(key).asc_nulls_last())

@@ -111,3 +111,25 @@ def test_notebook_clean_drops_header_row_before_normalising(spark):
     )
     out = C.clean_transcription_notebook(df).collect()
     assert [(r.question_no, r.class_name, r.subject_name) for r in out] == [("12(a)", "P1", "SST")]
+
+
+def test_import_strict_columns_refuses_file(spark):
+    df = spark.createDataFrame([("A", "1", "x")], "`Student Name` string, questionNo string, foo string")
+    lax = IM.import_records([("f", df)], exam_id=1).collect()[0]
+    strict = IM.import_records([("f", df)], exam_id=1, strict_columns=True).collect()[0]
+    assert lax.accepted and not strict.accepted
+
+
+def test_report_order_natural(spark):
+    from examlytics.sinks.writers import report_order
+
+    df = spark.createDataFrame([("10(b)",), ("2(a)",), ("1(c)",)], "sub_question_no string")
+    assert [r[0] for r in report_order(df).collect()] == ["1(c)", "10(b)", "2(a)"]
+    assert [r[0] for r in report_order(df, natural=True).collect()] == ["1(c)", "2(a)", "10(b)"]
+
+
+def test_blocked_carry_never_shuffles_rows_by_key_alone(spark):
+    df = spark.createDataFrame([(0, i, None) for i in range(10)], "k long, o long, v string")
+    plan = carry_last(df, ["k"], "o", "v", "c", block=4)._jdf.queryExecution().executedPlan().toString()
+    # the row-level window is partitioned by (key, block); only the per-block summary is keyed by k alone
+    assert "hashpartitioning(k#" in plan and "_blk" in plan
