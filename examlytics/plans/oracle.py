@@ -490,3 +490,29 @@ FROM clean GROUP BY scan_id""")
 
 ORACLE["exam_by_id"] = _q("SELECT * FROM exams WHERE id = 7", "exams")
 ORACLE["misconception_attach"] = ORACLE["question_analysis"]
+
+
+def _bigint_counts(sql: str) -> str:
+    """DuckDB's ``count_if`` is HUGEINT; Spark's is BIGINT. Wrap every call."""
+    out, i, tok = [], 0, "count_if("
+    while True:
+        j = sql.find(tok, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(tok) - 1
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        out.append(sql[i:j])
+        inner = sql[j + len(tok):k]
+        out.append(f"CAST(count_if({_bigint_counts(inner)}) AS BIGINT)")
+        i = k + 1
+
+
+ORACLE = {k: _bigint_counts(v) for k, v in ORACLE.items()}
