@@ -23,7 +23,7 @@ PAGE_RESULT = T.StructType(
 # Markdown code fence around a reply, and the bracket-removal
 # patterns of the two code generations (the service's is over-escaped and only
 # removes backslash-delimited spans).
-FENCE = "```(json)?\\s*([\\s\\S]*?)\\s*```"
+FENCE = "(?s)```(json)?\\s*(.*?)\\s*```"
 SERVICE_BRACKETS = "\\\\(.*?\\\\)"
 NOTEBOOK_BRACKETS = "\\(.*?\\)"
 JSON_SPAN = "(?s)^[^{\\[]*(\\{.*\\}|\\[.*\\])"
@@ -40,7 +40,9 @@ def json_candidate(raw: Column) -> Column:
     pushes below this projection (copying the expression) stay small.
     """
     span = F.regexp_extract(raw, JSON_SPAN, 1)
-    return F.when(raw.rlike(FENCE), F.regexp_extract(raw, FENCE, 2)).otherwise(F.nullif(span, F.lit("")))
+    # a plain substring test first: replies without a fence skip the fence regex
+    fenced = (F.instr(raw, "```") > 0) & raw.rlike(FENCE)
+    return F.when(fenced, F.regexp_extract(raw, FENCE, 2)).otherwise(F.nullif(span, F.lit("")))
 
 
 def parse_responses(df: DataFrame, raw: str = "raw_content") -> DataFrame:
