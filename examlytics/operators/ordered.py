@@ -26,16 +26,16 @@ def _blk(order: str, block: int):
 
 
 def _join_blocks(d: DataFrame, summ: DataFrame, keys: list[str]) -> DataFrame:
-    """Left-join per-block values back on (keys, block), null-safe.
+    """Left-join per-block values back on (keys, block).
 
-    Null-safe equality adds no inferred ``isnotnull`` filters, so both sides keep
-    an identical subtree below the window's exchange and Spark reuses that
-    shuffle instead of recomputing the input for the summary side.
+    The summary is re-grouped on (keys, block) so Catalyst knows it has one row
+    per key: when a caller never uses the carried column, the optimizer then
+    removes this join (and the whole summary branch) instead of computing it.
+    Keys are expected non-null (scan, file, subject ids).
     """
-    ren = {c: f"_s{i}" for i, c in enumerate([*keys, "_blk"])}
-    s2 = summ.select(*[F.col(c).alias(a) for c, a in ren.items()], *[c for c in summ.columns if c not in ren])
-    cond = [F.col(c).eqNullSafe(F.col(a)) for c, a in ren.items()]
-    return d.join(s2, on=cond, how="left").drop(*ren.values())
+    cols = [c for c in summ.columns if c not in (*keys, "_blk")]
+    s2 = summ.groupBy(*keys, "_blk").agg(*[F.max(c).alias(c) for c in cols])
+    return d.join(s2, on=[*keys, "_blk"], how="left")
 
 
 def carry_last(
