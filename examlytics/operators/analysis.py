@@ -235,7 +235,7 @@ def attach_misconceptions(rows: DataFrame, replies: DataFrame) -> DataFrame:
     ).select(
         "sub_question_no",
         F.col("r.misconception").alias("misconception"),
-        F.coalesce(F.col("r.count").cast("int"), F.lit(0)).alias("misconception_frequency"),
+        F.coalesce(F.col("r.count").try_cast("int"), F.lit(0)).alias("misconception_frequency"),
     )
     out = join_keys(question_stats(rows), parsed, ["sub_question_no"], "left")
     return out.select(

@@ -43,7 +43,7 @@ def clean_transcription(
     tests the question text, the notebook the number). ``null_number_as='nan'``
     keeps the reference's text for a null number.
     """
-    page = F.col("page_no").cast("int")
+    page = F.col("page_no").try_cast("int")
     if strict_page:
         page = F.when(page.isNotNull(), page).otherwise(F.raise_error(F.lit("page_no is not an integer")))
     number = "question_no_raw" if "question_no_raw" in df.columns else "question_no"
@@ -75,7 +75,7 @@ def clean_transcription_notebook(df: DataFrame) -> DataFrame:
             "subject_name": strip_name_junk("subject_raw" if "subject_raw" in df.columns else "subject_name"),
         }
     ).where(F.col(number).isNotNull() & not_header)
-    d = d.withColumns({"page_no": F.col("page_no").cast("int"), "question_no": N.normalize_question_number(number)})
+    d = d.withColumns({"page_no": F.col("page_no").try_cast("int"), "question_no": N.normalize_question_number(number)})
     return d.where(~F.coalesce(F.col("question_no").contains(HEADER_TEXT), F.lit(False)))
 
 

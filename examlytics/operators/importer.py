@@ -118,8 +118,8 @@ def import_records(
             "exam_id": F.lit(exam_id).cast("bigint"),
             "subject_name": F.coalesce(F.col("subject_name"), F.lit(default_subject)),
             "class_name": F.coalesce(F.col("class_name"), F.lit(default_class).cast("string")),
-            "accepted": F.col("_file_ok") & (page.isNull() | page.cast("int").isNotNull()),
-            "page_number": page.cast("int"),
+            "accepted": F.col("_file_ok") & (page.isNull() | page.try_cast("int").isNotNull()),
+            "page_number": page.try_cast("int"),
         }
     )
     return out.select("source_file", *REPORT_COLUMNS, "accepted")

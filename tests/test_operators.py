@@ -133,3 +133,26 @@ def test_blocked_carry_never_shuffles_rows_by_key_alone(spark):
     plan = carry_last(df, ["k"], "o", "v", "c", block=4)._jdf.queryExecution().executedPlan().toString()
     # the row-level window is partitioned by (key, block); only the per-block summary is keyed by k alone
     assert "hashpartitioning(k#" in plan and "_blk" in plan
+
+
+def test_get_or_create_first_type_wins_and_domain(spark):
+    from examlytics.operators.catalog import get_or_create_exams
+
+    existing = spark.createDataFrame([(1, "Old")], "id long, name string")
+    incoming = spark.createDataFrame(
+        [("Old", "Mocks", 1), ("New", "Midterm", 2), ("New", "Mocks", 3), ("Bad", "Quiz", 4), ("Next", "Mocks", 5)],
+        "name string, type_name string, in_ord int",
+    )
+    got = {(r.name, r.status): (r.exam_id, r.type_name) for r in get_or_create_exams(existing, incoming).collect()}
+    assert got[("Old", "existing")] == (1, "Mocks")
+    assert got[("New", "created")] == (2, "Midterm")
+    assert got[("Next", "created")] == (3, "Mocks")
+    assert got[("Bad", "rejected")] == (None, "Quiz")
+
+
+def test_import_tally_rollup(spark):
+    a = spark.createDataFrame([("A", "1"), ("B", "x")], "`Student Name` string, `Page Number` string")
+    b = spark.createDataFrame([("C",), (None,)], "student_name string")
+    recs = IM.import_records([("a", a), ("b", b)], exam_id=1)
+    got = {r.source_file: (r.total, r.inserted) for r in IM.import_tally(recs).collect()}
+    assert got == {"a": (2, 1), "b": (1, 1), "ALL": (3, 2)}
