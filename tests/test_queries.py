@@ -8,11 +8,10 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as E
+from examlytics.plans.oracle import ORACLE
+from examlytics.plans.queries import QUERIES
 from examlytics.session import TABLES
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
-
 
 def _norm(v):
     if v is None:
@@ -34,6 +33,8 @@ def duck():
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(E.queries())
+    assert set(ORACLE) <= set(E.oracle_sql())
 
 
 def test_entry_smoke(spark):
