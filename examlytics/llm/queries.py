@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from examlytics.llm import quality_rules
+from examlytics.llm import ngram_join, quality_rules, suffix_dedup
 
 QUERIES = {
+    "op4_suffix_dedup": suffix_dedup.query,
+    "op6_ngram_join": ngram_join.query,
     "op10_quality_rules": quality_rules.query,
 }
 
