@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from examlytics.llm import ngram_join, quality_rules, suffix_dedup
+from examlytics.llm import html_text, ngram_join, quality_rules, sharding, suffix_dedup, warc
 
 QUERIES = {
+    "op2_html_text": html_text.query,
+    "op3_warc": warc.query,
     "op4_suffix_dedup": suffix_dedup.query,
     "op6_ngram_join": ngram_join.query,
+    "op8_sharding": sharding.query,
     "op10_quality_rules": quality_rules.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_warc": warc.ORACLE,
+}
