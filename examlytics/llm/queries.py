@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from examlytics.llm import html_text, ngram_join, quality_rules, sharding, suffix_dedup, warc
+from examlytics.llm import html_text, ngram_join, quality_rules, sharding, suffix_dedup, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op2_html_text": html_text.query,
     "op3_warc": warc.query,
     "op4_suffix_dedup": suffix_dedup.query,
