@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from examlytics.llm import html_text, ngram_join, quality_rules, sharding, suffix_dedup, toxicity, warc
+from examlytics.llm import html_text, latent_decontamination, ngram_join, quality_rules, sharding, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_warc": warc.query,
     "op4_suffix_dedup": suffix_dedup.query,
     "op6_ngram_join": ngram_join.query,
+    "op7_latent_decontamination": latent_decontamination.query,
     "op8_sharding": sharding.query,
     "op10_quality_rules": quality_rules.query,
 }
