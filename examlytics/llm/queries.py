@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from examlytics.llm import html_text, latent_decontamination, ngram_join, quality_rules, sharding, suffix_dedup, toxicity, warc
+from examlytics.llm import (
+    html_text,
+    latent_decontamination,
+    mixing,
+    ngram_join,
+    quality_rules,
+    secret_forest,
+    sharding,
+    suffix_dedup,
+    toxicity,
+    warc,
+)
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_html_text": html_text.query,
     "op3_warc": warc.query,
     "op4_suffix_dedup": suffix_dedup.query,
+    "op5_mixing": mixing.query,
     "op6_ngram_join": ngram_join.query,
     "op7_latent_decontamination": latent_decontamination.query,
     "op8_sharding": sharding.query,
+    "op9_secret_forest": secret_forest.query,
     "op10_quality_rules": quality_rules.query,
 }
 
