@@ -23,7 +23,6 @@ FIX_REWRITES = [
 
 # Standardisation rewrites applied after FIX_REWRITES.
 STANDARD_REWRITES = [
-    ("([0-9]+)([a-z])\\((i{1,3}|iv|v{1,2})\\)", "$1($2)($3)"),
     ("([0-9]+)([a-z])", "$1($2)"),
 ]
 
@@ -86,11 +85,6 @@ def integer_text(c: Column | str) -> Column:
     return F.when(c.rlike("^[0-9]+(\\.0+)?$"), digits).otherwise(c)
 
 
-def strip_bracket_parts(c: Column | str) -> Column:
-    """J10 (notebook form): remove every ``(...)`` part, then strip."""
-    return py_strip(F.regexp_replace(_c(c), "\\(.*?\\)", ""))
-
-
 def is_digits(c: Column | str) -> Column:
     """ASCII digits only, at least one."""
     return _c(c).rlike("^[0-9]+$")

@@ -56,15 +56,12 @@ def strip_name_junk(c: Column | str) -> Column:
     return F.translate(_c(c), NAME_JUNK, "")
 
 
-def normalize_header(c: Column | str) -> Column:
-    """J11 column form: lower-case, strip, collapse ``_``/whitespace runs to one space."""
-    return F.regexp_replace(py_strip(F.lower(_c(c))), "[_\\s]+", " ")
-
-
 def percent_text(num: Column | str, den: Column | str, decimals: int = 1) -> Column:
     """Exact half-even percent text of num/den*100 with ``decimals`` digits.
 
     Integer arithmetic, so every engine prints the same text; 0 when den is 0.
+    A binary floating-point formatter differs on some exact ties (23 of 80 is
+    28.75: 28.8 here, 28.7 there).
     """
     num, den = _c(num).cast("bigint"), _c(den).cast("bigint")
     scale = 10 ** (decimals + 2)

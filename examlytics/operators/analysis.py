@@ -129,13 +129,18 @@ def wrong_answers(rows: DataFrame) -> DataFrame:
     return _grouped(rows).where(is_wrong()).select("sub_question_no", "row_id", "answer")
 
 
+def numbered_wrong_answers(rows: DataFrame, chunk: int = WRONG_CHUNK, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """Wrong answers with their number per sub-question (file order) and the chunk it falls in."""
+    w = number_rows(wrong_answers(rows), ["sub_question_no"], "row_id", "wrong_ord", block)
+    return w.withColumn("chunk_no", F.floor((F.col("wrong_ord") - 1) / F.lit(chunk)).cast("bigint"))
+
+
 def wrong_answer_text(rows: DataFrame, chunk: int = WRONG_CHUNK, block: int = DEFAULT_BLOCK) -> DataFrame:
     """wrong answers joined by newline in file order, in numbered chunks of at
-    most ``chunk`` lines, so no single row or task holds an unbounded list."""
-    w = number_rows(wrong_answers(rows), ["sub_question_no"], "row_id", "wrong_ord", block)
-    w = w.withColumn("chunk_no", F.floor((F.col("wrong_ord") - 1) / F.lit(chunk)).cast("bigint"))
+    most ``chunk`` lines, so no single row or task holds an unbounded list. The
+    replies to the chunks of a sub-question are merged again by R4."""
     items = F.array_sort(F.collect_list(F.struct("wrong_ord", "answer")))
-    return w.groupBy("sub_question_no", "chunk_no").agg(
+    return numbered_wrong_answers(rows, chunk, block).groupBy("sub_question_no", "chunk_no").agg(
         F.array_join(F.transform(items, lambda x: x["answer"]), "\n").alias("wrong_text"),
         F.count(F.lit(1)).alias("n_lines"),
     )
@@ -224,20 +229,31 @@ def misconception_requests(
 MISCONCEPTION_REPLY = "misconception STRING, count STRING"
 
 
-def attach_misconceptions(rows: DataFrame, replies: DataFrame) -> DataFrame:
-    """Replies (sub_question_no, raw reply text) parsed like page replies
-    (fence or outermost brackets), count cast to int with 0 by default, left
-    joined to the F1 statistics; null/0 where a sub-question got no reply."""
+def merge_replies(replies: DataFrame) -> DataFrame:
+    """R4, first half: replies (``sub_question_no``, raw reply text; one per R1
+    chunk) to one misconception per sub-question.
+
+    Replies are parsed like page replies (fence or outermost brackets); a count
+    may be written ``4`` or ``4.0`` and is 0 when missing or not a number. Counts
+    of equal themes are summed over the chunks, the largest sum wins, ties go to
+    the smaller text; replies without a theme only count when there is no other.
+    """
     from .pages import json_candidate
 
-    parsed = replies.select(
-        "sub_question_no", F.from_json(json_candidate(F.col("reply")), MISCONCEPTION_REPLY).alias("r")
-    ).select(
-        "sub_question_no",
-        F.col("r.misconception").alias("misconception"),
-        F.coalesce(F.col("r.count").try_cast("int"), F.lit(0)).alias("misconception_frequency"),
+    r = replies.select("sub_question_no", F.from_json(json_candidate(F.col("reply")), MISCONCEPTION_REPLY).alias("r"))
+    count = F.coalesce(F.col("r.count").try_cast("double"), F.lit(0.0))
+    themes = r.groupBy("sub_question_no", F.col("r.misconception").alias("misconception")).agg(
+        F.sum(count).try_cast("int").alias("misconception_frequency")
     )
-    out = join_keys(question_stats(rows), parsed, ["sub_question_no"], "left")
+    rank = F.struct(F.col("misconception").isNull(), -F.col("misconception_frequency"), F.col("misconception"))
+    best = themes.groupBy("sub_question_no").agg(F.min_by(F.struct("misconception", "misconception_frequency"), rank).alias("b"))
+    return best.select("sub_question_no", "b.misconception", "b.misconception_frequency")
+
+
+def attach_misconceptions(rows: DataFrame, replies: DataFrame) -> DataFrame:
+    """Merged replies left joined to the F1 statistics, one row per
+    sub-question; null/0 where a sub-question got no reply."""
+    out = join_keys(question_stats(rows), merge_replies(replies), ["sub_question_no"], "left")
     return out.select(
         "main_question_no", "question", "sub_question_no",
         F.col("attempts").cast("bigint").alias("attempts"),

@@ -110,14 +110,17 @@ def get_or_create_exams(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def apply_patches(base: DataFrame, patches: DataFrame, fields: list[str], key: str = "id",
-                  set_field: str = "set_field") -> DataFrame:
-    """Partial update. A patch row overwrites only the field it names, even
-    with null ("set to null" differs from "not set")."""
-    p = patches.select(F.col(key).alias("_pk"), F.col(set_field).alias("_set"), *[F.col(f).alias(f"_p_{f}") for f in fields])
+                  set_field: str = "set_field", order: str = "patch_ord") -> DataFrame:
+    """Partial update. A patch row names one field and overwrites it, even
+    with null ("set to null" differs from "not set"); several patches of one row
+    are combined first, the latest by ``order`` wins per field, so the result
+    has the rows of ``base``."""
+    per = []
+    for f in fields:
+        when = F.when(F.col(set_field) == F.lit(f), F.col(order))
+        per += [F.count(when).alias(f"_n_{f}"), F.max_by(F.col(f), when).alias(f"_p_{f}")]
+    p = patches.groupBy(F.col(key).alias("_pk")).agg(*per)
     j = base.join(p, base[key] == p["_pk"], "left")
     return j.select(
-        *[
-            F.when(F.col("_set") == F.lit(c), F.col(f"_p_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c)
-            for c in base.columns
-        ]
+        *[F.when(F.col(f"_n_{c}") > 0, F.col(f"_p_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in base.columns]
     )

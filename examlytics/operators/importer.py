@@ -17,20 +17,15 @@ from pyspark.sql import functions as F
 # Header aliases (normalised spelling -> canonical column).
 KEY_MAP = {
     "studentname": "student_name",
-    "student_name": "student_name",
     "student name": "student_name",
     "questionno": "question_no",
-    "question_no": "question_no",
     "question no": "question_no",
     "question number": "question_no",
     "pagenumber": "page_number",
-    "page_number": "page_number",
     "page number": "page_number",
     "classname": "class_name",
-    "class_name": "class_name",
     "class name": "class_name",
     "subjectname": "subject_name",
-    "subject_name": "subject_name",
     "subject name": "subject_name",
     "question": "question",
     "answer": "answer",

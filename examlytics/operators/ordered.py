@@ -3,9 +3,12 @@
 A plain ``Window.partitionBy(key).orderBy(o)`` sends every row of a key to one
 task; if one scan (or file, or subject) holds a third of the data, that task does
 a third of the work. These operators split each key into fixed-size blocks of
-the order column, run the window inside a block (bounded work per task), then
-combine per-block summaries, which are ``rows / block`` in size, with a second,
-much smaller window. Results are exact: no row is dropped, capped or sampled.
+the order column, run the window inside a block (bounded work per task), and
+bring in what comes before the block from a summary with one row per (key,
+block). The summary is a map-side combined aggregate over the input (a second,
+column-pruned read of it; no row of it is shuffled or sorted by the key), and it
+is scanned in blocks of blocks in turn, ``LEVELS`` deep. Results are exact: no
+row is dropped, capped or sampled. Null keys are a key of their own.
 
 The block column is computed from the order value, so ``order`` must be an
 integral column (page number, row id, row ordinal).
@@ -15,27 +18,69 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK = 4096
+#: Blocks, blocks of blocks, ...: the last scan of one key sees rows / block ** LEVELS rows.
+LEVELS = 3
 
+BEFORE = (Window.unboundedPreceding, -1)
 
-def _blk(order: str, block: int):
+
+def _blk(order: str, block: int) -> Column:
     return F.floor(F.col(order) / F.lit(block)).cast("bigint")
 
 
-def _join_blocks(d: DataFrame, summ: DataFrame, keys: list[str]) -> DataFrame:
+def _null_free(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with a value and a null flag per key, so that plain equality matches null keys too."""
+    types = dict(df.dtypes)
+    cols = {}
+    for i, k in enumerate(keys):
+        empty = F.lit("") if types[k] == "string" else F.lit(0).cast(types[k])
+        cols |= {f"_k{i}": F.coalesce(F.col(k), empty), f"_n{i}": F.col(k).isNull()}
+    return df.withColumns(cols), list(cols)
+
+
+def _join_blocks(d: DataFrame, summ: DataFrame, keys: list[str], blk: str) -> DataFrame:
     """Left-join per-block values back on (keys, block).
 
     The summary is re-grouped on (keys, block) so Catalyst knows it has one row
     per key: when a caller never uses the carried column, the optimizer then
     removes this join (and the whole summary branch) instead of computing it.
-    Keys are expected non-null (scan, file, subject ids).
     """
-    cols = [c for c in summ.columns if c not in (*keys, "_blk")]
-    s2 = summ.groupBy(*keys, "_blk").agg(*[F.max(c).alias(c) for c in cols])
-    return d.join(s2, on=[*keys, "_blk"], how="left")
+    cols = [c for c in summ.columns if c not in (*keys, blk)]
+    s2 = summ.groupBy(*keys, blk).agg(*[F.max(c).alias(c) for c in cols])
+    return d.join(s2, on=[*keys, blk], how="left")
+
+
+def _last_before(summ: DataFrame, keys: list[str], block: int, levels: int) -> DataFrame:
+    """``_prev`` = last non-null ``_v`` of the earlier blocks (``_o``) of each key."""
+    if levels <= 1:
+        w = Window.partitionBy(*keys).orderBy("_o").rowsBetween(*BEFORE)
+        return summ.select(*keys, "_o", F.last("_v", ignorenulls=True).over(w).alias("_prev"))
+    d = summ.withColumn("_b", _blk("_o", block))
+    upper = d.where(F.col("_v").isNotNull()).groupBy(*keys, F.col("_b")).agg(F.max_by("_v", "_o").alias("_v"))
+    # blocks without a value still need what came before them
+    upper = d.select(*keys, "_b").distinct().join(upper, [*keys, "_b"], "left").withColumnRenamed("_b", "_o")
+    upper = _last_before(upper, keys, block, levels - 1).select(*keys, F.col("_o").alias("_b"), F.col("_prev").alias("_up"))
+    w = Window.partitionBy(*keys, "_b").orderBy("_o").rowsBetween(*BEFORE)
+    inside = d.select(*keys, "_o", "_b", F.last("_v", ignorenulls=True).over(w).alias("_in"))
+    out = inside.join(upper, [*keys, "_b"], "left")
+    return out.select(*keys, "_o", F.coalesce("_in", "_up").alias("_prev"))
+
+
+def _sum_before(summ: DataFrame, keys: list[str], block: int, levels: int) -> DataFrame:
+    """``_off`` = sum of ``_v`` over the earlier blocks (``_o``) of each key."""
+    if levels <= 1:
+        w = Window.partitionBy(*keys).orderBy("_o").rowsBetween(*BEFORE)
+        return summ.select(*keys, "_o", F.coalesce(F.sum("_v").over(w), F.lit(0)).alias("_off"))
+    d = summ.withColumn("_b", _blk("_o", block))
+    upper = d.groupBy(*keys, "_b").agg(F.sum("_v").alias("_v")).withColumnRenamed("_b", "_o")
+    upper = _sum_before(upper, keys, block, levels - 1).select(*keys, F.col("_o").alias("_b"), F.col("_off").alias("_up"))
+    w = Window.partitionBy(*keys, "_b").orderBy("_o").rowsBetween(*BEFORE)
+    inside = d.select(*keys, "_o", "_b", F.coalesce(F.sum("_v").over(w), F.lit(0)).alias("_in"))
+    return inside.join(upper, [*keys, "_b"]).select(*keys, "_o", (F.col("_in") + F.col("_up")).alias("_off"))
 
 
 def carry_last(
@@ -45,36 +90,24 @@ def carry_last(
     value: str,
     out: str,
     block: int = DEFAULT_BLOCK,
+    levels: int = LEVELS,
 ) -> DataFrame:
     """``out`` = last non-null ``value`` at or before each row, per ``keys`` in ``order``.
 
     Equivalent to ``last(value, ignorenulls=True)`` over
     ``partitionBy(keys).orderBy(order).rowsBetween(unboundedPreceding, 0)``.
-    One shuffle by (keys, block) for the row-level window; the per-block
-    summary is read from the same windowed rows (no second pass over the input)
-    and only it, ``rows / block`` in size, is shuffled by key.
+    One shuffle of the rows, by (keys, block); the summary aggregates the rows
+    that have a value, map-side, to one per (keys, block).
     """
-    keys = list(keys)
-    d = df.withColumn("_blk", _blk(order, block))
-    w = Window.partitionBy(*keys, "_blk").orderBy(order)
-    v = F.col(value)
-    d = d.withColumns(
-        {
-            "_in": F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-            "_blast": F.last(v, ignorenulls=True).over(
-                w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            ),
-        }
-    )
-    # already clustered by (keys, block): this aggregate adds no shuffle
-    summ = d.groupBy(*keys, "_blk").agg(F.max("_blast").alias("_blast"))
-    w_b = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    summ = summ.select(*keys, "_blk", F.last("_blast", ignorenulls=True).over(w_b).alias("_prev"))
-    return (
-        _join_blocks(d.drop("_blast"), summ, keys)
-        .withColumn(out, F.coalesce(F.col("_in"), F.col("_prev")))
-        .drop("_blk", "_in", "_prev")
-    )
+    d, ks = _null_free(df, keys)
+    d = d.withColumn("_blk", _blk(order, block))
+    have = d.where(F.col(value).isNotNull()).groupBy(*ks, F.col("_blk")).agg(F.max_by(value, order).alias("_v"))
+    every = d.select(*ks, "_blk").distinct()
+    summ = every.join(have, [*ks, "_blk"], "left").withColumnRenamed("_blk", "_o")
+    summ = _last_before(summ, ks, block, levels - 1).withColumnRenamed("_o", "_blk")
+    w = Window.partitionBy(*ks, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_in", F.last(value, ignorenulls=True).over(w))
+    return _join_blocks(d, summ, ks, "_blk").withColumn(out, F.coalesce("_in", "_prev")).drop(*ks, "_blk", "_in", "_prev")
 
 
 def number_rows(
@@ -83,17 +116,12 @@ def number_rows(
     order: str,
     out: str,
     block: int = DEFAULT_BLOCK,
+    levels: int = LEVELS,
 ) -> DataFrame:
     """``out`` = 1-based ``row_number()`` per ``keys`` in ``order`` (order must be unique per key)."""
-    keys = list(keys)
-    d = df.withColumn("_blk", _blk(order, block))
-    w = Window.partitionBy(*keys, "_blk")
-    d = d.withColumns({"_rn": F.row_number().over(w.orderBy(order)), "_bn": F.count(F.lit(1)).over(w)})
-    counts = d.groupBy(*keys, "_blk").agg(F.max("_bn").alias("_n"))
-    w_b = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(*keys, "_blk", F.coalesce(F.sum("_n").over(w_b), F.lit(0)).alias("_off"))
-    return (
-        _join_blocks(d.drop("_bn"), offs, keys)
-        .withColumn(out, (F.col("_rn") + F.col("_off")).cast("bigint"))
-        .drop("_blk", "_rn", "_off")
-    )
+    d, ks = _null_free(df, keys)
+    d = d.withColumn("_blk", _blk(order, block))
+    counts = d.groupBy(*ks, "_blk").agg(F.count(F.lit(1)).alias("_v")).withColumnRenamed("_blk", "_o")
+    offs = _sum_before(counts, ks, block, levels - 1).withColumnRenamed("_o", "_blk")
+    d = d.withColumn("_rn", F.row_number().over(Window.partitionBy(*ks, "_blk").orderBy(order)))
+    return _join_blocks(d, offs, ks, "_blk").withColumn(out, (F.col("_rn") + F.col("_off")).cast("bigint")).drop(*ks, "_blk", "_rn", "_off")

@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import numbers as N
-from ..functions.text import has_text, py_strip, strip_name_junk
+from ..functions.text import has_text, py_strip
 from .clean import HEADER_TEXT
 from .ordered import DEFAULT_BLOCK, carry_last
 
-ENTRY = T.StructType(
-    [T.StructField(k, T.StringType()) for k in ("questionNo", "question", "answer", "grading")]
-)
+# Entries are maps, so that a missing field and a null field stay different.
 PAGE_RESULT = T.StructType(
-    [T.StructField("studentName", T.StringType()), T.StructField("entries", T.ArrayType(ENTRY))]
+    [
+        T.StructField("studentName", T.StringType()),
+        T.StructField("entries", T.ArrayType(T.MapType(T.StringType(), T.StringType()))),
+    ]
 )
 
 # Markdown code fence around a reply, and the bracket-removal
@@ -46,12 +47,20 @@ def json_candidate(raw: Column) -> Column:
 
 
 def parse_responses(df: DataFrame, raw: str = "raw_content") -> DataFrame:
-    """R3 + D8: parse reply text into ``result`` and tag ``reject_reason``
-    (null for a valid page: parsed, with both ``studentName`` and ``entries``)."""
+    """R3 + D8: parse reply text into ``result`` and tag ``reject_reason`` (null
+    for a valid page): ``invalid_json``, ``missing_keys`` (no ``studentName`` or
+    no ``entries``), or ``bad_entries`` (``entries`` is not a list of objects).
+    Every page is either rejected, or empty, or gives answer rows."""
     cand = json_candidate(F.col(raw))
     found = F.size(F.array_intersect(F.json_object_keys(cand), F.array(F.lit("studentName"), F.lit("entries"))))
-    reason = F.when(found.isNull() | (found < 0), F.lit("invalid_json")).when(found < 2, F.lit("missing_keys"))
-    return df.withColumns({"reject_reason": reason, "result": F.from_json(cand, PAGE_RESULT)})
+    d = df.withColumns({"_found": found, "result": F.from_json(cand, PAGE_RESULT)})
+    entries = F.col("result.entries")
+    reason = (
+        F.when(F.col("_found").isNull() | (F.col("_found") < 0), F.lit("invalid_json"))
+        .when(F.col("_found") < 2, F.lit("missing_keys"))
+        .when(entries.isNull() | F.exists(entries, lambda e: e.isNull()), F.lit("bad_entries"))
+    )
+    return d.withColumn("reject_reason", reason).drop("_found")
 
 
 def response_rejects(df: DataFrame) -> DataFrame:
@@ -59,6 +68,21 @@ def response_rejects(df: DataFrame) -> DataFrame:
     return parse_responses(df).where(F.col("reject_reason").isNotNull()).select("scan_id", "page_no", "reject_reason")
 
 
+def _entry_fields(e: Column, class_name: str | None, subject_name: str | None) -> list[Column]:
+    """The columns of one entry; a missing field is ``''``, a null field stays null."""
+    def field(k: str) -> Column:
+        return F.when(F.map_contains_key(e, k), F.try_element_at(e, F.lit(k))).otherwise(F.lit(""))
+
+    return [
+        field("questionNo").alias("question_no_raw"),
+        field("question").alias("question"),
+        field("answer").alias("answer"),
+        field("grading").alias("grading"),
+        F.lit(class_name or UNKNOWN).alias("class_name"),
+        F.lit(subject_name or UNKNOWN).alias("subject_name"),
+    ]
+
+
 def explode_pages(pages: DataFrame, class_name: str | None = None, subject_name: str | None = None) -> DataFrame:
     """C1 + C2 without the name carry: parsed valid pages -> one row per entry.
     Row-local, so it also runs on a stream."""
@@ -68,17 +92,23 @@ def explode_pages(pages: DataFrame, class_name: str | None = None, subject_name:
         F.posexplode("result.entries").alias("entry_ord", "e"),
     )
     return rows.select(
-        "scan_id",
-        "page_no",
-        F.col("entry_ord").cast("int").alias("entry_ord"),
-        "student_raw",
-        F.col("e.questionNo").alias("question_no_raw"),
-        F.col("e.question").alias("question"),
-        F.col("e.answer").alias("answer"),
-        F.col("e.grading").alias("grading"),
-        F.lit(class_name or UNKNOWN).alias("class_name"),
-        F.lit(subject_name or UNKNOWN).alias("subject_name"),
+        "scan_id", "page_no", F.col("entry_ord").cast("int").alias("entry_ord"), "student_raw",
+        *_entry_fields(F.col("e"), class_name, subject_name),
+    )
+
+
+def carried_pages(df: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """G1 on pages: ``scan_id, page_no, student_raw, student_name, entries`` of the
+    valid pages. A page with both keys but unusable entries is no valid page, yet
+    its student name is carried on, as the name is read first."""
+    pages = parse_responses(df).where(F.col("reject_reason").isNull() | (F.col("reject_reason") == "bad_entries"))
+    pages = pages.select(
+        "scan_id", "page_no", F.col("result.studentName").alias("student_raw"), F.col("result.entries").alias("entries"),
+        F.col("reject_reason").isNull().alias("_ok"),
     )
+    pages = pages.withColumn("_nm", F.when(F.col("student_raw") != "", F.col("student_raw")))
+    pages = carry_last(pages, ["scan_id"], "page_no", "_nm", "_carried", block)
+    return pages.where("_ok").withColumn("student_name", F.coalesce("_carried", F.lit(""))).drop("_nm", "_carried", "_ok")
 
 
 def flatten_pages(
@@ -88,33 +118,21 @@ def flatten_pages(
     block: int = DEFAULT_BLOCK,
 ) -> DataFrame:
     """C1 + C2 + G1: valid pages -> one row per entry, carrying the last non-blank
-    student name of the scan (invalid pages contribute nothing). Class and subject
-    default to ``Unknown``."""
-    pages = parse_responses(df).where(F.col("reject_reason").isNull())
-    pages = pages.select(
-        "scan_id", "page_no", F.col("result.studentName").alias("student_raw"), F.col("result.entries").alias("entries")
-    )
-    pages = pages.withColumn("_nm", F.when(F.col("student_raw") != "", F.col("student_raw")))
-    pages = carry_last(pages, ["scan_id"], "page_no", "_nm", "_carried", block)
-    pages = pages.withColumn("student_name", F.coalesce("_carried", F.lit(""))).drop("_nm", "_carried")
-    rows = pages.select(
+    student name of the scan. Class and subject default to ``Unknown``."""
+    rows = carried_pages(df, block).select(
         "scan_id", "page_no", "student_raw", "student_name", F.posexplode("entries").alias("entry_ord", "e")
     )
     return rows.select(
-        "scan_id",
-        "page_no",
-        F.col("entry_ord").cast("int").alias("entry_ord"),
-        "student_raw",
-        "student_name",
-        F.col("e.questionNo").alias("question_no_raw"),
-        F.col("e.question").alias("question"),
-        F.col("e.answer").alias("answer"),
-        F.col("e.grading").alias("grading"),
-        F.lit(class_name or UNKNOWN).alias("class_name"),
-        F.lit(subject_name or UNKNOWN).alias("subject_name"),
+        "scan_id", "page_no", F.col("entry_ord").cast("int").alias("entry_ord"), "student_raw", "student_name",
+        *_entry_fields(F.col("e"), class_name, subject_name),
     )
 
 
+def page_placeholders(df: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """Valid pages without entries, as records with the student name only."""
+    return carried_pages(df, block).where(F.size("entries") == 0).select("scan_id", "page_no", "student_name")
+
+
 def page_question_bounds(df: DataFrame, number: str = "question_no_raw") -> DataFrame:
     """first and last all-digit question number per page, in entry order, for
     both code generations (service: bracket parts kept; notebook: removed);
@@ -180,7 +198,3 @@ def scan_summary(df: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
     )
     return agg.withColumn("end_page", F.col("start_page") + F.col("pages_processed") - 1)
 
-
-def clean_names(df: DataFrame) -> DataFrame:
-    """J7 on class and subject columns."""
-    return df.withColumns({"class_name": strip_name_junk("class_name"), "subject_name": strip_name_junk("subject_name")})

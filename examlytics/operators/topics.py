@@ -8,7 +8,7 @@ AQE's runtime size check.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,6 +71,7 @@ SUBJECT_TOPICS = {
 FAILED = "Classification Failed"
 NOT_AVAILABLE = "Topic classification not available for this subject"
 NO_MATCH = "No matching question number found"
+API_ERROR = "API error occurred"
 BATCH_SIZE = 30
 STOP_WORDS = ["and"]
 WORD_RE = "([a-z]+)"
@@ -166,29 +167,35 @@ def topic_requests(questions: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
 def merge_topics_fanout(questions: DataFrame, results: DataFrame, key: str = "question_no") -> DataFrame:
     """Left merge of questions with topic replies on the number; a number
     repeated in the replies fans out (as the reference's merge does)."""
-    r = results.withColumnRenamed(key, "_rk").drop("result_ord")
+    r = results.select(F.col(key).alias("_rk"), "topic", "confidence")
     return questions.join(r, questions[key] == r["_rk"], "left").drop("_rk")
 
 
 def lookup_topics_first(questions: DataFrame, results: DataFrame, key: str = "question_no") -> DataFrame:
-    """First reply per number (by reply order) or the fallback
-    ``Classification Failed`` / 0 / ``No matching question number found``."""
-    first = results.groupBy(F.col(key).alias("_rk")).agg(
-        F.min_by(F.struct("topic", "confidence"), F.col("result_ord")).alias("_r")
+    """First reply per number (by reply order), with its explanation passed
+    through, or the fallback ``Classification Failed`` / 0 / ``No matching
+    question number found``. A reply of a failed batch (``batch_ok`` false) gives
+    ``Classification Failed`` / 0 / ``API error occurred``."""
+    ok = F.coalesce(F.col("batch_ok"), F.lit(True))
+    reply = F.struct(
+        F.when(ok, F.col("topic")).otherwise(F.lit(FAILED)).alias("topic"),
+        F.when(ok, F.col("confidence")).otherwise(F.lit(0.0)).alias("confidence"),
+        F.when(ok, F.coalesce("explanation", F.lit(""))).otherwise(F.lit(API_ERROR)).alias("explanation"),
     )
+    first = results.groupBy(F.col(key).alias("_rk")).agg(F.min_by(reply, F.col("result_ord")).alias("_r"))
     j = questions.join(first, questions[key] == first["_rk"], "left")
     return j.select(
         *questions.columns,
         F.coalesce(F.col("_r.topic"), F.lit(FAILED)).alias("topic"),
         F.coalesce(F.col("_r.confidence"), F.lit(0.0)).alias("confidence"),
-        F.when(F.col("_r").isNull(), F.lit(NO_MATCH)).otherwise(F.lit("")).alias("explanation"),
+        F.coalesce(F.col("_r.explanation"), F.lit(NO_MATCH)).alias("explanation"),
     )
 
 
 def topic_statistics(assigned: DataFrame) -> DataFrame:
     """questions per topic and their share of all questions (2 decimals,
-    half-even). The total is a sum over the per-topic counts, whose row count is
-    bounded by the taxonomy (plus the two outcome texts)."""
-    per = assigned.groupBy("topic").agg(F.count(F.lit(1)).alias("question_count"))
-    total = F.sum("question_count").over(Window.partitionBy())
-    return per.select("topic", "question_count", percent_value("question_count", total, 2).alias("percentage"))
+    half-even). The total is a one-row aggregate, joined to the counts."""
+    per = assigned.groupBy("topic").agg(F.count(F.lit(1)).alias("question_count")).withColumn("_g", F.lit(0))
+    total = F.broadcast(assigned.agg(F.count(F.lit(1)).alias("_total")).withColumn("_g", F.lit(0)))
+    share = percent_value("question_count", "_total", 2).alias("percentage")
+    return per.join(total, "_g").select("topic", "question_count", share)

@@ -59,11 +59,16 @@ p AS (
   SELECT scan_id, page_no, '{"studentName": "' || MAX(student_raw) || '", "entries": ['
     || MAX(CASE WHEN entry_ord = 0 THEN js END) || ', ' || MAX(CASE WHEN entry_ord = 1 THEN js END) || ', '
     || MAX(CASE WHEN entry_ord = 2 THEN js END) || ', ' || MAX(CASE WHEN entry_ord = 3 THEN js END) || ', '
-    || MAX(CASE WHEN entry_ord = 4 THEN js END) || ']}' AS obj
+    || MAX(CASE WHEN entry_ord = 4 THEN js END) || ']}' AS obj, '{"studentName": "' || MAX(student_raw) || '", "entries": ' AS head
   FROM j GROUP BY scan_id, page_no)
 SELECT scan_id, page_no,
   CASE WHEN (scan_id * 50 + page_no) % 17 = 0 THEN substr(obj, 1, 40)
        WHEN (scan_id * 50 + page_no) % 19 = 0 THEN '{"studentName": "X"}'
+       WHEN (scan_id * 50 + page_no) % 23 = 0 THEN head || '[]}'
+       WHEN (scan_id * 50 + page_no) % 29 = 0 THEN head || 'null}'
+       WHEN (scan_id * 50 + page_no) % 31 = 0 THEN head || '"none"}'
+       WHEN (scan_id * 50 + page_no) % 37 = 0 THEN head || '[{"questionNo": "1"}, "text"]}'
+       WHEN (scan_id * 50 + page_no) % 41 = 0 THEN head || '[{"questionNo": "1(a)"}, {"answer": null}]}'
        WHEN page_no % 5 = 1 THEN repeat(chr(96), 3) || 'json' || chr(10) || obj || chr(10) || repeat(chr(96), 3)
        WHEN page_no % 5 = 2 THEN 'Here is the result: ' || obj || ' Done.'
        WHEN page_no % 5 = 4 THEN repeat(chr(96), 3) || chr(10) || obj || chr(10) || repeat(chr(96), 3)
@@ -89,7 +94,7 @@ ADAPTERS['import_a'] = """
 SELECT student_raw AS "Student Name", question_no_raw AS "questionNo", question AS "Question",
        CASE WHEN row_id % 5 = 0 THEN 'nan' ELSE answer END AS "answer",
        grading AS "marks", CASE WHEN row_id % 3 = 0 THEN 'Incorrect' ELSE '' END AS "score",
-       page_no AS "Page_Number", 'x' AS "foo"
+       CASE WHEN row_id % 7 = 0 THEN 'page?' ELSE CAST(page_no AS STRING) END AS "Page_Number", 'x' AS "foo"
 FROM transcription WHERE scan_id % 2 = 0
 """
 
@@ -113,9 +118,9 @@ FROM nation
 """
 
 ADAPTERS['uploads'] = """
-SELECT s_suppkey AS id, s_nationkey AS exam_id, s_name || '.pdf' AS filename,
+SELECT s_suppkey AS id, CASE WHEN s_nationkey % 3 = 0 THEN s_nationkey + 1 ELSE s_nationkey END AS exam_id, s_name || '.pdf' AS filename,
        CASE s_suppkey % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'processing' WHEN 2 THEN 'completed' ELSE 'failed' END AS status
-FROM supplier WHERE s_suppkey % 3 = 0
+FROM supplier
 """
 
 ADAPTERS['reports'] = """
@@ -126,25 +131,31 @@ FROM customer
 """
 
 ADAPTERS['exam_patches'] = """
-SELECT n_nationkey AS id,
-       CASE WHEN n_nationkey % 2 = 0 THEN 'name' ELSE 'exam_type_id' END AS set_field,
+SELECT n_nationkey AS id, 1 AS patch_ord,
+       CASE WHEN n_nationkey % 3 = 1 THEN 'exam_type_id' ELSE 'name' END AS set_field,
        CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE 'New ' || n_name END AS name,
        CAST(3 AS INT) AS exam_type_id
-FROM nation WHERE n_nationkey % 3 = 0
+FROM nation
+UNION ALL
+SELECT n_nationkey, 2, CASE WHEN n_nationkey % 3 = 2 THEN 'exam_type_id' WHEN n_nationkey % 4 = 0 THEN 'name' ELSE 'none' END,
+       'Newer ' || n_name, CAST(CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE 2 END AS INT)
+FROM nation
 """
 
 ADAPTERS['topic_results'] = """
-WITH n AS (SELECT n_nationkey, n_regionkey, CAST(n_nationkey % 15 + 1 AS INT) AS m FROM nation)
+WITH n AS (SELECT n_nationkey, n_regionkey, n_name, CAST(n_nationkey % 15 + 1 AS INT) AS m FROM nation)
 SELECT n_nationkey AS result_ord,
        CAST(m AS STRING) || '(' || CASE m % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END || ')' AS question_no,
-       'Topic ' || CAST(n_regionkey AS STRING) AS topic, CAST(n_regionkey / 4.0 AS DOUBLE) AS confidence
+       'Topic ' || CAST(n_regionkey AS STRING) AS topic, CAST(n_regionkey / 4.0 AS DOUBLE) AS confidence,
+       CASE WHEN n_nationkey % 4 <> 1 THEN 'Because of ' || n_name END AS explanation, n_nationkey % 5 <> 2 AS batch_ok
 FROM n
 """
 
 ADAPTERS['topic_questions'] = """
 SELECT p_partkey AS row_id, CAST(p_partkey AS STRING) AS question_no,
-       CASE p_partkey % 6 WHEN 0 THEN 'SST' WHEN 1 THEN 'Mathematics' WHEN 2 THEN 'Science'
-            WHEN 3 THEN 'English' WHEN 4 THEN 'CRE' ELSE 'Art' END AS subject,
+       CASE WHEN p_partkey % 41 = 0 THEN NULL WHEN p_partkey % 6 = 0 THEN 'SST' WHEN p_partkey % 6 = 1 THEN 'Mathematics'
+            WHEN p_partkey % 6 = 2 THEN 'Science' WHEN p_partkey % 6 = 3 THEN 'English' WHEN p_partkey % 6 = 4 THEN 'CRE'
+            ELSE 'Art' END AS subject,
        CASE p_partkey % 7 WHEN 0 THEN 'Convert fractions to decimals' WHEN 1 THEN 'Name the forces and energy in a ' || p_name
             WHEN 2 THEN 'Grammar of the sentence ' || p_name WHEN 3 THEN 'Prayer and worship in church'
             WHEN 4 THEN 'Describe history and geography of ' || p_name WHEN 5 THEN 'Draw the geometry of ' || p_name
@@ -153,8 +164,8 @@ FROM part
 """
 
 ADAPTERS['incoming_exams'] = """
-SELECT n_name AS name, 'Mocks' AS type_name, n_nationkey AS in_ord FROM nation WHERE n_nationkey % 2 = 0
+SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'Mocks' ELSE 'Quiz' END AS type_name, n_nationkey AS in_ord FROM nation
 UNION ALL
 SELECT 'Exam ' || s_name, CASE s_suppkey % 3 WHEN 0 THEN 'Midterm' WHEN 1 THEN 'End of Term' ELSE 'Quiz' END,
-       CAST(1000 + s_suppkey AS INT) FROM supplier WHERE s_suppkey < 8
+       CAST(1000 + s_suppkey AS INT) FROM supplier
 """

@@ -131,26 +131,45 @@ SELECT count(DISTINCT sub_question_no) AS questions_analysed, count(*) AS total_
 
 # ---------------------------------------------------------------- pages
 
-from ..operators.pages import NOTEBOOK_BRACKETS, SERVICE_BRACKETS  # noqa: E402
+# the kinds of replies of raw_responses, by page
+_K = "(scan_id * 50 + page_no)"
+_READ = f"{_K} % 17 <> 0 AND {_K} % 19 <> 0"
+_BAD = f"({_K} % 23 <> 0 AND ({_K} % 29 = 0 OR {_K} % 31 = 0 OR {_K} % 37 = 0))"
+_EMPTY = f"({_K} % 23 = 0)"
+_SHORT = f"({_K} % 41 = 0)"
 
-ORACLE["response_ingest"] = _q("""
-WITH ok AS (
-  SELECT * FROM transcription WHERE (scan_id * 50 + page_no) % 17 <> 0 AND (scan_id * 50 + page_no) % 19 <> 0)
-SELECT scan_id, page_no, entry_ord, student_raw,
-       coalesce(last_value(nullif(student_raw, '') IGNORE NULLS) OVER (
-         PARTITION BY scan_id ORDER BY page_no, entry_ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '')
-         AS student_name,
-       question_no_raw, question, answer, grading, 'Unknown' AS class_name, 'Unknown' AS subject_name
-FROM ok""")
 
-ORACLE["response_rejects"] = _q("""
+def _entries(extra: str) -> str:
+    """Answer rows of the valid pages of ``named``; short pages have two entries with missing fields."""
+    return f"""
+SELECT scan_id, page_no, entry_ord, student_raw, {extra}
+  CASE WHEN NOT {_SHORT} THEN question_no_raw WHEN entry_ord = 0 THEN '1(a)' ELSE '' END AS question_no_raw,
+  CASE WHEN NOT {_SHORT} THEN question ELSE '' END AS question,
+  CASE WHEN NOT {_SHORT} THEN answer WHEN entry_ord = 0 THEN '' END AS answer,
+  CASE WHEN NOT {_SHORT} THEN grading ELSE '' END AS grading,
+  'Unknown' AS class_name, 'Unknown' AS subject_name
+FROM named WHERE NOT {_BAD} AND NOT {_EMPTY} AND (NOT {_SHORT} OR entry_ord < 2)"""
+
+
+_PAGE_NAMED = f"""
+WITH named AS (
+  SELECT *, coalesce(last_value(nullif(student_raw, '') IGNORE NULLS) OVER (
+         PARTITION BY scan_id ORDER BY page_no, entry_ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS student_name
+  FROM transcription WHERE {_READ})"""
+
+ORACLE["response_ingest"] = _q(_PAGE_NAMED + _entries("student_name,"))
+
+ORACLE["page_placeholders"] = _q(f"""{_PAGE_NAMED}
+SELECT scan_id, page_no, max(student_name) AS student_name FROM named WHERE {_EMPTY} GROUP BY scan_id, page_no""")
+
+ORACLE["response_rejects"] = _q(f"""
 WITH p AS (SELECT DISTINCT scan_id, page_no FROM transcription)
 SELECT scan_id, page_no,
-       CASE WHEN (scan_id * 50 + page_no) % 17 = 0 THEN 'invalid_json' ELSE 'missing_keys' END AS reject_reason
-FROM p WHERE (scan_id * 50 + page_no) % 17 = 0 OR (scan_id * 50 + page_no) % 19 = 0""")
+       CASE WHEN {_K} % 17 = 0 THEN 'invalid_json' WHEN {_K} % 19 = 0 THEN 'missing_keys' ELSE 'bad_entries' END AS reject_reason
+FROM p WHERE NOT ({_READ}) OR {_BAD}""")
 
-_SVC = S.py_strip(S.re_all("question_no_raw", SERVICE_BRACKETS, ""))
-_NB = S.py_strip(S.re_all("question_no_raw", NOTEBOOK_BRACKETS, ""))
+_SVC = S.py_strip("regexp_replace(question_no_raw, '\\\\[(].*?\\\\[)]', '', 'g')")
+_NB = S.py_strip("regexp_replace(question_no_raw, '[(][^)]*[)]', '', 'g')")
 ORACLE["page_question_bounds"] = _q(f"""
 WITH d AS (SELECT scan_id, page_no, entry_ord, {_SVC} AS svc, {_NB} AS nb FROM transcription)
 SELECT scan_id, page_no,
@@ -162,7 +181,7 @@ FROM d GROUP BY scan_id, page_no""")
 
 ORACLE["page_range"] = _q("""
 SELECT scan_id, page_no, entry_ord, row_id FROM transcription
-WHERE page_no >= 3 AND page_no <= 40 AND page_no <= 1000000""")
+WHERE page_no >= 3 AND page_no <= 40""")
 
 ORACLE["scan_summary"] = _q(f"""
 WITH {NAMED},
@@ -240,7 +259,8 @@ FROM wt JOIN st USING (sub_question_no) LEFT JOIN stxt USING (sub_question_no)""
 
 ORACLE["duplicate_answers"] = _q(f"""
 WITH {BASE},
-r AS (SELECT scan_id, row_id, student_name, question_no FROM arows),
+r AS (SELECT scan_id, row_id, student_name, question_no FROM arows
+      UNION ALL SELECT scan_id, row_id + 1000000000000, student_name, question_no FROM arows WHERE row_id % 9 = 0),
 c AS (SELECT scan_id, student_name, question_no, count(*) AS dup_count FROM r GROUP BY ALL HAVING count(*) > 1)
 SELECT r.scan_id, r.row_id, r.student_name, r.question_no, c.dup_count
 FROM r JOIN c ON r.scan_id IS NOT DISTINCT FROM c.scan_id AND r.student_name IS NOT DISTINCT FROM c.student_name
@@ -344,9 +364,11 @@ ORACLE["topic_lookup_first"] = _q(f"""
 WITH {BASE}, {UNIQUE_Q},
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_no ORDER BY result_ord) AS rn
                      FROM topic_results) x WHERE rn = 1)
-SELECT uq.question_no, uq.question, coalesce(f.topic, '{_TP.FAILED}') AS topic,
-       coalesce(f.confidence, 0.0) AS confidence,
-       CASE WHEN f.question_no IS NULL THEN '{_TP.NO_MATCH}' ELSE '' END AS explanation
+SELECT uq.question_no, uq.question,
+       CASE WHEN f.batch_ok THEN f.topic ELSE 'Classification Failed' END AS topic,
+       CASE WHEN f.batch_ok THEN f.confidence ELSE 0.0 END AS confidence,
+       CASE WHEN f.question_no IS NULL THEN 'No matching question number found'
+            WHEN f.batch_ok THEN coalesce(f.explanation, '') ELSE 'API error occurred' END AS explanation
 FROM uq LEFT JOIN f ON uq.question_no = f.question_no""", "transcription", "topic_results")
 
 # ---------------------------------------------------------------- catalog
@@ -403,10 +425,14 @@ UNION ALL
 SELECT * FROM rej""", "exams", "incoming_exams")
 
 ORACLE["exam_patch"] = _q("""
-SELECT e.id, CASE WHEN p.set_field = 'name' THEN p.name ELSE e.name END AS name,
-       CASE WHEN p.set_field = 'exam_type_id' THEN p.exam_type_id ELSE e.exam_type_id END AS exam_type_id,
-       e.type_name
-FROM exams e LEFT JOIN exam_patches p ON p.id = e.id""", "exams", "exam_patches")
+WITH last AS (
+  SELECT id, set_field, name, exam_type_id,
+         row_number() OVER (PARTITION BY id, set_field ORDER BY patch_ord DESC) AS rn FROM exam_patches)
+SELECT e.id, CASE WHEN n.id IS NOT NULL THEN n.name ELSE e.name END AS name,
+       CASE WHEN t.id IS NOT NULL THEN t.exam_type_id ELSE e.exam_type_id END AS exam_type_id, e.type_name
+FROM exams e
+LEFT JOIN last n ON n.id = e.id AND n.set_field = 'name' AND n.rn = 1
+LEFT JOIN last t ON t.id = e.id AND t.set_field = 'exam_type_id' AND t.rn = 1""", "exams", "exam_patches")
 
 # ---------------------------------------------------------------- importer
 
@@ -448,7 +474,12 @@ ORACLE["pipe_roundtrip"] = ORACLE["clean_transcription"]
 ORACLE["jsonl_roundtrip"] = ORACLE["clean_transcription"]
 ORACLE["ndjson_report"] = ORACLE["question_analysis"]
 ORACLE["report_bundle"] = ORACLE["question_analysis"]
-ORACLE["report_table_append"] = ORACLE["import_reports"]
+ORACLE["report_table_append"] = _q(f"""
+WITH {_IMPORT}
+SELECT CAST(CASE source_file WHEN 'import_a' THEN 1 ELSE 2 END AS BIGINT) AS exam_id, student_name, class_name, subject_name,
+       question_no, question, answer, page_number, grading
+FROM recs WHERE accepted""", "import_a", "import_b")
+ORACLE["report_table_rejects"] = _q(f"WITH {_IMPORT}\nSELECT * EXCLUDE (accepted) FROM recs WHERE NOT accepted", "import_a", "import_b")
 
 ORACLE["page_base64"] = """
 SELECT page_id, 'page_' || CAST(page_id AS VARCHAR) || '.png' AS image_name, to_base64(encode(html)) AS b64,
@@ -457,12 +488,13 @@ FROM pages"""
 
 # ---------------------------------------------------------------- streaming: equal to the batch result
 
-ORACLE["stream_ingest"] = _q("""
-SELECT scan_id, page_no, entry_ord, student_raw, question_no_raw, question, answer, grading,
-       'Unknown' AS class_name, 'Unknown' AS subject_name
-FROM transcription WHERE (scan_id * 50 + page_no) % 17 <> 0 AND (scan_id * 50 + page_no) % 19 <> 0""")
+ORACLE["stream_ingest"] = _q(f"WITH named AS (SELECT * FROM transcription WHERE {_READ})" + _entries(""))
 
-ORACLE["stream_carry_forward"] = ORACLE["student_carry_forward"]
+ORACLE["stream_carry_forward"] = _q("""
+SELECT scan_id, page_no, student_raw,
+       coalesce(last_value(nullif(student_raw, '') IGNORE NULLS) OVER (
+         PARTITION BY scan_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS student_name
+FROM exam_pages WHERE (scan_id * 50 + page_no) % 11 <> 3""", "exam_pages")
 
 ORACLE["stream_question_stats"] = _q(f"""
 WITH {BASE}
@@ -489,7 +521,28 @@ SELECT scan_id, 'Exam_' || strftime(max(landed_at), '%Y-%m-%d_%H-%M') AS exam_na
 FROM clean GROUP BY scan_id""")
 
 ORACLE["exam_by_id"] = _q("SELECT * FROM exams WHERE id = 7", "exams")
-ORACLE["misconception_attach"] = ORACLE["question_analysis"]
+ORACLE["misconception_attach"] = _q(f"""
+WITH {BASE},
+stats AS (
+  SELECT sub_question_no, arg_min_null(main_question_no, row_id) AS main_question_no,
+         arg_min_null(question, row_id) AS question, count(*) AS attempts,
+         count(DISTINCT student_name) AS distinct_students, count_if(grading = 'Correct') AS correct_answers
+  FROM {GROUPED} g GROUP BY sub_question_no),
+w AS (
+  SELECT sub_question_no, {S.normalize_answer('answer')} AS theme,
+         (row_number() OVER (PARTITION BY sub_question_no ORDER BY row_id) - 1) // 200 AS chunk_no
+  FROM {GROUPED} g WHERE {WRONG}),
+n AS (SELECT sub_question_no, chunk_no, theme, count(*) AS n FROM w GROUP BY ALL),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sub_question_no, chunk_no ORDER BY n DESC, theme) AS rn FROM n) t
+        WHERE rn = 1),
+themes AS (SELECT sub_question_no, theme, CAST(sum(n) AS INTEGER) AS n FROM top GROUP BY 1, 2),
+mis AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sub_question_no ORDER BY n DESC, theme) AS rn FROM themes) t
+        WHERE rn = 1)
+SELECT s.main_question_no, s.question, s.sub_question_no, s.attempts, s.distinct_students, s.correct_answers,
+       {S.percent_text('s.correct_answers', 's.attempts', 1)} AS correct_pct,
+       CAST(s.correct_answers AS DOUBLE) * 100.0 / CAST(s.attempts AS DOUBLE) AS correct_pct_value,
+       m.theme AS misconception, coalesce(m.n, 0) AS misconception_frequency
+FROM stats s LEFT JOIN mis m USING (sub_question_no)""")
 
 
 def _bigint_counts(sql: str) -> str:

@@ -25,7 +25,6 @@ def query(fn: Query) -> Query:
     return fn
 
 
-@X.memo
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.analysis_rows(X.transcription(spark, sf_dir))
 
@@ -118,6 +117,12 @@ def response_rejects(spark, sf_dir):
     return P.response_rejects(X.raw_responses(spark, sf_dir))
 
 
+@query
+def page_placeholders(spark, sf_dir):
+    """Valid pages without entries, with the carried student name."""
+    return P.page_placeholders(X.raw_responses(spark, sf_dir))
+
+
 @query
 def page_question_bounds(spark, sf_dir):
     return P.page_question_bounds(X.transcription(spark, sf_dir))
@@ -126,7 +131,7 @@ def page_question_bounds(spark, sf_dir):
 @query
 def page_range(spark, sf_dir):
     t = X.transcription(spark, sf_dir).select("scan_id", "page_no", "entry_ord", "row_id")
-    return P.page_range(t, start=3, end=40, max_pages=1_000_000)
+    return P.page_range(t, start=3, end=40)
 
 
 @query
@@ -164,8 +169,10 @@ def misconception_requests(spark, sf_dir):
 
 @query
 def duplicate_answers(spark, sf_dir):
+    """G3 per scan, over rows of which every ninth was entered twice."""
     r = rows(spark, sf_dir).select("scan_id", "row_id", "student_name", "question_no")
-    return C.duplicate_answers(r)
+    again = r.where(F.col("row_id") % 9 == 0).withColumn("row_id", F.col("row_id") + F.lit(10**12))
+    return C.duplicate_answers(r.unionByName(again))
 
 
 @query
@@ -359,12 +366,21 @@ def report_bundle(spark, sf_dir):
 
 @query
 def report_table_append(spark, sf_dir):
-    """Imported rows appended to the reporting table partitioned by exam, read back."""
-    src = import_reports(spark, sf_dir)
+    """The import files appended one after the other to the reporting table
+    partitioned by exam; the accepted records of both, read back."""
     path = W.output_root(spark, "exam_reports")
-    W.append_reports(src, path)
+    for exam_id, file in enumerate(import_files(spark, sf_dir), IMPORT_EXAM_ID):
+        W.append_reports(IM.import_records([file], exam_id=exam_id), path)
     back = spark.read.option("basePath", path).parquet(path)
-    return back.withColumn("exam_id", F.col("exam_id").cast("bigint")).select(*src.columns)
+    return back.withColumn("exam_id", F.col("exam_id").cast("bigint")).select(*IM.REPORT_COLUMNS)
+
+
+@query
+def report_table_rejects(spark, sf_dir):
+    """The records that the reporting table refuses, written beside it and read back."""
+    path = W.output_root(spark, "exam_reports")
+    W.append_reports(import_reports(spark, sf_dir), f"{path}/table", rejects=f"{path}/rejects")
+    return spark.read.parquet(f"{path}/rejects").select("source_file", *IM.REPORT_COLUMNS)
 
 
 @query
@@ -402,12 +418,15 @@ def stream_ingest(spark, sf_dir):
 
 @query
 def stream_carry_forward(spark, sf_dir):
-    """K2: pages of a scan land out of order across files; names are carried in
-    page order by a stateful stream."""
+    """K2: pages of a scan land out of order across files, every seventh twice and
+    with gaps (pages that never land); names are carried in page order by a
+    stateful stream over several triggers."""
     pages = X.exam_pages(spark, sf_dir).select("scan_id", "page_no", "student_raw", "landed_at")
+    pages = pages.where((F.col("scan_id") * 50 + F.col("page_no")) % 11 != 3)
+    feed = pages.unionByName(pages.where(F.col("page_no") % 7 == 0))
     landing, out, ckpt = ST.paths(W.output_root(spark, "stream_carry"))
-    ST.land_in_time_order(pages, landing, 4)
-    return ST.carry_names_stream(spark, landing, out, ckpt, pages.schema)
+    ST.land_in_time_order(feed, landing, 4)
+    return ST.carry_names_stream(spark, landing, out, ckpt, pages.schema, files_per_trigger=2)
 
 
 @query
@@ -497,13 +516,15 @@ def exam_by_id(spark, sf_dir):
 
 @query
 def misconception_attach(spark, sf_dir):
-    """Misconception replies (here generated from F16 as fenced JSON text
-    with prose, standing in for the model's replies) parsed and attached to F1."""
+    """R1 -> R4: one reply per request chunk (its commonest wrong answer as fenced
+    JSON text with prose and a count such as ``4.0``, standing in for the model's
+    reply), merged to one row per sub-question and attached to F1."""
     r = rows(spark, sf_dir)
-    top = A.common_wrong_answer(r)
-    reply = F.concat(
-        F.lit("Result:\n```json\n"),
-        F.to_json(F.struct(F.col("misconception"), F.col("misconception_frequency").alias("count"))),
-        F.lit("\n```"),
+    w = A.numbered_wrong_answers(r)
+    n = w.groupBy("sub_question_no", "chunk_no", A.normalize_answer().alias("theme")).agg(F.count(F.lit(1)).alias("n"))
+    top = n.groupBy("sub_question_no", "chunk_no").agg(
+        F.min_by("theme", F.struct((-F.col("n")).alias("n"), F.col("theme"))).alias("misconception"),
+        F.concat(F.max("n").cast("string"), F.lit(".0")).alias("count"),
     )
+    reply = F.concat(F.lit("Result:\n```json\n"), F.to_json(F.struct("misconception", "count")), F.lit("\n```"))
     return A.attach_misconceptions(r, top.select("sub_question_no", reply.alias("reply")))

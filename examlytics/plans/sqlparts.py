@@ -1,12 +1,12 @@
-"""DuckDB SQL fragments for the oracle, written from the same declared rules
-(fixed regexes, constants) as the Spark expressions, but evaluated by another
-engine. Used only to build ``oracle_sql()`` strings; nothing here runs on Spark.
+"""DuckDB SQL fragments for the oracle. The patterns are written out here, in
+RE2 syntax, and not taken from the Spark expressions they check. Used only to
+build ``oracle_sql()`` strings; nothing here runs on Spark.
 """
 
 from __future__ import annotations
 
-from ..functions.numbers import BASE_SUFFIX, FIX_REWRITES, STANDARD_REWRITES, SUB_NUMBER
-from ..functions.text import PY_WHITESPACE
+# White space of Python's str.strip, as a character class body.
+PY_WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def lit(s: str) -> str:
@@ -36,15 +36,14 @@ def has_text(x: str) -> str:
 def fix_qno(x: str, null_as: str | None = None) -> str:
     if null_as is not None:
         x = f"coalesce({x}, {lit(null_as)})"
-    for pat, rep in FIX_REWRITES:
-        x = re_all(x, pat, rep)
-    return py_strip(f"replace({x}, ' ', '')")
+    x = f"regexp_replace({x}, '(\\d+)\\.([a-z]+)\\.([ivx]+)', '\\1(\\2)(\\3)', 'g')"
+    x = f"regexp_replace({x}, '(\\d+)\\.([a-z]+)', '\\1(\\2)', 'g')"
+    x = f"regexp_replace({x}, '(\\d+)\\.[(]([a-z])[)]\\.([ivx]+)', '\\1(\\2)(\\3)', 'g')"
+    return py_strip(f"replace(replace({x}, '.(', '('), ' ', '')")
 
 
 def standard_qno(x: str) -> str:
-    for pat, rep in STANDARD_REWRITES:
-        x = re_all(x, pat, rep)
-    return x
+    return f"regexp_replace({x}, '(\\d+)([a-z])', '\\1(\\2)', 'g')"
 
 
 def normalize_qno(x: str, null_as: str | None = None) -> str:
@@ -56,11 +55,13 @@ def main_qno(x: str) -> str:
 
 
 def sub_qno(x: str) -> str:
-    return re_all(x, SUB_NUMBER[0], SUB_NUMBER[1])
+    """Main number and first bracket group, by position instead of a pattern."""
+    rest = f"split_part({x}, '(', 2)"
+    return f"CASE WHEN contains({x}, '(') THEN split_part({x}, '(', 1) || '(' || split_part({rest}, ')', 1) || ')' ELSE {x} END"
 
 
 def base_qno(x: str) -> str:
-    return py_strip(re_all(py_strip(x), BASE_SUFFIX, ""))
+    return py_strip(f"regexp_replace({py_strip(x)}, {lit('[' + PY_WHITESPACE + '_]*([(][ivx]+[)]|[ivx]+)$')}, '', 'g')")
 
 
 def integer_text(x: str) -> str:

@@ -7,6 +7,7 @@ given. ``local_session`` exists for tests and the bench only.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -42,12 +43,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    On a cluster ``spark.checkpoint.dir`` is set by the deployment and points at
-    shared storage; it is read, never replaced. Only when it is unset (local
-    tests) a fresh scratch folder is made.
+    On a cluster ``spark.checkpoint.dir`` (or a folder given by
+    ``setCheckpointDir``) is set by the deployment and points at shared storage;
+    it is read, never replaced. Only a local master without either (tests) gets
+    a fresh scratch folder; a cluster without either is refused, as executors
+    do not share machine-local folders.
     """
-    cur = spark.conf.get("spark.checkpoint.dir", None)
+    cur = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not cur:
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         cur = tempfile.mkdtemp(prefix="examlytics-ckpt-")
         spark.conf.set("spark.checkpoint.dir", cur)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -56,4 +61,5 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    """One process: ``local``, ``local[n]``; ``local-cluster[...]`` has executors of its own."""
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None

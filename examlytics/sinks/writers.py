@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.importer import REPORT_COLUMNS
 from ..session import ensure_checkpoint_dir
 from ..sources.files import NULL_TOKEN, SNAKE
 
@@ -54,9 +55,26 @@ def write_report_bundle(analysis: DataFrame, raw: DataFrame, path: str) -> dict[
     return out
 
 
-def append_reports(df: DataFrame, path: str) -> None:
-    """Append to the reporting table, partitioned by exam."""
-    df.write.mode("append").partitionBy("exam_id").parquet(path)
+def append_reports(records: DataFrame, path: str, rejects: str | None = None, dedupe_keys: list[str] | None = None) -> None:
+    """Append accepted records to the reporting table, partitioned by exam.
+
+    Only the table's own columns are written. Refused records go to ``rejects``
+    with their source file, if a path is given. ``dedupe_keys`` skips records
+    whose keys (null matches null) are in the table already or repeat in the
+    batch; by default nothing is skipped.
+    """
+    new = records.where("accepted").select(*REPORT_COLUMNS)
+    if dedupe_keys:
+        new = new.dropDuplicates(dedupe_keys)
+        spark = records.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            old = spark.read.schema(new.schema).option("basePath", path).parquet(path)
+            old = old.select(*[F.col(k).alias(f"_{k}") for k in dedupe_keys]).distinct()
+            new = new.join(old, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in dedupe_keys], "left_anti")
+    new.write.mode("append").partitionBy("exam_id").parquet(path)
+    if rejects:
+        records.where("not accepted").drop("accepted").write.mode("append").parquet(rejects)
 
 
 def ndjson_lines(df: DataFrame) -> DataFrame:

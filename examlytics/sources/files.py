@@ -33,12 +33,13 @@ def transcription_schema(extra: list[tuple[str, T.DataType]] | None = None) -> T
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", header: bool = True,
-             null_token: str | None = NULL_TOKEN) -> DataFrame:
-    """A1/A2: CSV with an explicit schema; quoted fields may hold commas, quotes
-    and newlines. Short rows get trailing nulls (PERMISSIVE)."""
+             null_token: str | None = NULL_TOKEN, multi_line: bool = False) -> DataFrame:
+    """A1/A2: CSV with an explicit schema; quoted fields may hold commas and
+    quotes. Short rows get trailing nulls (PERMISSIVE). ``multi_line`` also
+    allows newlines in quoted fields, at the price of one task per file."""
     r = (
         spark.read.schema(schema).option("header", header).option("sep", sep).option("escape", '"')
-        .option("multiLine", True).option("mode", "PERMISSIVE")
+        .option("multiLine", multi_line).option("mode", "PERMISSIVE")
     )
     if null_token is not None:
         r = r.option("nullValue", null_token)
@@ -51,15 +52,16 @@ def to_snake(df: DataFrame) -> DataFrame:
 
 def read_question_list_lenient(spark: SparkSession, path: str, header: tuple[str, str]) -> DataFrame:
     """A1b + C3: a two-column question list whose last column may hold unquoted
-    commas: everything after the first comma is the question. ``header`` is the
+    commas: everything after the first comma is the question; blank lines are
+    dropped and a line without a comma has a null question. ``header`` is the
     file's header line (its names are mapped by C3); header lines are dropped."""
     from ..operators.clean import discover_question_columns
 
     names = discover_question_columns(list(header))
     first, second = (names[header[0]], names[header[1]])
     parts = F.split(F.col("value"), ",", 2)
-    d = spark.read.text(path).where(F.col("value") != F.lit(",".join(header)))
-    return d.select(F.element_at(parts, 1).alias(first), F.element_at(parts, 2).alias(second))
+    d = spark.read.text(path).where((F.col("value") != F.lit(",".join(header))) & (F.trim("value") != ""))
+    return d.select(F.try_element_at(parts, F.lit(1)).alias(first), F.try_element_at(parts, F.lit(2)).alias(second))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

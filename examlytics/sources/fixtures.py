@@ -8,18 +8,11 @@ linearly with the source table and it never shuffles more than the page grain.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import spread, table
 
-# Adapters are lazy plans over read-only inputs; building one costs driver time
-# (every DataFrame step is analysed eagerly), so each is built once per
-# (session, folder) and shared. Queries built on top are new plans every time.
-memo = lru_cache(maxsize=64)
-
 ROWS_PER_SCAN = 250
 ROWS_PER_PAGE = 5
 
@@ -28,7 +21,6 @@ def _s(c: Column) -> Column:
     return c.cast("string")
 
 
-@memo
 def transcription(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answer rows (C1 output): 250 rows per scan, 5 per page, 4 pages per paper."""
     ev = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"), "event_id")
@@ -97,7 +89,6 @@ def transcription(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@memo
 def exam_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page grain (one row per scanned page)."""
     return (
@@ -111,9 +102,9 @@ def exam_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@memo
 def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed model reply text per page: bare, fenced, with prose, truncated, or missing keys."""
+    """Landed model reply text per page: bare, fenced, with prose, truncated, with missing
+    keys or fields, and with entries that are empty, null, text or a mixed list."""
     t = transcription(spark, sf_dir)
 
     def quoted(c: str) -> Column:
@@ -130,13 +121,22 @@ def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"studentName": "'), F.max("student_raw"), F.lit('", "entries": ['),
         parts[0], sep, parts[1], sep, parts[2], sep, parts[3], sep, parts[4], F.lit("]}"),
     )
-    p = j.groupBy("scan_id", "page_no").agg(obj.alias("obj"))
+    p = j.groupBy("scan_id", "page_no").agg(obj.alias("obj"), F.max("student_raw").alias("student"))
     key = F.col("scan_id") * 50 + F.col("page_no")
     fence = F.lit("```")
     nl = F.lit("\n")
+
+    def only(entries: str) -> Column:
+        return F.concat(F.lit('{"studentName": "'), F.col("student"), F.lit('", "entries": ' + entries + "}"))
+
     raw = (
         F.when(key % 17 == 0, F.substring("obj", 1, 40))
         .when(key % 19 == 0, F.lit('{"studentName": "X"}'))
+        .when(key % 23 == 0, only("[]"))
+        .when(key % 29 == 0, only("null"))
+        .when(key % 31 == 0, only('"none"'))
+        .when(key % 37 == 0, only('[{"questionNo": "1"}, "text"]'))
+        .when(key % 41 == 0, only('[{"questionNo": "1(a)"}, {"answer": null}]'))
         .when(F.col("page_no") % 5 == 1, F.concat(fence, F.lit("json"), nl, F.col("obj"), nl, fence))
         .when(F.col("page_no") % 5 == 2, F.concat(F.lit("Here is the result: "), F.col("obj"), F.lit(" Done.")))
         .when(F.col("page_no") % 5 == 4, F.concat(fence, nl, F.col("obj"), nl, fence))
@@ -145,7 +145,6 @@ def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("scan_id", "page_no", raw.alias("raw_content"))
 
 
-@memo
 def number_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Question-number cells in file order, one file per 250 rows."""
     eid = F.col("event_id")
@@ -168,7 +167,6 @@ def number_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@memo
 def import_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Import file whose headers are aliases; two columns map to grading; unknown column foo."""
     t = transcription(spark, sf_dir).where(F.col("scan_id") % 2 == 0)
@@ -180,12 +178,11 @@ def import_a(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(rid % 5 == 0, F.lit("nan")).otherwise(F.col("answer")).alias("answer"),
         F.col("grading").alias("marks"),
         F.when(rid % 3 == 0, F.lit("Incorrect")).otherwise(F.lit("")).alias("score"),
-        F.col("page_no").alias("Page_Number"),
+        F.when(rid % 7 == 0, F.lit("page?")).otherwise(F.col("page_no").cast("string")).alias("Page_Number"),
         F.lit("x").alias("foo"),
     )
 
 
-@memo
 def import_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Import file with other headers; rows with row_id % 50 = 1 are all-blank records."""
     t = transcription(spark, sf_dir).where(F.col("scan_id") % 2 == 1)
@@ -198,12 +195,10 @@ def import_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@memo
 def exam_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
 
 
-@memo
 def exams(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey")
     return table(spark, sf_dir, "nation").select(
@@ -215,23 +210,18 @@ def exams(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@memo
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    return (
-        table(spark, sf_dir, "supplier")
-        .where(k % 3 == 0)
-        .select(
-            k.alias("id"),
-            F.col("s_nationkey").alias("exam_id"),
-            F.concat(F.col("s_name"), F.lit(".pdf")).alias("filename"),
-            F.when(k % 4 == 0, "queued").when(k % 4 == 1, "processing").when(k % 4 == 2, "completed")
-            .otherwise("failed").alias("status"),
-        )
+    """Uploads of every supplier; exams whose id is a multiple of three have none."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    return table(spark, sf_dir, "supplier").select(
+        k.alias("id"),
+        F.when(n % 3 == 0, n + 1).otherwise(n).alias("exam_id"),
+        F.concat(F.col("s_name"), F.lit(".pdf")).alias("filename"),
+        F.when(k % 4 == 0, "queued").when(k % 4 == 1, "processing").when(k % 4 == 2, "completed")
+        .otherwise("failed").alias("status"),
     )
 
 
-@memo
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(
@@ -242,22 +232,27 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@memo
 def exam_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two patches per exam: both fields, one field twice (the later wins), or one set to null."""
     k = F.col("n_nationkey")
-    return (
-        table(spark, sf_dir, "nation")
-        .where(k % 3 == 0)
-        .select(
-            k.alias("id"),
-            F.when(k % 2 == 0, "name").otherwise("exam_type_id").alias("set_field"),
-            F.when(k % 6 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("New "), F.col("n_name"))).alias("name"),
-            F.lit(3).cast("int").alias("exam_type_id"),
-        )
+    n = table(spark, sf_dir, "nation")
+    first = n.select(
+        k.alias("id"),
+        F.lit(1).alias("patch_ord"),
+        F.when(k % 3 == 1, "exam_type_id").otherwise("name").alias("set_field"),
+        F.when(k % 6 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("New "), F.col("n_name"))).alias("name"),
+        F.lit(3).cast("int").alias("exam_type_id"),
+    )
+    second = n.select(
+        k.alias("id"),
+        F.lit(2).alias("patch_ord"),
+        F.when(k % 3 == 2, "exam_type_id").when(k % 4 == 0, "name").otherwise("none").alias("set_field"),
+        F.concat(F.lit("Newer "), F.col("n_name")).alias("name"),
+        F.when(k % 2 == 0, F.lit(None).cast("int")).otherwise(F.lit(2)).cast("int").alias("exam_type_id"),
     )
+    return first.unionByName(second)
 
 
-@memo
 def topic_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic replies: 15 numbers, some repeated, some question numbers missing."""
     m = (F.col("n_nationkey") % 15 + 1).cast("int")
@@ -267,15 +262,16 @@ def topic_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(m.cast("string"), F.lit("("), letter, F.lit(")")).alias("question_no"),
         F.concat(F.lit("Topic "), F.col("n_regionkey").cast("string")).alias("topic"),
         (F.col("n_regionkey") / 4.0).cast("double").alias("confidence"),
+        F.when(F.col("n_nationkey") % 4 != 1, F.concat(F.lit("Because of "), F.col("n_name"))).alias("explanation"),
+        (F.col("n_nationkey") % 5 != 2).alias("batch_ok"),
     )
 
 
-@memo
 def topic_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     name = F.col("p_name")
     subject = (
-        F.when(k % 6 == 0, "SST").when(k % 6 == 1, "Mathematics").when(k % 6 == 2, "Science")
+        F.when(k % 41 == 0, F.lit(None).cast("string")).when(k % 6 == 0, "SST").when(k % 6 == 1, "Mathematics").when(k % 6 == 2, "Science")
         .when(k % 6 == 3, "English").when(k % 6 == 4, "CRE").otherwise("Art")
     )
     question = (
@@ -292,14 +288,13 @@ def topic_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@memo
 def incoming_exams(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey")
-    a = table(spark, sf_dir, "nation").where(k % 2 == 0).select(
-        F.col("n_name").alias("name"), F.lit("Mocks").alias("type_name"), k.cast("int").alias("in_ord")
+    a = table(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("name"), F.when(k % 2 == 0, "Mocks").otherwise("Quiz").alias("type_name"), k.cast("int").alias("in_ord")
     )
     s = F.col("s_suppkey")
-    b = table(spark, sf_dir, "supplier").where(s < 8).select(
+    b = table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("Exam "), F.col("s_name")).alias("name"),
         F.when(s % 3 == 0, "Midterm").when(s % 3 == 1, "End of Term").otherwise("Quiz").alias("type_name"),
         (F.lit(1000) + s).cast("int").alias("in_ord"),
@@ -307,7 +302,6 @@ def incoming_exams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
-@memo
 def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages.html`` as binary stands in for landed page images."""
     return table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").cast("binary").alias("content"))

@@ -16,15 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-repartition a scan that is narrower than the cluster.
+    """Hash-repartition on ``key`` into ``spark.examlytics.scan.partitions`` partitions, if that is set.
 
-    A single unsplittable file (one parquet row group) is read by one task, and
-    everything fused into that stage then runs on one core. When the scan has
-    fewer partitions than the default parallelism, rows are hash-distributed on
-    ``key`` (deterministic, so a retried task sees the same rows). Wide scans,
-    the normal case at scale, are returned untouched and cost no shuffle.
+    Unset (the default, and the right choice for tables of many files) the scan
+    is used as it is. The local bench sets it, because its tables are one
+    unsplittable file each.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want, key)
+    want = df.sparkSession.conf.get("spark.examlytics.scan.partitions", None)
+    return df.repartition(int(want), key) if want else df

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import json
 import posixpath
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,9 @@ from ..functions import numbers as N
 from ..operators.clean import HEADER_TEXT
 from ..operators.pages import explode_pages
 
+# the state function travels by value: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def land(df: DataFrame, path: str, files: int, key: str) -> None:
     """Write a batch of landed records as ``files`` parquet files (test/demo feed)."""
@@ -32,7 +37,7 @@ def land_in_time_order(df: DataFrame, path: str, files: int, time_col: str = "la
     range (range bounds from ``approxQuantile``, a few numbers on the driver),
     so each later file only holds later event times and nothing is late for
     the watermark. Rows within a range (e.g. the pages of a scan) still arrive
-    in any order."""
+    in any order; rows without a time arrive first."""
     # stage the feed once, then cut the time ranges from the staged copy
     stage = path.rstrip("/") + "_staging"
     df.withColumn("_t", F.col(time_col).cast("timestamp").cast("double")).write.mode("overwrite").parquet(stage)
@@ -45,23 +50,16 @@ def land_in_time_order(df: DataFrame, path: str, files: int, time_col: str = "la
         if lo is not None:
             part = part.where(F.col("_t") > F.lit(lo))
         if hi is not None:
-            part = part.where(F.col("_t") <= F.lit(hi))
+            upto = F.col("_t") <= F.lit(hi)
+            part = part.where(upto | F.col("_t").isNull() if lo is None else upto)
         part.drop("_t").write.mode("append").parquet(path)
         lo = hi
 
 
-def _run(stream: DataFrame, out: str, ckpt: str, mode: str = "append", keys: list[str] | None = None) -> None:
-    """Run to completion over what has landed (availableNow) into parquet at ``out``."""
-    if mode == "append":
-        q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-             .outputMode("append").trigger(availableNow=True).start())
-    else:
-        def upsert(batch: DataFrame, batch_id: int) -> None:
-            # complete mode: each batch carries the whole, small, aggregate
-            batch.write.mode("overwrite").parquet(out)
-
-        q = (stream.writeStream.foreachBatch(upsert).option("checkpointLocation", ckpt).outputMode(mode)
-             .trigger(availableNow=True).start())
+def _run(stream: DataFrame, out: str, ckpt: str) -> None:
+    """Run to completion over what has landed (availableNow), appending to parquet at ``out``."""
+    q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+         .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
 
 
@@ -88,50 +86,53 @@ CARRY_OUT = T.StructType(
      T.StructField("student_raw", T.StringType()), T.StructField("student_name", T.StringType())]
 )
 
-
+#: A missing page is waited for until event time is so far past the pages behind it.
 FLUSH_AFTER_MS = 10 * 60 * 1000
 
 
 def _carry_state(key, batches, state):
     """K2 state function for one scan: emit pages in page order as soon as they
-    are contiguous, carrying the last non-blank name; keep out-of-order pages
-    buffered in state; on timeout flush the buffer with the best known name."""
+    are contiguous, carrying the last non-blank name. Pages behind a gap wait in
+    state; once event time has passed them by ``FLUSH_AFTER_MS`` the gap counts
+    as missing, they are emitted in order, and next page and name stay. A page
+    delivered again, or after its gap was given up, is dropped."""
     scan_id = key[0]
-    if state.exists:
-        nxt, last, buf = state.get
-        pending = {int(k): v for k, v in json.loads(buf).items()}
-    else:
-        nxt, last, pending = 1, "", {}
-    out = []
+    nxt, last, buf = state.get if state.exists else (1, "", "{}")
+    pending = {int(k): v for k, v in json.loads(buf).items()}
     if state.hasTimedOut:
         order = sorted(pending)
     else:
         for pdf in batches:
-            for p, nm in zip(pdf["page_no"].tolist(), pdf["student_raw"].tolist()):
-                pending[int(p)] = nm
+            at = pdf["landed_at"].astype("datetime64[ms]").astype("int64")
+            for p, nm, ms in zip(pdf["page_no"].tolist(), pdf["student_raw"].tolist(), at.tolist()):
+                if p >= nxt:  # page 0 and below only move event time on
+                    pending.setdefault(int(p), [nm, max(int(ms), 0)])
         order = []
-        while nxt in pending:
-            order.append(nxt)
-            nxt += 1
+        while nxt + len(order) in pending:
+            order.append(nxt + len(order))
+    out = []
     for p in order:
-        nm = pending.pop(p)
-        if nm:
-            last = nm
+        nm = pending.pop(p)[0]
+        last = nm or last
         out.append((scan_id, p, nm, last))
-    if state.hasTimedOut:
-        state.remove()
-    else:
-        state.update((nxt, last, json.dumps({str(k): v for k, v in pending.items()})))
-        if pending:
-            # flush what is still out of order once event time has moved on
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + FLUSH_AFTER_MS)
+        nxt = p + 1
+    state.update((nxt, last, json.dumps({str(k): v for k, v in pending.items()})))
+    if pending:
+        due = max(ms for _, ms in pending.values()) + FLUSH_AFTER_MS
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
     if out:
         yield pd.DataFrame(out, columns=["scan_id", "page_no", "student_raw", "student_name"])
 
 
 def carry_names_stream(spark: SparkSession, landing: str, out: str, ckpt: str, schema: T.StructType,
-                       files_per_trigger: int = 8, watermark: str = "1 day") -> DataFrame:
-    """K2: the student-name carry as a stateful stream keyed by scan."""
+                       files_per_trigger: int = 8, watermark: str = "1 day", final: bool = True) -> DataFrame:
+    """K2: the student-name carry as a stateful stream keyed by scan.
+
+    The run ends when all landed files are read. Pages still waiting behind a gap
+    then stay in state for the next run, unless ``final``: a closing record
+    (scan null, page 0, ten years later) moves event time past every wait, so all
+    of them are emitted. After a final run the stream takes no further pages.
+    """
     src = (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
         .withColumn("landed_at", F.col("landed_at").cast("timestamp"))
@@ -143,21 +144,51 @@ def carry_names_stream(spark: SparkSession, landing: str, out: str, ckpt: str, s
         _carry_state, CARRY_OUT, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
     )
     _run(carried, out, ckpt)
-    return spark.read.parquet(out)
+    if final:
+        last = spark.read.schema(schema).parquet(landing).agg(F.max(F.col("landed_at").cast("timestamp")).alias("t"))
+        fields = {"page_no": F.lit(0), "landed_at": F.col("t") + F.expr("INTERVAL 10 YEARS")}
+        closing = last.select(*[fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+        closing.where("landed_at is not null").write.mode("append").parquet(landing)
+        _run(carried, out, ckpt)
+    return spark.read.schema(CARRY_OUT).parquet(out)
 
 
 def question_stats_stream(spark: SparkSession, landing: str, out: str, ckpt: str, schema: T.StructType,
-                          files_per_trigger: int = 8) -> DataFrame:
+                          files_per_trigger: int = 8, approx_students: bool = False) -> DataFrame:
     """K3: running attempts and correct answers per sub-question as answer rows
-    land (streaming aggregate, complete output rewritten per batch)."""
+    land. Each micro-batch brings the changed rows (update mode) and they replace
+    their keys in a new, complete version of the table; readers take the latest
+    version that is complete. ``approx_students`` adds a sketch of the distinct
+    students (the feed must then have ``student_name``)."""
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
     keep = F.coalesce(~F.col("question").contains(HEADER_TEXT), F.lit(True)) & F.col("question").isNotNull()
     rows = src.where(keep).withColumn("sub_question_no", N.sub_question_number(N.normalize_question_number("question_no_raw")))
-    stats = rows.where(F.col("sub_question_no").isNotNull()).groupBy("sub_question_no").agg(
-        F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("grading") == "Correct").alias("correct_answers")
-    )
-    _run(stats, out, ckpt, mode="complete")
-    return spark.read.parquet(out)
+    aggs = [F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("grading") == "Correct").alias("correct_answers")]
+    if approx_students:
+        aggs.append(F.approx_count_distinct("student_name").alias("distinct_students"))
+    stats = rows.where(F.col("sub_question_no").isNotNull()).groupBy("sub_question_no").agg(*aggs)
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        before = latest_version(spark, out, batch_id - 1)
+        new = batch
+        if before is not None:
+            keys = batch.select("sub_question_no")
+            new = batch.unionByName(spark.read.parquet(before).join(keys, "sub_question_no", "left_anti"))
+        new.write.mode("overwrite").parquet(f"{out}/version={batch_id}")
+
+    q = (stats.writeStream.foreachBatch(upsert).option("checkpointLocation", ckpt).outputMode("update")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(latest_version(spark, out))
+
+
+def latest_version(spark: SparkSession, out: str, upto: int | None = None) -> str | None:
+    """The path of the newest complete version (at most ``upto``) below ``out``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/version=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    versions = [int(x.getPath().getParent().getName().split("=")[1]) for x in found]
+    versions = [v for v in versions if upto is None or v <= upto]
+    return f"{out}/version={max(versions)}" if versions else None
 
 
 def paths(root: str) -> tuple[str, str, str]:
