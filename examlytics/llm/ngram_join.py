@@ -7,18 +7,19 @@ more are linked, and linked documents share a component.
    it), the size of its set, a signature bitmap and its prefix: the smallest
    ``n - ceil(0.8 n) + 1`` shingle hashes. Two linked sets always share a
    shingle of their prefixes, so the sets of one prefix shingle form a block and
-   the blocks together hold every link.
-2. Stars: in every block each set is held against the block's smallest key
-   only. This joins the large groups of near copies with one link per member.
-3. Signature trees: blocks whose sets are not yet in one component get a tree.
-   Its nodes hold OR-combined bitmaps, the range of set sizes and the largest
-   number of shingles that the bitmap hides. A dual traversal drops a pair of
-   nodes when the largest possible overlap, ``popcount(A & B) + hidden``, is
-   below what the sizes ask for, or when both lie in one component. A block of
-   more than ``BLOCK`` sets is dealt as pairs of sub-blocks, so a common
-   shingle never meets in one task.
-4. What is left is verified on the whole shingle sets, and components are the
-   smallest reachable ids.
+   the blocks together hold every link. Blocks with the same members are one.
+2. Every block gets a signature tree. Its nodes hold OR-combined bitmaps, the
+   range of set sizes and the largest number of shingles that a bitmap hides. A
+   dual traversal drops a pair of nodes when the largest possible overlap,
+   ``popcount(A & B) + hidden``, is below what the sizes ask for, or when both
+   lie in one component. A block of more than ``BLOCK`` sets is dealt as pairs
+   of sub-blocks, so a common shingle never meets in one task.
+3. A group of near copies would give the square of its size in pairs. Where far
+   more pairs than sets survive, the first round gives only the pairs of the
+   sets with most partners and every set's best pair; they are verified on the
+   whole shingle sets and joined to components. The second round goes over those
+   blocks again and gives every pair that lies between two components.
+4. Verified pairs of both rounds give the components by smallest reachable id.
 
 Exact: nothing is sampled or capped; a 64-bit hash stands for a shingle and for
 a whole set. Defined cases: a null or empty text has an empty set and is linked
@@ -39,7 +40,6 @@ from pyspark.sql import functions as F
 from examlytics.llm.common import (
     LOWER,
     components,
-    drop_stored,
     mix,
     pieces,
     row_counts,
@@ -51,11 +51,14 @@ from examlytics.llm.common import (
 )
 
 WORDS = 5
-#: Sets of a block that one tree holds; larger blocks become pairs of sub-blocks.
+#: Sets of a block that one side of a traversal holds; larger blocks become pairs of sub-blocks.
 BLOCK = 2048
 LEAF = 16
 FAN = 8
 MAX_BITS = 1 << 16
+#: The first round gives all pairs of a block up to so many per set; else those of so many hubs.
+PAIRS_PER_SET = 4
+HUBS = 8
 
 
 # ------------------------------------------------------------------ sets of a text
@@ -134,45 +137,33 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ------------------------------------------------------------------ bounds and trees
 
 
-def fold(sig: np.ndarray, size: int) -> np.ndarray:
-    """A bitmap brought down to ``size`` bytes by OR-ing its halves."""
-    while len(sig) > size:
-        sig = sig[: len(sig) // 2] | sig[len(sig) // 2 :]
-    return sig
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) brought down to ``words`` words by OR-ing their halves."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
 
 
-def popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
-
-
-def may_link(na: int, nb: int, a: np.ndarray, b: np.ndarray) -> bool:
-    """False only if two sets with these sizes and bitmaps cannot be linked."""
-    if 5 * na < 4 * nb or 5 * nb < 4 * na:
-        return False
-    size = min(len(a), len(b))
-    a, b = fold(a, size), fold(b, size)
-    hidden = min(na - int(popcount(a)), nb - int(popcount(b)))
-    return 9 * (int(popcount(a & b)) + hidden) >= 4 * (na + nb)
+def popcount(bits: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bits).sum(axis=-1, dtype=np.int64)
 
 
 class Tree:
-    """Signature tree over the sets of a block, ordered by set size.
+    """Signature tree over the sets of a block, ordered by set size, bitmaps of one width.
 
     Level 0 are the sets; a node of a higher level covers FAN (leaves: LEAF)
-    nodes below and holds the OR of their bitmaps, the range of their sizes,
-    the most shingles hidden by a bitmap, and their component if it is one.
+    nodes below and holds the OR of their bitmaps, the range of their sizes, the
+    most shingles hidden by a bitmap, and the range of their components.
     """
 
-    def __init__(self, n: np.ndarray, sigs: list[np.ndarray], comp: np.ndarray):
-        size = min((len(s) for s in sigs), default=32)
-        bits = np.stack([fold(s, size) for s in sigs])
+    def __init__(self, bits: np.ndarray, n: np.ndarray, comp: np.ndarray):
         self.levels = [(bits, n, n, n - popcount(bits), comp, comp)]
         self.fans = []
         while len(self.levels[-1][0]) > 1:
             bits, lo, hi, hid, c0, c1 = self.levels[-1]
-            fan = LEAF if not self.fans else FAN
-            at = np.arange(0, len(bits), fan)
-            self.fans.append(fan)
+            self.fans.append(FAN if self.fans else LEAF)
+            at = np.arange(0, len(bits), self.fans[-1])
             self.levels.append(
                 (
                     np.bitwise_or.reduceat(bits, at, axis=0),
@@ -184,126 +175,182 @@ class Tree:
                 )
             )
 
-    def children(self, level: int, node: int) -> np.ndarray:
+    def children(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, int]:
+        """Children of nodes as a table (nodes x fan); places past the end are not nodes."""
         fan = self.fans[level - 1]
-        return np.arange(node * fan, min((node + 1) * fan, len(self.levels[level - 1][0])))
+        return nodes[:, None] * fan + np.arange(fan), len(self.levels[level - 1][0])
 
 
-def survives(x: tuple, i: np.ndarray, y: tuple, j: np.ndarray) -> np.ndarray:
-    """Pairs of nodes (i of one level, j of another tree's) that may hold a link."""
+def survives(x: tuple, i: np.ndarray, y: tuple, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs (node i of one level, node j of another) may hold a link, and their largest overlap."""
     xb, xlo, xhi, xhid, xc0, xc1 = x
     yb, ylo, yhi, yhid, yc0, yc1 = y
-    lo = np.maximum(xlo[i], ylo[j])  # the larger set has at least so many shingles
     ok = (5 * xhi[i] >= 4 * ylo[j]) & (5 * yhi[j] >= 4 * xlo[i])
     ok &= ~((xc0[i] == xc1[i]) & (yc0[j] == yc1[j]) & (xc0[i] == yc0[j]))
+    most = np.zeros(len(i), np.int64)
     at = np.flatnonzero(ok)
-    if len(at):
-        size = min(xb.shape[1], yb.shape[1])
-        a = np.stack([fold(v, size) for v in xb[i[at]]]) if xb.shape[1] > size else xb[i[at]]
-        b = np.stack([fold(v, size) for v in yb[j[at]]]) if yb.shape[1] > size else yb[j[at]]
-        if xb.shape[1] == yb.shape[1]:
-            hid = np.minimum(xhid[i[at]], yhid[j[at]])
-        else:  # folding hides more shingles of the wider side: only the narrower side's count holds
-            hid = xhid[i[at]] if xb.shape[1] == size else yhid[j[at]]
-        most = popcount(a & b) + hid
-        least = xlo[i[at]] + ylo[j[at]]
-        # overlap o is enough only if 9 o >= 4 (n + m), and 5 o >= 4 max(n, m)
-        ok[at] = (9 * most >= 4 * least) & (5 * most >= 4 * lo[at])
-    return ok
-
-
-def dual_traversal(t: Tree, u: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of sets (of t, of u) that survive on every level; t and u may be one tree."""
-    top = max(len(t.levels), len(u.levels)) - 1
-    a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    for s in range(0, len(at), 1 << 14):
+        k = at[s : s + (1 << 14)]
+        p, q = i[k], j[k]
+        words = min(xb.shape[1], yb.shape[1])
+        # the hidden count of a folded bitmap is unknown: the narrower side's holds
+        hid = np.minimum(xhid[p], yhid[q]) if xb.shape[1] == yb.shape[1] else xhid[p] if xb.shape[1] == words else yhid[q]
+        most[k] = popcount(fold(xb[p], words) & fold(yb[q], words)) + hid
+        # an overlap o is enough only if 9 o >= 4 (n + m), hence 5 o >= 4 max(n, m)
+        ok[k] = (9 * most[k] >= 4 * (xlo[p] + ylo[q])) & (5 * most[k] >= 4 * np.maximum(xlo[p], ylo[q]))
+    return ok, most
+
+
+def dual_traversal(t: Tree, u: Tree) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of sets (of t, of u) that survive on every level, with their largest overlap; t and u may be one tree."""
     step = 1 << 15
-    stack = [(min(top, len(t.levels) - 1), min(top, len(u.levels) - 1), a, b)]
+    stack = [(len(t.levels) - 1, len(u.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         la, lb, a, b = stack.pop()
-        ok = survives(t.levels[la], a, u.levels[lb], b)
         if t is u:
-            ok &= (a <= b) if la or lb else (a < b)
+            keep = (a <= b) if la else (a < b)
+            a, b = a[keep], b[keep]
+        ok, most = survives(t.levels[la], a, u.levels[lb], b)
         a, b = a[ok], b[ok]
         if not len(a):
             continue
-        if la == 0 and lb == 0:
-            yield a, b
-            continue
-        na, nb = max(la - 1, 0), max(lb - 1, 0)
-        pa_, pb_ = [], []
-        for i, j in zip(a, b):
-            ci = t.children(la, i) if la else np.array([i])
-            cj = u.children(lb, j) if lb else np.array([j])
-            pa_.append(np.repeat(ci, len(cj)))
-            pb_.append(np.tile(cj, len(ci)))
-        a, b = np.concatenate(pa_), np.concatenate(pb_)
-        stack.extend((na, nb, a[s : s + step], b[s : s + step]) for s in range(0, len(a), step))
-
-
-def _arrays(col: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint8) for x in col.to_pylist()]
-
-
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) that the bitmaps allow."""
-    for batch in batches:
-        na, nb = (np.asarray(batch.column(c)) for c in ("na", "nb"))
-        near = np.flatnonzero((5 * na.astype(np.int64) >= 4 * nb) & (5 * nb.astype(np.int64) >= 4 * na))
-        batch = batch.take(pa.array(near))
-        na, nb = na[near], nb[near]
-        sa, sb = _arrays(batch.column("siga")), _arrays(batch.column("sigb"))
-        ok = [may_link(int(na[i]), int(nb[i]), sa[i], sb[i]) for i in range(len(na))]
-        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-
-def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of every (block, i, j) group; the rows come sorted by group."""
-    from itertools import chain
-
-    def emit(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(rows)
-        n = np.asarray(t.column("n")).astype(np.int64)
-        sub = np.asarray(t.column("sub"))
-        key = np.asarray(t.column("key"))
-        comp = np.asarray(t.column("comp"))
-        sigs = _arrays(t.column("sig"))
-        sides = []
-        for s in np.unique(sub):
-            at = np.flatnonzero(sub == s)
-            at = at[np.lexsort((key[at], n[at]))]
-            # one tree for each width of bitmap: similar sizes, comparable bitmaps
-            width = np.array([len(sigs[k]) for k in at])
-            sides.append([(at[width == w], Tree(n[at[width == w]], [sigs[k] for k in at[width == w]], comp[at[width == w]])) for w in np.unique(width)])
-        i, j = int(t.column("i")[0].as_py()), int(t.column("j")[0].as_py())
-        if i == j:
-            trees = sides[0]
-            todo = [(x, y) for k, x in enumerate(trees) for y in trees[k:]]
-        elif len(sides) == 2:
-            todo = [(x, y) for x in sides[0] for y in sides[1]]
-        else:
-            todo = []
-        for (at, x), (bt, y) in todo:
-            for p, q in dual_traversal(x, y):
-                yield pa.RecordBatch.from_arrays([pa.array(key[at[p]]), pa.array(key[bt[q]])], names=["a", "b"])
-
-    held: list[pa.RecordBatch] = []
-    group = None
-    for batch in chain(batches, [None]):
-        if batch is None:
-            if held:
-                yield from emit(held)
-            return
-        if not batch.num_rows:
+        if not la and not lb:
+            yield a, b, most[ok]
             continue
-        g = np.stack([np.asarray(batch.column(c)) for c in ("token", "i", "j")], axis=1)
-        cuts = [0, *(np.flatnonzero((g[1:] != g[:-1]).any(axis=1)) + 1), len(g)]
-        for s, e in zip(cuts, cuts[1:]):
-            now = tuple(g[s])
-            if now != group and held:
-                yield from emit(held)
+        # the higher node opens; nodes of one level open together
+        ca, na = t.children(la, a) if la >= lb and la else (a[:, None], len(t.levels[la][0]))
+        cb, nb = u.children(lb, b) if lb >= la and lb else (b[:, None], len(u.levels[lb][0]))
+        down = (la - (la >= lb and la > 0), lb - (lb >= la and lb > 0))
+        x = np.repeat(ca, cb.shape[1], axis=1).ravel()
+        y = np.tile(cb, (1, ca.shape[1])).ravel()
+        real = (x < na) & (y < nb)
+        x, y = x[real], y[real]
+        stack.extend((*down, x[s : s + step], y[s : s + step]) for s in range(0, len(x), step))
+
+
+class Members:
+    """The sets of many blocks as arrays; bitmaps in one table per width."""
+
+    def __init__(self, rows: pa.Table):
+        self.key, self.n, self.comp, self.sub = (np.asarray(rows.column(c)).astype(np.int64) for c in ("key", "n", "comp", "sub"))
+        sigs = [np.frombuffer(x, np.uint64) for x in rows.column("sig").to_pylist()]
+        self.width = np.array([len(x) for x in sigs])
+        self.bits, self.at = {}, np.zeros(len(sigs), np.int64)
+        for w in np.unique(self.width):
+            of = np.flatnonzero(self.width == w)
+            self.bits[int(w)] = np.stack([sigs[k] for k in of])
+            self.at[of] = np.arange(len(of))
+
+    def trees(self, of: np.ndarray) -> list[tuple[np.ndarray, Tree]]:
+        """A tree per bitmap width over the sets ``of``, in order of size."""
+        of = of[np.lexsort((self.key[of], self.n[of]))]
+        out = []
+        for w in np.unique(self.width[of]):
+            k = of[self.width[of] == w]
+            out.append((k, Tree(self.bits[int(w)][self.at[k]], self.n[k], self.comp[k])))
+        return out
+
+    def small(self, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Surviving pairs of many blocks of at most LEAF sets: trees of one leaf, all at once."""
+        a, b = [], []
+        for size in np.unique(sizes):
+            i, j = np.triu_indices(size, 1)
+            at = starts[sizes == size][:, None]
+            a.append((at + i).ravel())
+            b.append((at + j).ravel())
+        if not a:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        a, b = np.concatenate(a), np.concatenate(b)
+        ok = np.zeros(len(a), bool)
+        for wa in self.bits:
+            for wb in self.bits:
+                k = np.flatnonzero((self.width[a] == wa) & (self.width[b] == wb))
+                if len(k) and max(wa, wb) <= 4 * min(wa, wb):  # widths further apart: sizes too
+                    ok[k] = survives(self._level(wa), self.at[a[k]], self._level(wb), self.at[b[k]])[0]
+        return a[ok], b[ok]
+
+    def _level(self, w: int) -> tuple:
+        of = np.flatnonzero(self.width == w)
+        n, c = self.n[of], self.comp[of]
+        return self.bits[w], n, n, n - popcount(self.bits[w]), c, c
+
+
+def hub_pairs(a: np.ndarray, b: np.ndarray, rank: np.ndarray, size: int) -> np.ndarray:
+    """Of many pairs: those of the HUBS sets with most partners, and every set's best."""
+    degree = np.bincount(a, minlength=size) + np.bincount(b, minlength=size)
+    hub = np.zeros(size, bool)
+    hub[np.argsort(-degree, kind="stable")[:HUBS]] = True
+    take = hub[a] | hub[b]
+    order = np.argsort(-rank, kind="stable")
+    for side in (a, b):
+        take[order[np.unique(side[order], return_index=True)[1]]] = True
+    return take
+
+
+def block_pairs(m: Members, of: np.ndarray, cross: bool, every: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Surviving pairs of one large block (``cross``: between its two sub-blocks), and whether some were left out."""
+    sides = [m.trees(of[m.sub[of] == s]) for s in np.unique(m.sub[of])]
+    if cross:
+        todo = [(x, y) for x in sides[0] for y in sides[1]] if len(sides) == 2 else []
+    else:
+        todo = [(x, y) for k, x in enumerate(sides[0]) for y in sides[0][k:]]
+    a, b, rank = [], [], []
+    for (at, x), (bt, y) in todo:
+        for p, q, most in dual_traversal(x, y):
+            a.append(at[p])
+            b.append(bt[q])
+            rank.append(9 * most / (m.n[at[p]] + m.n[bt[q]]))
+    if not a:
+        return np.empty(0, np.int64), np.empty(0, np.int64), False
+    a, b, rank = np.concatenate(a), np.concatenate(b), np.concatenate(rank)
+    if every or len(a) <= PAIRS_PER_SET * len(of):
+        return a, b, False
+    take = hub_pairs(a - of[0], b - of[0], rank, int(of[-1] - of[0]) + 1)
+    return a[take], b[take], True
+
+
+def _tree_pairs(every: bool):
+    """Candidate pairs (a, b) of the blocks (token, i, j), which come sorted; ``token`` is set where pairs were left out."""
+
+    def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g = np.stack([np.asarray(batch.column(c)) for c in ("token", "i", "j")], axis=1)
+            change = np.flatnonzero((g[1:] != g[:-1]).any(axis=1))
+            if not held:
+                last = None
+            if held and tuple(g[0]) != last and sum(x.num_rows for x in held) >= 4096:
+                yield pa.Table.from_batches(held)
+                held = []
+            if len(change) and sum(x.num_rows for x in held) + change[-1] + 1 >= 4096:
+                cut = int(change[-1]) + 1
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
                 held = []
-            group = now
-            held.append(batch.slice(s, e - s))
+                batch = batch.slice(cut)
+            held.append(batch)
+            last = tuple(g[-1])
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches):
+            g = np.stack([np.asarray(rows.column(c)) for c in ("token", "i", "j")], axis=1)
+            starts = np.concatenate([[0], np.flatnonzero((g[1:] != g[:-1]).any(axis=1)) + 1])
+            sizes = np.diff(np.append(starts, len(g)))
+            m = Members(rows)
+            few = (sizes <= LEAF) & (g[starts, 1] == g[starts, 2])
+            a, b = m.small(starts[few], sizes[few])
+            out = [(a, b, np.zeros(len(a), bool), np.zeros(len(a), np.int64))]
+            for s, size in zip(starts[~few], sizes[~few]):
+                a, b, more = block_pairs(m, np.arange(s, s + size), bool(g[s, 1] != g[s, 2]), every)
+                out.append((a, b, np.full(len(a), more), np.full(len(a), g[s, 0])))
+            a, b, more, token = (np.concatenate(x) for x in zip(*out))
+            lo, hi = np.minimum(m.key[a], m.key[b]), np.maximum(m.key[a], m.key[b])
+            yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(token, mask=~more)], names=["a", "b", "token"])
+
+    return run
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,43 +387,49 @@ def verified(pairs: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "seta", "setb").mapInArrow(_verified, "a long, b long")
 
 
-def links(docs: DataFrame, sets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(links between set keys that connect all linked sets, component of each linked key)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    sigs = sets.where(F.col("sig").isNotNull()).groupBy("key").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
-    sigs = stored(sigs, "signatures")
+def blocks(sets: DataFrame) -> DataFrame:
+    """``token, key, size``: the sets of every prefix shingle that several sets share, equal blocks once."""
     postings = sets.where(F.col("prefix").isNotNull()).select(F.explode("prefix").alias("token"), "key")
-    blocks = postings.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
-    members = stored(postings.join(blocks.select("token", "lo"), "token").distinct(), "blocks")
-
-    # stars: every member against the smallest key of its blocks
-    sa = sigs.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sig").alias("siga"))
-    sb = sigs.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sigb"))
-    star = members.where("key <> lo").select(F.col("lo").alias("a"), F.col("key").alias("b")).distinct()
-    star = star.join(sa, "a").join(sb, "b").mapInArrow(_bounded, "a long, b long")
-    star = stored(star.groupBy("b").agg(F.min("a").alias("a")), "star-pairs")
-    first = stored(verified(star.select("a", "b"), texts, sets), "star-links")
-    comp = stored(components(first), "star-components")
-
-    # trees: blocks that still hold more than one component
-    known = members.select("token", "key").join(comp.withColumnRenamed("node", "key"), "key", "left")
-    known = stored(known.withColumn("comp", F.coalesce("comp", "key")), "block-members")
-    mixed = known.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 <> c1")
-    x = known.join(mixed.select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "token")
-    x = x.withColumn("sub", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    shared = postings.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
+    members = stored(postings.join(shared.select("token"), "token").distinct(), "blocks")
+    who = members.groupBy("token").agg(
+        F.count("*").alias("size"), F.bit_xor(F.xxhash64("key")).alias("h"), F.min("key").alias("lo"), F.max("key").alias("hi")
+    )
+    once = who.groupBy("size", "h", "lo", "hi").agg(F.min("token").alias("token"))
+    return stored(members.join(once.select("token", "size"), "token"), "block-members")
+
+
+def tree_pairs(members: DataFrame, sigs: DataFrame, every: bool) -> DataFrame:
+    """Candidate pairs of blocks (``token, key, size, comp``) by signature trees."""
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    x = members.withColumn("parts", parts).withColumn("sub", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     x = x.select("token", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "sub", "key", "comp")
     x = x.join(sigs, "key").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    tree = x.mapInArrow(_tree_pairs, "a long, b long")
-    tree = tree.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = stored(verified(stored(tree, "tree-pairs"), texts, sets), "tree-links")
-    return first.unionByName(second), comp
+    return x.mapInArrow(_tree_pairs(every), "a long, b long, token long")
+
+
+def links(docs: DataFrame, sets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (a, b) between set keys that connect all linked sets."""
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    sigs = sets.where(F.col("sig").isNotNull()).groupBy("key").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
+    sigs = stored(sigs, "signatures")
+    members = blocks(sets)
+    found = stored(tree_pairs(members.withColumn("comp", F.col("key")), sigs, every=False), "tree-pairs")
+    first = stored(verified(found.select("a", "b").distinct(), texts, sets), "tree-links")
+    again = found.where("token is not null").select("token").distinct()
+    comp = components(first).withColumnRenamed("node", "key")
+    rest = members.join(again, "token", "left_semi").join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    pairs = tree_pairs(rest, sigs, every=True).select("a", "b").distinct()
+    pairs = stored(pairs.join(found.select("a", "b").distinct(), ["a", "b"], "left_anti"), "tree-pairs")
+    second = stored(verified(pairs, texts, sets), "tree-links")
+    return first.unionByName(second)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_shingles, component_id`` for every row of ``docs``."""
     sets = describe(docs, id_col, text_col)
-    found, _ = links(docs, sets, id_col, text_col)
+    found = links(docs, sets, id_col, text_col)
     comp = stored(components(found), "components").withColumnRenamed("node", "key")
     by_key = sets.where("n > 0").groupBy("key").agg(F.min("id").alias("low"))
     by_comp = by_key.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
