@@ -24,6 +24,12 @@ def exam_with_type(exams: DataFrame, types: DataFrame) -> DataFrame:
     return exams.join(t, exams["exam_type_id"] == t["_tid"], "left").drop("_tid")
 
 
+def exam_with_nested_type(exams: DataFrame, types: DataFrame) -> DataFrame:
+    """Every exam with its type as a nested ``exam_type`` (id, name); null when the type is missing."""
+    t = types.select(F.col("id").alias("_tid"), F.struct("id", "name").alias("exam_type"))
+    return exams.join(t, exams["exam_type_id"] == t["_tid"], "left").drop("_tid")
+
+
 def valid_children(child: DataFrame, parent: DataFrame, fk: str, pk: str = "id") -> DataFrame:
     """E5 accepted: rows whose parent exists (left semi join)."""
     p = parent.select(F.col(pk).alias("_pk"))

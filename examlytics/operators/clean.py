@@ -183,6 +183,18 @@ def clean_question_list(df: DataFrame, number: str = "question_no", text: str =
     return q.select(number, text).distinct()
 
 
+def notebook_question_list(df: DataFrame, number: str = "question_no", text: str = "question") -> DataFrame:
+    """R6, notebook generation: rows with a number and a text, whole numbers
+    written as integers, duplicates dropped; one text may keep several numbers."""
+    q = df.where(F.col(number).isNotNull() & F.col(text).isNotNull())
+    return q.select(N.integer_text(number).alias(number), text).distinct()
+
+
+def page_rejects(df: DataFrame, page: str = "page_no") -> DataFrame:
+    """Rows whose page number is given but is no integer (``clean_transcription`` nulls it)."""
+    return df.where(F.col(page).isNotNull() & F.col(page).try_cast("int").isNull())
+
+
 def duplicate_answers(df: DataFrame, keys: Sequence[str] = ("scan_id", "student_name", "question_no")) -> DataFrame:
     """Every row whose (scan, student, number) occurs more than once; null keys
     match null keys.

@@ -545,6 +545,34 @@ SELECT s.main_question_no, s.question, s.sub_question_no, s.attempts, s.distinct
 FROM stats s LEFT JOIN mis m USING (sub_question_no)""")
 
 
+# ---------------------------------------------------------------- nested type, strict modes, notebook list, bundles, folders
+
+ORACLE["exam_nested_type"] = _q("""
+SELECT e.id, e.name, t.id AS type_id, t.name AS type_label FROM exams e LEFT JOIN exam_types t ON t.id = e.exam_type_id""",
+                                "exams", "exam_types")
+ORACLE["import_strict_columns"] = _q(f"""
+WITH {_IMPORT}
+SELECT * REPLACE (accepted AND source_file <> 'import_a' AS accepted) FROM recs""", "import_a", "import_b")
+ORACLE["page_number_rejects"] = _q("""
+SELECT "Page_Number" AS page_no, "questionNo", count(*) AS n FROM import_a
+WHERE "Page_Number" IS NOT NULL AND TRY_CAST("Page_Number" AS INTEGER) IS NULL GROUP BY 1, 2""", "import_a")
+ORACLE["notebook_questions"] = _q(f"""
+WITH {BASE}
+SELECT DISTINCT {S.integer_text('question_no')} AS question_no, question FROM arows
+WHERE question_no IS NOT NULL AND question IS NOT NULL""")
+ORACLE["topic_bundle"] = _q(f"""
+WITH {_ASSIGN},
+per AS (SELECT topic, count(*) AS question_count FROM assigned GROUP BY topic)
+SELECT topic, question_count, {S.percent_value('question_count', 'sum(question_count) OVER ()', 2)} AS percentage,
+       question_count AS questions_read
+FROM per""", "topic_questions")
+ORACLE["report_raw_part"] = ORACLE["clean_transcription"]
+ORACLE["folder_import_tally"] = _q(f"""
+WITH {_IMPORT}
+SELECT coalesce(source_file || '.csv', 'ALL') AS source_file, count(*) AS total, count_if(accepted) AS inserted
+FROM recs GROUP BY ROLLUP (source_file)""", "import_a", "import_b")
+
+
 def _bigint_counts(sql: str) -> str:
     """DuckDB's ``count_if`` is HUGEINT; Spark's is BIGINT. Wrap every call."""
     out, i, tok = [], 0, "count_if("

@@ -528,3 +528,61 @@ def misconception_attach(spark, sf_dir):
     )
     reply = F.concat(F.lit("Result:\n```json\n"), F.to_json(F.struct("misconception", "count")), F.lit("\n```"))
     return A.attach_misconceptions(r, top.select("sub_question_no", reply.alias("reply")))
+
+
+# ---------------------------------------------------------------- nested type, strict modes, notebook list, bundles, folders
+
+
+@query
+def exam_nested_type(spark, sf_dir):
+    """The nested type of every exam, read out of the nested column."""
+    e = CT.exam_with_nested_type(X.exams(spark, sf_dir), X.exam_types(spark, sf_dir))
+    return e.select("id", "name", F.col("exam_type.id").alias("type_id"), F.col("exam_type.name").alias("type_label"))
+
+
+@query
+def import_strict_columns(spark, sf_dir):
+    """The stricter importer refuses every record of a file with unknown columns."""
+    return IM.import_records(import_files(spark, sf_dir), exam_id=IMPORT_EXAM_ID, strict_columns=True)
+
+
+@query
+def page_number_rejects(spark, sf_dir):
+    """Import rows whose page number is no integer."""
+    a = X.import_a(spark, sf_dir).withColumnRenamed("Page_Number", "page_no")
+    return C.page_rejects(a).groupBy("page_no", "questionNo").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def notebook_questions(spark, sf_dir):
+    """R6, notebook generation."""
+    return C.notebook_question_list(rows(spark, sf_dir).select("question_no", "question"))
+
+
+@query
+def topic_bundle(spark, sf_dir):
+    """B4 + H2: categorised questions and topic statistics written as one bundle; both read back."""
+    q = TP.assign_topics(X.topic_questions(spark, sf_dir))
+    parts = W.write_topic_bundle(q, TP.topic_statistics(q), W.output_root(spark, "topics"))
+    n = spark.read.parquet(parts["Question_Categories"]).groupBy("topic").agg(F.count(F.lit(1)).alias("questions_read"))
+    return spark.read.parquet(parts["Topic_Statistics"]).join(n, "topic", "left")
+
+
+@query
+def report_raw_part(spark, sf_dir):
+    """The raw part of the report bundle, read back."""
+    path = W.output_root(spark, "report")
+    parts = W.write_report_bundle(question_analysis(spark, sf_dir), clean_transcription(spark, sf_dir), path)
+    return spark.read.parquet(parts["Raw_Transcription"]).select(*_CLEAN_COLS)
+
+
+@query
+def folder_import_tally(spark, sf_dir):
+    """A4 + F13: a folder with both import files, a file of another kind and an
+    empty one; imported by file name and tallied."""
+    root = W.output_root(spark, "import_folder")
+    for name, df in import_files(spark, sf_dir):
+        W.land_single_file(df, f"{root}/{name}.csv")
+    for name in ("notes.txt", "empty.csv"):
+        W.land_empty_file(spark, f"{root}/{name}")
+    return IM.import_tally(IM.import_records(FS.read_import_folder(spark, root), exam_id=IMPORT_EXAM_ID))

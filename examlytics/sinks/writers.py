@@ -44,6 +44,17 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_topic_bundle(questions: DataFrame, statistics: DataFrame, path: str) -> dict[str, str]:
+    """Categorised questions and topic statistics under one path; the
+    statistics in the order of their topics (H2)."""
+    parts = {"Question_Categories": questions, "Topic_Statistics": statistics.orderBy("topic")}
+    out = {}
+    for name, df in parts.items():
+        out[name] = posixpath.join(path, name)
+        df.write.mode("overwrite").parquet(out[name])
+    return out
+
+
 def write_report_bundle(analysis: DataFrame, raw: DataFrame, path: str) -> dict[str, str]:
     """The two parts of a report under one path."""
     parts = {"Question_Analysis": analysis, "Raw_Transcription": raw}
@@ -77,6 +88,23 @@ def append_reports(records: DataFrame, path: str, rejects: str | None = None, de
         records.where("not accepted").drop("accepted").write.mode("append").parquet(rejects)
 
 
+def land_single_file(df: DataFrame, path: str) -> None:
+    """Write ``df`` as one CSV file under the given name (a hand-over to programs
+    that expect a single file; one task writes it)."""
+    spark = df.sparkSession
+    stage = f"{path}-parts-{uuid.uuid4().hex}"
+    write_csv(df.coalesce(1), stage, null_token=None)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = fs.globStatus(hadoop(stage, "part-*.csv"))[0].getPath()
+    fs.rename(part, hadoop(path))
+
+
+def land_empty_file(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at).close()
+
+
 def ndjson_lines(df: DataFrame) -> DataFrame:
     """One JSON text per row."""
     return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("value"))

@@ -71,12 +71,19 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(s).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
 
 
-def read_folder(spark: SparkSession, path: str, fmt: str, schema: T.StructType, glob: str = "*") -> DataFrame:
-    """A4: every matching file of a folder (not recursive), with its file name."""
-    d = spark.read.format(fmt).schema(schema).option("pathGlobFilter", glob).option("header", True).load(path)
-    return d.withColumn("source_file", F.col("_metadata.file_name"))
+def read_import_folder(spark: SparkSession, path: str, glob: str = "*.csv") -> list[tuple[str, DataFrame]]:
+    """A4: the matching files of a folder (not recursive) as (file name, rows of
+    text columns), each with its own header. Files that differ in their headers
+    are different tables; listing them is metadata work on the driver. A file
+    without a readable header line gives a table without columns, so that it is
+    counted and does not stop the others."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path, glob)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    files = sorted((x.getPath().getName(), x.getPath().toString()) for x in found if x.isFile())
+    return [(name, spark.read.option("header", True).option("escape", '"').csv(p)) for name, p in files]
 
 
 def read_page_images(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
-    """Landed page images as rows (path, length, content)."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    """Landed page images as rows: file name, length, content."""
+    d = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    return d.select(F.element_at(F.split("path", "/"), -1).alias("image_name"), "length", "content")
