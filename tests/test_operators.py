@@ -1,5 +1,7 @@
 """Operator goldens and properties on small hand-made frames."""
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -128,11 +130,112 @@ def test_report_order_natural(spark):
     assert [r[0] for r in report_order(df, natural=True).collect()] == ["1(c)", "2(a)", "10(b)"]
 
 
+def shuffled_by_key_alone(df):
+    """Sub-plans below an exchange on the key without a block."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    out = []
+    for i, x in enumerate(lines):
+        if re.search(r"Exchange hashpartitioning\((k#\d+L|_k0#\d+L, _n0#\d+), \d+\)", x):
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            out.append("\n".join(lines[i:end]))
+    return out
+
+
 def test_blocked_carry_never_shuffles_rows_by_key_alone(spark):
-    df = spark.createDataFrame([(0, i, None) for i in range(10)], "k long, o long, v string")
-    plan = carry_last(df, ["k"], "o", "v", "c", block=4)._jdf.queryExecution().executedPlan().toString()
-    # the row-level window is partitioned by (key, block); only the per-block summary is keyed by k alone
-    assert "hashpartitioning(k#" in plan and "_blk" in plan
+    df = spark.createDataFrame([(0, i, None, "x") for i in range(10)], "k long, o long, v string, payload string")
+    plain = df.withColumn("c", F.last("v", True).over(Window.partitionBy("k").orderBy("o")))
+    assert any("payload" in x for x in shuffled_by_key_alone(plain))  # the check sees what it must refuse
+    below = shuffled_by_key_alone(carry_last(df, ["k"], "o", "v", "c", block=4))
+    assert not any(re.search(r"Scan.*payload|\[[^]]*payload", x) for x in below)
+
+
+def test_null_keys_are_a_key(spark):
+    rows = [(None if i % 3 == 0 else "s", i, f"v{i}" if i % 5 == 0 else None) for i in range(100)]
+    df = spark.createDataFrame(rows, "k string, o long, v string")
+    w = Window.partitionBy("k").orderBy("o")
+    want = df.select("k", "o", F.last("v", True).over(w).alias("c"), F.row_number().over(w).alias("rn"))
+    for levels in (1, 2, 3, 4):
+        got = number_rows(carry_last(df, ["k"], "o", "v", "c", 3, levels), ["k"], "o", "rn", 3, levels)
+        assert sorted(map(str, got.select("k", "o", "c", "rn").collect())) == sorted(map(str, want.collect()))
+
+
+def test_every_page_is_rejected_empty_or_read(spark):
+    bodies = [
+        '{"studentName": "A", "entries": []}', '{"studentName": "", "entries": null}', '{"studentName": "B", "entries": "x"}',
+        '{"studentName": "", "entries": [{"questionNo": "1"}, "t"]}', '{"studentName": "", "entries": [{"questionNo": 2, "answer": null}]}',
+        "nothing", '{"entries": []}',
+    ]
+    df = spark.createDataFrame([(0, i + 1, b) for i, b in enumerate(bodies)], "scan_id long, page_no int, raw_content string")
+    rejects = {r.page_no: r.reject_reason for r in P.response_rejects(df).collect()}
+    assert rejects == {2: "bad_entries", 3: "bad_entries", 4: "bad_entries", 6: "invalid_json", 7: "missing_keys"}
+    assert [tuple(r) for r in P.page_placeholders(df).collect()] == [(0, 1, "A")]
+    rows = P.flatten_pages(df).collect()
+    # page 3 is refused, its name goes on; missing fields are empty, null stays null
+    assert [(r.page_no, r.student_name, r.question_no_raw, r.question, r.answer, r.grading) for r in rows] == [(5, "B", "2", "", None, "")]
+
+
+def test_patches_combine(spark):
+    from examlytics.operators.catalog import apply_patches
+
+    base = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (3, "c", 3)], "id long, name string, exam_type_id int")
+    patches = spark.createDataFrame(
+        [(1, 1, "name", "x", None), (1, 2, "exam_type_id", None, None), (2, 1, "name", "old", None), (2, 2, "name", "new", None), (9, 1, "name", "z", 1)],
+        "id long, patch_ord int, set_field string, name string, exam_type_id int",
+    )
+    got = {tuple(r) for r in apply_patches(base, patches, ["name", "exam_type_id"]).collect()}
+    assert got == {(1, "x", None), (2, "new", 2), (3, "c", 3)}
+
+
+def test_replies_merge_to_one_row(spark):
+    from examlytics.operators.analysis import merge_replies
+
+    replies = [("1(a)", '{"misconception": "m", "count": 4.0}'), ("1(a)", '{"misconception": "n", "count": "5"}'), ("1(a)", '```json\n{"misconception": "m", "count": 3}\n```'),
+               ("2", '{"misconception": "z"}'), ("2", "no reply"), ("3", "no reply")]
+    got = {r.sub_question_no: (r.misconception, r.misconception_frequency) for r in merge_replies(spark.createDataFrame(replies, "sub_question_no string, reply string")).collect()}
+    assert got == {"1(a)": ("m", 7), "2": ("z", 0), "3": (None, 0)}
+
+
+def test_reports_append_and_dedupe(spark, tmp_path):
+    from examlytics.sinks.writers import append_reports
+
+    df = spark.createDataFrame([("A", "1", "3"), ("A", "1", "3"), ("B", None, "x")], "`Student Name` string, questionNo string, `Page Number` string")
+    records = IM.import_records([("f", df)], exam_id=1)
+    for path, keys, want in (("all", None, 4), ("once", ["exam_id", "student_name", "question_no"], 1)):
+        for _ in range(2):
+            append_reports(records, str(tmp_path / path), str(tmp_path / f"{path}-rejects"), keys)
+        assert spark.read.parquet(str(tmp_path / path)).count() == want
+        assert spark.read.parquet(str(tmp_path / f"{path}-rejects")).count() == 2
+
+
+def test_lenient_lines(spark, tmp_path):
+    from examlytics.sources.files import read_question_list_lenient
+
+    (tmp_path / "q.txt").write_text("Question No,Question\n1,a, b\n\n  \n2\n")
+    got = read_question_list_lenient(spark, str(tmp_path / "q.txt"), ("Question No", "Question")).collect()
+    assert [tuple(r) for r in got] == [("1", "a, b"), ("2", None)]
+
+
+def test_clusters_must_name_a_shared_folder():
+    import pytest
+
+    from examlytics.session import ensure_checkpoint_dir
+
+    class Fake:
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+        class sparkContext:  # noqa: N801
+            master = "local-cluster[3,2,1000]"
+
+            @staticmethod
+            def getCheckpointDir():
+                return None
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Fake)
 
 
 def test_get_or_create_first_type_wins_and_domain(spark):
