@@ -54,15 +54,18 @@ def _join_blocks(d: DataFrame, summ: DataFrame, keys: list[str], blk: str) -> Da
     return d.join(s2, on=[*keys, blk], how="left")
 
 
+def _last_value(value: str, order: str) -> Column:
+    """The non-null value with the largest order; null if there is none."""
+    return F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order)))
+
+
 def _last_before(summ: DataFrame, keys: list[str], block: int, levels: int) -> DataFrame:
     """``_prev`` = last non-null ``_v`` of the earlier blocks (``_o``) of each key."""
     if levels <= 1:
         w = Window.partitionBy(*keys).orderBy("_o").rowsBetween(*BEFORE)
         return summ.select(*keys, "_o", F.last("_v", ignorenulls=True).over(w).alias("_prev"))
     d = summ.withColumn("_b", _blk("_o", block))
-    upper = d.where(F.col("_v").isNotNull()).groupBy(*keys, F.col("_b")).agg(F.max_by("_v", "_o").alias("_v"))
-    # blocks without a value still need what came before them
-    upper = d.select(*keys, "_b").distinct().join(upper, [*keys, "_b"], "left").withColumnRenamed("_b", "_o")
+    upper = d.groupBy(*keys, "_b").agg(_last_value("_v", "_o").alias("_v")).withColumnRenamed("_b", "_o")
     upper = _last_before(upper, keys, block, levels - 1).select(*keys, F.col("_o").alias("_b"), F.col("_prev").alias("_up"))
     w = Window.partitionBy(*keys, "_b").orderBy("_o").rowsBetween(*BEFORE)
     inside = d.select(*keys, "_o", "_b", F.last("_v", ignorenulls=True).over(w).alias("_in"))
@@ -96,14 +99,12 @@ def carry_last(
 
     Equivalent to ``last(value, ignorenulls=True)`` over
     ``partitionBy(keys).orderBy(order).rowsBetween(unboundedPreceding, 0)``.
-    One shuffle of the rows, by (keys, block); the summary aggregates the rows
-    that have a value, map-side, to one per (keys, block).
+    One shuffle of the rows, by (keys, block); the summary is aggregated map-side
+    to one row per (keys, block), and its levels reuse that one exchange.
     """
     d, ks = _null_free(df, keys)
     d = d.withColumn("_blk", _blk(order, block))
-    have = d.where(F.col(value).isNotNull()).groupBy(*ks, F.col("_blk")).agg(F.max_by(value, order).alias("_v"))
-    every = d.select(*ks, "_blk").distinct()
-    summ = every.join(have, [*ks, "_blk"], "left").withColumnRenamed("_blk", "_o")
+    summ = d.groupBy(*ks, "_blk").agg(_last_value(value, order).alias("_v")).withColumnRenamed("_blk", "_o")
     summ = _last_before(summ, ks, block, levels - 1).withColumnRenamed("_o", "_blk")
     w = Window.partitionBy(*ks, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_in", F.last(value, ignorenulls=True).over(w))
