@@ -220,3 +220,38 @@ def query(spark, sf_dir: str) -> DataFrame:
         "lines_removed",
         "words_removed",
     )
+
+
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+#: The same rows in DuckDB SQL (rows of ``documents`` are told apart by a row number).
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+dw AS (SELECT rid, regexp_extract_all(text, {_WORDS}) AS words FROM d),
+w AS (SELECT rid, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM dw),
+tri AS (SELECT rid, i, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, w, w2, w3) AS n FROM tri WHERE w3 IS NOT NULL) t WHERE n > 1),
+rep AS (SELECT rid, count(DISTINCT i + j) AS n_repeat_words FROM twice, (SELECT unnest([0, 1, 2]) AS j) k GROUP BY rid),
+ws AS (SELECT rid, count(*) AS n_words, sum(length(w))::BIGINT AS word_chars FROM w GROUP BY rid),
+ln AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
+l AS (SELECT rid, line, regexp_extract_all(translate(line, {_LOWER}), {_WORDS}) AS lw FROM ln),
+lines AS (SELECT rid, line, array_to_string(lw, ' ') AS norm, len(lw) AS n FROM l WHERE len(lw) > 0),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY rid),
+hosts AS (SELECT host, count(*) AS host_docs FROM d GROUP BY host),
+freq AS (SELECT host, norm, count(DISTINCT coalesce(doc_id::VARCHAR, '-')) AS line_docs FROM lines JOIN d USING (rid) GROUP BY host, norm),
+over_limit AS (SELECT host, norm FROM freq JOIN hosts USING (host)
+               WHERE line_docs > {MIN_LINE_DOCS} AND line_docs > {MIN_LINE_SHARE} * host_docs),
+gone AS (SELECT rid, count(*) AS lines_removed, sum(n)::BIGINT AS words_removed
+         FROM lines JOIN d USING (rid) JOIN over_limit USING (host, norm) GROUP BY rid),
+m AS (
+  SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+         (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         coalesce(lines_removed, 0) AS lines_removed, coalesce(words_removed, 0) AS words_removed
+  FROM d LEFT JOIN ws USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN gone USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND NOT (words_removed > 0 AND
+         (n_words - words_removed < {MIN_WORDS_LEFT} OR n_words - words_removed < {MIN_SHARE_LEFT} * n_words)) AS kept
+FROM b
+"""

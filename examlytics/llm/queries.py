@@ -30,4 +30,6 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op3_warc": warc.ORACLE,
+    "op6_ngram_join": ngram_join.ORACLE,
+    "op10_quality_rules": quality_rules.ORACLE,
 }
