@@ -6,6 +6,7 @@ megabytes at a time, so a task's memory does not depend on the batch size.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -62,6 +63,16 @@ def drop_stored(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs.
+
+    Spark removes them once the driver has collected their plans as garbage,
+    which a driver with free memory may put off until the job's end.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 # ------------------------------------------------------------------ pieces of an Arrow column
 
 

@@ -18,8 +18,8 @@ anchor offset, hence belong to regions of the same anchor string.
   log2(n) + 1 levels, and a suffix is rewritten log2(n) times.
 
 Candidates are then settled exactly: a region string that occurs twice repeats
-with all its windows; in the remaining regions of a repeated anchor string each
-window is compared on its own. Strings are compared by two independent 64-bit
+with all its windows; the different regions of one anchor string are compared
+window by window where the anchor's regions meet. Strings are compared by two independent 64-bit
 hashes, about 2e-16 false matches at 1e11 windows.
 
 Defined cases: a null text is empty; a text shorter than ``length`` has no
@@ -37,12 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from examlytics.llm.common import drop_stored, mix, pieces, prefix_hash, signed, span_hash, stored
+from examlytics.llm.common import drop_stored, mix, pieces, prefix_hash, release, signed, span_hash, stored
 
 LENGTH = 200
 GRAM = 32
 #: Batches that one call to ``remove_repeats`` adds to the index.
 BATCHES = 4
+#: An anchor string with more different regions is crowded: its windows are dealt out one by one.
+CROWD = 10_000
 
 
 # ------------------------------------------------------------------ regions of a piece
@@ -173,37 +175,114 @@ class SuffixIndex:
 # ------------------------------------------------------------------ windows of open regions
 
 
-def _windows(length: int):
+def _contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per window of the open regions of a document (``open``: first, windows, representative)."""
+        """The bytes of the open regions of documents (``open``: gram, first, windows, crowded)."""
         for batch in batches:
-            if not batch.num_rows:
-                continue
             spans = batch.column("open").to_pylist()
-            for a, b, data, offs in pieces(batch, "__text"):
-                p1, p2 = prefix_hash(data, 0), prefix_hash(data, 1)
-                at, row = [], []
-                for i in range(a, b):
-                    for s in spans[i]:
-                        at.append(np.arange(s["first"], s["first"] + s["windows"]) + offs[i - a])
-                        row.append(np.full(s["windows"], i))
-                if not at:
-                    continue
-                at, row = np.concatenate(at), np.concatenate(row)
+            texts = batch.column("__text")
+            out: list[tuple] = []
+            for i, regions_ in enumerate(spans):
+                raw = (texts[i].as_py() or "").encode()
+                for s in regions_:
+                    out.append((i, s["gram"], s["first"], s["windows"], s["crowded"], raw[s["first"] : s["first"] + s["windows"] - 1 + length]))
+            if out:
+                row, gram, first, windows, crowded, raw = (list(x) for x in zip(*out))
+                row = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("uid").take(pa.array(row)),
-                        batch.column("crc").take(pa.array(row)),
-                        pa.array((at - offs[row - a]).astype(np.int32)),
-                        signed(mix(span_hash(p1, at, at + length))),
-                        signed(mix(span_hash(p2, at, at + length, 1))),
+                        batch.column("uid").take(row),
+                        batch.column("crc").take(row),
+                        pa.array(gram, pa.int64()),
+                        pa.array(first, pa.int32()),
+                        pa.array(windows, pa.int32()),
+                        pa.array(crowded, pa.bool_()),
+                        pa.array(raw, pa.binary()),
                     ],
+                    names=["uid", "crc", "gram", "first", "windows", "crowded", "raw"],
+                )
+
+    return run
+
+
+CONTEXT = "uid long, crc int, gram long, first int, windows int, crowded boolean, raw binary"
+
+
+def window_hashes(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, w1, w2) of every window of the regions of a batch."""
+    raw = [x.as_buffer() for x in batch.column("raw")]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    windows = np.asarray(batch.column("windows")).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(windows + length - 1)])[:-1]
+    row = np.repeat(np.arange(len(windows)), windows)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+    at = base[row] + within
+    p1, p2 = prefix_hash(data, 0), prefix_hash(data, 1)
+    first = np.asarray(batch.column("first")).astype(np.int64)[row] + within
+    return row, first, mix(span_hash(p1, at, at + length)), mix(span_hash(p2, at, at + length, 1))
+
+
+def _windows(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per window, for crowded anchors."""
+        for batch in batches:
+            for s in range(0, batch.num_rows, 2000):
+                part = batch.slice(s, 2000)
+                row, first, w1, w2 = window_hashes(part, length)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("uid").take(at), part.column("crc").take(at), pa.array(first.astype(np.int32)), signed(w1), signed(w2)],
                     names=["uid", "crc", "first", "w1", "w2"],
                 )
 
     return run
 
 
+def _repeats(length: int):
+    """Byte ranges covered by windows that occur in two regions of an anchor string; rows come sorted by ``gram``."""
+
+    def spans(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        row, first, w1, w2 = window_hashes(batch, length)
+        order = np.lexsort((w2, w1))
+        a, b = w1[order], w2[order]
+        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        hit = np.zeros(len(row), bool)
+        hit[order[1:][same]] = True
+        hit[order[:-1][same]] = True
+        row, first = row[hit], first[hit]
+        # windows side by side are one range
+        head = np.ones(len(row), bool)
+        head[1:] = (row[1:] != row[:-1]) | (first[1:] != first[:-1] + 1)
+        h = np.flatnonzero(head)
+        last = np.append(h[1:], len(row)) - 1
+        at = pa.array(row[h])
+        return pa.RecordBatch.from_arrays(
+            [batch.column("uid").take(at), batch.column("crc").take(at), pa.array(first[h].astype(np.int32)), pa.array((first[last] + length).astype(np.int32))],
+            names=["uid", "crc", "s", "e"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            while batch.num_rows:
+                gram = np.asarray(batch.column("gram"))
+                ends = np.append(np.flatnonzero(gram[1:] != gram[:-1]) + 1, len(gram))
+                n = sum(x.num_rows for x in held)
+                if n >= 4096 and held[-1].column("gram")[-1].as_py() != gram[0]:
+                    yield spans(held)
+                    held, n = [], 0
+                # take whole anchors until 4096 rows are there; the last anchor may go on in the next batch
+                fit = ends[:-1][ends[:-1] + n >= 4096]
+                cut = int(fit[0]) if len(fit) else len(gram)
+                held.append(batch.slice(0, cut))
+                batch = batch.slice(cut)
+        if held:
+            yield spans(held)
+
+    return run
+
+
 def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Union of byte ranges [s, e), sorted and disjoint."""
     out: list[list[int]] = []
@@ -259,20 +338,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     # whole: the region string occurs twice, all its windows repeat; open: its anchor string has other regions too
     shapes = known.groupBy("gram").agg(F.count("*").alias("shapes")).where("shapes > 1")
     known = known.join(shapes, "gram", "left").where("n > 1 or shapes is not null")
-    known = stored(known.select("r1", "r2", (F.col("n") > 1).alias("whole"), F.col("shapes").isNotNull().alias("open")), "repeated-regions")
+    known = stored(known.select("r1", "r2", (F.col("n") > 1).alias("whole"), F.col("shapes").isNotNull().alias("open"), (F.coalesce("shapes", F.lit(0)) > CROWD).alias("crowded")), "repeated-regions")
     index.drop()
-    x = stored(all_regions.drop("gram", "batch").join(known, ["r1", "r2"]), "region-status")
+    release(docs.sparkSession)
+    x = stored(all_regions.drop("batch").join(known, ["r1", "r2"]), "region-status")
     drop_stored(all_regions)
+    release(docs.sparkSession)
     whole = x.where("whole").select("uid", "crc", F.col("first").alias("s"), (F.col("first") + F.col("windows") - 1 + length).alias("e"))
-    # of open regions, one occurrence of each string gives its windows
-    place = F.struct("uid", "crc", "first", "windows")
+    # of open regions, one occurrence of each string is compared window by window with its anchor's others
+    place = F.struct("uid", "crc", "gram", "first", "windows", "crowded")
     rep = x.where("open").groupBy("r1", "r2").agg(F.min(place).alias("x")).select("x.*")
-    per_doc = rep.groupBy("uid", "crc").agg(F.collect_list(F.struct("first", "windows")).alias("open"))
-    windows = docs.join(per_doc, ["uid", "crc"]).mapInArrow(_windows(length), "uid long, crc int, first int, w1 long, w2 long")
-    windows = stored(windows, "open-windows")
+    per_doc = rep.groupBy("uid", "crc").agg(F.collect_list(F.struct("gram", "first", "windows", "crowded")).alias("open"))
+    ctx = stored(docs.join(per_doc, ["uid", "crc"]).mapInArrow(_contexts(length), CONTEXT), "open-regions")
+    release(docs.sparkSession)
+    near = ctx.where("not crowded").repartition("gram").sortWithinPartitions("gram").mapInArrow(_repeats(length), "uid long, crc int, s int, e int")
+    windows = ctx.where("crowded").mapInArrow(_windows(length), "uid long, crc int, first int, w1 long, w2 long")
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    single = windows.join(twice, ["w1", "w2"], "left_semi")
-    return whole.unionByName(single.select("uid", "crc", F.col("first").alias("s"), (F.col("first") + length).alias("e")))
+    far = windows.join(twice, ["w1", "w2"], "left_semi").select("uid", "crc", F.col("first").alias("s"), (F.col("first") + length).alias("e"))
+    return whole.unionByName(near).unionByName(far)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
