@@ -42,6 +42,7 @@ from examlytics.llm.common import (
     components,
     mix,
     pieces,
+    release,
     row_counts,
     shingle_hashes,
     signed,
@@ -451,9 +452,13 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     found = stored(near_duplicates(docs, id_col, text_col), "near-duplicates").where(F.col("id").isNotNull())
     by_id = found.groupBy("id").agg(F.max((F.col("id") == F.col("component_id")) | (F.col("n_shingles") == 0)).alias("stays"), F.count("*").alias("rows"))
-    changed = by_id.where("not stays or rows > 1").select(F.col("id").alias("__id"), "stays")
+    changed = stored(by_id.where("not stays or rows > 1").select(F.col("id").alias("__id"), "stays"), "changed-ids")
+    release(docs.sparkSession)
     once = docs.join(changed, docs[id_col].cast("long") == changed["__id"], "left_anti")
-    again = docs.join(changed.where("stays"), docs[id_col].cast("long") == F.col("__id"), "left_semi")
+    repeated = changed.where("stays")
+    if repeated.isEmpty():  # no id repeats: the texts are read and shuffled once only
+        return once
+    again = docs.join(repeated, docs[id_col].cast("long") == F.col("__id"), "left_semi")
     return once.unionByName(again.dropDuplicates([id_col, text_col]))
 
 
