@@ -14,6 +14,8 @@ between as a quarantined gap. Plain and gzip archives, also mixed, are read.
 Memory: an archive is read whole by one task; the writer bounds it by
 ``RECORDS_PER_ARCHIVE``. Groups of equal payloads are reduced by ``min`` per
 digest with map-side partial results, so a very large group is never gathered.
+Pages are read twice (digests, records) and shuffled only where the list of
+revisits is too large to broadcast.
 
 Defined cases: a null html is an empty payload; a null url is written as
 ``urn:page:<id>``; a null id is written as ``none`` and read back as null (it is
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from examlytics.llm.common import scratch
+from examlytics.llm.common import scratch, stored
 
 RECORDS_PER_ARCHIVE = 2000
 VERSION = b"WARC/1."
@@ -56,10 +58,14 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.col(id_col).cast("long").alias("id"),
         F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("payload"),
-    ).withColumn("digest", base32_sha1(F.col("payload")))
-    low = x.groupBy("digest").agg(F.min("id").alias("low"))
-    x = x.join(low, "digest")
-    revisit = F.coalesce(F.col("id") != F.col("low"), F.col("low").isNotNull())
+    ).withColumns({"digest": base32_sha1(F.col("payload")), "key": F.xxhash64("payload")})
+    # who revisits whom is settled on a narrow table; Spark broadcasts it only if its files are small, else pages are shuffled
+    narrow = stored(x.select("id", "key", "digest"), "payload-digests")
+    low = narrow.groupBy("digest").agg(F.min("id").alias("low")).where("low is not null")
+    again = narrow.join(low, "digest").where("id is null or id <> low").select(F.col("id").alias("rid"), F.col("key").alias("rkey"), "low")
+    again = stored(again.distinct(), "revisits")
+    x = x.join(again, x["id"].eqNullSafe(again["rid"]) & (x["key"] == again["rkey"]), "left")
+    revisit = F.col("low").isNotNull()
     size = F.octet_length("payload").cast("string")
     name = F.coalesce(F.col("id").cast("string"), F.lit("none"))
     uri = F.regexp_replace(F.coalesce("url", F.concat(F.lit("urn:page:"), name)), r"[\r\n]", " ")
