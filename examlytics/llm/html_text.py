@@ -7,11 +7,14 @@ below the node and the body's own figures (index b):
     CTD = C / T * log[ln(C / (C - LC) * LC + LC_b / C_b * C + e)](C / LC * T / LT)
 
 Zero denominators count as one. A node's density sum is the sum over its
-children. The subtree with the largest sum is the article; the smallest density
-on its path to the body is the threshold, and subtrees beside it whose density
-reaches the threshold belong to it as far as they share its container. Menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments (by element, role, class and id) take no part.
+children. The container (a block that can hold paragraphs) with the largest sum
+is kept whole; of equal sums, that of an article or main element, then the outer
+one. The smallest density on its path to the body is the threshold: every other
+subtree of the body whose density reaches it is kept too, whole, and so is bare
+text (with the inline elements in it) on the path, unless most of it is links.
+Element names choose nothing else. Menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles and reader comments (by element, role, class and
+id) take no part.
 
 Blocks: a block-level element starts and ends a block; a line break is white
 space. Character references are decoded, white space inside a block becomes one
@@ -30,6 +33,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,6 +47,8 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td "
     "tfoot th thead tr ul".split()
 )
+#: Blocks that are a paragraph, heading, item or caption, and no container, unless a block is below them.
+PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 pre dt dd li td th caption figcaption summary legend option address hr".split())
 NOT_TEXT = frozenset(
     "head nav aside form footer script style textarea title xmp iframe noembed noframes noscript template svg math object canvas "
     "button select input label fieldset dialog audio video".split()
@@ -210,44 +216,70 @@ def density(n: Node, body: Node) -> float:
     return c / t * math.log(max(power, 1.0)) / max(math.log(base), 0.1)
 
 
-def select(nodes: list[Node]) -> list[int]:
-    """Roots of the subtrees that make up the article, in page order."""
+def select(nodes: list[Node]) -> list[int | str | None]:
+    """Subtrees and pieces of text that make up the article, in page order; None ends a block."""
     body = next((i for i, n in enumerate(nodes) if n.tag == "body"), 0)
     if not nodes[body].chars:
         body = 0
     live = [i for i in range(len(nodes)) if not nodes[i].noise]
     dens = {i: density(nodes[i], nodes[body]) for i in live}
     total = dict.fromkeys(live, 0.0)
+    inside = {body}
     for i in live:
         if nodes[i].parent in total:
             total[nodes[i].parent] += dens[i]
-    inside = [i for i in live if _under(nodes, i, body) and nodes[i].tag in BLOCK | {"#root"}]
-    best = max(inside, key=lambda i: (total[i], -i), default=body)
+        if nodes[i].parent in inside:
+            inside.add(i)
+    over = [False] * len(nodes)  # a block is below the node
+    for i in range(len(nodes) - 1, 0, -1):
+        over[nodes[i].parent] |= over[i] or nodes[i].tag in BLOCK
+    containers = [i for i in live if i in inside and (i == body or (nodes[i].tag in BLOCK and (over[i] or nodes[i].tag not in PARAGRAPH)))]
+    best = max(containers, key=lambda i: (total[i], nodes[i].tag in ("article", "main"), -i), default=body)
     if not total.get(best):
         return [body]
-    path = [best]
-    while path[-1] != body and nodes[path[-1]].parent >= 0:
-        path.append(nodes[path[-1]].parent)
+    path = {best}
+    at = best
+    while at != body:
+        at = nodes[at].parent
+        path.add(at)
     threshold = min(dens[i] for i in path)
-    # the article element around it, or the container whose other blocks are as dense
-    around = [i for i in path if nodes[i].tag in ("article", "main")]
-    if around:
-        return [around[-1] if nodes[around[-1]].tag == "article" else around[0]]
-    top = path[1] if len(path) > 1 else best
-    out = []
-    for k in nodes[top].kids:
-        if k == best or (isinstance(k, int) and k in dens and dens[k] >= threshold and nodes[k].chars):
+    out: list[int | str | None] = []
+    stack: list = [body]
+    while stack:
+        k = stack.pop()
+        if k is None:
+            out.append(None)
+        elif isinstance(k, list):
+            out.extend(k)
+        elif k == best or (k not in path and dens[k] >= threshold):
             out.append(k)
-    return out or [best]
+        else:
+            parts: list = []
+            for inline, run in groupby(nodes[k].kids, lambda x: isinstance(x, str) or not (over[x] or nodes[x].tag in BLOCK)):
+                if inline:
+                    run = list(run)
+                    parts += [None, run if _is_text(nodes, run, nodes[body], None if k in path else threshold) else None]
+                else:
+                    parts += [x for x in run if x in dens and nodes[x].chars]
+            stack.extend(reversed([None, *parts, None]))
+    return out
 
 
-def _under(nodes: list[Node], i: int, top: int) -> bool:
-    while i > top:
-        i = nodes[i].parent
-    return i == top
+def _is_text(nodes: list[Node], run: list, body: Node, threshold: float | None) -> bool:
+    """Whether a run of bare text and inline elements between two blocks is text: beside the path to the body as dense as the threshold, on it mostly not links."""
+    n = Node("#run", -1, False)
+    for k in run:
+        if isinstance(k, str):
+            n.chars += len(SPACE.sub(" ", entities.unescape(k)).strip())
+        elif not nodes[k].noise:
+            n.chars += nodes[k].chars
+            n.link_chars += nodes[k].link_chars
+            n.tags += nodes[k].tags + 1
+            n.link_tags += nodes[k].link_tags + (nodes[k].tag == "a")
+    return n.chars > 2 * n.link_chars if threshold is None else n.chars > 0 and density(n, body) >= threshold
 
 
-def blocks(nodes: list[Node], roots: list[int]) -> list[str]:
+def blocks(nodes: list[Node], roots: list[int | str | None]) -> list[str]:
     """Texts of the blocks below the roots, in page order."""
     out: list[str] = []
     now: list[str] = []

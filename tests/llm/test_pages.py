@@ -48,6 +48,36 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = "many plain words in a row " * 38
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # the body is the container: title and short paragraphs below the threshold stay
+        (f"<body><h1>{'t' * 20}</h1><p>{LONG}</p><p>{'z' * 30}</p></body>", f"{'t' * 20}\n\n{LONG.strip()}\n\n{'z' * 30}"),
+        # a dense subtree elsewhere in the body and bare text beside the container stay, a row of links goes
+        (
+            f"<body><a href=x>one</a> | <a href=y>two</a><div id=a><h2>Title</h2><p>{LONG}</p><p>{LONG}</p></div>bare <i>text</i> here"
+            f"<div id=b><div><a href=z>far away and off</a></div><div><p>{LONG}</p></div></div></body>",
+            f"Title\n\n{LONG.strip()}\n\n{LONG.strip()}\n\nbare text here\n\n{LONG.strip()}",
+        ),
+        # a cell of a layout table is a container
+        (f"<body><table><tr><td><a href=x>menu</a></td><td><p>{LONG}</p><p>short</p></td></tr></table></body>", f"{LONG.strip()}\n\nshort"),
+        # an article element does not hide a denser text outside it
+        (f"<body><article><p>teaser</p></article><div><p>{LONG}</p><p>end.</p></div></body>", f"{LONG.strip()}\n\nend."),
+    ],
+)
+def test_threshold_over_the_body(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("mark", [r"<\1div>", r"<\1section>", ""])
+def test_articles_without_the_article_element(spark, mark):
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        assert html_text.main_text(re.sub(r"<(/?)article>", mark, r.html)) == html_text.main_text(r.html) != ""
+
+
 def test_deep_and_long_pages():
     assert html_text.main_text("<div>" * 20_000 + "x") == "x"
     assert len(html_text.main_text("<article>" + "<p>word word</p>" * 20_000 + "</article>")) == 20_000 * 11 - 2
