@@ -241,6 +241,29 @@ def test_verbatim_recall(spark):
     assert len(want) > 5 and len(want & got) >= 0.9 * len(want)
 
 
+def test_axes_hold_every_item_of_a_block(spark):
+    m = latent_decontamination
+    rng = random.Random(4)
+    items = [sentence(rng, 300) for _ in range(m.ITEM_BLOCK)]
+    docs = documents(spark, [(k, sentence(rng, 200)) for k in range(200)]).select("text")
+    idf = m.inverse_frequencies(docs)
+    axes = m.latent_axes(docs.repartition(2), items, idf)
+    for t in items:
+        x = np.bincount(m.terms(m._text_words(t)), minlength=m.TERMS) * idf
+        assert np.linalg.norm(axes.T @ x) > 0.98 * np.linalg.norm(x)
+
+
+def test_paraphrased_items_of_several_blocks(spark, monkeypatch):
+    m = latent_decontamination
+    monkeypatch.setattr(m, "ITEM_BLOCK", 10)
+    rng = random.Random(6)
+    items = [(k, sentence(rng, 20 + 12 * k, 600)) for k in range(25)]
+    change = lambda t: " ".join("other" if rng.random() < 0.25 else w for w in t.split())
+    docs = documents(spark, [(k, f"{sentence(rng, 90, 600)} {change(t)} {sentence(rng, 90, 600)}") for k, t in items])
+    got = {(r.doc_id, r.item_id) for r in m.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(got & {(k, k) for k, _ in items}) >= 23 and all(a == b for a, b in got)
+
+
 def test_lcs_against_the_table():
     rng = random.Random(1)
     for _ in range(50):
