@@ -12,8 +12,10 @@
 Labelled findings are an argument. Without them they are made by ``weak_label``:
 a candidate assigned to a credential name is a finding, unless it is of low
 entropy, mostly dictionary words or of a known harmless form. The forest sees at
-most about ``TRAIN_FINDINGS`` findings and the dictionary and neighbour words of
-about ``FIT_DOCS`` documents, both drawn by a hash; scoring covers every candidate.
+most about ``TRAIN_FINDINGS`` findings, drawn by a hash. The dictionary and the
+neighbour words are counted over all documents, with partial sums per task that
+are cleared when they reach ``HELD_WORDS`` words; words are dropped only after
+the sum over all tasks. Scoring covers every candidate.
 
 Candidates leave their tasks as narrow rows; texts are not shuffled. A document
 with very many candidates is many rows, never one. No secret is written out:
@@ -39,7 +41,8 @@ from pyspark.sql import functions as F
 from examlytics.llm.common import stored
 
 MIN_LENGTH = 12
-FIT_DOCS = 4_000
+HELD_WORDS = 200_000
+MIN_DOCS = 3
 DICTIONARY = 20_000
 NEIGHBOURS = 48
 TRAIN_FINDINGS = 20_000
@@ -106,17 +109,26 @@ def weak_label(text: str, start: int, s: str, covered: float) -> int:
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents per word and candidates per neighbour word, as partial sums."""
     words, near = Counter(), Counter()
+
+    def rows() -> pa.RecordBatch:
+        kinds = ["w"] * len(words) + ["n"] * len(near)
+        out = [pa.array(kinds, pa.string()), pa.array([*words, *near], pa.string()), pa.array([*words.values(), *near.values()], pa.int64())]
+        words.clear()
+        near.clear()
+        return pa.RecordBatch.from_arrays(out, names=["kind", "word", "n"])
+
     for batch in batches:
-        for text in batch.column("__text").to_pylist():
+        for text in batch.column("__text"):
+            text = text.as_py()
             if text:
-                words.update({w for w in (x.lower() for x in WORD.findall(text)) if 4 <= len(w) <= 12})
+                words.update({w for w in (x.lower() for x in set(WORD.findall(text))) if 4 <= len(w) <= 12})
                 for start, end in candidates(text):
                     near.update(w for w in neighbours(text, start, end) if w)
-    rows = [("w", w, n) for w, n in words.items() if n > 1] + [("n", w, n) for w, n in near.items()]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["kind", "word", "n"]
-    )
+                if len(words) + len(near) >= HELD_WORDS:
+                    yield rows()
+    yield rows()
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
@@ -174,10 +186,9 @@ def _drawn(df: DataFrame, n_rows: int, most: int, *key: str) -> DataFrame:
 
 
 def vocabulary(src: DataFrame) -> tuple[frozenset[str], list[str]]:
-    """Dictionary words and the commonest neighbour words of a bounded sample of documents."""
-    sample = _drawn(src, src.count(), FIT_DOCS, "id", "__text").select("__text")
-    n = sample.mapInArrow(_vocabulary, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
-    n = stored(n.where("n > 2 or kind = 'n'"), "vocabulary")
+    """The commonest dictionary words, each in ``MIN_DOCS`` documents at least, and neighbour words of all documents."""
+    n = src.select("__text").mapInArrow(_vocabulary, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
+    n = stored(n.where(f"n >= {MIN_DOCS} or kind = 'n'"), "vocabulary")
     top = lambda kind, k: [r["word"] for r in n.where(F.col("kind") == kind).orderBy(F.desc("n"), "word").limit(k).collect()]
     return frozenset(top("w", DICTIONARY)), top("n", NEIGHBOURS)
 

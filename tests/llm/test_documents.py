@@ -302,6 +302,25 @@ def test_secrets_are_told_from_lookalikes(spark, awkward, none):
     assert secret_forest.scan(awkward).count() >= 0
 
 
+def test_dictionary_counts_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(secret_forest, "HELD_WORDS", 50)
+    rng = random.Random(3)
+    letters = "".join(chr(97 + k) for k in range(26))
+    texts = [" ".join("".join(rng.choice(letters[:4]) for _ in range(rng.randrange(4, 6))) for _ in range(9)) for _ in range(4_500)]
+    texts += [f"{texts[k]} Key{k:012d}abc tail" for k in range(30)] + ["rareword here", "rareword there", "rareword, rareword"]
+    want, near = Counter(), Counter()
+    for t in texts:
+        want.update({w for w in (x.lower() for x in secret_forest.WORD.findall(t)) if 4 <= len(w) <= 12})
+        for a, b in secret_forest.candidates(t):
+            near.update(w for w in secret_forest.neighbours(t, a, b) if w)
+    rows = documents(spark, list(enumerate(texts)))
+    for parts in (1, 60):
+        src = secret_forest._source(rows.repartition(parts), "doc_id", "source", "text")
+        words, around = secret_forest.vocabulary(src)
+        assert words == {w for w, n in want.items() if n >= 3} and "rareword" in words
+        assert around == sorted(near, key=lambda w: (-near[w], w))[: secret_forest.NEIGHBOURS]
+
+
 def test_review_labels_are_used(spark):
     docs = documents(spark, [(k, f"key{k} zzz{k:012d}abc and more") for k in range(40)])
     seen = secret_forest.scan(docs).collect()
