@@ -3,10 +3,13 @@
 Token counts are summed per cell (source, language, topic) over all documents.
 Raking multiplies the cells of every value of a margin by target / current share,
 margin after margin, until all three margins fit. A document's weight is its
-cell's multiplier; its probability is the weight scaled so that the largest is
-one (so expected token shares equal the targets exactly), or clipped and
-recalibrated to a token budget. Documents are drawn by a hash of id and seed:
-the draw is the same on every machine and after every retry.
+cell's multiplier; its probability is the weight clipped at one, the rest rescaled
+to a token budget: a number of tokens, or by default ``KEPT`` of all tokens, so
+that a tiny cell with a large multiplier does not set the rate of the whole
+corpus. Expected shares equal the targets but for the cells at one, which are kept
+whole and cannot give more; ``probabilities`` without a budget scales the largest
+weight to one instead, exact at any cost. Documents are drawn by a hash of id and
+seed: the draw is the same on every machine and after every retry.
 
 One narrow pass per table: texts are read once and never shuffled for the query;
 cells are summed with map-side partial results, so a source with a third of all
@@ -30,6 +33,8 @@ from examlytics.llm.common import stored
 MARGINS = ("source", "lang", "topic")
 #: Default targets: the present token shares, raised to this power (1 leaves them, 0 makes them equal).
 POWERS = {"source": 0.95, "lang": 0.95, "topic": 0.95}
+#: Share of all tokens that is drawn where no budget is given.
+KEPT = 0.9
 MAX_CELLS = 500_000
 SEED = 20_240
 ROUNDS, TOLERANCE = 200, 1e-9
@@ -113,7 +118,7 @@ def probabilities(g: np.ndarray, tokens: np.ndarray, budget: float | None = None
 
 
 def cell_weights(narrow: DataFrame, targets: dict[str, dict] | None = None, budget: float | None = None) -> list[tuple]:
-    """(source, lang, topic, weight, probability) of every cell."""
+    """(source, lang, topic, weight, probability) of every cell; ``budget`` is in tokens, ``KEPT`` of all by default."""
     got = narrow.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")).orderBy(*MARGINS).limit(MAX_CELLS + 1).collect()
     if len(got) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} cells of source, language and topic: merge values of a margin")
@@ -131,7 +136,7 @@ def cell_weights(narrow: DataFrame, targets: dict[str, dict] | None = None, budg
                 share[v] = share.get(v, 0.0) + t
             aims.append({v: (t / max(tokens.sum(), 1.0)) ** POWERS[m] if t else 0.0 for v, t in share.items()})
     g = rake(cells, tokens, aims)
-    p = probabilities(g, tokens, budget)
+    p = probabilities(g, tokens, KEPT * float(tokens.sum()) if budget is None else budget)
     return [(*map(str, c), float(w), float(x)) for c, w, x in zip(cells, g, p)]
 
 

@@ -147,6 +147,20 @@ def test_raking_meets_every_margin():
     assert (q * tokens).sum() == pytest.approx(0.6 * tokens.sum()) and q.max() <= 1
 
 
+def test_a_tiny_cell_does_not_set_the_rate(spark):
+    rows = [("a", "en", "prose", 1000)] * 900 + [("b", "de", "prose", 1000)] * 100
+    many = [(f"s{k}", "xx", "lists", 1) for k in range(40)]
+    schema = "source string, lang string, topic string, n_tokens long"
+    for x in (rows, rows + many):
+        cells = {c[:3]: c for c in mixing.cell_weights(spark.createDataFrame(x, schema))}
+        expected = sum(cells[r[:3]][4] * r[3] for r in x)
+        assert expected == pytest.approx(mixing.KEPT * sum(r[3] for r in x), rel=1e-6)
+        assert all(c[4] <= 1 for c in cells.values())
+    assert all(cells[r[:3]][4] == 1 for r in many)
+    given = mixing.cell_weights(spark.createDataFrame(rows, schema), budget=200_000)
+    assert sum(c[4] * (900_000 if c[0] == "a" else 100_000) for c in given) == pytest.approx(200_000)
+
+
 def test_sample_follows_the_probabilities(spark, awkward, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = mixing.query(spark, SF).collect()
