@@ -54,7 +54,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not is_local(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         cur = tempfile.mkdtemp(prefix="examlytics-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", cur)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(cur)
     return cur

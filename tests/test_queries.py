@@ -68,7 +68,10 @@ def test_attempts_add_up(spark):
 def test_rejects_plus_accepted_equal_pages(spark):
     from examlytics.sources import fixtures as X
 
-    pages = X.raw_responses(spark, SMALL).count()
-    rej = QUERIES["response_rejects"](spark, SMALL).count()
-    ok = QUERIES["response_ingest"](spark, SMALL).select("scan_id", "page_no").distinct().count()
-    assert rej + ok == pages
+    key = ["scan_id", "page_no"]
+    pages = X.raw_responses(spark, SMALL).select(*key)
+    parts = [QUERIES[q](spark, SMALL).select(*key) for q in ("response_rejects", "page_placeholders")]
+    parts.append(QUERIES["response_ingest"](spark, SMALL).select(*key).distinct())
+    every = parts[0].unionAll(parts[1]).unionAll(parts[2])
+    assert every.count() == every.distinct().count() == pages.count()
+    assert every.exceptAll(pages).isEmpty()
