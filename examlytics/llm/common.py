@@ -101,7 +101,14 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iter
         a = b
 
 
-_POWERS: dict[tuple[int, bool], np.ndarray] = {}
+class Cache(dict):
+    """Filled by each process for itself: it travels empty with the functions that use it."""
+
+    def __reduce__(self):
+        return Cache, ()
+
+
+_POWERS = Cache()
 
 
 def powers(lane: int, n: int, inverse: bool = False) -> np.ndarray:
