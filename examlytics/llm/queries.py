@@ -11,6 +11,7 @@ from examlytics.llm import (
     secret_forest,
     sharding,
     suffix_dedup,
+    token_codes,
     toxicity,
     warc,
 )
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_sharding": sharding.query,
     "op9_secret_forest": secret_forest.query,
     "op10_quality_rules": quality_rules.query,
+    "op13_token_codes": token_codes.query,
 }
 
 ORACLE: dict[str, str] = {
