@@ -11,6 +11,7 @@ from examlytics.llm import (
     secret_forest,
     sharding,
     suffix_dedup,
+    token_alignment,
     token_codes,
     toxicity,
     warc,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_sharding": sharding.query,
     "op9_secret_forest": secret_forest.query,
     "op10_quality_rules": quality_rules.query,
+    "op12_token_alignment": token_alignment.query,
     "op13_token_codes": token_codes.query,
 }
 

@@ -1,16 +1,17 @@
 """Operators 12 and 13: ids held against the tokenizer libraries, files against plain lists."""
 
+import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from helpers import awkward_rows, documents, sentence
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
-from examlytics.llm import subwords, token_codes
+from examlytics.llm import subwords, token_alignment, token_codes
 from examlytics.llm.common import scratch
 
 SF = "/root/testdata/sf0.001"
@@ -118,3 +119,97 @@ def test_query_13_against_whole_texts(spark):
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert len(got) == len(rows)
+
+
+# ------------------------------------------------------------------ 12
+
+PATHS = subwords.public_path("byte_bpe_50k.json"), subwords.public_path("piece_bpe_32k.model")
+
+
+def naive(texts):
+    """Per text (a ids, b ids, groups as lists of ids) with whole texts and plain sets."""
+    a, b = subwords.load_json(PATHS[0], True), subwords.load_pieces(PATHS[1])
+    a_bytes, b_bytes = subwords.json_token_bytes(PATHS[0]), subwords.piece_token_bytes(PATHS[1])
+    out = []
+    for t in texts:
+        ai = a.encode(" " + (t or ""), add_special_tokens=False).ids
+        bi = b.encode(t or "")
+        raw = (" " + (t or "")).encode()
+        if not t or b"".join(a_bytes[i] for i in ai) != raw or b"".join(b_bytes[i] for i in bi) != raw:
+            out.append(([], [], []))
+            continue
+        ends = [np.cumsum([len(z[i]) for i in x]).tolist() for x, z in ((ai, a_bytes), (bi, b_bytes))]
+        groups, i, j = [], 0, 0
+        for c in sorted(set(ends[0]) & set(ends[1])):
+            ga, gb = [], []
+            while i < len(ai) and ends[0][i] <= c:
+                ga.append(ai[i])
+                i += 1
+            while j < len(bi) and ends[1][j] <= c:
+                gb.append(bi[j])
+                j += 1
+            groups.append((ga, gb))
+        out.append((ai, bi, groups))
+    return out
+
+
+def brute_links(texts):
+    aligned = naive(texts)
+    links = [Counter((x, y) for ga, gb in groups for x in ga for y in gb) for _, _, groups in aligned]
+    docs = Counter(p for found in links for p in found)
+    top = {}
+    for (x, _), n in docs.items():
+        top[x] = max(top.get(x, 0), n)
+    out = []
+    for (ai, bi, groups), found in zip(aligned, links):
+        said = ";".join(f"{','.join(map(str, ga))}|{','.join(map(str, gb))}" for ga, gb in groups)
+        best = sum(n for (x, y), n in found.items() if docs[(x, y)] == top[x])
+        sha = hashlib.sha256(said.encode()).hexdigest() if ai else ""
+        out.append((len(ai), len(bi), len(groups), sum(found.values()), best, sum(n * docs[p] for p, n in found.items()), sha))
+    return out
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=14).map("".join), min_size=1, max_size=6))
+def test_alignment_of_whole_texts(texts):
+    data, offs = rows_of([" " + t if t else "" for t in texts])
+    x = token_alignment.Tokenizers(*PATHS).align(data, offs)
+    for k, (ai, bi, groups) in enumerate(naive(texts)):
+        assert np.split(x.a_ids, np.cumsum(x.a_n))[k].tolist() == ai
+        assert np.split(x.b_ids, np.cumsum(x.b_n))[k].tolist() == bi
+        cuts = [c[x.row == k].tolist() for c in (token_alignment._cuts(x.a_last, x.row, x.a_n), token_alignment._cuts(x.b_last, x.row, x.b_n))]
+        assert cuts == [np.cumsum([len(g[j]) for g in groups]).tolist() for j in (0, 1)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sets(st.integers(1, 400), max_size=80), st.sets(st.integers(1, 400), max_size=80)), min_size=1, max_size=6))
+def test_galloping_finds_every_common_end(rows):
+    a, b = [[500 * k + e for e in sorted(s)] for k, (s, _) in enumerate(rows)], [[500 * k + e for e in sorted(s)] for k, (_, s) in enumerate(rows)]
+    flat = lambda x: np.array([e for r in x for e in r], np.int64)
+    got = token_alignment.common_ends(flat(a), np.array([len(r) for r in a]), flat(b), np.array([len(r) for r in b]))
+    want = sorted(set(flat(a).tolist()) & set(flat(b).tolist()))
+    assert flat(a)[got[0]].tolist() == want == flat(b)[got[1]].tolist()
+
+
+def check_links(rows, got):
+    want = Counter((i, *r) for (i, _), r in zip(rows, brute_links([t for _, t in rows])))
+    assert Counter((r.doc_id, r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in got) == want
+
+
+@pytest.mark.parametrize("large", [1, 4096])
+def test_links_of_awkward_rows(spark, awkward, large, monkeypatch):
+    monkeypatch.setattr(token_alignment, "LARGE_GROUP", large)
+    odd = [(20, "x▁ y"), (21, " lead"), (22, "trail  "), (23, "数" * 300 + "a"), (24, "<s></s><|endoftext|> <0x41>"), (25, "\x00\x01")]
+    docs = awkward.select("doc_id", "text").unionAll(spark.createDataFrame(odd, "doc_id long, text string"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    check_links(rows, token_alignment.link_table(docs, *PATHS).collect())
+    spans = {r.doc_id: r for r in token_alignment.align(docs.where("doc_id >= 20"), *PATHS).collect()}
+    for (i, _), (ai, bi, groups) in zip(odd, naive([t for _, t in odd])):
+        assert (list(spans[i].a_ids), list(spans[i].b_ids)) == (ai, bi)
+        assert list(spans[i].a_cuts) == np.cumsum([len(g[0]) for g in groups]).tolist()
+    assert token_alignment.link_table(awkward.where("n_chars = 77"), *PATHS).count() == 0
+
+
+def test_query_12_against_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    check_links(rows, token_alignment.query(spark, SF).collect())
