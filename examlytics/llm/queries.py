@@ -15,6 +15,7 @@ from examlytics.llm import (
     token_codes,
     toxicity,
     warc,
+    whitening,
 )
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_sharding": sharding.query,
     "op9_secret_forest": secret_forest.query,
     "op10_quality_rules": quality_rules.query,
+    "op11_whitening": whitening.query,
     "op12_token_alignment": token_alignment.query,
     "op13_token_codes": token_codes.query,
 }
