@@ -11,9 +11,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import CORRUPT
+
 # Header aliases (normalised spelling -> canonical column).
 KEY_MAP = {
     "studentname": "student_name",
@@ -120,6 +122,49 @@ def import_records(
     return out.select("source_file", *REPORT_COLUMNS, "accepted")
 
 
+def header_target(name: Column) -> Column:
+    """J11 + C4 as an expression: the canonical column of a header cell, null for unknown ones."""
+    n = F.btrim(F.regexp_replace(F.btrim(F.lower(name), F.lit(" \t\n\r\f\x0b")), "[_\\s]+", " "))
+    known = F.create_map(*[F.lit(x) for pair in KEY_MAP.items() for x in pair])
+    own = F.replace(n, F.lit(" "), F.lit("_"))
+    plain = F.when(own.isin(*REPORT_COLUMNS[1:]), own)
+    return F.coalesce(F.try_element_at(known, n), plain, F.when(name == CORRUPT, F.lit(CORRUPT)))
+
+
+def folder_records(
+    cells: DataFrame,
+    exam_id: int,
+    default_subject: str = DEFAULT_SUBJECT,
+    default_class: str | None = None,
+    strict_columns: bool = False,
+) -> DataFrame:
+    """R8 over a folder read in one scan (``files.read_folder_cells`` with
+    ``header_target``): the same records as ``import_records`` of its files, with
+    every file's header resolved inside the query. A corrupt JSON line is a
+    record of its own that is not accepted, with its text as the answer."""
+    corrupt = F.exists("cells", lambda c: c["name"].eqNullSafe(F.lit(CORRUPT)))
+    d = cells.select("source_file", F.filter("cells", lambda c: c["name"].isNotNull() & c["value"].isNotNull() & ~c["value"].isin(*BLANK_VALUES)).alias("_c"),
+                     F.exists("cells", lambda c: c["name"].isNull()).alias("_unknown"), corrupt.alias("_corrupt"))
+
+    def last(target: str) -> Column:
+        wanted = [target, CORRUPT] if target == "answer" else [target]
+        return F.try_element_at(F.filter("_c", lambda c: c["name"].isin(*wanted)), F.lit(-1))["value"]
+
+    d = d.select("source_file", "_unknown", "_corrupt", *[last(t).alias(t) for t in REPORT_COLUMNS[1:]])
+    d = d.where(F.coalesce(*[F.col(c) for c in REPORT_COLUMNS[1:]]).isNotNull())
+    page = F.col("page_number")
+    out = d.withColumns(
+        {
+            "exam_id": F.lit(exam_id).cast("bigint"),
+            "subject_name": F.coalesce(F.col("subject_name"), F.lit(default_subject)),
+            "class_name": F.coalesce(F.col("class_name"), F.lit(default_class).cast("string")),
+            "accepted": (page.isNull() | page.try_cast("int").isNotNull()) & ~(F.lit(strict_columns) & F.col("_unknown")) & ~F.col("_corrupt"),
+            "page_number": page.try_cast("int"),
+        }
+    )
+    return out.select("source_file", *REPORT_COLUMNS, "accepted")
+
+
 def import_tally(records: DataFrame) -> DataFrame:
     """per file and overall (``source_file`` = ``ALL``): records counted and
     records inserted; one rollup aggregate."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import percent_value
+from .joins import join_keys
 from .ordered import DEFAULT_BLOCK, number_rows
 
 # Topics per subject, in the reference's order.
@@ -192,6 +193,34 @@ def lookup_topics_first(questions: DataFrame, results: DataFrame, key: str = "qu
     )
 
 
+def settle_topic_requests(batches: DataFrame, statuses: DataFrame, replies: DataFrame,
+                          keys: tuple[str, ...] = ("subject", "batch_no"), number: str = "question_no") -> DataFrame:
+    """E2 through the request ledger: every question of a request gets its outcome.
+
+    ``batches`` are the questions with the request they were sent in (G6),
+    ``statuses`` one row per request (``keys``, ``ok``), ``replies`` the reply rows
+    (``keys``, ``result_ord``, number, topic, confidence, explanation). A question
+    of an answered request gets the first reply of that request with its number,
+    or ``No matching question number found``. Every question of a failed request,
+    or of one without a status, gets ``API error occurred``: such a request has no
+    reply rows, so this follows from the request, not from the replies.
+    Null keys match null keys.
+    """
+    k = list(keys)
+    answered = statuses.groupBy(*k).agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("_ok"))
+    reply = F.struct("topic", "confidence", F.coalesce("explanation", F.lit("")).alias("explanation"))
+    first = replies.groupBy(*k, number).agg(F.min_by(reply, F.col("result_ord")).alias("_r"))
+    d = join_keys(batches, answered, k, "left")
+    d = join_keys(d, first, [*k, number], "left")
+    ok, found = F.coalesce("_ok", F.lit(False)), F.col("_r").isNotNull()
+    return d.select(
+        *batches.columns,
+        F.when(ok & found, F.col("_r.topic")).otherwise(F.lit(FAILED)).alias("topic"),
+        F.when(ok & found, F.col("_r.confidence")).otherwise(F.lit(0.0)).alias("confidence"),
+        F.when(~ok, F.lit(API_ERROR)).when(found, F.col("_r.explanation")).otherwise(F.lit(NO_MATCH)).alias("explanation"),
+    )
+
+
 def topic_statistics(assigned: DataFrame) -> DataFrame:
     """questions per topic and their share of all questions (2 decimals,
     half-even). The total is a one-row aggregate, joined to the counts."""

@@ -573,6 +573,45 @@ SELECT coalesce(source_file || '.csv', 'ALL') AS source_file, count(*) AS total,
 FROM recs GROUP BY ROLLUP (source_file)""", "import_a", "import_b")
 
 
+# ---------------------------------------------------------------- ledger, one-scan folder, batches, sketches, ordered files
+
+ORACLE["topic_ledger"] = _q(f"""
+WITH {_ASSIGN},
+b AS (SELECT row_id, question_no, subject, row_number() OVER (PARTITION BY subject ORDER BY row_id) AS q_rank FROM topic_questions),
+s AS (SELECT *, (q_rank - 1) // 30 + 1 AS batch_no FROM b)
+SELECT s.row_id, s.question_no, s.subject, s.batch_no,
+       CASE WHEN batch_no % 11 = 7 OR batch_no % 5 = 2 OR q_rank % 7 = 3 THEN 'Classification Failed' ELSE a.topic END AS topic,
+       CASE WHEN batch_no % 11 = 7 OR batch_no % 5 = 2 OR q_rank % 7 = 3 THEN 0.0 ELSE a.confidence END AS confidence,
+       CASE WHEN batch_no % 11 = 7 OR batch_no % 5 = 2 THEN 'API error occurred'
+            WHEN q_rank % 7 = 3 THEN 'No matching question number found'
+            WHEN q_rank % 4 <> 1 THEN 'Because of ' || a.topic ELSE '' END AS explanation
+FROM s JOIN assigned a USING (row_id)""", "topic_questions")
+
+_LANDED = "CASE source_file WHEN 'import_a' THEN 'import_a.csv' ELSE 'import_b.jsonl' END"
+ORACLE["folder_scan_import"] = _q(f"WITH {_IMPORT}\nSELECT {_LANDED} AS source_file, * EXCLUDE (source_file) FROM recs", "import_a", "import_b")
+ORACLE["folder_scan_tally"] = _q(f"""
+WITH {_IMPORT}
+SELECT coalesce({_LANDED.replace('source_file', 'f')}, 'ALL') AS source_file, total, inserted
+FROM (SELECT source_file AS f, count(*) AS total, count_if(accepted) AS inserted FROM recs GROUP BY source_file) x
+UNION ALL SELECT 'ALL', count(*), count_if(accepted) FROM recs""", "import_a", "import_b")
+ORACLE["report_batch_commit"] = ORACLE["report_table_append"]
+
+ORACLE["stream_student_sketches"] = _q(f"""
+WITH {BASE}
+SELECT sub_question_no, count(*) AS attempts, count_if(grading = 'Correct') AS correct_answers,
+       count(DISTINCT nullif(student_raw, '')) AS students
+FROM arows JOIN (SELECT row_id, student_raw FROM transcription) t USING (row_id)
+WHERE sub_question_no IS NOT NULL GROUP BY sub_question_no""")
+
+ORACLE["report_file_order"] = _q(f"""
+WITH {BASE},
+a AS (SELECT sub_question_no, count(*) AS attempts FROM {GROUPED} g GROUP BY 1)
+SELECT 'text' AS file_order, row_number() OVER (ORDER BY sub_question_no) AS position, * FROM a
+UNION ALL
+SELECT 'natural', row_number() OVER (ORDER BY try_cast(nullif(regexp_extract(sub_question_no, '^([0-9]+)', 1), '') AS BIGINT) NULLS LAST, sub_question_no), *
+FROM a""")
+
+
 def _bigint_counts(sql: str) -> str:
     """DuckDB's ``count_if`` is HUGEINT; Spark's is BIGINT. Wrap every call."""
     out, i, tok = [], 0, "count_if("

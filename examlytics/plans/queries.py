@@ -549,8 +549,9 @@ def import_strict_columns(spark, sf_dir):
 @query
 def page_number_rejects(spark, sf_dir):
     """Import rows whose page number is no integer."""
-    a = X.import_a(spark, sf_dir).withColumnRenamed("Page_Number", "page_no")
-    return C.page_rejects(a).groupBy("page_no", "questionNo").agg(F.count(F.lit(1)).alias("n"))
+    files = [IM.canonical_records(df, name) for name, df in import_files(spark, sf_dir)]
+    both = files[0].unionByName(files[1]).withColumnsRenamed({"page_number": "page_no", "question_no": "questionNo"})
+    return C.page_rejects(both).groupBy("page_no", "questionNo").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -586,3 +587,84 @@ def folder_import_tally(spark, sf_dir):
     for name in ("notes.txt", "empty.csv"):
         W.land_empty_file(spark, f"{root}/{name}")
     return IM.import_tally(IM.import_records(FS.read_import_folder(spark, root), exam_id=IMPORT_EXAM_ID))
+
+
+# ---------------------------------------------------------------- request ledger, one-scan folder, exactly-once batches, sketches, ordered files
+
+
+def topic_ledger_tables(spark, sf_dir):
+    """Questions with their requests, a status per request (every fifth failed,
+    every eleventh without one) and the replies of the answered ones: some
+    numbers missing, some twice, some without explanation."""
+    b = TP.topic_batches(X.topic_questions(spark, sf_dir))
+    sent = b.select("subject", "batch_no").distinct()
+    status = sent.where("batch_no % 11 <> 7").select("*", (F.col("batch_no") % 5 != 2).alias("ok"))
+    a = TP.assign_topics(b).where("batch_no % 5 <> 2 and q_rank % 7 <> 3")
+    why = F.when(F.col("q_rank") % 4 != 1, F.concat(F.lit("Because of "), F.col("topic")))
+    first = a.select("subject", "batch_no", "question_no", (F.col("q_rank") * 2).alias("result_ord"), "topic", "confidence", why.alias("explanation"))
+    again = first.where("result_ord % 10 = 0").withColumns({"result_ord": F.col("result_ord") + 1, "topic": F.lit("Second opinion")})
+    return b, status, first.unionByName(again)
+
+
+@query
+def topic_ledger(spark, sf_dir):
+    """The outcome of every question through the request it was sent in."""
+    out = TP.settle_topic_requests(*topic_ledger_tables(spark, sf_dir))
+    return out.select("row_id", "question_no", "subject", "batch_no", "topic", "confidence", "explanation")
+
+
+def folder_cells(spark, sf_dir):
+    """One import file landed as CSV and one as JSON lines, in parts, beside a file of another kind and an empty one."""
+    (a, csv), (b, lines) = import_files(spark, sf_dir)
+    root = W.output_root(spark, "import_scan")
+    W.write_csv(csv, f"{root}/{a}.csv", null_token=None)
+    W.write_jsonl(lines, f"{root}/{b}.jsonl")
+    for name in ("notes.txt", "empty.csv"):
+        W.land_empty_file(spark, f"{root}/{name}")
+    return FS.read_folder_cells(spark, root, IM.header_target)
+
+
+@query
+def folder_scan_import(spark, sf_dir):
+    """A4 + R8: a folder of CSV and JSONL files imported by one scan."""
+    return IM.folder_records(folder_cells(spark, sf_dir), exam_id=IMPORT_EXAM_ID)
+
+
+@query
+def folder_scan_tally(spark, sf_dir):
+    """A4 + F13: the same folder tallied by file."""
+    return IM.import_tally(folder_scan_import(spark, sf_dir))
+
+
+@query
+def report_batch_commit(spark, sf_dir):
+    """Two imports committed as batches; one is repeated, and sent again as
+    another batch whose records are all in the table. One copy of each is read back."""
+    path = W.output_root(spark, "report_batches")
+    (a, b) = import_files(spark, sf_dir)
+    for batch, exam_id, file in (("a", 1, a), ("b", 2, b), ("a", 1, a)):
+        W.commit_reports(IM.import_records([file], exam_id=exam_id), path, batch)
+    W.commit_reports(IM.import_records([a], exam_id=1), path, "late", dedupe_keys=IM.REPORT_COLUMNS)
+    return W.read_reports(spark, path)
+
+
+@query
+def stream_student_sketches(spark, sf_dir):
+    """K3 + F3: attempts, correct answers and sketched distinct students over several triggers."""
+    t = X.transcription(spark, sf_dir).select("scan_id", "row_id", "question_no_raw", "question", "grading", "student_raw")
+    landing, out, ckpt = ST.paths(W.output_root(spark, "stream_sketches"))
+    ST.land(t, landing, 6, "scan_id")
+    merged = ST.question_sketches(spark, ST.question_sketches_stream(spark, landing, out, ckpt, t.schema, files_per_trigger=2))
+    return merged.withColumn("students", F.hll_sketch_estimate("students"))
+
+
+@query
+def report_file_order(spark, sf_dir):
+    """H1: the analysis written in text order and in natural order; both read back in the order of the files."""
+    a = question_analysis(spark, sf_dir).select("sub_question_no", "attempts")
+    path, out = W.output_root(spark, "ordered"), None
+    for name, natural in (("text", False), ("natural", True)):
+        W.write_ordered(a, f"{path}/{name}", natural=natural)
+        back = W.read_ordered(spark, f"{path}/{name}").withColumn("file_order", F.lit(name))
+        out = back if out is None else out.unionByName(back)
+    return out.select("file_order", "position", "sub_question_no", "attempts")

@@ -6,7 +6,9 @@ Question numbers are always read as text; inference would turn ``12`` into
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +27,7 @@ SNAKE = {
     "SubjectName": "subject_name",
 }
 NULL_TOKEN = "\\N"
+CORRUPT = "_corrupt_record"
 
 
 def transcription_schema(extra: list[tuple[str, T.DataType]] | None = None) -> T.StructType:
@@ -83,6 +86,48 @@ def read_import_folder(spark: SparkSession, path: str, glob: str = "*.csv") -> l
     return [(name, spark.read.option("header", True).option("escape", '"').csv(p)) for name, p in files]
 
 
+def csv_fields(line: str) -> Column:
+    """The fields of a CSV line as an array; quoted fields may hold commas, and quotes written twice."""
+    parts = F.regexp_extract_all(F.concat(F.lit(","), F.col(line)), F.lit(',("(?:[^"]++|"")*+"|[^,]*)'), 1)
+    inner = lambda c: F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(parts, lambda c: F.when(F.startswith(c, F.lit('"')) & (F.length(c) > 1), inner(c)).otherwise(c))
+
+
+def read_folder_cells(spark: SparkSession, path: str, name: Callable[[Column], Column] = lambda header: header) -> DataFrame:
+    """A4 in one scan: every record of the CSV and JSONL files below ``path`` as
+    ``source_file`` and ``cells``, an array of (name, value) in file order, where
+    ``name`` maps a header cell (for CSV once per file). The source is the file's
+    name; of part files (``part-...``), the name of their folder.
+
+    All files are one text relation, so the plan does not grow with their number.
+    A CSV file's header is its first line, found as the line with the smallest
+    position in the file's first block (a map-side reduced ``min_by`` per file)
+    and joined back by file; a JSON line brings its own names. Blank lines are
+    skipped; a JSON line that cannot be parsed gives one cell named
+    ``_corrupt_record`` with its text (A3). Fields hold no line feeds.
+    """
+    meta = F.col("_metadata")
+    folder = F.element_at(F.split(meta["file_path"], "/"), -2)
+    source = F.when(F.startswith(meta["file_name"], F.lit("part-")), folder).otherwise(meta["file_name"])
+    lines = spark.read.option("pathGlobFilter", "*.{csv,jsonl,json}").option("recursiveFileLookup", True).text(path).select(
+        F.col("value").alias("line"), meta["file_path"].alias("file"), meta["file_name"].alias("name"), source.alias("source"),
+        (meta["file_block_start"] == 0).alias("first_block"), F.monotonically_increasing_id().alias("pos"),
+    ).where(F.trim("line") != "")
+    is_json = F.col("name").rlike("\\.jsonl?$")
+    csv = lines.where(~is_json).withColumn("_v", csv_fields("line"))
+    heads = csv.where("first_block").groupBy(F.col("file").alias("_file")).agg(F.min("pos").alias("_at"), F.min_by("_v", "pos").alias("_h"))
+    heads = heads.select("_file", "_at", F.transform("_h", lambda h: F.struct(name(h).alias("name"), (h != "").alias("given"))).alias("_names"))
+    of_csv = csv.join(heads, F.col("file") == F.col("_file")).where("pos <> _at")
+    cells = F.filter(F.arrays_zip("_names", "_v"), lambda c: c["_names"]["given"])
+    cells = F.transform(cells, lambda c: F.struct(c["_names"]["name"].alias("name"), c["_v"].alias("value")))
+    of_csv = of_csv.select(F.col("source").alias("source_file"), cells.alias("cells"))
+    entries = F.transform(F.map_entries("_m"), lambda e: F.struct(name(e["key"]).alias("name"), e["value"].alias("value")))
+    broken = F.array(F.struct(F.lit(CORRUPT).alias("name"), F.col("line").alias("value")))
+    of_json = lines.where(is_json).withColumn("_m", F.from_json("line", "map<string,string>"))
+    of_json = of_json.select(F.col("source").alias("source_file"), F.coalesce(entries, broken).alias("cells"))
+    return of_csv.unionByName(of_json)
+
+
 def read_page_images(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
     """Landed page images as rows: file name, length, content."""
     d = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)

@@ -8,7 +8,6 @@ the shared checkpoint folder, so a restarted query resumes exactly once.
 
 from __future__ import annotations
 
-import json
 import posixpath
 import sys
 
@@ -17,10 +16,11 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions import numbers as N
 from ..operators.clean import HEADER_TEXT
+from ..operators.ordered import carry_last
 from ..operators.pages import explode_pages
 
 # the state function travels by value: executors need no copy of this package
@@ -77,80 +77,132 @@ def ingest_pages(spark: SparkSession, landing: str, out: str, ckpt: str, schema:
     return spark.read.parquet(out)
 
 
-STATE_SCHEMA = T.StructType(
-    [T.StructField("next_page", T.IntegerType()), T.StructField("last_name", T.StringType()),
-     T.StructField("buffer", T.StringType())]
-)
 CARRY_OUT = T.StructType(
     [T.StructField("scan_id", T.LongType()), T.StructField("page_no", T.IntegerType()),
      T.StructField("student_raw", T.StringType()), T.StructField("student_name", T.StringType())]
 )
+POSITION = T.StructType([T.StructField("next_page", T.IntegerType()), T.StructField("last_name", T.StringType())])
+PAGE_KEY = T.StructType([T.StructField("page_no", T.IntegerType())])
+PAGE_VALUE = T.StructType([T.StructField("student_raw", T.StringType()), T.StructField("landed_ms", T.LongType())])
 
 #: A missing page is waited for until event time is so far past the pages behind it.
 FLUSH_AFTER_MS = 10 * 60 * 1000
+#: The state of a scan with nothing waiting is let go when event time is so far past its last page.
+KEEP_MS = 7 * 24 * 3600 * 1000
+
 
+class NameCarry(StatefulProcessor):
+    """K2 for one scan: emits pages in page order as soon as they are contiguous,
+    carrying the last non-blank name.
+
+    Typed state: ``position`` (next page, last name) and a map ``waiting`` of the
+    pages behind a gap. A timer ends the wait: once event time has passed the
+    waiting pages by ``FLUSH_AFTER_MS`` the gap counts as missing and they are
+    emitted in order. With nothing waiting, the timer (``KEEP_MS`` after the last
+    page) clears the scan's state. A page delivered again, or after its gap was
+    given up, is dropped while the state is kept.
+    """
 
-def _carry_state(key, batches, state):
-    """K2 state function for one scan: emit pages in page order as soon as they
-    are contiguous, carrying the last non-blank name. Pages behind a gap wait in
-    state; once event time has passed them by ``FLUSH_AFTER_MS`` the gap counts
-    as missing, they are emitted in order, and next page and name stay. A page
-    delivered again, or after its gap was given up, is dropped."""
-    scan_id = key[0]
-    nxt, last, buf = state.get if state.exists else (1, "", "{}")
-    pending = {int(k): v for k, v in json.loads(buf).items()}
-    if state.hasTimedOut:
-        order = sorted(pending)
-    else:
-        for pdf in batches:
+    def init(self, handle):
+        self.handle = handle
+        self.position = handle.getValueState("position", POSITION)
+        self.waiting = handle.getMapState("waiting", PAGE_KEY, PAGE_VALUE)
+
+    def _set_timer(self, timers, at_ms):
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(max(at_ms, timers.getCurrentWatermarkInMs() + 1))
+
+    def handleInputRows(self, key, rows, timerValues):
+        nxt, last = self.position.get() if self.position.exists() else (1, "")
+        held = {k[0]: tuple(v) for k, v in self.waiting.iterator()} if self.waiting.exists() else {}
+        new, latest = {}, 0
+        for pdf in rows:
             at = pdf["landed_at"].astype("datetime64[ms]").astype("int64")
-            for p, nm, ms in zip(pdf["page_no"].tolist(), pdf["student_raw"].tolist(), at.tolist()):
-                if p >= nxt:  # page 0 and below only move event time on
-                    pending.setdefault(int(p), [nm, max(int(ms), 0)])
-        order = []
-        while nxt + len(order) in pending:
-            order.append(nxt + len(order))
-    out = []
-    for p in order:
-        nm = pending.pop(p)[0]
-        last = nm or last
-        out.append((scan_id, p, nm, last))
-        nxt = p + 1
-    state.update((nxt, last, json.dumps({str(k): v for k, v in pending.items()})))
-    if pending:
-        due = max(ms for _, ms in pending.values()) + FLUSH_AFTER_MS
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-    if out:
-        yield pd.DataFrame(out, columns=["scan_id", "page_no", "student_raw", "student_name"])
+            for p, name, ms in zip(pdf["page_no"].tolist(), pdf["student_raw"].tolist(), at.tolist()):
+                latest = max(latest, int(ms))
+                if p >= nxt and p not in held:
+                    new.setdefault(int(p), (name, max(int(ms), 0)))
+        out = []
+        while nxt in new or nxt in held:
+            name = (new.pop(nxt) if nxt in new else held[nxt])[0]
+            if nxt in held:
+                del held[nxt]
+                self.waiting.removeKey((nxt,))
+            last = name or last
+            out.append((key[0], nxt, name, last))
+            nxt += 1
+        for p, value in new.items():  # behind a gap
+            self.waiting.updateValue((p,), value)
+        self.position.update((nxt, last))
+        behind = [ms for _, ms in [*held.values(), *new.values()]]
+        self._set_timer(timerValues, max(behind) + FLUSH_AFTER_MS if behind else latest + KEEP_MS)
+        if out:
+            yield pd.DataFrame(out, columns=[f.name for f in CARRY_OUT])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        held = {k[0]: tuple(v) for k, v in self.waiting.iterator()} if self.waiting.exists() else {}
+        if not held:
+            self.position.clear()
+            return
+        nxt, last = self.position.get()
+        out = []
+        for p in sorted(held):
+            last = held[p][0] or last
+            out.append((key[0], p, held[p][0], last))
+        self.waiting.clear()
+        self.position.update((max(held) + 1, last))
+        self._set_timer(timerValues, max(ms for _, ms in held.values()) + KEEP_MS)
+        yield pd.DataFrame(out, columns=[f.name for f in CARRY_OUT])
+
+    def close(self):
+        pass
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def carry_names_stream(spark: SparkSession, landing: str, out: str, ckpt: str, schema: T.StructType,
                        files_per_trigger: int = 8, watermark: str = "1 day", final: bool = True) -> DataFrame:
     """K2: the student-name carry as a stateful stream keyed by scan.
 
-    The run ends when all landed files are read. Pages still waiting behind a gap
-    then stay in state for the next run, unless ``final``: a closing record
-    (scan null, page 0, ten years later) moves event time past every wait, so all
-    of them are emitted. After a final run the stream takes no further pages.
+    The run ends when all landed files are read and can go on later with new
+    files. Pages still waiting behind a gap stay in state; ``final`` returns them
+    too, read from the state and named in page order (the state, the output
+    and the landing folder are left as they are).
     """
     src = (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
         .withColumn("landed_at", F.col("landed_at").cast("timestamp"))
         .withWatermark("landed_at", watermark)
     )
-    # event-time timeout: under availableNow the query ends once the watermark
-    # stops moving (a processing-time timeout would keep scheduling batches)
-    carried = src.select("scan_id", "page_no", "student_raw", "landed_at").groupBy("scan_id").applyInPandasWithState(
-        _carry_state, CARRY_OUT, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
+    carried = src.select("scan_id", "page_no", "student_raw", "landed_at").groupBy("scan_id").transformWithStateInPandas(
+        NameCarry(), CARRY_OUT, "append", "eventtime"
     )
-    _run(carried, out, ckpt)
-    if final:
-        last = spark.read.schema(schema).parquet(landing).agg(F.max(F.col("landed_at").cast("timestamp")).alias("t"))
-        fields = {"page_no": F.lit(0), "landed_at": F.col("t") + F.expr("INTERVAL 10 YEARS")}
-        closing = last.select(*[fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
-        closing.where("landed_at is not null").write.mode("append").parquet(landing)
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKS_DB)  # map state and timers need it
+    try:
         _run(carried, out, ckpt)
-    return spark.read.schema(CARRY_OUT).parquet(out)
+    finally:
+        spark.conf.set(STATE_STORE, before)
+    done = spark.read.schema(CARRY_OUT).parquet(out)
+    return done.unionByName(waiting_pages(spark, ckpt)) if final else done
+
+
+def waiting_pages(spark: SparkSession, ckpt: str) -> DataFrame:
+    """The pages that wait behind a gap in the state of a stopped K2 stream, with the names they would carry."""
+    def read(name: str) -> DataFrame:
+        return spark.read.format("statestore").option("path", ckpt).option("stateVarName", name).load()
+
+    pages = read("waiting").select(
+        F.col("key.scan_id").alias("scan_id"), F.col("user_map_key.page_no").alias("page_no"),
+        F.col("user_map_value.student_raw").alias("student_raw"),
+    )
+    at = read("position").select(F.col("key.scan_id").alias("_scan"), F.col("value.last_name").alias("_last"))
+    pages = carry_last(pages.withColumn("_nm", F.nullif("student_raw", F.lit(""))), ["scan_id"], "page_no", "_nm", "_own")
+    named = pages.join(at, F.col("scan_id").eqNullSafe(F.col("_scan")), "left")
+    return named.select("scan_id", "page_no", "student_raw", F.coalesce("_own", "_last", F.lit("")).alias("student_name"))
 
 
 def question_stats_stream(spark: SparkSession, landing: str, out: str, ckpt: str, schema: T.StructType,
@@ -182,6 +234,47 @@ def question_stats_stream(spark: SparkSession, landing: str, out: str, ckpt: str
     return spark.read.parquet(latest_version(spark, out))
 
 
+def question_sketches_stream(spark: SparkSession, landing: str, out: str, ckpt: str, schema: T.StructType,
+                             files_per_trigger: int = 8, precision: int = 12) -> str:
+    """K3 with distinct students: every micro-batch adds its own partial results,
+    per sub-question the attempts, the correct answers and a HyperLogLog sketch
+    of the students (blank names count for none), kept as binary.
+
+    The stream holds no state. A batch is written whole into its own folder, so a
+    repeated batch replaces itself. Returns the folder for ``question_sketches``.
+    """
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
+    keep = F.coalesce(~F.col("question").contains(HEADER_TEXT), F.lit(True)) & F.col("question").isNotNull()
+    number = N.sub_question_number(N.normalize_question_number("question_no_raw"))
+    rows = src.where(keep).select(number.alias("sub_question_no"), "grading", F.nullif("student_raw", F.lit("")).alias("student"))
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        part = batch.where(F.col("sub_question_no").isNotNull()).groupBy("sub_question_no").agg(
+            F.count(F.lit(1)).alias("attempts"),
+            F.count_if(F.col("grading") == "Correct").alias("correct_answers"),
+            F.hll_sketch_agg("student", precision).alias("students"),
+        )
+        part.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    q = rows.writeStream.foreachBatch(add).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return out
+
+
+def question_sketches(spark: SparkSession, out: str) -> DataFrame:
+    """The batches' partial results merged: one mergeable row per sub-question."""
+    return spark.read.option("basePath", out).parquet(f"{out}/batch=*").groupBy("sub_question_no").agg(
+        F.sum("attempts").alias("attempts"),
+        F.sum("correct_answers").alias("correct_answers"),
+        F.hll_union_agg("students").alias("students"),
+    )
+
+
+def compact_sketches(spark: SparkSession, out: str, into: str) -> None:
+    """Write the merged partial results as one batch of a new folder, for a table of many batches."""
+    question_sketches(spark, out).write.mode("overwrite").parquet(f"{into}/batch=-1")
+
+
 def latest_version(spark: SparkSession, out: str, upto: int | None = None) -> str | None:
     """The path of the newest complete version (at most ``upto``) below ``out``."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/version=*/_SUCCESS")

@@ -261,3 +261,99 @@ def test_import_tally_rollup(spark):
     recs = IM.import_records([("a", a), ("b", b)], exam_id=1)
     got = {r.source_file: (r.total, r.inserted) for r in IM.import_tally(recs).collect()}
     assert got == {"a": (2, 1), "b": (1, 1), "ALL": (3, 2)}
+
+
+def test_failed_requests_have_no_replies(spark):
+    from examlytics.operators import topics as TP
+
+    b = spark.createDataFrame([("SST", 1, "1"), ("SST", 1, "2"), ("SST", 2, "1"), (None, 1, "1"), ("SST", 3, "9")], "subject string, batch_no long, question_no string")
+    st = spark.createDataFrame([("SST", 1, True), ("SST", 2, False), (None, 1, True)], "subject string, batch_no long, ok boolean")
+    rep = spark.createDataFrame(
+        [("SST", 1, 5, "1", "late", 0.1, "x"), ("SST", 1, 1, "1", "History", 0.9, None), (None, 1, 1, "1", "Any", 0.5, "why"), ("SST", 3, 1, "9", "lost", 1.0, "")],
+        "subject string, batch_no long, result_ord long, question_no string, topic string, confidence double, explanation string",
+    )
+    got = {(r.subject, r.batch_no, r.question_no): (r.topic, r.confidence, r.explanation) for r in TP.settle_topic_requests(b, st, rep).collect()}
+    assert got == {
+        ("SST", 1, "1"): ("History", 0.9, ""),
+        ("SST", 1, "2"): (TP.FAILED, 0.0, TP.NO_MATCH),
+        ("SST", 2, "1"): (TP.FAILED, 0.0, TP.API_ERROR),
+        (None, 1, "1"): ("Any", 0.5, "why"),
+        ("SST", 3, "9"): (TP.FAILED, 0.0, TP.API_ERROR),
+    }
+
+
+def test_one_scan_reads_a_folder_of_many_files(spark, tmp_path):
+    from examlytics.sources import files as FS
+
+    for i in range(150):
+        head = "Student Name,Question No,marks,score" if i % 2 else "answer,QuestionNo,foo"
+        line = f'"A, ""{i}""",{i}(a),5,nan' if i % 2 else f"text {i},{i}.b,z"
+        (tmp_path / f"f{i:03}.csv").write_text(f"{head}\n{line}\n\n{line}\n")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "x.jsonl").write_text('{"student name": "J", "page number": "p7"}\n{broken\n{"grade": " ", "class_name": "P5", "other": 1}\n')
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "only_head.csv").write_text("answer,marks\n")
+    (tmp_path / "notes.txt").write_text("answer\nno\n")
+    cells = FS.read_folder_cells(spark, str(tmp_path), IM.header_target)
+    got = IM.folder_records(cells, exam_id=4).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.source_file, []).append(r)
+    assert len(by) == 151 and all(len(v) == 2 for k, v in by.items() if k != "x.jsonl")
+    odd, even = by["f003.csv"][0], by["f004.csv"][0]
+    assert (odd.student_name, odd.question_no, odd.grading, odd.answer, odd.accepted) == ('A, "3"', "3(a)", "5", None, True)
+    assert (even.answer, even.question_no, even.student_name, even.subject_name) == ("text 4", "4.b", None, "SST")
+    lines = sorted(((r.student_name, r.answer, r.class_name, r.accepted) for r in by["x.jsonl"]), key=str)
+    assert lines == [("J", None, None, False), (None, "{broken", None, False), (None, None, "P5", True)]
+    tally = {r.source_file: (r.total, r.inserted) for r in IM.import_tally(IM.folder_records(cells, exam_id=4)).collect()}
+    assert tally["ALL"] == (303, 301) and tally["x.jsonl"] == (3, 1)
+    strict = IM.folder_records(cells, exam_id=4, strict_columns=True).where("accepted").select("source_file").distinct().count()
+    assert strict == 75  # files without unknown columns
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") <= 3  # lines, headers, JSON lines: not one per file
+
+
+def test_csv_fields(spark):
+    from examlytics.sources import files as FS
+
+    want = {"": [""], ",b": ["", "b"], 'a,"b,""c""",': ["a", 'b,"c"', ""], '"x"': ["x"], ' a ,b"c': [" a ", 'b"c'], '""': [""], '"' + "long, " * 5000 + '"': ["long, " * 5000]}
+    got = spark.createDataFrame([(k,) for k in want], "line string").select("line", FS.csv_fields("line").alias("f")).collect()
+    assert {r.line: r.f for r in got} == want
+
+
+def test_headers_map_alike(spark):
+    names = ["Student Name", " student_name ", "QUESTION__NO", "questionNo", "Score", "page  number", "class_name", "exam_id", "foo", "", "Answer\t"]
+    got = [r[0] for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i").select(IM.header_target(F.col("n"))).collect()]
+    assert got == [t if (t := IM.map_header(n)) in IM.REPORT_COLUMNS[1:] else None for n in names]
+
+
+def test_a_repeated_batch_leaves_one_copy(spark, tmp_path):
+    from examlytics.sinks import writers as W
+
+    def records(exam, names):
+        rows = [(exam, n, None, "SST", str(i), None, None, None, "Correct", n != "no") for i, n in enumerate(names)]
+        return spark.createDataFrame(rows, "exam_id long, student_name string, class_name string, subject_name string, question_no string, question string, answer string, page_number int, grading string, accepted boolean")
+
+    path = str(tmp_path / "t")
+    keys = ["student_name", "question_no", "class_name"]
+    W.commit_reports(records(1, ["a", "b", "no"]), path, "x")
+    W.commit_reports(records(1, ["a", "b", "no"]), path, "x")
+    W.commit_reports(records(2, ["a"]), path, "x")  # another exam's partition of the same batch
+    assert W.read_reports(spark, path).count() == 3
+    W.commit_reports(records(1, ["a", "c"]), path, "y", dedupe_keys=keys)
+    W.commit_reports(records(1, ["a", "c"]), path, "y", dedupe_keys=keys)
+    assert sorted(r.student_name for r in W.read_reports(spark, path, 1).collect()) == ["a", "b", "c"]
+    W.commit_reports(records(1, ["a"]), path, "x")  # a corrected batch replaces the old one
+    assert sorted(r.student_name for r in W.read_reports(spark, path, 1).collect()) == ["a", "c"]
+    assert W.read_reports(spark, path, 2).count() == 1
+
+
+def test_ordered_files_follow_each_other(spark, tmp_path):
+    from examlytics.sinks import writers as W
+
+    keys = [f"{i}({c})" for i in range(1, 40) for c in "ab"] + [None, "x"]
+    df = spark.createDataFrame([(k,) for k in keys], "sub_question_no string").repartition(7)
+    for natural in (False, True):
+        W.write_ordered(df, str(tmp_path / str(natural)), natural=natural)
+        got = [r.sub_question_no for r in W.read_ordered(spark, str(tmp_path / str(natural))).orderBy("position").collect()]
+        assert got == [r[0] for r in W.report_order(df, natural=natural).collect()]
