@@ -14,16 +14,14 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+import types
 from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-from examlytics.llm.common import Cache
-
-#: What this process has loaded, by kind and path.
-_LOADED = Cache()
 SPACE_MARK = "▁"
 
 
@@ -35,10 +33,16 @@ def public_path(name: str) -> str:
 
 
 def once(key: tuple, make: Callable):
-    """``make()``, once in a process for each key."""
-    if key not in _LOADED:
-        _LOADED[key] = make()
-    return _LOADED[key]
+    """``make()``, once in a process for each key.
+
+    What is made is kept in a module of its own: the functions here travel by
+    value and are made anew for every task, a worker process is not.
+    """
+    name = f"{__name__}_loaded"
+    kept = sys.modules.setdefault(name, types.ModuleType(name)).__dict__.setdefault("kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
 
 
 def load_json(path: str, plain_specials: bool = False):
@@ -172,23 +176,25 @@ def encode_joined(encode: Callable[[list[str]], list[list[int]]], lengths: np.nd
     plain = (size > 1) & (second > 32) & (second < 128) & (raw[end - 1] > 32)
     texts = chunks.cast(pa.large_string()).to_pylist()
     order = np.flatnonzero(plain)
-    ids: list[list[int]] = [[]] * len(texts)
-    alone = np.flatnonzero(~plain).tolist()
+    alone = [np.flatnonzero(~plain)]
     groups = [order[a : a + JOINED] for a in range(0, len(order), JOINED)]
-    for group, got in zip(groups, encode(["".join([texts[i] for i in group]) for group in groups])):
+    which, values, counts = [], [], []
+    for group, got in zip(groups, encode(["".join([texts[i] for i in group.tolist()]) for group in groups])):
         ends = np.cumsum(lengths[got])
         want = np.cumsum(size[group])
         last = np.searchsorted(ends, want)
         if len(ends) and ends[-1] == want[-1] and np.array_equal(ends[last], want):
-            first = 0
-            for i, b in zip(group.tolist(), (last + 1).tolist()):
-                ids[i] = got[first:b]
-                first = b
+            which.append(group)
+            values.append(np.array(got, np.int64))
+            counts.append(np.diff(last, prepend=-1))
         else:
-            alone += group.tolist()
-    for i, got in zip(alone, encode([texts[i] for i in alone])):
-        ids[i] = got
-    return Ragged.of(ids)
+            alone.append(group)
+    rest = np.concatenate(alone)
+    single = Ragged.of(encode([texts[i] for i in rest.tolist()]))
+    found = Ragged(np.concatenate([*values, single.values]), np.concatenate([*counts, single.counts]))
+    back = np.empty(len(texts), np.int64)
+    back[np.concatenate([*which, rest])] = np.arange(len(texts))
+    return Ragged(found.take(back), found.counts[back])
 
 
 # ------------------------------------------------------------------ the word vocabulary
@@ -220,7 +226,7 @@ def word_model(path: str):
 
 
 def encode_words(path: str, chunks: list[str]) -> Ragged:
-    """The ids of each chunk under a lower-case vocabulary with word ends.
+    """The ids of each chunk (without line feeds) under a lower-case vocabulary with word ends.
 
     Simple chunks are lowered and split into words here, as the pattern does; each
     distinct word is then encoded once by the library's model. Lower case and
@@ -228,22 +234,28 @@ def encode_words(path: str, chunks: list[str]) -> Ragged:
     other chunks go through the library as they are.
     """
     hard = [i for i, c in enumerate(chunks) if not c.isascii() and re.search(NOT_SIMPLE, c) or "<|" in c]
-    find = re.compile(WORD_PATTERN).findall
-    skip = set(hard)
-    parts = [() if i in skip else find(c.lower()) for i, c in enumerate(chunks)] if skip else [find(c.lower()) for c in chunks]
-    code: dict[str, int] = {}
-    flat = np.fromiter((code.setdefault(w, len(code)) for p in parts for w in p), np.int64)
+    own = chunks
+    if hard:
+        own = list(chunks)
+        for i in hard:
+            own[i] = ""
+    found = re.findall(f"\n|{WORD_PATTERN}", "\n".join([*own, ""]).lower())  # a line feed ends every chunk
+    d = pa.array(found, pa.large_string()).dictionary_encode()
+    code, words = d.indices.to_numpy().astype(np.int64), d.dictionary.to_pylist()
+    feed = words.index("\n")
+    cut = np.flatnonzero(code == feed)
+    n_parts = np.diff(cut, prepend=-1) - 1
+    flat = np.delete(code, cut)
+    words[feed] = "a"
     model, ends = word_model(path)
-    words = list(code)
     byte_level = {b: ord(c) for c, b in byte_of_character().items()}
     texts = [" ".join(words[a : a + JOINED]).encode().replace(b" ", b"\n").decode("latin-1") for a in range(0, len(words), JOINED)]
     byte_level[10] = 10  # only between words, which hold no white space
     got = encode_json(model, [t.translate(byte_level) for t in texts])
     last = np.flatnonzero(ends[got.values]) if len(got.values) else np.empty(0, np.int64)
     per_word = Ragged(got.values, np.diff(last, prepend=-1))
-    n_parts = np.fromiter(map(len, parts), np.int64, len(parts))
-    values, counts = per_word.take(flat), np.zeros(len(parts), np.int64)
-    np.add.at(counts, np.repeat(np.arange(len(parts)), n_parts), per_word.counts[flat])
+    upto = np.append(0, np.cumsum(per_word.counts[flat]))[np.append(0, np.cumsum(n_parts))]
+    values, counts = per_word.take(flat), np.diff(upto)
     if not hard:
         return Ragged(values, counts)
     lists = [x for x in np.split(values, np.cumsum(counts)[:-1])]
@@ -255,6 +267,7 @@ def encode_words(path: str, chunks: list[str]) -> Ragged:
 def encode_rows(path: str, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of every row, one after the other, and how many each row has."""
     n_rows = len(offs) - 1
+    data = np.where(data == 10, np.uint8(32), data)  # all white space is the same to this vocabulary
     starts = chunk_starts(data, offs)
     if not len(starts):
         return np.empty(0, np.int64), np.zeros(n_rows, np.int64)

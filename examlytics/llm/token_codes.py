@@ -58,11 +58,9 @@ HEAD = "<qQQB"
 
 def best_widths(ids: np.ndarray) -> list[int]:
     """Chunk widths, lowest chunk first, that need the fewest bits for these ids."""
-    bits = np.zeros(65, np.int64)
-    low, n = ids.astype(np.uint64), len(ids)
-    top = max(1, int(ids.max()).bit_length()) if n else 1
-    for k in range(top):
-        bits[k] = n if k == 0 else int(np.count_nonzero(low >> np.uint64(k)))
+    lengths = np.bincount(np.maximum(np.frexp(ids.astype(float))[1], 1)) if len(ids) else np.array([0, 0])
+    top = len(lengths) - 1
+    bits = len(ids) - np.cumsum(lengths)  # ids that need more than k bits
     best: list[tuple[float, list[int]]] = [(0.0, [])] * (top + 1)  # cost of the bits from k on
     for k in range(top - 1, -1, -1):
         options = []
@@ -73,25 +71,28 @@ def best_widths(ids: np.ndarray) -> list[int]:
     return best[0][1]
 
 
+def _kind(width: int) -> np.dtype:
+    """The little-endian number that ``width`` bits fit in."""
+    return np.dtype(next(f"<u{n}" for n in (1, 2, 4, 8) if 8 * n >= width))
+
+
 def pack(values: np.ndarray, width: int) -> bytes:
     """Numbers of ``width`` bits, one after the other, lowest bit first."""
-    out = []
-    shift = np.arange(width, dtype=np.uint64)
+    out, kind = [], _kind(width)
     for a in range(0, len(values), 1 << 17):  # a multiple of 8 numbers ends at a whole byte
-        part = (values[a : a + (1 << 17), None] >> shift) & np.uint64(1)
-        out.append(np.packbits(part.astype(np.uint8).ravel(), bitorder="little").tobytes())
+        part = values[a : a + (1 << 17)].astype(kind)
+        bits = np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+        out.append(np.packbits(bits[:, :width].ravel(), bitorder="little").tobytes())
     return b"".join(out)
 
 
 def unpack(raw: np.ndarray, width: int, a: int, b: int) -> np.ndarray:
     """Numbers ``a:b`` of ``width`` bits."""
-    first = a * width
+    first, kind = a * width, _kind(width)
     bits = np.unpackbits(raw[first >> 3 : (b * width + 7) >> 3], bitorder="little")[first & 7 :][: (b - a) * width]
-    out = np.zeros(b - a, np.int64)
-    grid = bits.reshape(b - a, width)
-    for k in range(width):
-        out |= grid[:, k].astype(np.int64) << k
-    return out
+    wide = np.zeros((b - a, 8 * kind.itemsize), np.uint8)
+    wide[:, :width] = bits.reshape(b - a, width)
+    return np.packbits(wide, axis=1, bitorder="little").reshape(-1).view(kind).astype(np.int64)
 
 
 def build(number: int, doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
