@@ -42,7 +42,7 @@ from examlytics.llm import subwords
 from examlytics.llm.common import pieces, stored
 
 #: Bytes of text in a batch.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Groups with more pairs of tokens than this are counted by distinct ids instead of written out.
 LARGE_GROUP = 4096
 
@@ -159,7 +159,7 @@ class Tokenizers:
         a = subwords.encode_joined(self.encode_a, self.a_len, chunks)
         b = subwords.encode_joined(self.encode_b, self.b_len, chunks)
         # rows whose tokens do not give back their bytes have no tokens
-        same = np.array([_joined(self.a_bytes, a, k) == t == _joined(self.b_bytes, b, k) for k, t in enumerate(chunks.to_pylist())], bool)
+        same = _gives_back(self.a_bytes, self.a_len, a, chunks) & _gives_back(self.b_bytes, self.b_len, b, chunks)
         row = np.searchsorted(offs, starts, side="right") - 1
         if not same.all():
             differs = np.zeros(n_rows, bool)
@@ -178,8 +178,14 @@ class Tokenizers:
         return Aligned(a_ids, a_n, b_ids, b_n, a_last, b_last, np.repeat(np.arange(n_rows), a_n)[a_last])
 
 
-def _joined(token_bytes: list[bytes], ids: subwords.Ragged, k: int) -> bytes:
-    return b"".join([token_bytes[i] for i in ids.values[ids.first[k] : ids.first[k + 1]].tolist()])
+def _gives_back(token_bytes: list[bytes], lengths: np.ndarray, ids: subwords.Ragged, chunks: pa.Array) -> np.ndarray:
+    """Whether the tokens of each chunk give its bytes."""
+    size = pc.binary_length(chunks).to_numpy()
+    tokens = [token_bytes[i] for i in ids.values.tolist()]
+    upto = np.append(0, np.cumsum(lengths[ids.values]))
+    if np.array_equal(np.diff(upto[ids.first]), size) and b"".join(tokens) == b"".join(chunks.to_pylist()):
+        return np.ones(len(size), bool)
+    return np.array([b"".join(tokens[lo:hi]) == t for lo, hi, t in zip(ids.first[:-1], ids.first[1:], chunks.to_pylist())], bool)
 
 
 def _tokenizers(a_path: str, b_path: str) -> Tokenizers:
@@ -259,13 +265,17 @@ def document_links(x: Aligned, n_rows: int, b_size: int) -> tuple[np.ndarray, np
         pair.append((ua[:, None] * b_size + ub).ravel())
         times.append(np.outer(ca, cb).ravel())
         rows.append(np.full(len(pair[-1]), x.row[k]))
-    row, code, count = np.concatenate(rows), np.concatenate(pair), np.concatenate(times)
-    order = np.lexsort((code, row))
-    row, code, count = row[order], code[order], count[order]
-    if not len(row):
-        return row, code, count
-    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])))
-    return row[first], code[first], np.add.reduceat(count, first)
+    code = np.concatenate(pair)
+    if not len(code):
+        return code, code, code
+    key = np.concatenate(rows) << 32 | code  # a pair needs fewer than 32 bits
+    if len(times) > 1:
+        order = np.argsort(key, kind="stable")
+        key, count = key[order], np.concatenate(times)[order]
+    else:
+        key, count = np.sort(key), times[0]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[first] >> 32, key[first] & 0xFFFFFFFF, np.add.reduceat(count, first)
 
 
 def group_digests(x: Aligned, n_rows: int, a_size: int, b_size: int) -> list[str]:
@@ -278,11 +288,10 @@ def group_digests(x: Aligned, n_rows: int, a_size: int, b_size: int) -> list[str
     a_code[x.a_last] += 1
     b_code[x.b_last] += 1
     # A's tokens of a group, then B's: each is moved by the other list's tokens that stand before it
-    a_group = np.searchsorted(x.a_last, np.arange(len(a_code)))
-    b_group = np.searchsorted(x.b_last, np.arange(len(b_code)))
+    na, nb = np.diff(x.a_last, prepend=-1), np.diff(x.b_last, prepend=-1)
     out = np.empty(len(a_code) + len(b_code), np.int64)
-    out[np.arange(len(a_code)) + (np.append(-1, x.b_last) + 1)[a_group]] = a_code
-    out[np.arange(len(b_code)) + (x.a_last + 1)[b_group]] = b_code
+    out[np.arange(len(a_code)) + np.repeat(x.b_last + 1 - nb, na)] = a_code
+    out[np.arange(len(b_code)) + np.repeat(x.a_last + 1, nb)] = b_code
     words = texts[out]
     ends = np.cumsum(x.a_n + x.b_n).tolist()
     digests, first = [], 0
