@@ -255,16 +255,38 @@ def test_verbatim_recall(spark):
     assert len(want) > 5 and len(want & got) >= 0.9 * len(want)
 
 
-def test_axes_hold_every_item_of_a_block(spark):
+def test_axes_are_the_singular_vectors_of_the_passages(spark):
     m = latent_decontamination
     rng = random.Random(4)
-    items = [sentence(rng, 300) for _ in range(m.ITEM_BLOCK)]
-    docs = documents(spark, [(k, sentence(rng, 200)) for k in range(200)]).select("text")
+    topics = [[f"t{k}w{j}" for j in range(30)] for k in range(6)]
+    texts = [" ".join(rng.sample(topics[k % 6 if k % 2 else 0], 20)) for k in range(300)]  # topics 0, 1, 3 and 5
+    docs = documents(spark, list(enumerate(texts))).select("text")
     idf = m.inverse_frequencies(docs)
-    axes = m.latent_axes(docs.repartition(2), items, idf)
-    for t in items:
-        x = np.bincount(m.terms(m._text_words(t)), minlength=m.TERMS) * idf
-        assert np.linalg.norm(axes.T @ x) > 0.98 * np.linalg.norm(x)
+    axes = m.latent_axes(docs.repartition(2), idf, 40)
+    rows = np.stack([np.bincount(m.terms(m._text_words(t)), minlength=m.TERMS) * idf for t in texts])
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    _, size, want = np.linalg.svd(rows / np.sqrt(len(texts)), full_matrices=False)
+    lead = axes[:, np.argsort(np.linalg.norm(axes, axis=0))[:4]]  # divided by the largest singular values
+    assert np.allclose(1 / np.linalg.norm(lead, axis=0), size[:4], rtol=0.02)
+    lead = lead / np.linalg.norm(lead, axis=0)
+    assert np.linalg.svd(want[:4] @ lead, compute_uv=False).min() > 0.99
+
+
+def test_recall_against_brute_force_subsequences(spark):
+    m = latent_decontamination
+    rng = random.Random(12)
+    items = [(k, sentence(rng, 18 + 7 * k, 900)) for k in range(30)]
+    rows = []
+    for k in range(120):
+        share = rng.choice([0, 0.1, 0.2, 0.3, 0.45])
+        planted = " ".join(sentence(rng, 1, 900) if rng.random() < share else w for w in items[k % 30][1].split())
+        rows.append((k, f"{sentence(rng, rng.randrange(40, 200), 900)} {planted} {sentence(rng, 60, 900)}" if k % 4 else sentence(rng, 150, 900)))
+    words = {i: m._text_words(t) for i, t in items}
+    share = {(d, i): m.lcs(m.places(w), len(w), m._text_words(t).tolist()) / len(w) for d, t in rows for i, w in words.items()}
+    got = {(r.doc_id, r.item_id) for r in m.leaks(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {p for p, s in share.items() if s >= m.MIN_LCS + 0.05}
+    assert len(want) > 50 and len(got & want) >= 0.95 * len(want)
+    assert all(share[p] >= m.MIN_LCS_ANSWER for p in got)
 
 
 def test_paraphrased_items_of_several_blocks(spark, monkeypatch):
