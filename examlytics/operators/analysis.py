@@ -90,12 +90,15 @@ def question_stats(rows: DataFrame, approx_students: bool = False) -> DataFrame:
         F.approx_count_distinct("student_name") if approx_students else F.count_distinct("student_name")
     )
     stats = g.groupBy("sub_question_no").agg(
-        F.min_by("main_question_no", "row_id").alias("main_question_no"),
-        F.min_by("question", "row_id").alias("question"),
+        F.min("row_id").alias("_first"),
         F.count(F.lit(1)).alias("attempts"),
         students.alias("distinct_students"),
         F.count_if(is_correct()).alias("correct_answers"),
     )
+    # late fetch: texts in an aggregate would sort every row, a row id is hashed
+    first = g.select(F.col("row_id").alias("_row"), "main_question_no", "question")
+    stats = stats.join(first, F.col("_first") == F.col("_row"))
+    stats = stats.select("main_question_no", "question", "sub_question_no", "attempts", "distinct_students", "correct_answers")
     return stats.withColumns(
         {
             "correct_pct": percent_text("correct_answers", "attempts", 1),

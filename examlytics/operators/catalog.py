@@ -80,7 +80,7 @@ def report_rollup(exams: DataFrame, reports: DataFrame, uploads: DataFrame) -> D
     return out.drop("_e", "_u").fillna(0, subset=cols)
 
 
-def get_or_create_exams(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+def get_or_create_exams(existing: DataFrame, incoming: DataFrame, strict: bool = False) -> DataFrame:
     """E7 + D10, batch form. Incoming (name, type_name, in_ord):
 
     * type outside the domain -> ``rejected`` (no id);
@@ -90,7 +90,12 @@ def get_or_create_exams(existing: DataFrame, incoming: DataFrame) -> DataFrame:
       first type wins.
 
     Ranking uses the skew-safe blocked row numbering, never a global window.
+    With ``strict`` a type outside the domain fails the job instead.
     """
+    if strict:
+        why = F.concat(F.lit("exam type outside the domain: "), F.coalesce("type_name", F.lit("null")))
+        known = F.coalesce(F.col("type_name").isin(*EXAM_TYPES), F.lit(False))
+        incoming = incoming.withColumn("type_name", F.when(known, F.col("type_name")).otherwise(F.raise_error(why)))
     ok = F.col("type_name").isin(*EXAM_TYPES)
     rejected = incoming.where(~ok | F.col("type_name").isNull()).select(
         "name", "type_name", F.lit(None).cast("bigint").alias("exam_id"), F.lit("rejected").alias("status"), "in_ord"

@@ -154,12 +154,12 @@ def context_numbers(
 def first_per_text(df: DataFrame, text: str = "question", order: str = "row_id") -> DataFrame:
     """Keep the first row (file order) for every distinct ``text``; nulls dropped.
 
-    A groupBy with ``min_by`` combines map-side, so a text repeated by a third of
-    all rows is reduced before the shuffle.
+    ``order`` is unique. Its smallest value per text is a hash aggregate with
+    map-side partial results, so a text repeated by a third of all rows is reduced
+    before the shuffle; the rows themselves are fetched by it afterwards.
     """
-    cols = [c for c in df.columns if c != text]
-    picked = F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order)).alias("_first")
-    return df.where(F.col(text).isNotNull()).groupBy(text).agg(picked).select(text, "_first.*").select(*df.columns)
+    first = df.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("_text")).agg(F.min(order).alias("_first"))
+    return df.join(first, (F.col(order) == F.col("_first")) & (F.col(text) == F.col("_text")), "left_semi")
 
 
 def discover_question_columns(columns: Sequence[str]) -> dict[str, str]:

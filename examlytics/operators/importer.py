@@ -72,10 +72,11 @@ def _value(c: str):
     return F.when(v.isNull() | v.isin(*BLANK_VALUES), F.lit(None).cast("string")).otherwise(v)
 
 
-def canonical_records(df: DataFrame, source: str) -> DataFrame:
+def canonical_records(df: DataFrame, source: str, keep_blank: bool = False) -> DataFrame:
     """C4 + C5 + C6 for one file: canonical string columns (blank values dropped;
     when several headers map to one column the last non-blank wins) plus
-    ``source_file``; all-blank records removed before anything is counted."""
+    ``source_file``; all-blank records removed before anything is counted, or kept
+    with ``blank`` true."""
     mapping = header_mapping(df.columns)
     cols = []
     for target in REPORT_COLUMNS[1:]:
@@ -83,7 +84,8 @@ def canonical_records(df: DataFrame, source: str) -> DataFrame:
         expr = F.coalesce(*[_value(s) for s in reversed(srcs)]) if srcs else F.lit(None).cast("string")
         cols.append(expr.alias(target))
     d = df.select(F.lit(source).alias("source_file"), *cols)
-    return d.where(F.coalesce(*[F.col(c) for c in REPORT_COLUMNS[1:]]).isNotNull())
+    some = F.coalesce(*[F.col(c) for c in REPORT_COLUMNS[1:]]).isNotNull()
+    return d.withColumn("blank", ~some) if keep_blank else d.where(some)
 
 
 def unknown_columns(columns: Iterable[str]) -> list[str]:
@@ -97,15 +99,17 @@ def import_records(
     default_subject: str = DEFAULT_SUBJECT,
     default_class: str | None = None,
     strict_columns: bool = False,
+    keep_blank: bool = False,
 ) -> DataFrame:
     """Union of every file's canonical records with C7 defaults applied;
     ``accepted`` is false where the page number is not an integer (the row the
     reporting table would refuse). With ``strict_columns`` every record of a
     file that has a column outside the reporting table is refused (the
-    stricter importer's behaviour); by default such columns are ignored."""
+    stricter importer's behaviour); by default such columns are ignored. With
+    ``keep_blank`` all-blank records stay, marked ``blank`` and not accepted."""
     recs = None
     for name, df in files:
-        r = canonical_records(df, name)
+        r = canonical_records(df, name, keep_blank)
         refused = strict_columns and bool(unknown_columns(df.columns))
         r = r.withColumn("_file_ok", F.lit(not refused))
         recs = r if recs is None else recs.unionByName(r)
@@ -119,6 +123,8 @@ def import_records(
             "page_number": page.try_cast("int"),
         }
     )
+    if keep_blank:
+        return out.withColumn("accepted", F.col("accepted") & ~F.col("blank")).select("source_file", *REPORT_COLUMNS, "accepted", "blank")
     return out.select("source_file", *REPORT_COLUMNS, "accepted")
 
 

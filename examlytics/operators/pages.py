@@ -173,6 +173,43 @@ def page_range(df: DataFrame, start: int | None = 1, end: int | None = None, max
     return df.where(cond)
 
 
+def job_summary(df: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """F9 from the landed replies: every landed page counts as processed, also one
+    that was refused or has no entries; entries before cleaning; over cleaned rows
+    the distinct students and questions, non-blank answers (null counts, N3) and
+    graded answers. A scan without any entry has zeros.
+
+    Each distinct count is a plain aggregate at its own grain, so no row is
+    repeated per distinct: pages by (scan, page), students by (scan, name) over
+    pages with a kept entry, questions by (scan, number) over entries.
+    """
+    def kept(question: Column) -> Column:
+        return question.isNotNull() & ~F.coalesce(question.contains(HEADER_TEXT), F.lit(False))
+
+    pages = df.groupBy("scan_id", "page_no").agg(F.lit(1).alias("_one"))
+    pages = pages.groupBy("scan_id").agg(F.count(F.lit(1)).alias("pages_processed"), F.min("page_no").alias("start_page"))
+    # a missing question is an empty text (C1), a null one drops the entry
+    any_kept = F.exists("entries", lambda e: ~F.map_contains_key(e, "question") | F.coalesce(kept(F.try_element_at(e, F.lit("question"))), F.lit(False)))
+    students = carried_pages(df, block).where(any_kept).groupBy(F.col("scan_id").alias("_s"), "student_name").agg(F.lit(1).alias("_one"))
+    students = students.groupBy("_s").agg(F.count("student_name").alias("students_found"))
+    answered = F.col("answer").isNull() | has_text("answer")
+    graded = F.col("grading").isin("Correct", "Incorrect")
+    keep = kept(F.col("question"))
+    numbers = explode_pages(df).withColumn("question_no", N.normalize_question_number("question_no_raw"))
+    numbers = numbers.groupBy(F.col("scan_id").alias("_q"), "question_no").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(keep).alias("_kept"),
+        F.count_if(keep & answered).alias("_answered"), F.count_if(keep & graded).alias("_graded"),
+    )
+    numbers = numbers.groupBy("_q").agg(
+        F.sum("_n").alias("total_entries"), F.count_if((F.col("_kept") > 0) & F.col("question_no").isNotNull()).alias("total_questions"),
+        F.sum("_answered").alias("total_answers"), F.sum("_graded").alias("graded_answers"),
+    )
+    out = pages.join(students, F.col("scan_id") == F.col("_s"), "left").join(numbers, F.col("scan_id") == F.col("_q"), "left")
+    counts = ["total_entries", "students_found", "total_questions", "total_answers", "graded_answers"]
+    last = (F.col("start_page") + F.col("pages_processed") - 1).alias("end_page")
+    return out.select("scan_id", "pages_processed", "start_page", last, *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
+
+
 def scan_summary(df: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
     """per scan, the job summary: entries before cleaning, pages processed,
     start/end page, and over cleaned rows the distinct students and questions,

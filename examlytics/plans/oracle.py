@@ -612,6 +612,33 @@ SELECT 'natural', row_number() OVER (ORDER BY try_cast(nullif(regexp_extract(sub
 FROM a""")
 
 
+ORACLE["clean_transcription_strict"] = ORACLE["clean_transcription"]
+ORACLE["exam_create_strict"] = f"SELECT * FROM ({ORACLE['exam_get_or_create']}) WHERE status <> 'rejected'"
+ORACLE["import_counted_write"] = _q(f"""
+WITH {_IMPORT}
+SELECT source_file, count(*) AS total, count_if(accepted) AS accepted, count_if(NOT accepted) AS refused,
+       CASE WHEN source_file = 'import_b' THEN (SELECT count(*) FROM import_b WHERE student_name IS NULL AND "Subject  Name" IS NULL) ELSE 0 END AS blank,
+       count_if(accepted) AS rows_read
+FROM recs GROUP BY source_file""", "import_a", "import_b")
+
+ORACLE["job_summary"] = _q(f"""
+{_PAGE_NAMED},
+d AS ({_entries("student_name,")}),
+k AS (SELECT *, {S.normalize_qno('question_no_raw')} AS question_no,
+             (coalesce(NOT contains(question, 'Question No'), true) AND question IS NOT NULL) AS keep FROM d),
+p AS (SELECT scan_id, count(DISTINCT page_no) AS pages_processed, min(page_no) AS start_page FROM transcription GROUP BY scan_id),
+e AS (SELECT scan_id, count(*) AS total_entries, count(DISTINCT CASE WHEN keep THEN student_name END) AS students_found,
+             count(DISTINCT CASE WHEN keep THEN question_no END) AS total_questions,
+             count_if(keep AND (answer IS NULL OR {S.has_text('answer')})) AS total_answers,
+             count_if(keep AND grading IN ('Correct', 'Incorrect')) AS graded_answers
+      FROM k GROUP BY scan_id)
+SELECT p.scan_id, p.pages_processed, p.start_page, p.start_page + p.pages_processed - 1 AS end_page,
+       coalesce(total_entries, 0) AS total_entries, coalesce(students_found, 0) AS students_found,
+       coalesce(total_questions, 0) AS total_questions, coalesce(total_answers, 0) AS total_answers,
+       coalesce(graded_answers, 0) AS graded_answers
+FROM p LEFT JOIN e USING (scan_id)""")
+
+
 def _bigint_counts(sql: str) -> str:
     """DuckDB's ``count_if`` is HUGEINT; Spark's is BIGINT. Wrap every call."""
     out, i, tok = [], 0, "count_if("

@@ -134,6 +134,12 @@ def page_range(spark, sf_dir):
     return P.page_range(t, start=3, end=40)
 
 
+@query
+def job_summary(spark, sf_dir):
+    """F9 over the landed replies; refused pages and pages without entries count as processed."""
+    return P.job_summary(X.raw_responses(spark, sf_dir))
+
+
 @query
 def scan_summary(spark, sf_dir):
     return P.scan_summary(X.transcription(spark, sf_dir))
@@ -668,3 +674,28 @@ def report_file_order(spark, sf_dir):
         back = W.read_ordered(spark, f"{path}/{name}").withColumn("file_order", F.lit(name))
         out = back if out is None else out.unionByName(back)
     return out.select("file_order", "position", "sub_question_no", "attempts")
+
+
+@query
+def import_counted_write(spark, sf_dir):
+    """C5 + C8 + F13: per file, what the import wrote, refused and left out as blank, counted by the write itself."""
+    records = IM.import_records(import_files(spark, sf_dir), exam_id=IMPORT_EXAM_ID, keep_blank=True)
+    path = W.output_root(spark, "counted") + "/reports"
+    counts = W.write_counted(records, path, ["import_a", "import_b"])
+    read = spark.read.parquet(path).groupBy("source_file").agg(F.count(F.lit(1)).alias("rows_read"))
+    schema = "source_file string, total long, accepted long, refused long, blank long"
+    return spark.createDataFrame([(s, *c.values()) for s, c in counts.items()], schema).join(read, "source_file", "left")
+
+
+@query
+def clean_transcription_strict(spark, sf_dir):
+    """C8, strict: a page number that is no integer would fail the job."""
+    t = C.clean_transcription(C.carry_student(X.transcription(spark, sf_dir)), strict_page=True)
+    return t.select(*_CLEAN_COLS)
+
+
+@query
+def exam_create_strict(spark, sf_dir):
+    """D10, strict, over the incoming exams whose type is in the domain; another type would fail the job."""
+    incoming = X.incoming_exams(spark, sf_dir).where(F.col("type_name").isin(*CT.EXAM_TYPES))
+    return CT.get_or_create_exams(X.exams(spark, sf_dir), incoming, strict=True)

@@ -8,7 +8,7 @@ from __future__ import annotations
 import posixpath
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.importer import REPORT_COLUMNS
@@ -115,6 +115,19 @@ def commit_reports(records: DataFrame, path: str, batch_id: str, dedupe_keys: li
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("exam_id", "batch").parquet(path)
 
 
+def write_counted(records: DataFrame, path: str, sources: list[str]) -> dict[str, dict[str, int]]:
+    """B7 + F13 in one pass: write the accepted records (of ``import_records`` with
+    ``keep_blank``) and return total, accepted, refused and blank records of each
+    of the ``sources``, observed while they were written (blank ones are in no total)."""
+    blank, accepted = F.col("blank"), F.col("accepted")
+    kinds = {"total": ~blank, "accepted": accepted, "refused": ~blank & ~accepted, "blank": blank}
+    seen = Observation()
+    counts = [F.count_if((F.col("source_file") == s) & c).alias(f"{i}_{k}") for i, s in enumerate(sources) for k, c in kinds.items()]
+    records.observe(seen, *counts).where("accepted").select("source_file", *REPORT_COLUMNS).write.mode("errorifexists").parquet(path)
+    got = seen.get
+    return {s: {k: got[f"{i}_{k}"] for k in kinds} for i, s in enumerate(sources)}
+
+
 def read_reports(spark: SparkSession, path: str, exam_id: int | None = None) -> DataFrame:
     """The committed records of the reporting table, of one exam or of all."""
     d = spark.read.option("basePath", path).parquet(path)

@@ -2,13 +2,17 @@
 
 import re
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from examlytics.operators import analysis as A
+from examlytics.operators import catalog as CT
 from examlytics.operators import clean as C
 from examlytics.operators import importer as IM
 from examlytics.operators import pages as P
 from examlytics.operators.ordered import carry_last, number_rows
+from examlytics.sinks import writers as W
 
 
 def test_student_carry_forward(spark):
@@ -357,3 +361,58 @@ def test_ordered_files_follow_each_other(spark, tmp_path):
         W.write_ordered(df, str(tmp_path / str(natural)), natural=natural)
         got = [r.sub_question_no for r in W.read_ordered(spark, str(tmp_path / str(natural))).orderBy("position").collect()]
         assert got == [r[0] for r in W.report_order(df, natural=natural).collect()]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_values_need_no_sorted_aggregate(spark):
+    rows = [(i, f"{i % 3}", f"{i % 3}(a)", f"q{i % 3}-{i}", "S", "x", "Correct") for i in range(30)]
+    df = spark.createDataFrame(
+        rows, "row_id long, main_question_no string, sub_question_no string, question string, student_name string, answer string, grading string"
+    )
+    stats = A.question_stats(df)
+    assert {(r.sub_question_no, r.question, r.attempts) for r in stats.collect()} == {(f"{i}(a)", f"q{i}-{i}", 10) for i in range(3)}
+    first = C.first_per_text(df.select("row_id", "main_question_no", "answer"), text="main_question_no")
+    assert sorted(r.row_id for r in first.collect()) == [0, 1, 2]
+    assert "SortAggregate" not in _plan(stats) + _plan(first)
+
+
+def test_job_summary_counts_every_landed_page(spark):
+    good = '{"studentName": "A", "entries": [{"questionNo": "1.a", "question": "x", "answer": "", "grading": "Correct"}, {"questionNo": "2", "question": null}]}'
+    rows = [
+        (1, 3, good), (1, 4, '{"studentName": "", "entries": []}'), (1, 5, "no json"),
+        (1, 6, '{"studentName": "B", "entries": [{"questionNo": "1(a)", "question": "Question No", "answer": "y"}]}'),
+        (1, 7, '{"studentName": "", "entries": [{"questionNo": "1(a)", "answer": null, "grading": "Incorrect"}]}'),
+        (2, 1, "no json"), (2, 2, None),
+    ]
+    df = spark.createDataFrame(rows, "scan_id long, page_no int, raw_content string")
+    out = P.job_summary(df)
+    got = {r.scan_id: r.asDict() for r in out.collect()}
+    want = dict(scan_id=1, pages_processed=5, start_page=3, end_page=7, total_entries=4, students_found=2, total_questions=1, total_answers=1, graded_answers=2)
+    assert got[1] == want
+    assert got[2] == dict.fromkeys(want, 0) | dict(scan_id=2, pages_processed=2, start_page=1, end_page=2)
+    assert "Expand" not in _plan(out)
+
+
+def test_strict_forms_fail_the_job(spark):
+    pages = spark.createDataFrame([("1", "x", "c", "s", "p?")], "question_no string, question string, class_name string, subject_name string, page_no string")
+    assert [r.page_no for r in C.clean_transcription(pages).collect()] == [None]
+    with pytest.raises(Exception, match="page_no is not an integer"):
+        C.clean_transcription(pages, strict_page=True).collect()
+    exams = spark.createDataFrame([(1, "E", 1)], "id long, name string, exam_type_id long")
+    for bad in ("Quiz", None):
+        incoming = spark.createDataFrame([("N", "Mocks", 1), ("O", bad, 2)], "name string, type_name string, in_ord int")
+        assert CT.get_or_create_exams(exams, incoming).count() == 2
+        with pytest.raises(Exception, match="exam type outside the domain"):
+            CT.get_or_create_exams(exams, incoming, strict=True).collect()
+
+
+def test_counts_come_with_the_write(spark, tmp_path):
+    a = spark.createDataFrame([("S", "1", "3"), ("T", "2", "x"), (None, "", "NaN"), ("U", "3", None)], "student_name string, question_no string, page_number string")
+    records = IM.import_records([("a", a)], exam_id=1, keep_blank=True)
+    got = W.write_counted(records, str(tmp_path / "out"), ["a", "b"])
+    assert got == {"a": dict(total=3, accepted=2, refused=1, blank=1), "b": dict(total=0, accepted=0, refused=0, blank=0)}
+    assert sorted(r.student_name for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["S", "U"]
+    assert IM.import_records([("a", a)], exam_id=1).count() == 3
