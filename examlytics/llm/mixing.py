@@ -17,7 +17,7 @@ rows is no hot key. The table of cells (not documents) goes to the driver; its
 bound is ``MAX_CELLS``, beyond which the call fails rather than drop cells.
 
 Defined cases: null source or language is a value of its own (``""``); a null or
-empty text has no tokens and weight 1 in a cell without tokens; targets of
+empty text has no tokens, weight 1 and probability 1, so it stays; targets of
 values that do not occur are ignored and the rest rescaled; repeated rows are
 drawn alike; null ids are drawn by a hash of the text; empty tables give no rows.
 """
@@ -145,7 +145,9 @@ def with_weights(narrow: DataFrame, weights: list[tuple]) -> DataFrame:
     spark = narrow.sparkSession
     table = spark.createDataFrame(weights, "source string, lang string, topic string, weight double, probability double")
     x = narrow.join(F.broadcast(table) if len(weights) <= 10_000 else table, list(MARGINS), "left")
-    return x.fillna(1.0, ["weight", "probability"]).withColumn("sampled", F.col("__u") < F.col("probability"))
+    for c in ("weight", "probability"):  # a text without tokens moves no share: it stays
+        x = x.withColumn(c, F.when(F.col("n_tokens") > 0, F.coalesce(c, F.lit(1.0))).otherwise(1.0))
+    return x.withColumn("sampled", F.col("__u") < F.col("probability"))
 
 
 def sample_documents(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

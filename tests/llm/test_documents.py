@@ -176,6 +176,8 @@ def test_sample_follows_the_probabilities(spark, awkward, none):
     for r in rows:
         share[r.lang] += g[(r.source, r.lang, r.topic)] * r.n_tokens
     assert max(share.values()) / min(share.values()) == pytest.approx(1, abs=1e-4)
+    plain = awkward.where("text is null or not text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    assert plain.count() > 1 and mixing.sample_documents(awkward).intersectAll(plain).count() == plain.count()
     assert mixing.sample_documents(awkward).count() <= awkward.count() and mixing.sample_documents(none).collect() == []
 
 
