@@ -209,21 +209,54 @@ def analysis_summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def first_and_sample(rows: DataFrame, pool: str = "strict", seed: str = "1", size: int = SAMPLE_SIZE) -> DataFrame:
+    """``question`` of the first row and the correct sample text (G5 + F7) per
+    sub-question, from one pass over the rows.
+
+    Each row is tagged with what it may be: the first row (``q``), one of the pool
+    (``p``), a correct answer that is not counted there (``c``). One rank per
+    (sub-question, tag) with a literal bound keeps ``size`` rows of each tag per map
+    task (partial group limit). More than ``size`` correct answers take the same
+    sample as ``size``, so the bounded counts decide as the whole ones do.
+    """
+    within = in_correct_pool(pool)
+    strict = pool == "strict"
+    uncounted = is_correct() & ~F.coalesce(within, F.lit(False)) if strict else is_correct()
+    none = F.lit(None).cast("string")
+    tag = lambda name, ord_, text: F.struct(F.lit(name).alias("tag"), ord_.alias("ord"), text.alias("text"))
+    tags = F.array(
+        tag("q", none, F.col("question")),
+        F.when(within, tag("p", sample_key(seed), F.col("answer"))),
+        F.when(uncounted, tag("c", none, none)),
+    )
+    t = _grouped(rows).select("sub_question_no", "row_id", F.inline(F.array_compact(tags)))
+    w = Window.partitionBy("sub_question_no", "tag").orderBy("ord", "row_id")
+    t = t.select("sub_question_no", "tag", "text", F.row_number().over(w).alias("rank")).where(F.col("rank") <= size)
+    of = lambda name: F.col("tag") == name
+    drawn = F.collect_list(F.when(of("p"), F.struct("rank", "text")))
+    g = t.groupBy("sub_question_no").agg(
+        F.max(F.when(of("q") & (F.col("rank") == 1), F.col("text"))).alias("question"),
+        drawn.alias("_drawn"), F.count_if(of("p")).alias("_pool"), F.count_if(of("c")).alias("_other"),
+    )
+    take = F.least(F.lit(size).cast("bigint"), F.col("_other") + F.col("_pool") if strict else F.col("_other"))
+    taken = F.transform(F.filter("_drawn", lambda s: s["rank"] <= take), lambda s: s["text"])
+    text = F.array_join(F.array_sort(F.array_distinct(taken)), "\n")
+    return g.select("sub_question_no", "question", F.when(F.col("_pool") < take, F.lit(NO_CORRECT_SAMPLE)).otherwise(text).alias("sample_text"))
+
+
 def misconception_requests(
     rows: DataFrame, pool: str = "strict", seed: str = "1", chunk: int = WRONG_CHUNK, block: int = DEFAULT_BLOCK
 ) -> DataFrame:
     """One request row per (sub-question, wrong-answer chunk) with the question,
     the wrong-answer lines and the correct sample text; only sub-questions that
-    have wrong answers appear."""
-    stats = _grouped(rows).groupBy("sub_question_no").agg(F.min_by("question", "row_id").alias("question"))
+    have wrong answers appear. Three reads of ``rows``: the wrong answers, their
+    counts per block, and one pass for the first text and the sample."""
     wrong = wrong_answer_text(rows, chunk, block)
-    sample = correct_sample_text(rows, pool, seed).select("sub_question_no", "sample_text")
-    req = join_keys(join_keys(wrong, stats, ["sub_question_no"]), sample, ["sub_question_no"], "left")
-    sample_txt = F.coalesce(F.col("sample_text"), F.lit(""))
+    req = join_keys(wrong, first_and_sample(rows, pool, seed), ["sub_question_no"])
     text = F.concat(
         F.lit("Question: "), F.coalesce(F.col("question"), F.lit("")),
         F.lit("\nWrong answers:\n"), F.col("wrong_text"),
-        F.lit("\nCorrect answers sample:\n"), sample_txt,
+        F.lit("\nCorrect answers sample:\n"), F.col("sample_text"),
     )
     return req.select("sub_question_no", "chunk_no", "question", "n_lines", text.alias("request_text"))
 

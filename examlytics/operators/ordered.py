@@ -83,7 +83,9 @@ def _sum_before(summ: DataFrame, keys: list[str], block: int, levels: int) -> Da
     upper = _sum_before(upper, keys, block, levels - 1).select(*keys, F.col("_o").alias("_b"), F.col("_off").alias("_up"))
     w = Window.partitionBy(*keys, "_b").orderBy("_o").rowsBetween(*BEFORE)
     inside = d.select(*keys, "_o", "_b", F.coalesce(F.sum("_v").over(w), F.lit(0)).alias("_in"))
-    return inside.join(upper, [*keys, "_b"]).select(*keys, "_o", (F.col("_in") + F.col("_up")).alias("_off"))
+    # a left join: an inner one filters its keys for nulls in one branch only, and the levels no longer share an exchange
+    out = inside.join(upper, [*keys, "_b"], "left")
+    return out.select(*keys, "_o", (F.col("_in") + F.coalesce("_up", F.lit(0))).alias("_off"))
 
 
 def carry_last(

@@ -235,3 +235,15 @@ def scan_summary(df: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
     )
     return agg.withColumn("end_page", F.col("start_page") + F.col("pages_processed") - 1)
 
+
+def image_rows(files: DataFrame) -> DataFrame:
+    """Page images read back from ``write_page_files`` as ``page_id``, the derived
+    image name, the bytes' length and their base64 text on one line."""
+    page = F.regexp_extract("path", "/page_id=(-?[0-9]+)/", 1).cast("bigint")
+    body = F.substring("content", F.lit(1), (F.col("length") - 1).cast("int"))
+    return files.select(
+        page.alias("page_id"),
+        F.concat(F.lit("page_"), page.cast("string"), F.lit(".png")).alias("image_name"),
+        (F.col("length") - 1).alias("n_bytes"),
+        F.translate(F.base64(body), "\r\n", "").alias("b64"),
+    )

@@ -486,6 +486,12 @@ SELECT page_id, 'page_' || CAST(page_id AS VARCHAR) || '.png' AS image_name, to_
        CAST(octet_length(encode(html)) AS INTEGER) AS n_bytes, true AS decoded_ok
 FROM pages"""
 
+ORACLE["page_image_files"] = """
+SELECT page_id, 'page_' || CAST(page_id AS VARCHAR) || '.png' AS image_name,
+       CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n_bytes, to_base64(encode(coalesce(html, ''))) AS b64
+FROM pages"""
+ORACLE["stream_page_images"] = ORACLE["page_image_files"]
+
 # ---------------------------------------------------------------- streaming: equal to the batch result
 
 ORACLE["stream_ingest"] = _q(f"WITH named AS (SELECT * FROM transcription WHERE {_READ})" + _entries(""))

@@ -444,6 +444,27 @@ def stream_question_stats(spark, sf_dir):
     return ST.question_stats_stream(spark, landing, out, ckpt, t.schema)
 
 
+@query
+def page_image_files(spark, sf_dir):
+    """Page images land as files, one per page, and are read back with the
+    binaryFile source: length and base64 text by page."""
+    from ..sources.files import read_page_images
+
+    path = W.output_root(spark, "page_images")
+    W.write_page_files(X.page_images(spark, sf_dir), path, "page_id", "content")
+    return P.image_rows(read_page_images(spark, path, "part-*"))
+
+
+@query
+def stream_page_images(spark, sf_dir):
+    """A6 + K1: the same files as a stream, each page once over several triggers."""
+    from ..sources import files as FS
+
+    landing, out, ckpt = ST.paths(W.output_root(spark, "stream_images"))
+    W.write_page_files(X.page_images(spark, sf_dir), landing, "page_id", "content")
+    return ST.append_stream(P.image_rows(FS.stream_page_images(spark, landing, "part-*")), out, ckpt)
+
+
 # ---------------------------------------------------------------- more sources, names, lookups, R4
 
 

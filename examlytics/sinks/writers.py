@@ -197,3 +197,11 @@ def report_order(df: DataFrame, key: str = "sub_question_no", natural: bool = Fa
     global sort is a range-partitioned shuffle, so it is kept out of the
     operators themselves."""
     return df.orderBy(*_report_keys(key, natural))
+
+
+def write_page_files(pages: DataFrame, path: str, key: str, content: str) -> None:
+    """A6, landing side: one file per page below ``path/key=<key>/``, holding the
+    page's bytes and the text writer's line feed. Pages are sorted by key inside
+    their tasks, so a task has one file open at a time; null content is an empty page."""
+    text = F.coalesce(F.col(content).cast("string"), F.lit(""))
+    pages.select(F.col(key), text.alias("value")).write.mode("overwrite").partitionBy(key).text(path)

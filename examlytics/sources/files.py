@@ -128,7 +128,20 @@ def read_folder_cells(spark: SparkSession, path: str, name: Callable[[Column], C
     return of_csv.unionByName(of_json)
 
 
+#: Columns of the binaryFile source, named for streams, which infer no schema.
+IMAGE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def _images(d: DataFrame) -> DataFrame:
+    return d.select(F.element_at(F.split("path", "/"), -1).alias("image_name"), "path", "length", "content")
+
+
 def read_page_images(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
-    """Landed page images as rows: file name, length, content."""
-    d = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return d.select(F.element_at(F.split("path", "/"), -1).alias("image_name"), "length", "content")
+    """Landed page images as rows: file name, path, length, content. Files are read in whole, one row each."""
+    return _images(spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path))
+
+
+def stream_page_images(spark: SparkSession, path: str, glob: str = "*.png", files_per_batch: int = 1000) -> DataFrame:
+    """A6 as a stream: page images as they land, ``files_per_batch`` at most in a micro-batch."""
+    d = spark.readStream.format("binaryFile").schema(IMAGE_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
+    return _images(d.option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path))

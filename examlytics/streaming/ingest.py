@@ -63,6 +63,12 @@ def _run(stream: DataFrame, out: str, ckpt: str) -> None:
     q.awaitTermination()
 
 
+def append_stream(stream: DataFrame, out: str, ckpt: str) -> DataFrame:
+    """The rows of ``stream`` over what has landed, appended to ``out`` and read back."""
+    _run(stream, out, ckpt)
+    return stream.sparkSession.read.parquet(out)
+
+
 def ingest_pages(spark: SparkSession, landing: str, out: str, ckpt: str, schema: T.StructType,
                  files_per_trigger: int = 8, watermark: str = "1 day") -> DataFrame:
     """K1: landed page replies -> answer rows, exactly once per (scan, page):

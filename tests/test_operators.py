@@ -416,3 +416,62 @@ def test_counts_come_with_the_write(spark, tmp_path):
     assert got == {"a": dict(total=3, accepted=2, refused=1, blank=1), "b": dict(total=0, accepted=0, refused=0, blank=0)}
     assert sorted(r.student_name for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["S", "U"]
     assert IM.import_records([("a", a)], exam_id=1).count() == 3
+
+
+def test_first_text_and_sample_of_one_pass(spark):
+    """The tagged pass against the plain operators, both pools, small and large pools, blanks and nulls."""
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(900):
+        sub = rng.choice(["1(a)", "1(b)", "2", "3", "4", None])
+        grading = rng.choice(["Correct", "Incorrect", "Not Graded", "", None]) if sub not in ("3", "4") else "Correct" if sub == "3" else "Wrong"
+        answer = rng.choice(["", " ", None]) if sub == "3" else rng.choice([None, "", "x", f"a{i % 37}", f"b{i % 5}"])
+        rows.append((sub, i, rng.choice([None, f"q{i}"]), grading, answer))
+    df = spark.createDataFrame(rows, "sub_question_no string, row_id long, question string, grading string, answer string")
+    first = {}
+    for sub, i, q, *_ in rows:
+        if sub is not None:
+            first.setdefault(sub, q)
+    for pool in ("strict", "reference"):
+        for seed in ("1", "7"):
+            want = {r.sub_question_no: r.sample_text for r in A.correct_sample_text(df, pool, seed).collect()}
+            got = {r.sub_question_no: (r.question, r.sample_text) for r in A.first_and_sample(df, pool, seed).collect()}
+            assert got == {s: (q, want.get(s, "")) for s, q in first.items()}, (pool, seed)
+    assert A.first_and_sample(df.where("row_id < 0")).collect() == []
+
+
+def test_requests_read_their_source_three_times(spark, tmp_path):
+    df = spark.createDataFrame(
+        [("1", i, "q", "Wrong" if i % 3 else "Correct", f"a{i}", True) for i in range(50)],
+        "sub_question_no string, row_id long, question string, grading string, answer string, has_number boolean",
+    )
+    df.write.parquet(str(tmp_path / "rows"))
+    req = A.misconception_requests(spark.read.parquet(str(tmp_path / "rows")), chunk=7, block=4)
+    req.collect()
+    plan = req._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    assert len(re.findall(r"FileScan parquet", final)) <= 3
+    assert req.count() == 5
+
+
+def test_page_files_come_back_as_rows(spark, tmp_path):
+    import base64
+
+    from examlytics.sources import files as FS
+    from examlytics.streaming import ingest as ST
+
+    text = {1: "plain", 2: "", 3: None, -4: "two\nlines\n", 5: "ü" * 100_000, 10**12: "<html>\r\n</html>"}
+    df = spark.createDataFrame([(k, None if t is None else bytearray(t.encode())) for k, t in text.items()], "page_id long, content binary")
+    path, out, ckpt = (str(tmp_path / n) for n in ("pages", "out", "ckpt"))
+    W.write_page_files(df, path, "page_id", "content")
+    want = {k: (f"page_{k}.png", len((t or "").encode()), base64.b64encode((t or "").encode()).decode()) for k, t in text.items()}
+    read = lambda d: {r.page_id: (r.image_name, r.n_bytes, r.b64) for r in d.collect()}
+    assert read(P.image_rows(FS.read_page_images(spark, path, "part-*"))) == want
+    run = lambda: ST.append_stream(P.image_rows(FS.stream_page_images(spark, path, "part-*", 2)), out, ckpt)
+    assert read(run()) == want
+    # a page that lands later is the only new row of the next run
+    W.write_page_files(spark.createDataFrame([(9, bytearray(b"late"))], "page_id long, content binary"), path + "/later", "page_id", "content")
+    again = run()
+    assert again.count() == len(want) + 1 and read(again) == want | {9: ("page_9.png", 4, base64.b64encode(b"late").decode())}
