@@ -210,6 +210,43 @@ def test_clause_patterns():
     assert m.score("idiot " * 50) == pytest.approx(m.score("idiot"), abs=0.1)
 
 
+def test_reported_speech_and_whole_clauses():
+    m = toxicity.Matcher(toxicity.Grammar(toxicity.seed_arcs()))
+    patterns = lambda t: [p for _, found in m.clauses(t) for p, _, _ in found]
+    for t in ('he said, "you idiot"', "she wrote: you idiot", 'he said: "you idiot. you are a moron."', "he wrote, you idiot", "sie sagt: „du trottel“"):
+        assert set(patterns(t)) == {"reported insult"}, t
+    assert patterns('he said "hello". you idiot') == ["targeted insult"]
+    assert patterns('he said "hello" and you idiot') == ["targeted insult"]
+    assert patterns("he said so, you idiot") == ["targeted insult"]
+    assert patterns('"you idiot"') == ["targeted insult"]
+    assert patterns('he said "you\nyou idiot') == ["targeted insult"]
+    assert patterns("you " + "word " * 3000 + "idiot") == ["targeted insult"]
+    assert patterns("idiot " + "word " * 3000 + "you") == ["targeted insult"]
+    # a threat stays one under an arc learned for its beginning
+    m = toxicity.Matcher(toxicity.Grammar(toxicity.seed_arcs() | {"kil": ("I", False, 4.5)}))
+    assert patterns("i will kill you") == ["targeted threat"] and patterns("you kiln") == ["targeted insult"]
+
+
+def test_trained_grammar_tells_clauses_apart(spark):
+    g = toxicity.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    m = toxicity.Matcher(g)
+    toxic = ["You are an idiot.", "I will kill you.", "You stupid loser, they should hurt you."]
+    clean = ["You are not an idiot.", 'He said, "you idiot"', "She wrote: you idiot", "They will not kill you.", "He said they kill you.", "Readers can kill a process."]
+    assert all(m.score(t) >= toxicity.THRESHOLD for t in toxic) and all(m.score(t) < toxicity.THRESHOLD for t in clean)
+    assert g.weights[3] >= g.weights[2] > g.weights[4] and g.weights[7] >= g.weights[6] > g.weights[8]
+
+
+def test_weights_without_cases_stay_as_they_are():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    y = (rng.random(400) < 0.3).astype(float)
+    x = np.zeros((400, 9))
+    x[:, 1] = np.where(y > 0, 1.5, 0.0) * (rng.random(400) < 0.9)
+    w = toxicity.fit_weights(x, y)
+    assert w[2] > 2.4 and w[3] >= w[2] and w[4:] == toxicity.FIXED_WEIGHTS[4:]
+
+
 def test_scores_of_awkward_rows_and_filter(spark, awkward, none):
     g = toxicity.Grammar(toxicity.seed_arcs())
     rows = toxicity.score(awkward, g).collect()
