@@ -9,7 +9,11 @@ texts lie side by side and a large group of copies can still be cut anywhere.
    subdivided by boundaries sampled inside them.
 3. A running sum of bytes inside each range, on top of the bytes of the ranges
    before it, places every record on the line of all bytes; equal parts of that
-   line are the shards. Two shards differ by at most two records' sizes.
+   line are the shards.
+4. Where a group of equal texts of at most ``TOGETHER`` of a shard lies over the end
+   of a part, the end moves to the group's nearer end, so the group stays in one
+   shard. Larger groups are cut, as sizes would no longer be near equal: a shard
+   differs from its equal part by half a record or half such a group at each end.
 
 A range holds about ``RANGE_BYTES``, so the number of ranges and of collected
 boundaries grows as bytes / RANGE_BYTES (100 TB: 400,000 boundaries, 3 MB) and
@@ -35,6 +39,8 @@ RANGE_BYTES = 256 << 20
 RANGES_PER_SHARD = 16
 SAMPLES = 16
 OVERFULL = 2.0
+#: Groups of equal texts up to this share of a shard are never cut.
+TOGETHER = 0.05
 
 
 @dataclass
@@ -105,29 +111,51 @@ def splitters(keyed: DataFrame, n_shards: int = N_SHARDS, range_bytes: int = RAN
     return Splitters(bounds, b_before, n_before, total)
 
 
-def place(keyed: DataFrame, sp: Splitters, n_shards: int = N_SHARDS, id_col: str = "doc_id") -> DataFrame:
-    """``keyed`` with ``__shard`` and ``__at``, the record's number on the line of all records."""
+def place(keyed: DataFrame, sp: Splitters, id_col: str = "doc_id") -> DataFrame:
+    """``keyed`` with the record's byte and number on the line of all records, ``__before`` and ``__at``."""
     x = keyed.withColumn("__range", range_of(F.col("__key"), sp.bounds))
     order = Window.partitionBy("__range").orderBy("__key", "__crc", id_col, "__size")
     x = x.withColumn("__sum", F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     x = x.withColumn("__n", F.row_number().over(order))
     before = F.element_at(_literal(sp.bytes_before), F.col("__range") + 1) + F.col("__sum") - F.col("__size")
-    middle = 2 * before + F.col("__size")
-    shard = F.least(F.floor(middle / F.lit(2.0 * max(sp.total, 1)) * n_shards).cast("int"), F.lit(n_shards - 1))
     at = F.element_at(_literal(sp.rows_before), F.col("__range") + 1) + F.col("__n") - 1
-    return x.withColumn("__shard", shard).withColumn("__at", at)
+    return x.withColumn("__before", before).withColumn("__at", at)
 
 
-def first_rows(placed: DataFrame, n_shards: int = N_SHARDS) -> list[int]:
+def shard_ends(placed: DataFrame, total: int, n_shards: int = N_SHARDS) -> list[int]:
+    """Doubled byte positions where the shards 1, 2, ... begin; at most one group a shard end reaches the driver."""
+    end = F.col("__before") + F.col("__size")
+    part = lambda at: F.floor(at * n_shards / F.lit(max(total, 1)))
+    groups = placed.groupBy("__crc").agg(F.min("__before").alias("a"), F.max(end).alias("b"))
+    groups = groups.where((part(F.col("a")) != part(F.col("b"))) & ((F.col("b") - F.col("a")) * n_shards <= TOGETHER * total))
+    ends = [2 * s * total // n_shards for s in range(1, n_shards)]
+    for r in groups.collect():
+        for i, e in enumerate(ends):
+            if 2 * r["a"] < e < 2 * r["b"]:
+                ends[i] = 2 * (r["a"] if e - 2 * r["a"] <= 2 * r["b"] - e else r["b"])
+    return ends
+
+
+def shard_of(ends: list[int]) -> Column:
+    """The shard of a record: the part of the line that its middle lies in."""
+    return range_of(2 * F.col("__before") + F.col("__size"), ends).cast("int")
+
+
+def first_rows(placed: DataFrame, ends: list[int]) -> list[int]:
     """The number of the first record of every shard."""
-    got = {r[0]: r[1] for r in placed.groupBy("__shard").agg(F.min("__at")).collect()}
+    got = {r[0]: r[1] for r in placed.groupBy(shard_of(ends)).agg(F.min("__at")).collect()}
     out, following = [], 0
-    for s in reversed(range(n_shards)):
+    for s in reversed(range(len(ends) + 1)):
         following = got.get(s, following)
         out.append(following)
     return out[::-1]
 
 
+def _sharded(placed: DataFrame, ends: list[int], first: list[int]) -> DataFrame:
+    slot = F.col("__at") - F.element_at(_literal(first), F.col("__shard") + 1)
+    return placed.withColumn("__shard", shard_of(ends)).withColumn("__slot", slot.cast("long"))
+
+
 def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``size``, ``text_crc32``, ``shard`` and ``slot``, ranges kept together.
 
@@ -137,10 +165,10 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, id_col: str = "do
     keyed = with_key(docs, id_col, text_col)
     narrow = stored(keyed.select(id_col, "__size", "__crc", "__key"), "shard-keys")
     sp = splitters(narrow, n_shards)
-    first = first_rows(place(narrow, sp, n_shards, id_col), n_shards)
-    slot = F.col("__at") - F.element_at(_literal(first), F.col("__shard") + 1)
-    return place(keyed, sp, n_shards, id_col).select(
-        *docs.columns, F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.col("__shard").alias("shard"), slot.cast("long").alias("slot")
+    placed = stored(place(narrow, sp, id_col).select("__crc", "__size", "__before", "__at"), "shard-places")
+    ends = shard_ends(placed, sp.total, n_shards)
+    return _sharded(place(keyed, sp, id_col), ends, first_rows(placed, ends)).select(
+        *docs.columns, F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot")
     )
 
 
@@ -150,14 +178,14 @@ def query(spark, sf_dir: str) -> DataFrame:
     keyed = with_key(docs).select("doc_id", "__size", "__crc", "__key")
     narrow = stored(keyed, "shard-keys")
     sp = splitters(narrow)
-    placed = stored(place(narrow, sp), "shard-places")
-    slot = F.col("__at") - F.element_at(_literal(first_rows(placed)), F.col("__shard") + 1)
-    return placed.select(
+    placed = stored(place(narrow, sp).select("doc_id", "__crc", "__size", "__before", "__at"), "shard-places")
+    ends = shard_ends(placed, sp.total)
+    return _sharded(placed, ends, first_rows(placed, ends)).select(
         "doc_id",
         F.col("__size").alias("size"),
         F.col("__crc").alias("text_crc32"),
         F.lit("bytes").alias("law"),
         F.col("__shard").alias("shard"),
-        slot.cast("long").alias("slot"),
+        F.col("__slot").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -102,6 +102,23 @@ def test_shards_are_near_equal(spark):
     assert max(sizes.values()) - min(sizes.values()) <= 2 * max(r.size for r in got)
 
 
+def test_small_groups_of_equal_texts_stay_in_one_shard(spark):
+    rng = random.Random(12)
+    texts = [sentence(rng, 40, 600) for _ in range(700)]
+    rows = [(k, texts[k % 700]) for k in range(3500)]  # groups of five; a shard holds 500 rows
+    got = sharding.shard_documents(documents(spark, rows), 7).collect()
+    check_places(got, 7)
+    where = {}
+    for r in got:
+        where.setdefault(r.text, set()).add(r.shard)
+    assert len(where) == 700 and all(len(s) == 1 for s in where.values())
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    share = sum(sizes.values()) / 7
+    assert all(abs(n - share) <= sharding.TOGETHER * share for n in sizes.values())
+
+
 def test_shards_with_one_large_group_and_awkward_rows(spark, awkward, none):
     docs = awkward.unionByName(documents(spark, [(k, "the same text") for k in range(1000, 3000)]))
     out = sharding.shard_documents(docs, 7)
