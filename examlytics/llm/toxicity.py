@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from examlytics.llm.common import stored
+from examlytics.llm.common import lean, stored
 
 THRESHOLD = 0.7
 #: Most labelled documents that training looks at; half for arcs, half for weights.
@@ -259,7 +259,7 @@ def learn_arcs(rows: DataFrame) -> dict[str, tuple[str, bool, float]]:
     sizes = {r[0]: r[1] for r in rows.groupBy("toxic").agg(F.count("*")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return {}
-    n = rows.select("toxic", "text").mapInArrow(_words, "arc string, toxic int, n long")
+    n = rows.select("toxic", "text").mapInArrow(lean(_words), "arc string, toxic int, n long")
     by_label = [F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)).alias(c) for y, c in ((1, "t"), (0, "c"))]
     n = stored(n.groupBy("arc").agg(*by_label).where(F.col("t") >= 1), "arc-counts")
     odds = F.log((F.col("t") + 0.5) / (sizes[1] + 1.0)) - F.log((F.col("c") + CLEAN_PRIOR) / (sizes[0] + 1.0))
@@ -326,7 +326,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = rows.groupBy("h").agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"), F.first("half").alias("half"))
     arcs = learn_arcs(rows.where("half = 0"))
     grammar = Grammar(seed_arcs() | arcs)
-    got = rows.where("half = 1").select("toxic", "text").mapInArrow(_features(grammar), "toxic int, x array<double>").collect()
+    got = rows.where("half = 1").select("toxic", "text").mapInArrow(lean(_features(grammar)), "toxic int, x array<double>").collect()
     y = np.array([r["toxic"] for r in got], float)
     if not len(got) or y.min() == y.max():
         return Grammar(grammar.arcs)
@@ -352,7 +352,7 @@ def _scores(grammar: Grammar):
 def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"))
-    x = src.mapInArrow(_scores(grammar), "doc_id long, score double")
+    x = src.mapInArrow(lean(_scores(grammar)), "doc_id long, score double")
     return x.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -361,7 +361,7 @@ def keep_clean(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> Dat
     names = docs.columns
     src = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(text_col).cast("string").alias("__text"))
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
-    x = src.mapInArrow(_scores(grammar), f"{schema}, score double").where(F.col("score") < THRESHOLD)
+    x = src.mapInArrow(lean(_scores(grammar)), f"{schema}, score double").where(F.col("score") < THRESHOLD)
     return x.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
