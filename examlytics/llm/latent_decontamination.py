@@ -5,10 +5,10 @@
 2. One randomised SVD of the TF-IDF matrix of the corpus's passages gives ``RANK``
    latent axes, far fewer than terms: a random block is multiplied by A^T A, made
    orthonormal, multiplied again, and the small Rayleigh-Ritz problem gives the
-   singular values. Partial products are made where the passages are; ``FIT_TASKS``
-   times terms x rank numbers reach the driver, whatever the corpus holds. The axes
-   are fitted on about ``FIT_DOCS`` documents, drawn by a hash; the benchmark has no
-   part in them.
+   singular values. Every passage of every document takes part, the benchmark none.
+   The words' terms are written once, two bytes each; partial products are made
+   where they are and summed in Spark, so terms x rank numbers reach the driver,
+   whatever the corpus holds.
 3. Every passage of every document and every item is projected on the axes, each
    axis divided by its singular value (else the few axes of what all passages
    share would decide every cosine). Passages are windows of as many blocks of
@@ -42,16 +42,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from examlytics.llm.common import lean, pieces, release, row_counts, stored, word_hashes, word_spans
+from examlytics.llm.common import PIECE_BYTES, drop_stored, lean, pieces, release, row_counts, stored, word_hashes, word_spans
 
 TERMS = 1 << 14
 ITEM_BLOCK = 2_000
 #: Latent axes.
 RANK = 128
-FIT_DOCS = 8_000
+#: Words of a passage for the axes, passages multiplied at once, and from how many words in them a term is a row of a matrix.
 FIT_WORDS = 64
-#: Tasks that fit the axes; each sends one table of terms x rank (8 MB) per round to the driver.
-FIT_TASKS = 2
+FIT_ROWS = 512
+MANY = 48
 STEP = 8
 MIN_COSINE = 0.4
 MIN_LCS, MIN_LCS_ANSWER, MIN_ANSWER = 0.65, 0.55, 0.8
@@ -68,11 +68,14 @@ PLAIN[[b for b in range(128) if not (chr(b).isalnum())]] = 32
 
 def words_of(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(a, b, word hashes, rows) of a text column, lower case and without punctuation."""
-    low = pc.utf8_lower(batch.column(column).cast(pa.large_string()).fill_null(""))
-    for a, b, data, offs in pieces(pa.RecordBatch.from_arrays([low], names=["t"]), "t"):
-        plain = PLAIN[data]
-        start, end, row = word_spans(plain, offs)
-        yield a, b, word_hashes(plain, start, end), row
+    whole = batch.column(column)
+    step = max(1, len(whole) * PIECE_BYTES // max(1, whole.nbytes))  # rows lowered at once
+    for at in range(0, len(whole), step):
+        low = pc.utf8_lower(whole.slice(at, step).cast(pa.large_string()).fill_null(""))
+        for a, b, data, offs in pieces(pa.RecordBatch.from_arrays([low], names=["t"]), "t"):
+            plain = PLAIN[data]
+            start, end, row = word_spans(plain, offs)
+            yield at + a, at + b, word_hashes(plain, start, end), row
 
 
 def terms(words: np.ndarray) -> np.ndarray:
@@ -87,23 +90,42 @@ def _text_words(text: str) -> np.ndarray:
 # ------------------------------------------------------------------ corpus statistics and the SVD
 
 
-def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    df, docs = np.zeros(TERMS, np.int64), 0
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The terms of a piece's words, one after the other, and how many each of its documents has."""
     for batch in batches:
-        docs += batch.num_rows
         for a, b, words, row in words_of(batch, "text"):
-            t, edges = terms(words), np.searchsorted(row, np.arange(0, b - a + 64, 64))
-            for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
-                seen = np.zeros((64, TERMS), bool)  # of 64 documents at a time
-                seen[row[lo:hi] - 64 * i, t[lo:hi]] = True
-                df += np.count_nonzero(seen, axis=0)
+            t, n = terms(words).astype("<u2"), row_counts(row, b - a)[0].astype("<i8")
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (t, n)], names=["terms", "counts"])
+
+
+def passage_terms(docs: DataFrame) -> DataFrame:
+    """(terms, counts) of the column ``text``: two bytes a word, in records of a piece each."""
+    return docs if "terms" in docs.columns else docs.select("text").mapInArrow(lean(_passages), "terms binary, counts binary")
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for t, n in zip(batch.column("terms"), batch.column("counts")):
+            yield np.frombuffer(t.as_buffer(), "<u2"), np.frombuffer(n.as_buffer(), "<i8")
+
+
+def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    df, docs = np.zeros(TERMS, np.int64), 0
+    for t, n in _records(batches):
+        docs += len(n)
+        first = np.append(0, np.cumsum(n))
+        for i in range(0, len(n), 64):
+            k = n[i : i + 64]
+            seen = np.zeros((64, TERMS), bool)  # of 64 documents at a time
+            seen[np.repeat(np.arange(len(k)), k), t[first[i] : first[i + len(k)]]] = True
+            df += np.count_nonzero(seen, axis=0)
     at = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], docs))], names=["term", "n"])
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """Smoothed inverse document frequency of every term, over all documents."""
-    n = docs.mapInArrow(lean(_document_frequency), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    n = passage_terms(docs).mapInArrow(lean(_document_frequency), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     got = {r["term"]: r["n"] for r in n.collect()}
     df = np.zeros(TERMS)
     for t, c in got.items():
@@ -112,37 +134,78 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     return np.maximum(np.log((1.0 + got.get(-1, 0)) / (1.0 + df)), 0.05).astype(np.float32)
 
 
-def random_block(rank: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(7)).standard_normal((TERMS, rank)).astype(np.float32)
+def random_signs(rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """The random block that the fit starts with: a column and a sign for every term."""
+    rng = np.random.Generator(np.random.PCG64(7))
+    return rng.integers(0, rank, TERMS), rng.choice([-1.0, 1.0], TERMS)
+
+
+def spread_back(t: np.ndarray, passage: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct terms of some words and, for each, the sum of the rows of ``y`` that its words' passages have.
+
+    Terms are taken by falling count: the j-th words of all terms that have so many
+    are added at once; terms of many words are rows of a matrix of counts instead.
+    """
+    order = np.argsort(t, kind="stable")
+    ts, ps = t[order], passage[order]
+    head = np.flatnonzero(np.append(True, ts[1:] != ts[:-1]))
+    n = np.diff(np.append(head, len(ts)))
+    by = np.argsort(-n, kind="stable")
+    head, n = head[by], n[by]
+    out = np.zeros((len(head), y.shape[1]), np.float32)
+    many = int(np.searchsorted(-n, -MANY))
+    if many:
+        k, size = n[:many], len(y)
+        word = np.arange(int(k.sum())) + np.repeat(head[:many] - np.cumsum(k) + k, k)
+        held = np.bincount(np.repeat(np.arange(many), k) * size + ps[word], minlength=many * size)
+        out[:many] = held.reshape(many, size).astype(np.float32) @ y
+    few, rest, n = out[many:], head[many:], n[many:]
+    for j in range(int(n[0]) if len(n) else 0):
+        have = int(np.searchsorted(-n, -j))
+        few[:have] += y.take(ps[rest[:have] + j], axis=0)
+    return ts[head], out
 
 
 def _gram_product(idf: np.ndarray, block):
     """Partial A^T (A q) of the passages of a partition, A their row-normalised TF-IDF matrix, and their number.
 
-    The block q is drawn in the task in the first round (``block`` is then its
-    rank) and a broadcast in half precision later.
+    The block q has one random sign a term in the first round (``block`` is then its
+    rank) and is a broadcast in half precision later.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = random_block(block) if isinstance(block, int) else block.value.astype(np.float32)
-        total, passages = np.zeros(q.shape, np.float64), 0
-        e = idf[:, None] * q
-        for batch in batches:
-            for _, _, words, row in words_of(batch, "text"):
-                first = row_counts(row, int(row[-1]) + 1 if len(row) else 0)[1]
-                for s in range(0, len(words), CHUNK_WORDS):
-                    t = terms(words[s : s + CHUNK_WORDS])
-                    place = np.arange(s, s + len(t)) - first[row[s : s + len(t)]]
-                    new = np.flatnonzero((place % FIT_WORDS == 0) | (np.arange(len(t)) == 0))
-                    passages += len(new)
-                    passage = np.cumsum(np.isin(np.arange(len(t)), new)) - 1
-                    y = np.add.reduceat(e[t], new, axis=0)
-                    norm = np.add.reduceat(idf[t] ** 2, new)
-                    y /= norm[:, None]
-                    order = np.argsort(t, kind="stable")
-                    ts = t[order]
-                    head = np.flatnonzero(np.append(True, ts[1:] != ts[:-1]))
-                    total[ts[head]] += np.add.reduceat(y[passage[order]], head, axis=0) * idf[ts[head], None]
+        if isinstance(block, int):
+            rank, (column, sign) = block, random_signs(block)
+            sign *= idf
+        else:
+            rank = block.value.shape[1]
+            e = np.vstack([idf[:, None] * block.value.astype(np.float32), np.zeros((1, rank), np.float32)])  # the last row, of no term, fills up short passages
+
+        def multiplied(t: np.ndarray, place: np.ndarray, passage: np.ndarray, n: int) -> np.ndarray:
+            if isinstance(block, int):
+                return np.bincount(passage * rank + column[t], sign[t], n * rank).reshape(n, rank).astype(np.float32)
+            grid = np.full((FIT_WORDS, n), TERMS)
+            grid[place, passage] = t
+            y = np.zeros((n, rank), np.float32)
+            one = np.empty_like(y)
+            for k in grid:
+                y += e.take(k, axis=0, out=one, mode="clip")
+            return y
+
+        total, passages = np.zeros((TERMS, rank), np.float64), 0
+        for words, n in _records(batches):
+            per = -(-n // FIT_WORDS)
+            starts = np.repeat(np.cumsum(n) - n - FIT_WORDS * (np.cumsum(per) - per), per) + FIT_WORDS * np.arange(int(per.sum()))
+            edges = np.append(starts, len(words))
+            passages += len(starts)
+            for a in range(0, len(starts), FIT_ROWS):
+                at = edges[a : a + FIT_ROWS + 1]
+                t, size = words[at[0] : at[-1]], np.diff(at)
+                passage = np.repeat(np.arange(len(size)), size)
+                y = multiplied(t, np.arange(len(t)) - (at[:-1] - at[0])[passage], passage, len(size))
+                y /= np.bincount(passage, idf[t] ** 2)[:, None].astype(np.float32)
+                which, sums = spread_back(t, passage, y)
+                total[which] += sums * idf[which, None]
         if not passages:
             return
         step = TERMS // 64
@@ -158,17 +221,31 @@ def _gram_product(idf: np.ndarray, block):
     return run
 
 
-def latent_axes(sample: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """The leading right singular vectors (terms x rank) of the passages of ``sample``, each divided by its singular value.
+PRODUCT = "part long, passages long, m binary"
 
-    A block on its way to the tasks is a broadcast of its own, taken back after its round.
+
+def _sum_products(part: pa.Table) -> pa.Table:
+    """The sum of the tasks' products for one part of the terms."""
+    m = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in part.column("m")).astype(np.float32)
+    return pa.table({"part": part.column("part")[:1], "passages": [pc.sum(part.column("passages")).as_py()], "m": pa.array([m.tobytes()], pa.binary())})
+
+
+def latent_axes(docs: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """The leading right singular vectors (terms x rank) of the passages of ``docs``, each divided by its singular value.
+
+    The tasks' products are summed in Spark, so one table of terms x rank reaches the
+    driver in each round. A block on its way to the tasks is a broadcast of its own,
+    taken back after its round.
     """
-    spark, q = sample.sparkSession, random_block(rank)
+    spark, q = docs.sparkSession, None
     step = TERMS // 64
+    # few tasks, as each sends a table; how many follows from the cluster, not from the corpus
+    held = passage_terms(docs).coalesce(max(2, 2 * spark.sparkContext.defaultParallelism))
     for k in range(2):
         sent = spark.sparkContext.broadcast(q.astype(np.float16)) if k else None
         passages, y = 0, np.zeros((TERMS, rank))
-        for x in sample.mapInArrow(lean(_gram_product(idf, sent or rank)), "part long, passages long, m binary").collect():
+        products = held.mapInArrow(lean(_gram_product(idf, sent or rank)), PRODUCT)
+        for x in products.groupBy("part").applyInArrow(_sum_products, PRODUCT).collect():
             y[x["part"] * step : (x["part"] + 1) * step] += np.frombuffer(x["m"], np.float32).reshape(-1, rank)
             passages += x["passages"]
         if not k:
@@ -256,15 +333,13 @@ class Words:
         return np.where(self.known[at] == words, at, len(self.known))
 
 
-def running_sums(table: np.ndarray, grid: np.ndarray, kind: type) -> np.ndarray:
-    """Sums of the table's rows over the first 0, 1, 2, ... blocks; a row of ``grid`` names those of a block."""
-    out = np.zeros((len(grid) + 1, table.shape[1]), kind)
-    at, sums = np.ascontiguousarray(grid.T), np.zeros((len(grid), table.shape[1]), table.dtype)
+def block_sums(table: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """Sums of the table's rows by block; a row of ``grid`` names those of a block."""
+    sums = np.zeros((len(grid), table.shape[1]), table.dtype)
     one = np.empty_like(sums)
-    for k in at:
+    for k in np.ascontiguousarray(grid.T):
         sums += table.take(k, axis=0, out=one, mode="clip")
-    np.cumsum(sums, axis=0, out=out[1:])
-    return out
+    return sums
 
 
 def candidates(words: np.ndarray, codes: np.ndarray, first: np.ndarray, table: np.ndarray, vectors: np.ndarray, by_size: dict[int, np.ndarray], of: Words):
@@ -293,21 +368,28 @@ def candidates(words: np.ndarray, codes: np.ndarray, first: np.ndarray, table: n
     per, most = CHUNK_WORDS // STEP, max(by_size)
     for s in range(0, len(starts), per):
         top = min(len(starts), s + per + most)  # windows may reach into the next chunk
-        run = running_sums(table, grid[s:top], np.float32)
+        sums = block_sums(table, grid[s:top])
         s0, top0 = max(0, s - int(around.max())), min(len(starts), top + int(around.max()))
-        upto = running_sums(of.holds, held[s0:top0], np.int32)
+        known = block_sums(of.holds, held[s0:top0])
         at = np.arange(s, min(s + per, len(starts)))
-        for w, ks in by_size.items():
-            end = np.minimum(at + w, last[at])
-            window = run.take(end - s, axis=0)
-            window -= run[: len(at)]
+        window, wide = np.zeros((len(at), table.shape[1]), np.float32), 0
+        for w, ks in sorted(by_size.items()):
+            for k in range(wide, w):  # a window grows by its next block, if its text has one
+                m = max(0, min(len(at), len(sums) - k))
+                window[:m] += sums[k : k + m]
+                past = np.flatnonzero(at[:m] + k >= last[at[:m]])
+                window[past] -= sums[past + k]
+            end, wide = np.minimum(at + w, last[at]), w
             size = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-9)
             dot = window @ vectors[ks].T
             i, j = np.divmod(np.flatnonzero(dot >= (MIN_COSINE * size)[:, None]), len(ks))
             item, cos = ks[j], dot[i, j] / size[i]
             lo = np.maximum(at[i] - around[item], block_first[block_row[at[i]]])
             hi = np.minimum(end[i] + around[item], last[at[i]])
-            near = upto[hi - s0, item] - upto[lo - s0, item] >= of.least[item]
+            n = np.zeros(len(i), np.int64)
+            for d in range(int((hi - lo).max()) if len(i) else 0):
+                n += np.where(lo + d < hi, known[np.minimum(lo + d, hi - 1) - s0, item], 0)
+            near = n >= of.least[item]
             if near.any():
                 out.append((at[i][near], item[near], cos[near]))
     if not out:
@@ -408,22 +490,20 @@ MATCH = "doc_id long, item_id long, cosine double, lcs_words int, lcs_share doub
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", fit_docs: int = FIT_DOCS
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
     """One row per leaked passage: document, item and the evidence."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("text"))
-    n_docs, n_items = src.count(), items.count()
-    if not n_docs or not n_items:
+    if src.isEmpty() or items.isEmpty():
         return spark.createDataFrame([], MATCH)
-    idf = inverse_frequencies(src.select("text"))
-    share = min(1.0, fit_docs / n_docs)
-    drawn = src.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
-    sample = stored(drawn.repartition(FIT_TASKS), "svd-passages")
+    passages = stored(passage_terms(src), "passage-terms")
+    idf = inverse_frequencies(passages)
+    axes = latent_axes(passages, idf)
+    drop_stored(passages)
     paths = []
     rows = items.orderBy("id", F.xxhash64("text")).toLocalIterator()
-    axes = latent_axes(sample, idf)
     table = (idf[:, None] * axes).astype(np.float16)
     while block := [(r["id"], r["text"]) for r in islice(rows, ITEM_BLOCK)]:
         ready = prepare_items(block, table.astype(np.float32))

@@ -328,6 +328,30 @@ def test_axes_are_the_singular_vectors_of_the_passages(spark):
     assert np.linalg.svd(want[:4] @ lead, compute_uv=False).min() > 0.99
 
 
+def test_axes_are_fitted_on_every_passage(spark, monkeypatch):
+    m = latent_decontamination
+    rng = random.Random(3)
+    docs = documents(spark, [(k, sentence(rng, rng.choice([3, 9, 70]), 300)) for k in range(9000)])
+    fit, got = m.latent_axes, []
+    monkeypatch.setattr(m, "latent_axes", lambda *a: got.append(fit(*a)) or got[0])
+    m.leaks(docs, spark.createDataFrame([(1, sentence(rng, 20, 300))], "item_id long, text string"))
+    want = fit(docs.select("text").repartition(3), m.inverse_frequencies(docs.select("text")))
+    size = lambda axes: np.sort(np.linalg.norm(axes, axis=0))[:40]
+    assert np.allclose(size(got[0]), size(want), rtol=1e-4)
+
+
+def test_sums_by_term_of_the_rows_of_its_passages():
+    m = latent_decontamination
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 3000):
+        t = np.minimum(rng.geometric(0.05, n), 200).astype("<u2")
+        passage, y = np.sort(rng.integers(0, 40, n)), rng.standard_normal((40, 7)).astype(np.float32)
+        want = np.zeros((256, 7))
+        np.add.at(want, t, y[passage])
+        which, sums = m.spread_back(t, passage, y)
+        assert sorted(which) == sorted(set(t)) and np.allclose(want[which], sums, atol=1e-3)
+
+
 def test_recall_against_brute_force_subsequences(spark):
     m = latent_decontamination
     rng = random.Random(12)
