@@ -239,7 +239,7 @@ def scan_summary(df: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
 def image_rows(files: DataFrame) -> DataFrame:
     """Page images read back from ``write_page_files`` as ``page_id``, the derived
     image name, the bytes' length and their base64 text on one line."""
-    page = F.regexp_extract("path", "/page_id=(-?[0-9]+)/", 1).cast("bigint")
+    page = F.regexp_extract("path", "/(?:part-)?page_id=(-?[0-9]+)(?:/|\\.txt$)", 1).cast("bigint")
     body = F.substring("content", F.lit(1), (F.col("length") - 1).cast("int"))
     return files.select(
         page.alias("page_id"),

@@ -5,9 +5,13 @@ folder (``output_root``), never a machine-local temp folder.
 
 from __future__ import annotations
 
+import os
 import posixpath
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -199,9 +203,66 @@ def report_order(df: DataFrame, key: str = "sub_question_no", natural: bool = Fa
     return df.orderBy(*_report_keys(key, natural))
 
 
-def write_page_files(pages: DataFrame, path: str, key: str, content: str) -> None:
-    """A6, landing side: one file per page below ``path/key=<key>/``, holding the
-    page's bytes and the text writer's line feed. Pages are sorted by key inside
-    their tasks, so a task has one file open at a time; null content is an empty page."""
-    text = F.coalesce(F.col(content).cast("string"), F.lit(""))
-    pages.select(F.col(key), text.alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+#: Page files that a folder holds.
+FOLDER_FILES = 4096
+
+
+def _page_writer(root: str, key: str):
+    """Writes the pages of a partition, sorted by key, below ``root`` and gives their number.
+
+    A file gets its name when it is whole, and the same name when its task is
+    repeated. Rows of one key in a task share a file, a line each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, folder, last, written, lines = TaskContext.get().partitionId(), "", None, 0, []
+
+        def close() -> None:
+            nonlocal folder, written
+            if written % FOLDER_FILES == 0:
+                folder = os.path.join(root, f"{task:05d}-{written // FOLDER_FILES:05d}")
+                os.makedirs(folder, exist_ok=True)
+            name = "__HIVE_DEFAULT_PARTITION__" if last[0] is None else last[0]
+            draft = os.path.join(folder, f".{uuid.uuid4().hex}")
+            with open(draft, "wb") as f:
+                f.writelines(lines)
+            os.replace(draft, os.path.join(folder, f"part-{key}={name}.txt"))
+            written += 1
+
+        for batch in batches:
+            for k, content in zip(batch.column("key").to_pylist(), batch.column("content")):
+                if last is not None and last[0] != k:
+                    close()
+                    lines = []
+                last = (k,)
+                lines += [content.as_py() or b"", b"\n"]
+        if last is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], names=["n"])
+
+    return run
+
+
+def write_page_files(pages: DataFrame, path: str, key: str, content: str) -> int:
+    """A6, landing side: one file per page below ``path``, holding the page's bytes and
+    a line feed; null content is an empty page.
+
+    Spark's text writer makes a folder for every key and, on a machine's own or
+    mounted file system, Hadoop starts a process for every file it creates, to set
+    its rights. There the tasks write the files themselves, into folders of
+    ``FOLDER_FILES``; on other file systems the text writer does. Pages are sorted
+    by key inside their tasks, so a task has one file open at a time. The number of
+    files is given back (of pages, if the text writer wrote them).
+    """
+    spark = pages.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getScheme() != "file":
+        text = F.coalesce(F.col(content).cast("string"), F.lit(""))
+        pages.select(F.col(key), text.alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+        return pages.count()
+    fs.delete(target, True)
+    fs.mkdirs(target)
+    rows = pages.select(F.col(key).cast("string").alias("key"), F.col(key).alias("_k"), F.col(content).cast("binary").alias("content"))
+    rows = rows.sortWithinPartitions("_k").drop("_k")
+    return rows.mapInArrow(_page_writer(target.toUri().getPath(), key), "n long").agg(F.sum("n")).first()[0] or 0

@@ -128,6 +128,8 @@ def read_folder_cells(spark: SparkSession, path: str, name: Callable[[Column], C
     return of_csv.unionByName(of_json)
 
 
+#: Partitions of page images that a task reads, if there are many.
+TASK_PARTITIONS = 16
 #: Columns of the binaryFile source, named for streams, which infer no schema.
 IMAGE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -137,11 +139,18 @@ def _images(d: DataFrame) -> DataFrame:
 
 
 def read_page_images(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
-    """Landed page images as rows: file name, path, length, content. Files are read in whole, one row each."""
-    return _images(spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path))
+    """Landed page images as rows: file name, path, length, content. Files are read in whole, one row each.
+
+    Spark counts 4 MB for opening a file, so a partition holds some 30 small ones;
+    ``TASK_PARTITIONS`` of them are read by a task where there are many.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    n, least = files.select("path").rdd.getNumPartitions(), 4 * spark.sparkContext.defaultParallelism
+    return _images(files.coalesce(max(least, -(-n // TASK_PARTITIONS))) if n > least else files)
 
 
 def stream_page_images(spark: SparkSession, path: str, glob: str = "*.png", files_per_batch: int = 1000) -> DataFrame:
-    """A6 as a stream: page images as they land, ``files_per_batch`` at most in a micro-batch."""
+    """A6 as a stream: page images as they land, ``files_per_batch`` at most in a micro-batch, which few tasks read."""
     d = spark.readStream.format("binaryFile").schema(IMAGE_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
-    return _images(d.option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path))
+    files = d.option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    return _images(files.coalesce(4 * spark.sparkContext.defaultParallelism))

@@ -456,6 +456,24 @@ def test_requests_read_their_source_three_times(spark, tmp_path):
     assert req.count() == 5
 
 
+def test_page_files_share_folders_and_tasks(spark, tmp_path, monkeypatch):
+    from examlytics.sources import files as FS
+
+    monkeypatch.setattr(W, "FOLDER_FILES", 50)
+    path = str(tmp_path / "pages")
+    pages = spark.range(-20, 980).selectExpr("id AS page_id", "CAST(concat('page ', id) AS binary) AS content").repartition(2)
+    assert W.write_page_files(pages, path, "page_id", "content") == 1000
+    assert len(list((tmp_path / "pages").rglob("part-*"))) == 1000 and len(list((tmp_path / "pages").iterdir())) <= 25
+    files = FS.read_page_images(spark, path, "part-*")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).rdd.getNumPartitions()
+    least = 4 * spark.sparkContext.defaultParallelism
+    assert files.rdd.getNumPartitions() <= max(least, -(-raw // FS.TASK_PARTITIONS))
+    assert {(r.page_id, r.n_bytes) for r in P.image_rows(files).collect()} == {(k, len(f"page {k}")) for k in range(-20, 980)}
+    # a second write takes the place of the first
+    assert W.write_page_files(pages.where("page_id < 0"), path, "page_id", "content") == 20
+    assert FS.read_page_images(spark, path, "part-*").count() == 20
+
+
 def test_page_files_come_back_as_rows(spark, tmp_path):
     import base64
 
