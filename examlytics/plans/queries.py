@@ -455,14 +455,20 @@ def page_image_files(spark, sf_dir):
     return P.image_rows(read_page_images(spark, path, "part-*"))
 
 
+#: Triggers that take the page images that have landed, at most.
+IMAGE_TRIGGERS = 10
+
+
 @query
 def stream_page_images(spark, sf_dir):
-    """A6 + K1: the same files as a stream, each page once over several triggers."""
+    """A6 + K1: the same files as a stream, each page once over several triggers:
+    of 1,000 files at least, and no more triggers than a fixed number, as each writes its logs."""
     from ..sources import files as FS
 
     landing, out, ckpt = ST.paths(W.output_root(spark, "stream_images"))
-    W.write_page_files(X.page_images(spark, sf_dir), landing, "page_id", "content")
-    return ST.append_stream(P.image_rows(FS.stream_page_images(spark, landing, "part-*")), out, ckpt)
+    n = W.write_page_files(X.page_images(spark, sf_dir), landing, "page_id", "content")
+    files = FS.stream_page_images(spark, landing, "part-*", max(1000, -(-n // IMAGE_TRIGGERS)))
+    return ST.append_stream(P.image_rows(files), out, ckpt)
 
 
 # ---------------------------------------------------------------- more sources, names, lookups, R4
