@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from examlytics.llm.common import drop_stored, pieces, scratch, stored
+from examlytics.llm.common import drop_stored, lean, pieces, scratch, stored
 from examlytics.llm.subwords import encode_rows, public_path
 
 #: A file is closed after the document that reaches so many ids.
@@ -44,7 +44,7 @@ FILE_TOKENS = 4 << 20
 MAGIC = b"TOKDAC01"
 END_ID = 2
 #: Bytes of text encoded at once: distinct words are encoded once in each piece.
-PIECE_BYTES = 16 << 20
+PIECE_BYTES = 8 << 20
 RANK_BITS = 512
 #: Bits of the part of a file's number that counts the files of one task.
 SEQUENCE_BITS = 24
@@ -58,7 +58,10 @@ HEAD = "<qQQB"
 
 def best_widths(ids: np.ndarray) -> list[int]:
     """Chunk widths, lowest chunk first, that need the fewest bits for these ids."""
-    lengths = np.bincount(np.maximum(np.frexp(ids.astype(float))[1], 1)) if len(ids) else np.array([0, 0])
+    lengths = np.zeros(65, np.int64)
+    for a in range(0, len(ids), 1 << 17):
+        lengths += np.bincount(np.maximum(np.frexp(ids[a : a + (1 << 17)].astype(float))[1], 1), minlength=65)
+    lengths = lengths[: max(2, int(np.flatnonzero(lengths)[-1]) + 1 if len(ids) else 2)]
     top = len(lengths) - 1
     bits = len(ids) - np.cumsum(lengths)  # ids that need more than k bits
     best: list[tuple[float, list[int]]] = [(0.0, [])] * (top + 1)  # cost of the bits from k on
@@ -103,19 +106,20 @@ def build(number: int, doc_ids: list[int | None], counts: np.ndarray, ids: np.nd
     first = np.zeros(len(doc_ids) + 1, "<u8")
     np.cumsum(counts, out=first[1:])
     out = [struct.pack(HEAD, number, len(doc_ids), len(ids), len(widths)), keys.tobytes(), known.tobytes(), first.tobytes()]
-    rest = ids.astype(np.uint64)
+    rest = ids if ids.dtype.kind == "u" else ids.astype(np.uint64)
+    kind = rest.dtype.type
     for k, width in enumerate(widths):
         last = k == len(widths) - 1
         out.append(struct.pack(LEVEL, width, len(rest)))
-        out.append(pack(rest & np.uint64((1 << width) - 1), width))
+        out.append(pack(rest & kind((1 << width) - 1), width))
         if not last:
-            more = (rest >> np.uint64(width)) > 0
+            more = (rest >> kind(width)) > 0
             padded = np.zeros(-(-len(rest) // RANK_BITS) * RANK_BITS, np.uint8)
             padded[: len(rest)] = more
             out.append(np.packbits(padded, bitorder="little").tobytes())
             ones = padded.reshape(-1, RANK_BITS).sum(axis=1, dtype=np.uint64)
             out.append((np.cumsum(ones) - ones).astype("<u8").tobytes())
-            rest = rest[more] >> np.uint64(width)
+            rest = rest[more] >> kind(width)
     return b"".join(out)
 
 
@@ -197,7 +201,9 @@ def _encoder(path: str, end_id: int, file_tokens: int):
 
         def closed() -> pa.RecordBatch:
             number = (task << SEQUENCE_BITS) + sequence
-            body = build(number, keys, np.concatenate(counts), np.concatenate(ids))
+            whole = np.concatenate(ids)
+            ids.clear()
+            body = build(number, keys, np.concatenate(counts), whole)
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in (number, len(keys), held, body)], schema=BODY_ARROW)
 
         for batch in batches:
@@ -205,7 +211,7 @@ def _encoder(path: str, end_id: int, file_tokens: int):
             for a, b, data, offs in pieces(batch, "text", PIECE_BYTES):
                 flat, n = encode_rows(path, data, offs)
                 upto = np.cumsum(n)
-                flat, n = np.insert(flat, upto, end_id), n + 1
+                flat, n = np.insert(flat.astype(np.uint32), upto, end_id), n + 1
                 first, ends = 0, np.cumsum(n)
                 while first < b - a:  # cut the piece where a file is full
                     done = ends[first - 1] if first else 0
@@ -232,7 +238,7 @@ def write_token_files(
     x = x.withColumns({"tie": F.xxhash64("text"), "salt": F.monotonically_increasing_id()})
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("salt")]
     x = x.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    bodies = stored(x.mapInArrow(_encoder(tokenizer_path, end_id, file_tokens), BODY), "token-bodies")
+    bodies = stored(x.mapInArrow(lean(_encoder(tokenizer_path, end_id, file_tokens)), BODY), "token-bodies")
     # tokens before a file: those of earlier tasks (a sum per task) and of earlier files of its task
     sizes = bodies.select("file", "n_tokens", F.shiftright("file", SEQUENCE_BITS).alias("task"))
     tasks = sizes.groupBy("task").agg(F.sum("n_tokens").alias("n"))
@@ -281,7 +287,7 @@ def _documents(with_ids: bool, run: int = 1 << 20):
 def read_documents(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     """A row per document: its id, the place of its first token, its ids (if asked for), their number and CRC-32."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
-    return files.mapInArrow(_documents(with_ids), DOCUMENTS)
+    return files.mapInArrow(lean(_documents(with_ids)), DOCUMENTS)
 
 
 def _at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import awkward_rows, documents, sentence
 from hypothesis import given, settings
@@ -59,6 +60,21 @@ def test_any_token_and_any_run_is_read(values, times, rng):
         assert f.tokens(i, j).tolist() == ids[i:j].tolist()
 
 
+def test_encoders_hold_ids_in_four_bytes(monkeypatch):
+    from pyspark import TaskContext
+
+    held = []
+    build = token_codes.build
+    monkeypatch.setattr(token_codes, "build", lambda number, keys, counts, ids: held.append(ids) or build(number, keys, counts, ids))
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda cls: cls))
+    monkeypatch.setattr(TaskContext, "partitionId", classmethod(lambda cls: 0))
+    batch = pa.RecordBatch.from_arrays([pa.array([4, 7]), pa.array(["two words", None])], names=["doc_id", "text"])
+    body = next(token_codes._encoder(subwords.public_path(WORD), token_codes.END_ID, 100)(iter([batch]))).column("body")[0].as_py()
+    assert [x.itemsize for x in held] == [4]
+    wide = build(0, [4, 7], np.array([len(held[0]) - 1, 1]), held[0].astype(np.int64))
+    assert body == wide and len(token_codes.pack(held[0], 16)) == 2 * len(held[0])
+
+
 def test_widths_are_the_cheapest_split():
     rng = np.random.default_rng(1)
     ids = np.concatenate([rng.integers(0, 16, 5000), rng.integers(0, 1 << 16, 400)])
