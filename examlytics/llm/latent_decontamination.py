@@ -50,8 +50,8 @@ ITEM_BLOCK = 2_000
 RANK = 128
 #: Words of a passage for the axes, passages multiplied at once, and from how many words in them a term is a row of a matrix.
 FIT_WORDS = 64
-FIT_ROWS = 512
-MANY = 48
+FIT_ROWS = 2048
+MANY = 96
 STEP = 8
 MIN_COSINE = 0.4
 MIN_LCS, MIN_LCS_ANSWER, MIN_ANSWER = 0.65, 0.55, 0.8
@@ -192,7 +192,7 @@ def _gram_product(idf: np.ndarray, block):
                 y += e.take(k, axis=0, out=one, mode="clip")
             return y
 
-        total, passages = np.zeros((TERMS, rank), np.float64), 0
+        total, passages = np.zeros((TERMS, rank), np.float32), 0
         for words, n in _records(batches):
             per = -(-n // FIT_WORDS)
             starts = np.repeat(np.cumsum(n) - n - FIT_WORDS * (np.cumsum(per) - per), per) + FIT_WORDS * np.arange(int(per.sum()))
@@ -205,7 +205,8 @@ def _gram_product(idf: np.ndarray, block):
                 y = multiplied(t, np.arange(len(t)) - (at[:-1] - at[0])[passage], passage, len(size))
                 y /= np.bincount(passage, idf[t] ** 2)[:, None].astype(np.float32)
                 which, sums = spread_back(t, passage, y)
-                total[which] += sums * idf[which, None]
+                sums *= idf[which, None]
+                total[which] += sums
         if not passages:
             return
         step = TERMS // 64
@@ -213,7 +214,7 @@ def _gram_product(idf: np.ndarray, block):
             [
                 pa.array(range(64)),
                 pa.array([passages] + [0] * 63, pa.int64()),
-                pa.array([total[i * step : (i + 1) * step].astype(np.float32).tobytes() for i in range(64)], pa.binary()),
+                pa.array([total[i * step : (i + 1) * step].tobytes() for i in range(64)], pa.binary()),
             ],
             names=["part", "passages", "m"],
         )

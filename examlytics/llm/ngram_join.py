@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from examlytics.llm.common import (
     LOWER,
     components,
+    lean,
     mix,
     pieces,
     release,
@@ -371,7 +372,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n, key, prefix, sig`` of every row, as a written table."""
     src = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    return stored(src.mapInArrow(_describe, "id long, n int, key long, prefix array<long>, sig binary"), "shingle-sets")
+    return stored(src.mapInArrow(lean(_describe), "id long, n int, key long, prefix array<long>, sig binary"), "shingle-sets")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
@@ -382,10 +383,10 @@ def verified(pairs: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     rep = sets.join(keys, "key", "left_semi").groupBy("key").agg(F.min("id").alias("rep"))
     src = texts.join(rep, texts["__id"].eqNullSafe(rep["rep"]), "left_semi")
-    whole = src.mapInArrow(_sets, "key long, set binary").dropDuplicates(["key"])
+    whole = src.mapInArrow(lean(_sets), "key long, set binary").dropDuplicates(["key"])
     a = whole.select(F.col("key").alias("a"), F.col("set").alias("seta"))
     b = whole.select(F.col("key").alias("b"), F.col("set").alias("setb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "seta", "setb").mapInArrow(_verified, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "seta", "setb").mapInArrow(lean(_verified), "a long, b long")
 
 
 def blocks(sets: DataFrame) -> DataFrame:
@@ -407,7 +408,7 @@ def tree_pairs(members: DataFrame, sigs: DataFrame, every: bool) -> DataFrame:
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     x = x.select("token", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "sub", "key", "comp")
     x = x.join(sigs, "key").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return x.mapInArrow(_tree_pairs(every), "a long, b long, token long")
+    return x.mapInArrow(lean(_tree_pairs(every)), "a long, b long, token long")
 
 
 def links(docs: DataFrame, sets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
