@@ -44,7 +44,7 @@ FILE_TOKENS = 4 << 20
 MAGIC = b"TOKDAC01"
 END_ID = 2
 #: Bytes of text encoded at once: distinct words are encoded once in each piece.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 12 << 20
 RANK_BITS = 512
 #: Bits of the part of a file's number that counts the files of one task.
 SEQUENCE_BITS = 24
