@@ -134,10 +134,8 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     return np.maximum(np.log((1.0 + got.get(-1, 0)) / (1.0 + df)), 0.05).astype(np.float32)
 
 
-def random_signs(rank: int) -> tuple[np.ndarray, np.ndarray]:
-    """The random block that the fit starts with: a column and a sign for every term."""
-    rng = np.random.Generator(np.random.PCG64(7))
-    return rng.integers(0, rank, TERMS), rng.choice([-1.0, 1.0], TERMS)
+def random_block(rank: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(7)).standard_normal((TERMS, rank)).astype(np.float32)
 
 
 def spread_back(t: np.ndarray, passage: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,30 +167,14 @@ def spread_back(t: np.ndarray, passage: np.ndarray, y: np.ndarray) -> tuple[np.n
 def _gram_product(idf: np.ndarray, block):
     """Partial A^T (A q) of the passages of a partition, A their row-normalised TF-IDF matrix, and their number.
 
-    The block q has one random sign a term in the first round (``block`` is then its
-    rank) and is a broadcast in half precision later.
+    The block q is drawn in the task in the first round (``block`` is then its
+    rank) and a broadcast in half precision later.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if isinstance(block, int):
-            rank, (column, sign) = block, random_signs(block)
-            sign *= idf
-        else:
-            rank = block.value.shape[1]
-            e = np.vstack([idf[:, None] * block.value.astype(np.float32), np.zeros((1, rank), np.float32)])  # the last row, of no term, fills up short passages
-
-        def multiplied(t: np.ndarray, place: np.ndarray, passage: np.ndarray, n: int) -> np.ndarray:
-            if isinstance(block, int):
-                return np.bincount(passage * rank + column[t], sign[t], n * rank).reshape(n, rank).astype(np.float32)
-            grid = np.full((FIT_WORDS, n), TERMS)
-            grid[place, passage] = t
-            y = np.zeros((n, rank), np.float32)
-            one = np.empty_like(y)
-            for k in grid:
-                y += e.take(k, axis=0, out=one, mode="clip")
-            return y
-
-        total, passages = np.zeros((TERMS, rank), np.float32), 0
+        q = random_block(block) if isinstance(block, int) else block.value.astype(np.float32)
+        e = np.vstack([idf[:, None] * q, np.zeros((1, q.shape[1]), np.float32)])  # the last row, of no term, fills up short passages
+        total, passages = np.zeros(q.shape, np.float32), 0
         for words, n in _records(batches):
             per = -(-n // FIT_WORDS)
             starts = np.repeat(np.cumsum(n) - n - FIT_WORDS * (np.cumsum(per) - per), per) + FIT_WORDS * np.arange(int(per.sum()))
@@ -202,7 +184,9 @@ def _gram_product(idf: np.ndarray, block):
                 at = edges[a : a + FIT_ROWS + 1]
                 t, size = words[at[0] : at[-1]], np.diff(at)
                 passage = np.repeat(np.arange(len(size)), size)
-                y = multiplied(t, np.arange(len(t)) - (at[:-1] - at[0])[passage], passage, len(size))
+                grid = np.full((FIT_WORDS, len(size)), len(e) - 1)
+                grid[np.arange(len(t)) - (at[:-1] - at[0])[passage], passage] = t
+                y = block_sums(e, grid.T)
                 y /= np.bincount(passage, idf[t] ** 2)[:, None].astype(np.float32)
                 which, sums = spread_back(t, passage, y)
                 sums *= idf[which, None]
