@@ -58,9 +58,16 @@ MIN_LCS, MIN_LCS_ANSWER, MIN_ANSWER = 0.65, 0.55, 0.8
 SHORT = 8
 ANSWER_WORDS = 8
 CHUNK_WORDS = 1 << 15
+#: Words hashed, sums of rows made and blocks searched at once (more of them for long items): about what a core's cache holds.
+HASH_WORDS = 1 << 12
+SUM_ROWS = 512
+CHUNK_BLOCKS = 1024
+#: Leading bits of a word's hash that lead to its place among the items' words.
+BITS = 16
 
 PLAIN = np.arange(256, dtype=np.uint8)
 PLAIN[[b for b in range(128) if not (chr(b).isalnum())]] = 32
+PLAIN_BYTES = PLAIN.tobytes()
 
 
 # ------------------------------------------------------------------ words and passages
@@ -73,9 +80,13 @@ def words_of(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.
     for at in range(0, len(whole), step):
         low = pc.utf8_lower(whole.slice(at, step).cast(pa.large_string()).fill_null(""))
         for a, b, data, offs in pieces(pa.RecordBatch.from_arrays([low], names=["t"]), "t"):
-            plain = PLAIN[data]
+            plain = np.frombuffer(data.tobytes().translate(PLAIN_BYTES), np.uint8)
             start, end, row = word_spans(plain, offs)
-            yield at + a, at + b, word_hashes(plain, start, end), row
+            words = np.empty(len(start), np.uint64)
+            for i in range(0, len(start), HASH_WORDS):  # a hash does not depend on the word's place
+                first, last = start[i : i + HASH_WORDS], end[i : i + HASH_WORDS]
+                words[i : i + HASH_WORDS] = word_hashes(plain[first[0] : last[-1]], first - first[0], last - first[0])
+            yield at + a, at + b, words, row
 
 
 def terms(words: np.ndarray) -> np.ndarray:
@@ -116,9 +127,9 @@ def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         first = np.append(0, np.cumsum(n))
         for i in range(0, len(n), 64):
             k = n[i : i + 64]
-            seen = np.zeros((64, TERMS), bool)  # of 64 documents at a time
-            seen[np.repeat(np.arange(len(k)), k), t[first[i] : first[i + len(k)]]] = True
-            df += np.count_nonzero(seen, axis=0)
+            seen = np.zeros((64, TERMS), np.uint8)  # of 64 documents at a time
+            seen[np.repeat(np.arange(len(k)), k), t[first[i] : first[i + len(k)]]] = 1
+            df += seen.sum(axis=0, dtype=np.uint8)
     at = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], docs))], names=["term", "n"])
 
@@ -157,10 +168,12 @@ def spread_back(t: np.ndarray, passage: np.ndarray, y: np.ndarray) -> tuple[np.n
         word = np.arange(int(k.sum())) + np.repeat(head[:many] - np.cumsum(k) + k, k)
         held = np.bincount(np.repeat(np.arange(many), k) * size + ps[word], minlength=many * size)
         out[:many] = held.reshape(many, size).astype(np.float32) @ y
-    few, rest, n = out[many:], head[many:], n[many:]
-    for j in range(int(n[0]) if len(n) else 0):
-        have = int(np.searchsorted(-n, -j))
-        few[:have] += y.take(ps[rest[:have] + j], axis=0)
+    one = np.empty((SUM_ROWS, y.shape[1]), y.dtype)
+    for a in range(many, len(head), SUM_ROWS):
+        few, rest, k = out[a : a + SUM_ROWS], head[a : a + SUM_ROWS], n[a : a + SUM_ROWS]
+        for j in range(int(k[0])):
+            have = int(np.searchsorted(-k, -j))
+            few[:have] += y.take(ps[rest[:have] + j], axis=0, out=one[:have], mode="clip")
     return ts[head], out
 
 
@@ -174,6 +187,7 @@ def _gram_product(idf: np.ndarray, block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = random_block(block) if isinstance(block, int) else block.value.astype(np.float32)
         e = np.vstack([idf[:, None] * q, np.zeros((1, q.shape[1]), np.float32)])  # the last row, of no term, fills up short passages
+        square = np.append(idf**2, 0).astype(np.float64)
         total, passages = np.zeros(q.shape, np.float32), 0
         for words, n in _records(batches):
             per = -(-n // FIT_WORDS)
@@ -183,14 +197,13 @@ def _gram_product(idf: np.ndarray, block):
             for a in range(0, len(starts), FIT_ROWS):
                 at = edges[a : a + FIT_ROWS + 1]
                 t, size = words[at[0] : at[-1]], np.diff(at)
-                passage = np.repeat(np.arange(len(size)), size)
-                grid = np.full((FIT_WORDS, len(size)), len(e) - 1)
-                grid[np.arange(len(t)) - (at[:-1] - at[0])[passage], passage] = t
-                y = block_sums(e, grid.T)
-                y /= np.bincount(passage, idf[t] ** 2)[:, None].astype(np.float32)
-                which, sums = spread_back(t, passage, y)
-                sums *= idf[which, None]
-                total[which] += sums
+                grid = side_by_side(t, size, FIT_WORDS, len(e) - 1)
+                y = block_sums(e, grid)
+                y /= square.take(grid).sum(axis=1)[:, None].astype(np.float32)
+                which, sums = spread_back(t, np.repeat(np.arange(len(size)), size), y)
+                for i in range(0, len(which), SUM_ROWS):
+                    some = which[i : i + SUM_ROWS]
+                    total[some] += sums[i : i + SUM_ROWS] * idf[some, None]
         if not passages:
             return
         step = TERMS // 64
@@ -313,20 +326,61 @@ class Words:
     least: np.ndarray  # words of an item that a leak shares at least
     margin: np.ndarray  # words around a window that are looked at too
 
+    def __post_init__(self):
+        """Where the known words of each leading ``BITS`` bits begin, and how many such words there are at most."""
+        self.begin = np.searchsorted(self.known, np.arange(1 << BITS, dtype=np.uint64) << np.uint64(64 - BITS))
+        self.most = int(np.diff(np.append(self.begin, len(self.known))).max())
+        self.upto = np.append(self.known, np.uint64(2**64 - 1))
+
     def codes(self, words: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
-        return np.where(self.known[at] == words, at, len(self.known))
+        at = self.begin[words >> np.uint64(64 - BITS)]
+        for _ in range(self.most):
+            at += self.upto[at] < words
+        return np.where(self.upto[at] == words, at, len(self.known))
+
+
+def side_by_side(values: np.ndarray, size: np.ndarray, width: int, filler: int) -> np.ndarray:
+    """A row per block with its ``size`` values, one block after the other, and ``filler`` behind them."""
+    grid = np.full((len(size), width), filler)
+    grid[np.arange(width) < size[:, None]] = values
+    return grid
 
 
 def block_sums(table: np.ndarray, grid: np.ndarray) -> np.ndarray:
     """Sums of the table's rows by block; a row of ``grid`` names those of a block."""
     sums = np.zeros((len(grid), table.shape[1]), table.dtype)
-    one = np.empty_like(sums)
-    for k in np.ascontiguousarray(grid.T):
-        sums += table.take(k, axis=0, out=one, mode="clip")
+    one = np.empty((min(len(grid), SUM_ROWS), table.shape[1]), table.dtype)
+    for a in range(0, len(grid), SUM_ROWS):
+        part = sums[a : a + SUM_ROWS]
+        for k in np.ascontiguousarray(grid[a : a + SUM_ROWS].T):
+            part += table.take(k, axis=0, out=one[: len(part)], mode="clip")
     return sums
 
 
+def reached(dot: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The flat places where ``dot`` is at least ``least``; eight places without one are passed over at once."""
+    hit = np.zeros(-(-dot.size // 8) * 8, bool)
+    np.greater_equal(dot, least, out=hit[: dot.size].reshape(dot.shape))
+    at = (8 * np.flatnonzero(hit.view(np.uint64) != 0)[:, None] + np.arange(8)).ravel()
+    return at[hit[at]]
+
+
+def run_sums(rows: np.ndarray, column: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Sums of ``rows[lo:hi, column]``, from sums of one, two, four and eight rows (small numbers: bytes)."""
+    steps = [rows]
+    for k in (1, 2, 4):
+        steps.append(steps[-1].copy())
+        steps[-1][:-k] += steps[-2][k:]
+    out, lo = np.zeros(len(lo), np.int64), lo.copy()
+    for k, sums in reversed(list(enumerate(steps))):
+        go = np.flatnonzero(hi - lo >= 1 << k)
+        while len(go):
+            out[go] += sums[lo[go], column[go]]
+            lo[go] += 1 << k
+            go = go[hi[go] - lo[go] >= 1 << k]
+    return out
+
+
 def candidates(words: np.ndarray, codes: np.ndarray, first: np.ndarray, table: np.ndarray, vectors: np.ndarray, by_size: dict[int, np.ndarray], of: Words):
     """(block starts, block rows, windows, items, cosines) of some whole texts.
 
@@ -339,44 +393,46 @@ def candidates(words: np.ndarray, codes: np.ndarray, first: np.ndarray, table: n
     np.cumsum(n_blocks, out=block_first[1:])
     block_row = np.repeat(np.arange(len(n)), n_blocks)
     starts = first[block_row] + (np.arange(block_first[-1]) - block_first[block_row]) * STEP
-    block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(words))))
-    use = np.flatnonzero(first_in_block(words, block))
-    t = terms(words[use])
-    # the terms of a block side by side; the table's last row, of no term, fills up short blocks
-    grid = np.full((len(starts), STEP), len(table) - 1)
-    grid[block[use], np.arange(len(use)) - np.searchsorted(use, starts)[block[use]]] = t
-    held = np.full((len(starts), STEP), len(of.holds) - 1)
-    held[block, np.arange(len(words)) - starts[block]] = codes
+    size = np.diff(np.append(starts, len(words)))
+    block = np.repeat(np.arange(len(starts)), size)
+    # the terms of a block side by side; the table's last row, of no term, stands for repeated words and fills up short blocks
+    grid = side_by_side(np.where(first_in_block(words, block), terms(words), len(table) - 1), size, STEP, len(table) - 1)
+    held = side_by_side(codes, size, STEP, len(of.holds) - 1)
     around = -(-of.margin // STEP)
     last = block_first[block_row + 1]
+    groups = [(w, ks, vectors[ks]) for w, ks in sorted(by_size.items())]
     out = []
-    per, most = CHUNK_WORDS // STEP, max(by_size)
+    most = max(by_size)
+    per = max(CHUNK_BLOCKS, 4 * most)
     for s in range(0, len(starts), per):
         top = min(len(starts), s + per + most)  # windows may reach into the next chunk
         sums = block_sums(table, grid[s:top])
-        s0, top0 = max(0, s - int(around.max())), min(len(starts), top + int(around.max()))
-        known = block_sums(of.holds, held[s0:top0])
         at = np.arange(s, min(s + per, len(starts)))
-        window, wide = np.zeros((len(at), table.shape[1]), np.float32), 0
-        for w, ks in sorted(by_size.items()):
+        left = last[at] - at
+        window, wide, near = np.zeros((len(at), table.shape[1]), np.float32), 0, []
+        for w, ks, v in groups:
             for k in range(wide, w):  # a window grows by its next block, if its text has one
                 m = max(0, min(len(at), len(sums) - k))
                 window[:m] += sums[k : k + m]
-                past = np.flatnonzero(at[:m] + k >= last[at[:m]])
+                past = np.flatnonzero(left[:m] <= k)
                 window[past] -= sums[past + k]
-            end, wide = np.minimum(at + w, last[at]), w
-            size = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-9)
-            dot = window @ vectors[ks].T
-            i, j = np.divmod(np.flatnonzero(dot >= (MIN_COSINE * size)[:, None]), len(ks))
-            item, cos = ks[j], dot[i, j] / size[i]
-            lo = np.maximum(at[i] - around[item], block_first[block_row[at[i]]])
-            hi = np.minimum(end[i] + around[item], last[at[i]])
-            n = np.zeros(len(i), np.int64)
-            for d in range(int((hi - lo).max()) if len(i) else 0):
-                n += np.where(lo + d < hi, known[np.minimum(lo + d, hi - 1) - s0, item], 0)
-            near = n >= of.least[item]
-            if near.any():
-                out.append((at[i][near], item[near], cos[near]))
+            wide = w
+            length = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-9)
+            dot = window @ v.T
+            i, j = np.divmod(reached(dot, (MIN_COSINE * length)[:, None]), len(ks))
+            near.append((at[i], ks[j], np.minimum(w, left[i]), dot[i, j] / length[i]))
+        window_at, item, blocks, cos = (np.concatenate(x) for x in zip(*near))
+        if not len(item):
+            continue
+        lo = np.maximum(window_at - around[item], block_first[block_row[window_at]])
+        hi = np.minimum(window_at + blocks + around[item], last[window_at])
+        low, span = int(lo.min()), int(hi.max() - lo.min()) + 1
+        # words are counted in the blocks in and around such windows, no others
+        need = np.cumsum(np.bincount(lo - low, minlength=span) - np.bincount(hi - low, minlength=span)) > 0
+        begin = (np.cumsum(need) - 1)[lo - low]
+        known = block_sums(of.holds, held[low + np.flatnonzero(need)])
+        enough = run_sums(known, item, begin, begin + hi - lo) >= of.least[item]
+        out.append((window_at[enough], item[enough], cos[enough]))
     if not out:
         return starts, block_row, *(np.empty(0, np.int64) for _ in range(3))
     return starts, block_row, *(np.concatenate(x) for x in zip(*out))
@@ -404,7 +460,7 @@ def _found(batches: Iterator[pa.RecordBatch], table: np.ndarray, items: list[dic
     for j, it in enumerate(items):
         np.add.at(times[j], np.searchsorted(known, it["words"]), 1)
     least = np.where(length < SHORT, 1.0, min(MIN_LCS, MIN_LCS_ANSWER)) * length
-    of = Words(known, (times.T > 0).astype(np.uint8), least, length // 8)
+    of = Words(known, np.ascontiguousarray(times.T > 0).view(np.uint8), least, length // 8)
     checks = [(places(it["words"]), len(it["words"]), places(it["answer"]), len(it["answer"])) for it in items]
 
     def judge(item: int, near: list[int]) -> tuple[int, float, float] | None:

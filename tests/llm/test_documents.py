@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import WORDS, awkward_rows, documents, sentence
 from pyspark.sql import functions as F
@@ -352,6 +353,48 @@ def test_sums_by_term_of_the_rows_of_its_passages():
         assert sorted(which) == sorted(set(t)) and np.allclose(want[which], sums, atol=1e-3)
 
 
+def test_words_are_counted_in_blocks_near_a_candidate_only(monkeypatch):
+    m = latent_decontamination
+    rng = random.Random(9)
+    items = [(k, " ".join(f"i{rng.randrange(500)}" for _ in range(20 + 9 * k))) for k in range(8)]
+    texts = [sentence(rng, rng.choice([0, 5, 400])) for _ in range(60)]
+    texts[7] = f"{sentence(rng, 40)} {items[3][1]} {sentence(rng, 40)}"
+    table = np.random.default_rng(1).standard_normal((m.TERMS, m.RANK)).astype(np.float32)
+    counted, sums = [], m.block_sums
+    monkeypatch.setattr(m, "block_sums", lambda t, grid: (counted.append(len(grid)) if t.dtype == np.uint8 else None, sums(t, grid))[1])
+    batch = pa.RecordBatch.from_pydict({"id": list(range(60)), "text": texts})
+    found = [r for b in m._found(iter([batch]), table, m.prepare_items(items, table)) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["item_id"], r["lcs_share"]) for r in found] == [(7, 3, 1.0)]
+    assert 0 < sum(counted) < 0.1 * sum(len(t.split()) for t in texts) / m.STEP
+
+
+def test_search_helpers_against_plain_forms(monkeypatch):
+    m = latent_decontamination
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 2**64, 4000, dtype=np.uint64) >> np.repeat(np.array([0, 50], np.uint64), 2000)  # the last share leading bits
+    words[:2] = 0, 2**64 - 1
+    for known in (np.unique(words[::3]), np.unique(words[1::3]), words[1:2], words[5:6]):
+        place = {int(w): k for k, w in enumerate(known)}
+        codes = m.Words(known, np.zeros((len(known) + 1, 1), np.uint8), np.ones(1), np.ones(1, int)).codes(words)
+        assert codes.tolist() == [place.get(int(w), len(known)) for w in words]
+    rows = rng.integers(0, 9, (70, 5)).astype(np.uint8)
+    lo, column = rng.integers(0, 70, 200), rng.integers(0, 5, 200)
+    hi = rng.integers(lo, 71)
+    assert m.run_sums(rows, column, lo, hi).tolist() == [rows[a:b, c].sum(dtype=int) for a, b, c in zip(lo, hi, column)]
+    for shape in ((1, 1), (7, 3), (40, 16)):
+        x = rng.standard_normal(shape)
+        assert m.reached(x, np.zeros((shape[0], 1))).tolist() == np.flatnonzero(x >= 0).tolist()
+    batch = pa.RecordBatch.from_pydict({"t": ["One two; ÜNÏ  three", None, "", "four five " * 30]})
+    whole = [x.tolist() for _, _, x, _ in m.words_of(batch, "t")]
+    monkeypatch.setattr(m, "HASH_WORDS", 3)
+    monkeypatch.setattr(m, "SUM_ROWS", 4)
+    assert [x.tolist() for _, _, x, _ in m.words_of(batch, "t")] == whole
+    grid = m.side_by_side(np.arange(9), np.array([2, 0, 3, 3, 1]), 3, 9)
+    assert grid.tolist() == [[0, 1, 9], [9, 9, 9], [2, 3, 4], [5, 6, 7], [8, 9, 9]]
+    table = rng.integers(0, 9, (10, 4)).astype(np.float32)
+    assert (m.block_sums(table, grid) == table[grid].sum(axis=1)).all()
+
+
 def test_recall_against_brute_force_subsequences(spark):
     m = latent_decontamination
     rng = random.Random(12)
